@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores",)
+MODULES = ("scores", "payments", "funding")
 
 
 def load_all() -> None:
