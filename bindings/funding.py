@@ -16,7 +16,7 @@ o AS (SELECT o.*, c.c_name, c.c_mktsegment, n.n_name, n.n_nationkey,
 rr AS (
   SELECT o_orderkey::VARCHAR AS sr_no,
     CASE o_orderpriority WHEN '1-URGENT' THEN dd || '/' || mm || '.' || yy WHEN '2-HIGH' THEN dd || '/' || mm || yy
-      WHEN '3-MEDIUM' THEN dd || '/' || mm || '/0' || yy[3:4] WHEN '4-NOT SPECIFIED' THEN dd || '//' || mm || '/' || yy
+      WHEN '3-MEDIUM' THEN dd || '/' || mm || CASE WHEN yy >= '2000' THEN '/0' || yy[3:4] ELSE '/' || yy END WHEN '4-NOT SPECIFIED' THEN dd || '//' || mm || '/' || yy
       ELSE dd || '/' || mm || '/' || yy END AS date_raw,
     CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Ola Cabs' WHEN 'BUILDING' THEN 'OyoRooms'
       ELSE CASE o_orderstatus WHEN 'F' THEN '"' || c_name || '"' WHEN 'P' THEN '\\xc2\\xa0' || c_name ELSE c_name END END AS startup,
@@ -86,7 +86,7 @@ def raw(t: Tables):
     return o.select(
         F.col("o_orderkey").cast("string").alias("sr_no"),
         (F.when(pr == "1-URGENT", cc(dd, lit("/"), mm, lit("."), yy)).when(pr == "2-HIGH", cc(dd, lit("/"), mm, yy))
-         .when(pr == "3-MEDIUM", cc(dd, lit("/"), mm, lit("/0"), F.substring(yy, 3, 2)))
+         .when((pr == "3-MEDIUM") & (yy >= "2000"), cc(dd, lit("/"), mm, lit("/0"), F.substring(yy, 3, 2)))
          .when(pr == "4-NOT SPECIFIED", cc(dd, lit("//"), mm, lit("/"), yy))
          .otherwise(cc(dd, lit("/"), mm, lit("/"), yy))).alias("date_raw"),
         F.when(seg == "AUTOMOBILE", "Ola Cabs").when(seg == "BUILDING", "OyoRooms").otherwise(name).alias("startup"),
@@ -165,7 +165,7 @@ def grouping_style(t: Tables):
     return rd.grouping_style(raw(t), "amount_raw", "sr_no")
 
 
-@query("rounds_parse_failures", f"""WITH {RAW} SELECT count(*) FILTER (o_orderpriority <> '5-LOW') AS dates_before,
+@query("rounds_parse_failures", f"""WITH {RAW} SELECT count(*) FILTER (o_orderpriority <> '5-LOW' AND NOT (o_orderpriority = '3-MEDIUM' AND yy < '2000')) AS dates_before,
   0::BIGINT AS dates_after, count(*) FILTER (o_orderstatus <> 'F') AS amounts_before,
   count(*) FILTER (o_orderstatus = 'P') AS amounts_after FROM rr""")
 def parse_failures(t: Tables):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -13,15 +14,20 @@ from quarrylane.plans.bounded import lookup
 
 def unescape(c: Column) -> Column:
     """Remove escape sequences stored as literal characters, then squeeze spaces."""
-    c = F.regexp_replace(c, r"\\+x[0-9a-fA-F]{2}", " ")
-    c = F.regexp_replace(c, r"\\+[nrt]", " ")
+    c = F.regexp_replace(c, r"\\+(x[0-9a-fA-F]{2}|[nrt])", " ")
     c = F.regexp_replace(c, r"\\+", "")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def to_null(c: Column, tokens: Iterable[str] = vocab.NULL_TOKENS) -> Column:
-    """NULL where the text is only a placeholder."""
-    return F.when(~F.lower(c).isin(list(tokens)), c)
+    """NULL where the text is only a placeholder.
+
+    One reference to the input, so a filter on the result does not copy the
+    expression behind it.
+    """
+    listed = "|".join(re.escape(t).replace("/", r"\/") for t in tokens if t)
+    kept = F.regexp_extract_all(c, F.lit(rf"(?s)^(?!(?i:{listed})$)(.+)$"), F.lit(1))
+    return F.try_element_at(kept, F.lit(1))
 
 
 def display_name(c: Column) -> Column:
@@ -59,7 +65,7 @@ def repaired_date(c: Column) -> Column:
 
 def amount(c: Column) -> Column:
     """Number from text with any digit grouping; NULL when nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"[^0-9.]", ""), F.lit("")).try_cast("double")
+    return F.regexp_replace(c, r"[^0-9.]", "").try_cast("double")
 
 
 def naive_amount(c: Column) -> Column:
@@ -99,9 +105,13 @@ def stage(c: Column) -> Column:
 
 def alias(key: Column, name: Column, aliases: dict[str, tuple[str, str]]) -> tuple[Column, Column]:
     """Merged key and name of an entity; exact key match, never a prefix."""
-    to_key = lookup({k: v[0] for k, v in aliases.items()}, key)
     to_name = lookup({k: v[1] for k, v in aliases.items()}, key)
-    return F.coalesce(to_key, key), F.coalesce(to_name, name)
+    merged = key
+    for target in dict.fromkeys(v[0] for v in aliases.values()):
+        spellings = "|".join(k for k, v in aliases.items() if v[0] == target and k != target)
+        if spellings:
+            merged = F.regexp_replace(merged, f"^({spellings})$", target)
+    return merged, F.coalesce(to_name, name)
 
 
 def is_placeholder_name(c: Column) -> Column:

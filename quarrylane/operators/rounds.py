@@ -33,9 +33,8 @@ def clean(raw: DataFrame, rupee_rows: Sequence[int] = vocab.CONFIRMED_RUPEE_ROWS
     in_rupees = F.col("sr_no").isin([int(r) for r in rupee_rows])
     d = d.withColumn("amount_flag", F.when(in_rupees, "confirmed_inr_not_usd")
                      .when(F.coalesce(big, F.lit(False)), "review_outlier"))
-    adjusted = F.when(F.col("amount_flag").eqNullSafe("confirmed_inr_not_usd"),
-                      F.col("amount_usd") / vocab.RUPEES_PER_DOLLAR).otherwise(F.col("amount_usd"))
-    return d.withColumn("amount_usd_adj", adjusted)
+    rate = F.when(in_rupees, F.lit(vocab.RUPEES_PER_DOLLAR)).otherwise(F.lit(1.0))
+    return d.withColumn("amount_usd_adj", F.col("amount_usd") / rate)
 
 
 def money_safe(rounds: DataFrame) -> DataFrame:
