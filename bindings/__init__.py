@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding")
+MODULES = ("scores", "payments", "funding", "subscribers")
 
 
 def load_all() -> None:
