@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding", "subscribers")
+MODULES = ("scores", "payments", "funding", "subscribers", "demand")
 
 
 def load_all() -> None:

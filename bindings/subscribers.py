@@ -32,7 +32,7 @@ subs AS (
     CASE WHEN n_orders < 8 THEN 'Month-to-month' WHEN n_orders < 12 THEN 'One year' ELSE 'Two year' END AS Contract,
     CASE WHEN c_nationkey < 6 THEN 'Electronic check' WHEN c_nationkey < 12 THEN 'Mailed check'
          WHEN c_nationkey < 18 THEN 'Bank transfer (automatic)' ELSE 'Credit card (automatic)' END AS PaymentMethod,
-    tenure, round(monthly, 2) AS MonthlyCharges, CASE WHEN tenure > 1 THEN round(tenure * monthly + n_orders, 2) END AS TotalCharges,
+    tenure, round(monthly, 2) AS MonthlyCharges, CASE WHEN tenure > 1 THEN (tenure * floor(monthly) + n_orders)::DOUBLE END AS TotalCharges,
     CASE WHEN recency > 400 OR (c_acctbal < 2000 AND recency > 60) THEN 'Yes' ELSE 'No' END AS Churn,
     least(0.999, recency / 600.0::DOUBLE)::DOUBLE AS p, n_orders, c_mktsegment
   FROM b),
@@ -62,7 +62,7 @@ def raw(t: Tables):
         return F.when(c, "Yes").otherwise("No")
 
     churned = (F.col("recency") > 400) | ((bal < 2000) & (F.col("recency") > 60))
-    total = F.format_string("%.2f", F.round(F.col("tenure") * F.col("monthly") + F.col("n_orders"), 2))
+    total = F.format_string("%.2f", (F.col("tenure") * F.floor("monthly") + F.col("n_orders")).cast("double"))
     return b.select(
         F.col("c_custkey").alias("customerID"), yn(bal > 5000).alias("Partner"), yn(bal > 8000).alias("Dependents"),
         yn(nk != 3).alias("PhoneService"),
@@ -164,7 +164,7 @@ FEATURES_SQL = """customerID, tenure_band, (tenure <= 6)::BIGINT AS is_new_custo
  (Contract = 'Month-to-month')::BIGINT AS is_month_to_month, (PaymentMethod LIKE '%(automatic)')::BIGINT AS is_autopay,
  round(CASE WHEN tenure > 0 THEN total0 / tenure ELSE 0 END, 6) AS realized_arpu,
  round(CASE WHEN tenure > 0 AND total0 > 0 THEN MonthlyCharges / (total0 / tenure) ELSE 1 END, 6) AS price_vs_history,
- round(total0 - tenure * MonthlyCharges, 2) AS billing_discrepancy, round(MonthlyCharges / (ADDON_COUNT + 1), 6) AS charges_per_addon,
+ round(total0 - tenure * MonthlyCharges, 2) + 0.0 AS billing_discrepancy, round(MonthlyCharges / (ADDON_COUNT + 1), 6) AS charges_per_addon,
  ((Partner = 'Yes')::INT + (Dependents = 'Yes')::INT)::BIGINT AS household_size,
  CASE WHEN Contract = 'Month-to-month' THEN tenure ELSE 0 END::DOUBLE AS tenure_x_month_to_month""".replace(
     "ADDON_COUNT", "(" + " + ".join(f"({a} = 'Yes')::INT" for a in ADDONS) + ")::BIGINT")
@@ -392,10 +392,10 @@ def sweep(t: Tables):
 
 
 @query("subs_policies", CURVE + """, n AS (SELECT threshold, v * 0.3 - n * 35 AS net FROM c),
-b AS (SELECT * FROM n ORDER BY round(net, 6) DESC, threshold LIMIT 1),
+best AS (SELECT * FROM n ORDER BY round(net, 6) DESC, threshold LIMIT 1),
 o AS (SELECT sum(CASE WHEN y = 1 THEN value * 0.3 ELSE 0 END - 35) AS pv, count(*) AS pc FROM s WHERE p > 35 / (0.3::DOUBLE * greatest(value, 1e-9)))
-SELECT round(b.threshold, 6) AS best_threshold, round(b.net, 6) AS best_net_value, round(z.net, 6) AS contact_all, round(b.net - z.net, 6) AS uplift,
-  round(pv, 6) AS per_customer_value, pc AS per_customer_contacts FROM b, o, (SELECT net FROM n WHERE threshold = 0) z""")
+SELECT round(best.threshold, 6) AS best_threshold, round(best.net, 6) AS best_net_value, round(z.net, 6) AS contact_all, round(best.net - z.net, 6) AS uplift,
+  round(pv, 6) AS per_customer_value, pc AS per_customer_contacts FROM best, o, (SELECT net FROM n WHERE threshold = 0) z""")
 def policies(t: Tables):
     """Best threshold against contact-all and the per-customer rule."""
     return decisions.compare_policies(subs(t), "p", "y", "value", ECON)
@@ -403,10 +403,10 @@ def policies(t: Tables):
 
 @query("subs_sensitivity", CURVE + """, q AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS sr), j AS (SELECT unnest([10, 30, 60]::DOUBLE[]) AS inc),
 n AS (SELECT sr, inc, c.*, v * sr - n * (inc + 5) AS net FROM c, q, j),
-b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY sr, inc ORDER BY round(net, 6) DESC, threshold) = 1),
+best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY sr, inc ORDER BY round(net, 6) DESC, threshold) = 1),
 o AS (SELECT sr, inc, coalesce(sum(CASE WHEN y = 1 THEN value * sr ELSE 0 END - (inc + 5)) FILTER (p > (inc + 5) / (sr * greatest(value, 1e-9))), 0) AS pv FROM s, q, j GROUP BY ALL)
 SELECT sr AS success_rate, inc AS incentive_cost, round(threshold, 6) AS best_threshold, round(net, 6) AS net_value, round(n / pop::DOUBLE, 6) AS contact_rate,
-  round(CASE WHEN n > 0 THEN tp / n::DOUBLE ELSE 0 END, 6) AS precision, round(tp / greatest(pos, 1), 6) AS recall, round(pv, 6) AS per_customer_value FROM b JOIN o USING (sr, inc)""")
+  round(CASE WHEN n > 0 THEN tp / n::DOUBLE ELSE 0 END, 6) AS precision, round(tp / greatest(pos, 1), 6) AS recall, round(pv, 6) AS per_customer_value FROM best JOIN o USING (sr, inc)""")
 def sensitivity(t: Tables):
     """Best threshold under 15 assumption pairs."""
     return decisions.sensitivity(subs(t), "p", "y", "value", ECON, [0.1, 0.2, 0.3, 0.4, 0.5], [10.0, 30.0, 60.0])

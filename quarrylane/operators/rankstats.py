@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.plans.bounded import each
 from quarrylane.plans.prefix import running_totals
+from quarrylane.session import checkpointed
 
 
 def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -49,8 +50,9 @@ def ranking_quality(df: DataFrame, score: str, label: str, keys: Sequence[str] =
 
 def pr_curve(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """Precision, recall and F1 at every distinct threshold."""
-    c = cumulative_counts(df, score, label, buckets=buckets)
-    total = score_counts(df, score, label).agg(F.sum("pos").alias("p")).scalar()
+    counts = checkpointed(score_counts(df, score, label))
+    c = running_totals(counts, "score", ["pos", "neg"], descending=True, buckets=buckets)
+    total = counts.agg(F.sum("pos").alias("p")).scalar()
     c = c.withColumn("__p", total)
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     recall = F.try_divide(F.col("cum_pos"), F.col("__p"))
@@ -74,13 +76,13 @@ def review_budgets(df: DataFrame, score: str, label: str, row_id: str,
     cut are taken in ``row_id`` order, through a second running total over the ids,
     so even a score shared by most rows is split over tasks.
     """
-    counts = score_counts(df, score, label)
+    counts = checkpointed(score_counts(df, score, label))
     size = counts.agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).scalar()
     positives = counts.agg(F.sum("pos").alias("p")).scalar()
     upto = F.col("cum_pos") + F.col("cum_neg")
     start = upto - F.col("pos") - F.col("neg")
     cuts = (
-        cumulative_counts(df, score, label, buckets=buckets)
+        running_totals(counts, "score", ["pos", "neg"], descending=True, buckets=buckets)
         .withColumns({"__n": size, "budget_frac": each([float(f) for f in fractions])})
         .withColumn("alerts", F.greatest(F.floor(F.col("budget_frac") * F.col("__n")), F.lit(1)))
         .where((start < F.col("alerts")) & (upto >= F.col("alerts")))

@@ -8,20 +8,23 @@ points gives the same exact result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarrylane.session import checkpointed
 
 BUCKET = "__bucket"
 
 
-def split_points(df: DataFrame, order: str, buckets: int) -> list[float]:
-    """At most ``buckets - 1`` distinct interior split points of a numeric column."""
+def split_points(df: DataFrame, order: Column, buckets: int) -> list[float]:
+    """At most ``buckets - 1`` distinct interior split points of a numeric expression."""
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.col(order).cast("double").alias("v")).approxQuantile(
-        "v", probs, 1.0 / (4 * buckets))
+    found = df.select(order.cast("double").alias("v")).approxQuantile("v", probs, 1.0 / (4 * buckets))
     return sorted(set(found))
 
 
@@ -31,15 +34,26 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def order_number(df: DataFrame, order: str) -> Column:
+    """A number that never falls along ``order``; text uses the bytes after its common start."""
+    if not isinstance(df.schema[order].dataType, T.StringType):
+        return F.col(order).cast("double")
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    common = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
+    head = F.left(F.rpad(F.hex(F.substring(order, common + 1, 6)), 12, "0"), F.lit(12))
+    return F.conv(head, 16, 10).cast("double")
+
+
 def bucketed(df: DataFrame, order: str, buckets: int | None = None,
              descending: bool = False) -> DataFrame:
     """Add a bucket number that grows in the requested order."""
-    points = split_points(df, order, _bucket_count(df, buckets))
+    number = order_number(df, order)
+    points = split_points(df, number, _bucket_count(df, buckets))
     if not points:
         return df.withColumn(BUCKET, F.lit(0.0))
     cut = Bucketizer(splits=[-float("inf"), *points, float("inf")],
                      inputCol="__order", outputCol=BUCKET, handleInvalid="keep")
-    out = cut.transform(df.withColumn("__order", F.col(order).cast("double"))).drop("__order")
+    out = cut.transform(df.withColumn("__order", number)).drop("__order")
     return out.withColumn(BUCKET, -F.col(BUCKET)) if descending else out
 
 
@@ -52,7 +66,8 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     first; that also keeps a popular value from filling one bucket.
     """
     keys = list(keys)
-    d = bucketed(df, order, buckets, descending)
+    # The input is read three times (split points, bucket totals, running sums).
+    d = bucketed(checkpointed(df), order, buckets, descending)
     by = F.col(order).desc() if descending else F.col(order).asc()
     local = Window.partitionBy(*keys, BUCKET).orderBy(by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -76,8 +91,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     and a key with very many values is spread over the buckets.
     """
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+                          .agg(F.count(F.lit(1)).alias("n")))
     ranked = running_totals(counts, value, ["n"], keys, buckets=buckets)
     if keys:
         ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n").alias("__total")), keys)

@@ -26,12 +26,19 @@ def local_session(app: str = "quarrylane", cpus: int | str = "*",
     return spark
 
 
+def is_checkpointed(df: DataFrame) -> bool:
+    """Whether a table is read straight from a checkpoint."""
+    return df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by the session.
+    """Cut the lineage in the shared folder named by the session, once.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset, as
     in tests, a temporary folder is used.
     """
+    if is_checkpointed(df):
+        return df
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
