@@ -19,7 +19,6 @@ from quarrylane.plans.prefix import exact_quantiles, running_totals
 from quarrylane.session import checkpointed
 
 SERIES, DATE, DEMAND = "series_id", "date", "demand"
-EVERY = Window.partitionBy()
 
 
 def dense_panel(sales: DataFrame, fill: dict) -> DataFrame:
@@ -119,9 +118,10 @@ def segment_summary(seg: DataFrame) -> DataFrame:
     adi = exact_quantiles(seg, "adi", {"median_adi": 0.5}, ["demand_class"])
     cv2 = exact_quantiles(seg, "cv2", {"median_cv2": 0.5}, ["demand_class"])
     a = a.join(adi, "demand_class", "left").join(cv2, "demand_class", "left")
-    return a.withColumns({  # at most four rows
-        "demand_share": F.col("total_demand") / F.sum("total_demand").over(EVERY),
-        "series_share": F.col("series") / F.sum("series").over(EVERY)})
+    every = Window.partitionBy()  # at most four rows
+    return a.withColumns({
+        "demand_share": F.col("total_demand") / F.sum("total_demand").over(every),
+        "series_share": F.col("series") / F.sum("series").over(every)})
 
 
 def volume_matrix(seg: DataFrame) -> DataFrame:
