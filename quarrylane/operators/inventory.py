@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylane.operators.features import normal_quantile
 from quarrylane.operators.panel import DATE, DEMAND, SERIES
@@ -293,7 +294,7 @@ def newsvendor(values: DataFrame, econ: StockEconomics, days: float) -> DataFram
                  F.avg("co").alias("co_mean")).withColumn("critical_ratio_median", median)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     from statistics import NormalDist
     n = NormalDist()
