@@ -23,7 +23,7 @@ ERROR_ORIGINS = [TEST_ORIGIN - dt.timedelta(days=14 + 7 * i) for i in range(10)]
 
 PANEL = """
 sales AS (SELECT p_brand || '|' || r_name AS series_id, l_shipdate::DATE AS date, p_brand AS sku_id, r_name AS store_id,
-    sum(l_quantity) AS demand, round(avg(l_extendedprice / l_quantity), 4) AS sell_price, (round(avg(l_discount), 9) >= 0.05)::BIGINT AS snap
+    sum(l_quantity) AS demand, avg(l_extendedprice / l_quantity) AS sell_price, (round(avg(l_discount), 9) >= 0.05)::BIGINT AS snap
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
 spans AS (SELECT series_id, sku_id, store_id, min(date) AS f FROM sales GROUP BY ALL),
@@ -39,7 +39,7 @@ def sales(t: Tables):
     d = (li.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
          .join(places, F.col("l_suppkey") == F.col("s_suppkey")))
     return d.groupBy(F.concat_ws("|", "p_brand", "r_name").alias("series_id"), F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.sum("l_quantity").alias("demand"), F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("sell_price"),
+        F.sum("l_quantity").alias("demand"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("sell_price"),
         (F.round(F.avg("l_discount"), 9) >= 0.05).cast("long").alias("snap"))
 
 
@@ -314,7 +314,7 @@ ph AS (SELECT p.*, origin FROM panel p JOIN org ON p.date <= origin),
 f0 AS (SELECT series_id, origin, {lags}, {roll}, min(origin - date) FILTER (origin - date < 28 AND demand > 0) AS since,
   avg(demand) FILTER (origin - date < 28 AND demand > 0) AS mean_nonzero_size_28, avg(demand) AS hist_mean, stddev_samp(demand) AS hist_std,
   count(*) FILTER (demand > 0) / count(*)::DOUBLE AS hist_nonzero_rate, (origin - min(date))::BIGINT AS series_age_days,
-  avg(sell_price) FILTER (origin - date < 28) AS price_mean_28_at_origin, max(sell_price) FILTER (origin = date) AS price_at_origin FROM ph GROUP BY ALL),
+  avg(sell_price) FILTER (origin - date < 28) AS price_mean_28_at_origin, max(sell_price) FILTER (origin = date) AS price_at_origin FROM ph GROUP BY series_id, origin),
 sl AS (SELECT series_id, origin, date, demand, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id, origin) AS n,
   coalesce(date - lag(date) OVER w, date - greatest(origin - 364, {d(FIRST)}) + 1) AS gap FROM ph WHERE demand > 0 AND origin - date < 365
   WINDOW w AS (PARTITION BY series_id, origin ORDER BY date)),
@@ -369,7 +369,7 @@ def calendar(t: Tables):
     return with_calendar(days, "date", HOLIDAYS)
 
 
-@query("features_supervised", f"""WITH {sup_sql(FOLD_ORIGINS)} SELECT series_id, origin, horizon, target_date, y_true, round(sell_price, 4) AS sell_price, snap, snaive_lag,
+@query("features_supervised", f"""WITH {sup_sql(FOLD_ORIGINS)} SELECT series_id, origin, horizon, target_date, y_true, round(sell_price, 6) AS sell_price, snap, snaive_lag,
   round(price_ratio_vs_origin, 6) AS price_ratio_vs_origin, round(discount_vs_28d, 6) + 0.0 AS discount_vs_28d, (series_age_days + horizon)::BIGINT AS product_age_days,
   (isodow(target_date) - 1)::BIGINT AS dow, round(rolling_mean_28, 6) AS rolling_mean_28, 'C' || length(split_part(series_id, '|', 1)) AS cat_id FROM sup""")
 def supervised(t: Tables):
@@ -620,3 +620,222 @@ def monotone_quantiles(t: Tables):
     """Crossed quantiles put back in order."""
     crossed = intervals(t)[1].select("series_id", "horizon", F.col("q90").alias("x"), F.col("q10").alias("y"), F.col("q50").alias("z"))
     return features.monotone_quantiles(crossed, ["x", "y", "z"])
+
+
+# --- stock policy ---------------------------------------------------------------
+
+POLICY = f"""WITH {sup_sql([*ERROR_ORIGINS, TEST_ORIGIN])},
+le AS (SELECT series_id, origin, sum(y_true) AS lt_actual, sum(sba) AS lt_forecast, count(*) AS n_days, sum(y_true) - sum(sba) AS lt_error
+  FROM pred WHERE horizon <= 14 AND origin < {d(TEST_ORIGIN)} GROUP BY ALL),
+es0 AS (SELECT series_id, count(*) AS n_windows, avg(lt_error) AS error_mean, stddev_samp(lt_error) AS sd, quantile_cont(lt_error, 0.5) AS error_q50,
+  quantile_cont(lt_error, 0.9) AS error_q90, quantile_cont(lt_error, 0.95) AS error_q95, quantile_cont(lt_error, 0.99) AS error_q99 FROM le GROUP BY 1),
+es AS (SELECT * EXCLUDE (sd), coalesce(sd, (SELECT quantile_cont(sd, 0.5) FROM es0)) AS error_std FROM es0),
+lv AS (SELECT * FROM (VALUES (0.90::DOUBLE, {inventory.normal_quantile(0.90)!r}::DOUBLE), (0.95, {inventory.normal_quantile(0.95)!r}), (0.99, {inventory.normal_quantile(0.99)!r})) v(service_level, z)),
+ex AS (SELECT series_id, sum(sba) AS expected_lt_demand FROM pred WHERE horizon <= 14 AND origin = {d(TEST_ORIGIN)} GROUP BY 1),
+po0 AS (SELECT es.*, service_level, z, expected_lt_demand, greatest(0, error_std * z) AS safety_stock_normal,
+  greatest(0, CASE service_level WHEN 0.90 THEN error_q90 WHEN 0.95 THEN error_q95 ELSE error_q99 END) AS safety_stock_empirical FROM es LEFT JOIN ex USING (series_id), lv),
+po AS (SELECT *, ceil(round(coalesce(expected_lt_demand, 0) + safety_stock_normal, 9)) AS reorder_point_normal, ceil(round(coalesce(expected_lt_demand, 0) + safety_stock_empirical, 9)) AS reorder_point_empirical,
+  safety_stock_empirical / nullif(safety_stock_normal, 0) AS ratio, greatest(1.0, round(coalesce(expected_lt_demand, 1) / 14.0::DOUBLE * 7, 9)) AS q FROM po0),
+hist AS (SELECT series_id, avg(demand) AS m, coalesce(stddev_samp(demand), 0) AS s FROM panel WHERE date <= {d(TEST_ORIGIN)} AND date > {d(TEST_ORIGIN - dt.timedelta(days=90))} GROUP BY 1),
+bl AS (SELECT series_id, m AS daily_mean, s AS daily_std, m * 14 AS expected_lt_demand, greatest(0, s * sqrt(14.0::DOUBLE) * {inventory.normal_quantile(0.95)!r}) AS safety_stock_normal FROM hist),
+bp AS (SELECT *, ceil(round(expected_lt_demand + safety_stock_normal, 9)) AS reorder_point_normal, greatest(1.0, round(expected_lt_demand / 14.0::DOUBLE * 7, 9)) AS q FROM bl)"""
+
+
+def replay_sql(source: str) -> str:
+    """Day-by-day recursion over the test window: ``source`` gives key, series, reorder point r and order size q."""
+    return f""",
+src AS ({source}),
+dm AS (SELECT series_id, (date - {d(TEST_START)})::INT AS t, demand::DOUBLE AS dd FROM panel WHERE date BETWEEN {d(TEST_START)} AND {d(TEST_END)}),
+sim AS (
+  SELECT k, series_id, r, q, -1 AS t, r + q AS oh, [0.0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS due, 0.0::DOUBLE AS us, 0 AS sd, 0 AS cy, 0 AS bc, false AS cs, 0.0::DOUBLE AS ss, 0.0::DOUBLE AS mx, 0 AS od, 0.0::DOUBLE AS tt FROM src
+  UNION ALL
+  SELECT k, series_id, r, q, t, lft, list_append(nd[1:6], nd[7] + ord), us + sht, sd + (sht > 0)::INT, cy + rv::INT, bc + (rv AND (cs OR sht > 0) AND cy >= 1)::INT,
+    (cs OR sht > 0) AND NOT rv, ss + lft, greatest(mx, lft), od + (ord > 0)::INT, tt + dd FROM (
+    SELECT *, CASE WHEN rv AND lft + list_sum(nd) <= r THEN ceil((r + q - lft - list_sum(nd)) / greatest(q, 1e-9)) * q ELSE 0.0 END AS ord FROM (
+      SELECT s.k, s.series_id, s.r, s.q, s.t + 1 AS t, us, sd, cy, bc, cs, ss, mx, od, tt, dd, greatest(oh + due[1] - dd, 0.0) AS lft, greatest(dd - oh - due[1], 0.0) AS sht,
+        list_append(due[2:7], 0.0) AS nd, (s.t + 1) % 7 = 0 AS rv FROM sim s JOIN dm ON dm.series_id = s.series_id AND dm.t = s.t + 1))),
+oc AS (SELECT k, series_id, r AS reorder_point, q AS order_quantity, 28::BIGINT AS days, tt AS total_demand, us AS units_short, 1 - us / greatest(tt, 1e-9) AS fill_rate, sd::BIGINT AS stockout_days,
+  1 - (bc + cs::INT) / greatest(cy, 1)::DOUBLE AS cycle_service_level, ss / 28 AS avg_inventory, mx AS max_inventory, oh AS ending_inventory, od::BIGINT AS orders_placed FROM sim WHERE t = 27),
+uv AS (SELECT series_id, avg(sell_price) AS v FROM panel WHERE date <= {d(TEST_ORIGIN)} GROUP BY 1),
+cs0 AS (SELECT oc.*, coalesce(v, (SELECT quantile_cont(v, 0.5) FROM uv)) AS unit_value FROM oc LEFT JOIN uv USING (series_id)),
+co AS (SELECT *, unit_value * 0.25 / 365 * avg_inventory * 28 AS holding_cost, unit_value * 0.25 * 2 * units_short AS stockout_cost, 2.0 * orders_placed AS ordering_cost FROM cs0),
+cc AS (SELECT *, holding_cost + stockout_cost + ordering_cost AS total_cost FROM co)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+LEVELS = [0.90, 0.95, 0.99]
+ONE = POLICY + replay_sql("SELECT service_level AS k, series_id, reorder_point_normal AS r, q FROM po WHERE service_level = 0.95")
+ALL_LEVELS = POLICY + replay_sql("SELECT service_level AS k, series_id, reorder_point_normal AS r, q FROM po")
+BASE_REPLAY = POLICY + replay_sql("SELECT 0.95 AS k, series_id, reorder_point_normal AS r, q FROM bp")
+
+
+def stock_inputs(t: Tables):
+    """Panel, predictions at the test origin and lead-time errors of earlier origins."""
+    p = base(t)
+    every = features.with_baselines(features.supervised(p, [*ERROR_ORIGINS, TEST_ORIGIN], H, FIRST)).select(
+        "series_id", "origin", "horizon", "y_true", "sba")
+    at_test = F.col("origin") == F.lit(TEST_ORIGIN)
+    errors = inventory.lead_time_errors(every.where(~at_test), "sba", TERMS.protection_days)
+    return p, every.where(at_test), errors
+
+
+@query("stock_lead_time_errors", POLICY + " SELECT series_id, origin, round(lt_actual, 6) AS lt_actual, round(lt_forecast, 6) AS lt_forecast, n_days, round(lt_error, 6) + 0.0 AS lt_error FROM le")
+def lead_time_errors(t: Tables):
+    """Error summed over the protection window."""
+    return stock_inputs(t)[2]
+
+
+@query("stock_error_spread", POLICY + " SELECT series_id, n_windows, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in (
+    "error_mean", "error_std", "error_q50", "error_q90", "error_q95", "error_q99")) + " FROM es")
+def error_spread(t: Tables):
+    """Spread of lead-time error."""
+    return inventory.error_spread(stock_inputs(t)[2])
+
+
+POL = ("error_std", "expected_lt_demand", "safety_stock_normal", "safety_stock_empirical", "reorder_point_normal", "reorder_point_empirical")
+
+
+@query("stock_policy", POLICY + " SELECT series_id, service_level, " + ", ".join(f"round({c}, 6) AS {c}" for c in POL)
+       + ", round(ratio, 6) AS ss_ratio_emp_over_normal FROM po")
+def policy(t: Tables):
+    """Safety stock and reorder points at three service levels in one job."""
+    _, pr, er = stock_inputs(t)
+    return inventory.build_policy(pr, "sba", er, TERMS, LEVELS).select("series_id", "service_level", *POL, "ss_ratio_emp_over_normal")
+
+
+@query("stock_baseline_policy", POLICY + " SELECT series_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in (
+    "daily_mean", "daily_std", "expected_lt_demand", "safety_stock_normal", "reorder_point_normal")) + " FROM bp")
+def baseline_policy(t: Tables):
+    """Stock sized by recent demand variability."""
+    return inventory.baseline_policy(base(t), TERMS, TEST_ORIGIN).drop("service_level", "protection_days")
+
+
+@query("stock_order_quantity", f"""WITH {PANEL}, a AS (SELECT series_id, avg(demand) * 365 AS annual, avg(sell_price) AS v FROM panel WHERE date <= {d(TEST_ORIGIN)} GROUP BY 1)
+SELECT series_id, round(greatest(1, coalesce(sqrt(2 * annual * 2 / (v * 0.25)), 1)), 6) AS eoq FROM a""")
+def order_quantity(t: Tables):
+    """Economic order quantity."""
+    p = base(t).where(F.col("date") <= F.lit(TEST_ORIGIN))
+    a = p.groupBy("series_id").agg((F.avg("demand") * 365).alias("annual"), F.avg("sell_price").alias("v"))
+    return a.select("series_id", inventory.order_quantity_eoq(
+        F.col("annual"), ECON.ordering_cost_per_order, F.col("v") * ECON.holding_rate_annual).alias("eoq"))
+
+
+OUT = ("reorder_point", "order_quantity", "total_demand", "units_short", "fill_rate", "cycle_service_level", "avg_inventory", "max_inventory", "ending_inventory")
+
+
+def outcome(t: Tables, levels=None, keys=()):
+    p, pr, er = stock_inputs(t)
+    pol = inventory.build_policy(pr, "sba", er, TERMS, levels)
+    return p, inventory.replay(p, pol, TEST_START, TEST_END, TERMS, keys=list(keys))
+
+
+@query("stock_replay", recursive(ONE) + " SELECT series_id, days, stockout_days, orders_placed, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in OUT) + " FROM oc", digits=4)
+def replay(t: Tables):
+    """Periodic-review policy replayed over the stored demand of the test window."""
+    return outcome(t)[1]
+
+
+SUMMARY = """count(*) AS series, round(sum(total_demand), 4) AS total_demand, round(sum(units_short), 4) AS units_short,
+  round(1 - sum(units_short) / greatest(sum(total_demand), 1e-9), 4) AS fill_rate, round(avg(cycle_service_level), 4) AS cycle_service_level,
+  round(sum(stockout_days) / sum(days), 4) AS stockout_day_rate, round(sum(avg_inventory), 4) AS avg_inventory_units, sum(orders_placed)::BIGINT AS orders_placed,
+  count(*) FILTER (units_short > 0) AS series_with_stockout"""
+
+
+@query("stock_policy_summary", recursive(ONE) + f" SELECT 'forecast' AS policy, {SUMMARY} FROM oc", digits=4)
+def policy_summary(t: Tables):
+    """Fill rate, service level and stock of the forecast policy."""
+    return inventory.policy_summary(outcome(t)[1], "forecast")
+
+
+@query("stock_baseline_summary", recursive(BASE_REPLAY) + f" SELECT 'baseline' AS policy, {SUMMARY} FROM oc", digits=4)
+def baseline_summary(t: Tables):
+    """The same summary for the policy to beat."""
+    p = base(t)
+    pol = inventory.baseline_policy(p, TERMS, TEST_ORIGIN)
+    return inventory.policy_summary(inventory.replay(p, pol, TEST_START, TEST_END, TERMS), "baseline")
+
+
+@query("stock_watch_list", recursive(ONE) + """ SELECT series_id, round(units_short, 4) AS units_short, round(units_short / nullif(total_demand, 0), 4) AS shortfall_share, stockout_days
+  FROM oc ORDER BY oc.units_short DESC, series_id LIMIT 20""", digits=4)
+def watch_list(t: Tables):
+    """Series that ran short by most units."""
+    return inventory.watch_list(outcome(t)[1]).select("series_id", "units_short", "shortfall_share", "stockout_days")
+
+
+@query("stock_coverage_days", recursive(ONE) + """ SELECT series_id, round(total_demand / days, 4) AS daily_demand, round(avg_inventory, 4) AS avg_inventory,
+  round(avg_inventory / nullif(total_demand / days, 0), 4) AS coverage_days FROM oc""", digits=4)
+def coverage_days(t: Tables):
+    """Days of demand that the average stock covers."""
+    return inventory.coverage_days(outcome(t)[1])
+
+
+@query("stock_costs", recursive(ONE) + " SELECT series_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in (
+    "unit_value", "holding_cost", "stockout_cost", "ordering_cost", "total_cost")) + " FROM cc", digits=4)
+def costs(t: Tables):
+    """Holding, stockout and ordering cost per series."""
+    p, o = outcome(t)
+    return inventory.costed(o, inventory.unit_values(p, TEST_ORIGIN), ECON, 28).select(
+        "series_id", "unit_value", "holding_cost", "stockout_cost", "ordering_cost", "total_cost")
+
+
+COSTSUM = """round(sum(holding_cost), 2) AS holding_cost, round(sum(stockout_cost), 2) AS stockout_cost, round(sum(ordering_cost), 2) AS ordering_cost, round(sum(total_cost), 2) AS total_cost,
+  round(sum(units_short), 2) AS units_short, round(1 - sum(units_short) / greatest(sum(total_demand), 1e-9), 2) AS fill_rate, round(sum(avg_inventory), 2) AS avg_inventory_units"""
+
+
+@query("stock_cost_summary", recursive(ONE) + f" SELECT {COSTSUM}, round(sum(total_cost) / greatest(sum(total_demand), 1e-9), 2) AS cost_per_unit_demand FROM cc", digits=2)
+def cost_summary(t: Tables):
+    """Cost breakdown of the policy."""
+    p, o = outcome(t)
+    return inventory.cost_summary(inventory.costed(o, inventory.unit_values(p, TEST_ORIGIN), ECON, 28))
+
+
+SCEN = f""", sc AS (SELECT k AS service_level, {COSTSUM}, round(sum(total_cost) / greatest(sum(total_demand), 1e-9), 2) AS cost_per_unit_demand, round(avg(cycle_service_level), 2) AS achieved_cycle_sl, sum(total_cost) AS tc FROM cc GROUP BY 1),
+sk AS (SELECT service_level, z, round(avg(safety_stock_normal), 2) AS mean_safety_stock, round(sum(safety_stock_normal), 2) AS total_safety_stock FROM po GROUP BY ALL)
+SELECT sc.* EXCLUDE (tc), round(z, 2) AS z, mean_safety_stock, total_safety_stock, tc = (SELECT min(tc) FROM sc) AS is_cost_minimum FROM sc JOIN sk USING (service_level)"""
+
+
+@query("stock_scenarios", recursive(ALL_LEVELS) + SCEN, digits=2)
+def scenario_table(t: Tables):
+    """Three service levels replayed and costed in one job."""
+    p, pr, er = stock_inputs(t)
+    pol = inventory.build_policy(pr, "sba", er, TERMS, LEVELS)
+    return inventory.scenarios(p, pol, inventory.unit_values(p, TEST_ORIGIN), ECON, TERMS, TEST_START, TEST_END)
+
+
+@query("stock_penalty_sensitivity", recursive(ALL_LEVELS) + """, mt AS (SELECT unnest([1.0, 2.0, 4.0]::DOUBLE[]) AS m),
+sn AS (SELECT m, k, sum(holding_cost + ordering_cost + unit_value * 0.25 * m * units_short) AS tc, 1 - sum(units_short) / sum(total_demand) AS fr, sum(avg_inventory) AS ai FROM cc, mt GROUP BY ALL)
+SELECT m AS stockout_penalty_multiplier, k AS cost_optimal_service_level, round(tc, 2) AS total_cost, round(fr, 2) AS achieved_fill_rate, round(ai, 2) AS avg_inventory_units
+FROM sn QUALIFY row_number() OVER (PARTITION BY m ORDER BY round(sn.tc, 6), k) = 1""", digits=2)
+def penalty_sensitivity(t: Tables):
+    """Cheapest service level per stockout penalty."""
+    p, pr, er = stock_inputs(t)
+    pol = inventory.build_policy(pr, "sba", er, TERMS, LEVELS)
+    table = inventory.scenarios(p, pol, inventory.unit_values(p, TEST_ORIGIN), ECON, TERMS, TEST_START, TEST_END, multipliers=[1.0, 2.0, 4.0])
+    return inventory.cost_optimal_levels(table)
+
+
+@query("stock_newsvendor", f"""WITH {PANEL}, uv AS (SELECT avg(sell_price) AS v FROM panel WHERE date <= {d(TEST_ORIGIN)} GROUP BY series_id),
+x AS (SELECT v * 0.5 AS cu, v * 0.25 / 365 * 28 AS co FROM uv)
+SELECT round(avg(cu / (cu + co)), 6) AS critical_ratio_mean, round(quantile_cont(cu / (cu + co), 0.5), 6) AS critical_ratio_median, round(avg(cu), 6) AS cu_mean, round(avg(co), 6) AS co_mean FROM x""")
+def newsvendor(t: Tables):
+    """Analytical service level from unit costs."""
+    return inventory.newsvendor(inventory.unit_values(base(t), TEST_ORIGIN), ECON, 28)
+
+
+@query("stock_recommendations", POLICY + """ SELECT series_id, round(expected_lt_demand, 4) AS expected_lt_demand, round(safety_stock_empirical, 4) AS safety_stock, reorder_point_empirical AS reorder_point, 0.95::DOUBLE AS service_level
+  FROM po WHERE service_level = 0.95""", digits=4)
+def recommendations(t: Tables):
+    """Reorder point of every series at once (the risk itself is in the worklist query)."""
+    return worklist(t).drop("stockout_risk")
+
+
+@query("stock_worklist")
+def worklist(t: Tables):
+    """Recommendations with stockout risk, riskiest first (the normal CDF has no SQL twin)."""
+    _, pr, er = stock_inputs(t)
+    pol = inventory.build_policy(pr, "sba", er, TERMS)
+    fc = pr.withColumnsRenamed({"sba": "forecast"}).withColumn("q90", F.col("forecast"))
+    return inventory.recommend(fc, pol, TERMS).orderBy(F.desc("stockout_risk"), "series_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylane.operators.features import BASELINES, weekly_strength
 from quarrylane.operators.panel import DEMAND, SERIES
 from quarrylane.plans.prefix import exact_quantiles, running_totals
+from quarrylane.session import checkpointed
 
 EPS = 1e-9
 SCORES = ("mae", "rmse", "wape", "mase", "smape", "bias", "bias_pct", "zero_share_actual", "pred_zero_share")
@@ -119,6 +120,7 @@ def error_drivers(att: DataFrame, columns: Sequence[str], target: str = "wape",
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("characteristic"), F.col(c).cast("double").alias("x")) for c in columns]))
     d = (att.where(F.col("total_actual") >= 10.0).select(F.col(target).alias("y"), x.alias("v"))
          .select("v.characteristic", "v.x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
+    d = checkpointed(d)  # the ranks join back on these very numbers
     rx = average_rank(d, "x", ["characteristic"]).withColumnRenamed("avg_rank", "rx")
     ry = average_rank(d, "y", ["characteristic"]).withColumnRenamed("avg_rank", "ry")
     j = d.join(rx, ["characteristic", "x"]).join(ry, ["characteristic", "y"])
