@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding", "subscribers", "demand")
+MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue")
 
 
 def load_all() -> None:

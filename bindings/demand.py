@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bindings.registry import Tables, query
 from quarrylane.functions.calendar import us_holidays, with_calendar
 from quarrylane.operators import audit, features, forecasts, inventory, panel, splits
+from quarrylane.session import checkpointed
 
 TEST_START, TEST_END = dt.date(2001, 5, 7), dt.date(2001, 6, 3)
 FIRST = dt.date(1995, 1, 1)
@@ -572,8 +573,8 @@ iv AS (SELECT pred.*, greatest(0, sba + a) AS q10, greatest(0, sba + b) AS q50,
 
 def intervals(t: Tables):
     p = base(t)
-    every = features.with_baselines(features.supervised(p, [*FOLD_ORIGINS, TEST_ORIGIN], H, FIRST)).select(
-        "series_id", "origin", "target_date", "horizon", "y_true", "sba")
+    every = checkpointed(features.with_baselines(features.supervised(p, [*FOLD_ORIGINS, TEST_ORIGIN], H, FIRST)).select(
+        "series_id", "origin", "target_date", "horizon", "y_true", "sba"))
     resid = forecasts.residual_quantiles(every.where(F.col("origin") < F.lit(TEST_ORIGIN)), "sba")
     return resid, forecasts.with_intervals(every.where(F.col("origin") == F.lit(TEST_ORIGIN)), "sba", resid)
 
@@ -658,7 +659,7 @@ oc AS (SELECT k, series_id, r AS reorder_point, q AS order_quantity, 28::BIGINT
   1 - (bc + cs::INT) / greatest(cy, 1)::DOUBLE AS cycle_service_level, ss / 28 AS avg_inventory, mx AS max_inventory, oh AS ending_inventory, od::BIGINT AS orders_placed FROM sim WHERE t = 27),
 uv AS (SELECT series_id, avg(sell_price) AS v FROM panel WHERE date <= {d(TEST_ORIGIN)} GROUP BY 1),
 cs0 AS (SELECT oc.*, coalesce(v, (SELECT quantile_cont(v, 0.5) FROM uv)) AS unit_value FROM oc LEFT JOIN uv USING (series_id)),
-co AS (SELECT *, unit_value * 0.25 / 365 * avg_inventory * 28 AS holding_cost, unit_value * 0.25 * 2 * units_short AS stockout_cost, 2.0 * orders_placed AS ordering_cost FROM cs0),
+co AS (SELECT *, unit_value * 0.25 / 365 * avg_inventory * 28 AS holding_cost, unit_value * 0.25 * 2 * units_short AS stockout_cost, 2.0::DOUBLE * orders_placed AS ordering_cost FROM cs0),
 cc AS (SELECT *, holding_cost + stockout_cost + ordering_cost AS total_cost FROM co)"""
 
 
@@ -675,8 +676,8 @@ BASE_REPLAY = POLICY + replay_sql("SELECT 0.95 AS k, series_id, reorder_point_no
 def stock_inputs(t: Tables):
     """Panel, predictions at the test origin and lead-time errors of earlier origins."""
     p = base(t)
-    every = features.with_baselines(features.supervised(p, [*ERROR_ORIGINS, TEST_ORIGIN], H, FIRST)).select(
-        "series_id", "origin", "horizon", "y_true", "sba")
+    every = checkpointed(features.with_baselines(features.supervised(p, [*ERROR_ORIGINS, TEST_ORIGIN], H, FIRST)).select(
+        "series_id", "origin", "horizon", "y_true", "sba"))
     at_test = F.col("origin") == F.lit(TEST_ORIGIN)
     errors = inventory.lead_time_errors(every.where(~at_test), "sba", TERMS.protection_days)
     return p, every.where(at_test), errors

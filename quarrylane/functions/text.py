@@ -27,7 +27,7 @@ def strip_markup(c: Column, max_length: int = 2000) -> Column:
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     c = F.regexp_replace(c, r"<[^>]{1,200}>", " ")
     c = F.regexp_replace(c, r"([!?.,;:])\1{1,}", "$1")
-    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     return F.coalesce(F.trim(F.substring(c, 1, max_length)), F.lit(""))
 
 
@@ -86,9 +86,14 @@ def query_document(c: Column, unicode: bool = True) -> Column:
     return truncate_words(clean_text(c, 400, unicode))
 
 
+def casefold(c: Column) -> Column:
+    """Lower case for comparison; a sharp s counts as two letters."""
+    return F.regexp_replace(F.lower(c), "ß", "ss")
+
+
 def terms(c: Column, min_length: int = 2) -> Column:
     """Lower-case ASCII letter and digit runs."""
-    return F.filter(F.split(F.lower(c), "[^0-9a-z]+"), lambda t: F.length(t) >= min_length)
+    return F.filter(F.split(casefold(c), "[^0-9a-z]+"), lambda t: F.length(t) >= min_length)
 
 
 def name_tokens(c: Column) -> Column:
