@@ -184,9 +184,9 @@ def nouns_sql(c: str) -> str:
     return f"CASE WHEN {c} LIKE '%s' THEN {c}[:-2] ELSE {c} END"
 
 
-BANDS_SQL = "map {" + ", ".join(f"'{k}': [{a}, {b}]" for k, (a, b) in vocab.PRICE_BANDS.items()) + "}"
+BANDS_SQL = "map {" + ", ".join(f"'{k}': [{a}::DOUBLE, {b}::DOUBLE]" for k, (a, b) in vocab.PRICE_BANDS.items()) + "}"
 PRICE_SQL = f"""(SELECT list_extract([0.99, 0.95, 0.49]::DOUBLE[], (('0x' || h[5:6])::INT % 3 + 1)::INT) + greatest(1.0, floor((lo + (('0x' || h[1:4])::INT / 65535.0::DOUBLE) * (hi - lo)) * f))
-  FROM (SELECT sha256('mps-v1' || chr(0) || p_partkey) AS h, coalesce(element_at({BANDS_SQL}, kind)[1], 15.0)::DOUBLE AS lo, coalesce(element_at({BANDS_SQL}, kind)[1 + 1], 95.0)::DOUBLE AS hi,
+  FROM (SELECT sha256('mps-v1' || chr(0) || p_partkey) AS h, coalesce({BANDS_SQL}[kind][1], 15.0)::DOUBLE AS lo, coalesce({BANDS_SQL}[kind][2], 95.0)::DOUBLE AS hi,
   CASE usage WHEN 'Formal' THEN 1.25 WHEN 'Party' THEN 1.2 ELSE 1.0 END::DOUBLE AS f))"""
 SRC = f"""{CSV},
 s0 AS (SELECT p_partkey, name, category, subcategory AS kind, colour, gender, CASE WHEN p_size > 10 THEN usage ELSE '' END AS usage,
@@ -224,7 +224,7 @@ HASH = f"sha256(concat_ws(chr(31), '{MODEL}', name, '', category, subcategory, b
 @query("catalog_documents", f"WITH {CSV} SELECT external_id, {DOC} AS document, {HASH} AS content_hash FROM prod")
 def documents(t: Tables):
     """Caption document and content fingerprint of every product."""
-    return products(t).select("external_id", ct.document(unicode=False).alias("document"), ct.content_hash(MODEL).alias("content_hash"))
+    return ct.with_document(products(t), unicode=False).select("external_id", "document", ct.content_hash(MODEL).alias("content_hash"))
 
 
 def prior_state(t: Tables):
@@ -363,7 +363,7 @@ def text_facets(t: Tables):
 FOLD = "replace(lower({c}), 'ß', 'ss')"
 
 
-@query("text_terms", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({FOLD.format(c='text')}, '[^0-9a-z]+'), x -> length(x) >= 2) AS t FROM documents)
+@query("text_terms", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({FOLD.format(c='text')}, '[^0-9a-z]+'), lambda x: length(x) >= 2) AS t FROM documents)
 SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t, ' ') AS terms FROM w""")
 def text_terms(t: Tables):
     """Keyword terms of every document."""

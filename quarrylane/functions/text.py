@@ -57,15 +57,18 @@ def dedupe_ordered(values: Column) -> Column:
 
 def caption(name: Column, description: Column, category: Column, subcategory: Column,
             brand: Column, colour: Column, gender: Column, usage: Column,
-            tags: Column | None = None, unicode: bool = True) -> Column:
-    """One-line document of a product: name, what it is, brand, use, tags, description."""
-    name_c = clean_text(name, 300, unicode)
+            tags: Column | None = None) -> Column:
+    """One-line document of a product: name, what it is, brand, use, tags, description.
 
-    def novel(c: Column) -> Column:
-        f = facet(c, unicode)
+    The inputs are canonical already (see ``clean_text`` and ``facet``), as columns of
+    their own, so that no cleaning expression is copied into every clause.
+    """
+    name_c, text = name, description
+
+    def novel(f: Column) -> Column:
         return F.when(F.contains(F.lower(name_c), F.lower(f)), F.lit("")).otherwise(f)
 
-    kind = F.coalesce(F.nullif(novel(subcategory), F.lit("")), facet(category, unicode))
+    kind = F.coalesce(F.nullif(novel(subcategory), F.lit("")), category)
     head = F.trim(F.concat_ws(" ", F.nullif(F.lower(novel(colour)), F.lit("")),
                               F.nullif(F.lower(kind), F.lit(""))))
     for_whom = F.when(novel(gender) != "", F.concat(F.lit(" for "), F.lower(novel(gender))))
@@ -76,7 +79,6 @@ def caption(name: Column, description: Column, category: Column, subcategory: Co
     if tags is not None:
         kept = dedupe_ordered(F.transform(tags, novel))
         clauses.append(F.nullif(F.array_join(F.slice(kept, 1, 6), ", "), F.lit("")))
-    text = clean_text(description, 600, unicode)
     clauses.append(F.when((text != "") & (F.lower(text) != F.lower(name_c)), text))
     present = F.filter(F.array(*clauses), lambda x: x.isNotNull())
     return truncate_words(F.array_join(dedupe_ordered(present), ". "))
@@ -128,33 +130,30 @@ def article(phrase: Column) -> Column:
 
 def description(display: Column, article_type: Column, subcategory: Column, category: Column,
                 colour: Column, gender: Column, usage: Column, season: Column, year: Column,
-                brand: Column, unicode: bool = True) -> Column:
-    """Sentences that restate a product's own attributes."""
-
-    def c(x: Column) -> Column:
-        return clean_text(x, unicode=unicode)
+                brand: Column) -> Column:
+    """Sentences that restate a product's own attributes, given as canonical text columns."""
 
     def given(x: Column, y: Column) -> Column:
         return F.when(x != "", y)
 
-    kind = F.coalesce(F.nullif(c(article_type), F.lit("")), F.nullif(c(subcategory), F.lit("")),
+    kind = F.coalesce(F.nullif(article_type, F.lit("")), F.nullif(subcategory, F.lit("")),
                       F.lit("product"))
     noun = F.lower(singular(kind))
-    lead = F.concat(F.coalesce(given(c(colour), F.concat(F.lower(c(colour)), F.lit(" "))), F.lit("")), noun)
+    lead = F.concat(F.coalesce(given(colour, F.concat(F.lower(colour), F.lit(" "))), F.lit("")), noun)
     pair = noun.rlike("(" + "|".join(vocab.PAIR_NOUNS) + ")$")
     det = F.when(pair, F.lit("a pair of")).otherwise(article(lead))
-    opening = F.concat(c(display), F.lit(" is "), det, F.lit(" "), lead,
-                       F.coalesce(given(c(brand), F.concat(F.lit(" from "), c(brand))), F.lit("")),
+    opening = F.concat(display, F.lit(" is "), det, F.lit(" "), lead,
+                       F.coalesce(given(brand, F.concat(F.lit(" from "), brand)), F.lit("")),
                        F.lit("."))
-    whom = F.when((c(gender) != "") & (F.lower(c(gender)) != "unisex"),
-                  F.concat(F.lit("designed for "), F.lower(c(gender)))).when(
-        c(gender) != "", F.lit("a unisex design"))
-    suited = given(c(usage), F.concat(F.lit("suited to "), F.lower(c(usage)), F.lit(" wear")))
+    whom = F.when((gender != "") & (F.lower(gender) != "unisex"),
+                  F.concat(F.lit("designed for "), F.lower(gender))).when(
+        gender != "", F.lit("a unisex design"))
+    suited = given(usage, F.concat(F.lit("suited to "), F.lower(usage), F.lit(" wear")))
     audience = F.concat_ws(" and ", whom, suited)
-    span = F.concat_ws(" ", given(c(season), F.concat(F.lower(c(season)), F.lit(" season"))),
+    span = F.concat_ws(" ", given(season, F.concat(F.lower(season), F.lit(" season"))),
                        F.when(year.isNotNull() & (year != 0), year.cast("string")))
-    listed = F.when((c(category) != "") & ~F.contains(F.lower(lead), F.lower(c(category))),
-                    F.concat(F.lit("Listed under "), c(category), F.lit(".")))
+    listed = F.when((category != "") & ~F.contains(F.lower(lead), F.lower(category)),
+                    F.concat(F.lit("Listed under "), category, F.lit(".")))
     return F.concat_ws(
         " ", opening, given(audience, F.concat(F.lit("It is "), audience, F.lit("."))),
         given(span, F.concat(F.lit("Part of the "), span, F.lit(" range."))), listed)

@@ -11,6 +11,7 @@ from quarrylane.functions import text as tx
 from quarrylane.functions import vocab
 from quarrylane.functions.cleaning import blank_to_null
 from quarrylane.plans.bounded import bounded_rows
+from quarrylane.session import checkpointed
 
 # Canonical catalog columns and the fields an embedding depends on.
 COLUMNS = ("external_id", "name", "description", "category", "subcategory", "brand", "colour", "gender",
@@ -29,22 +30,24 @@ def usable(df: DataFrame, ident: str, name: str, kind: str) -> DataFrame:
 
 def records(df: DataFrame, names: Mapping[str, str], brand: Column, unicode: bool = True) -> DataFrame:
     """Canonical 15-column records from source columns named by ``names``."""
+    fields = ("name", "category", "subcategory", "colour", "gender", "usage", "season", "image_url")
 
     def src(field: str) -> Column:
         return F.coalesce(F.trim(F.col(names[field])), F.lit("")) if field in names else F.lit("")
 
     year = F.col(names["year"]).try_cast("int") if "year" in names else F.lit(None).cast("int")
-    ident = F.col(names["external_id"]).cast("string")
-    b = F.coalesce(brand, F.lit(""))
-    text = tx.description(src("name"), src("subcategory"), F.lit(""), src("category"), src("colour"), src("gender"),
-                          src("usage"), src("season"), year, b, unicode)
-    return df.select(
-        ident.alias("external_id"), src("name").alias("name"), text.alias("description"),
-        src("category").alias("category"), src("subcategory").alias("subcategory"), b.alias("brand"),
-        src("colour").alias("colour"), src("gender").alias("gender"), src("usage").alias("usage"),
-        src("season").alias("season"), F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("")).alias("year"),
-        F.format_string("%.2f", tx.made_up_price(ident, src("subcategory"), src("usage"))).alias("price"),
-        F.lit("USD").alias("currency"), src("image_url").alias("image_url"), F.lit("true").alias("in_stock"))
+    raw = {f: src(f) for f in fields} | {"brand": F.coalesce(brand, F.lit(""))}
+    d = df.select(F.col(names["external_id"]).cast("string").alias("external_id"), F.nullif(year, F.lit(0)).alias("year"),
+                  *[v.alias(k) for k, v in raw.items()],
+                  *[tx.clean_text(v, unicode=unicode).alias(f"__{k}") for k, v in raw.items()])
+    c = {k: F.col(f"__{k}") for k in raw}
+    text = tx.description(c["name"], c["subcategory"], F.lit(""), c["category"], c["colour"], c["gender"], c["usage"],
+                          c["season"], F.col("year"), c["brand"])
+    return d.select(
+        "external_id", "name", text.alias("description"), "category", "subcategory", "brand", "colour", "gender", "usage",
+        "season", F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"),
+        F.format_string("%.2f", tx.made_up_price(F.col("external_id"), F.col("subcategory"), F.col("usage"))).alias("price"),
+        F.lit("USD").alias("currency"), "image_url", F.lit("true").alias("in_stock"))
 
 
 def parsed(df: DataFrame) -> DataFrame:
@@ -74,8 +77,11 @@ def violations() -> Column:
 
 
 def validated(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Accepted rows (last of a repeated id wins), rejected rows, and accepted-but-replaced ids."""
-    checked = parsed(df).withColumn("errors", violations())
+    """Accepted rows (last of a repeated id wins), rejected rows, and accepted-but-replaced ids.
+
+    The checked batch is written once, since all three results read it.
+    """
+    checked = checkpointed(parsed(df).withColumn("errors", violations()))
     good = checked.where(F.size("errors") == 0).drop("errors")
     bad = checked.where(F.size("errors") > 0).select(line, "external_id", F.get("errors", F.lit(0)).alias("reason"))
     with_id = good.where(F.col("external_id").isNotNull())
@@ -122,10 +128,14 @@ def content_hash(model: str) -> Column:
     return tx.fingerprint(model, [F.col(c) for c in EMBEDDED])
 
 
-def document(unicode: bool = True) -> Column:
-    c = F.col
-    return tx.caption(c("name"), c("description"), c("category"), c("subcategory"), c("brand"), c("colour"),
-                      c("gender"), c("usage"), unicode=unicode)
+def with_document(df: DataFrame, unicode: bool = True) -> DataFrame:
+    """Add the caption document; cleaned fields are columns first, so each is cleaned once."""
+    d = df.withColumns({"__name": tx.clean_text(F.col("name"), 300, unicode),
+                        "__description": tx.clean_text(F.col("description"), 600, unicode),
+                        **{f"__{f}": tx.facet(F.col(f), unicode) for f in EMBEDDED[2:8]}})
+    c = {f: F.col(f"__{f}") for f in EMBEDDED[:8]}
+    doc = tx.caption(c["name"], c["description"], c["category"], c["subcategory"], c["brand"], c["colour"], c["gender"], c["usage"])
+    return d.withColumn("document", doc).drop(*[f"__{f}" for f in EMBEDDED[:8]])
 
 
 def stale_fields(before: DataFrame, after: DataFrame, key: str, model: str) -> DataFrame:
@@ -142,14 +152,15 @@ def index_plan(products: DataFrame, state: DataFrame, key: str, model: str, has_
     ``skipped`` when the stored hash still matches, ``failed`` without text,
     ``text_only`` without an image, else ``indexed``.
     """
-    p = products.select(key, content_hash(model).alias("content_hash"), document(unicode).alias("document"),
-                        has_image.alias("has_image"))
+    p = with_document(products, unicode).select(
+        key, content_hash(model).alias("content_hash"), "document", has_image.alias("has_image"))
     s = state.select(key, F.col("content_hash").alias("__old"), F.col("has_text_vector").alias("__text"))
     j = p.join(s, key, "left")
     current = F.coalesce((F.col("__old") == F.col("content_hash")) & F.col("__text"), F.lit(False)) & F.lit(not force)
     action = (F.when(current, "skipped").when(F.trim("document") == "", "failed")
               .when(~F.col("has_image"), "text_only").otherwise("indexed"))
-    return j.select(key, "content_hash", "document", "has_image", action.alias("action"))
+    # Written once: the vectors, the next state and the report all follow from this plan.
+    return checkpointed(j.select(key, "content_hash", "document", "has_image", action.alias("action")))
 
 
 def pending(products: DataFrame, state: DataFrame, key: str, model: str) -> DataFrame:

@@ -15,7 +15,7 @@ IMAGE_SIDE = ("image_to_image", "text_to_image", "fused_to_image")
 TEXT_SIDE = ("text_to_text", "image_to_text", "fused_to_text")
 CHANNELS = ("image_to_image", "image_to_text", "text_to_text", "text_to_image", "fused_to_image", "fused_to_text", "lexical")
 # Search defaults.
-DEFAULTS = {"strategy": "weighted_sum", "normalization": "minmax", "image_weight": 0.5, "text_weight": 0.5,
+DEFAULTS = {"strategy": "weighted_sum", "normalization": "zscore", "image_weight": 0.2, "text_weight": 0.8,
             "lexical_weight": 0.0, "cross_modal_weight": 0.3, "alpha": 0.5, "rrf_k": 60}
 
 
