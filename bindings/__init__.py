@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue")
+MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue", "search")
 
 
 def load_all() -> None:
