@@ -13,7 +13,7 @@ TOP = 10
 K = (1, 5, 10)
 
 PROD = """
-pv AS (SELECT vec_id AS product_id, label, embedding::DOUBLE[] AS e, list_concat(embedding::DOUBLE[][1:32], list_transform(range(32), lambda x: 0.0::DOUBLE)) AS h FROM embeddings),
+pv AS (SELECT vec_id AS product_id, label, embedding::DOUBLE[] AS e, list_concat((embedding::DOUBLE[])[1:32], list_transform(range(32), lambda x: 0.0::DOUBLE)) AS h FROM embeddings),
 pr AS MATERIALIZED (SELECT product_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS image, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS text,
   p_name AS name, p_brand AS brand, p_type AS category, split_part(p_name, ' ', 2) AS subcategory, split_part(p_name, ' ', 1) AS colour, p_retailprice AS price
   FROM pv JOIN part ON p_partkey = product_id),

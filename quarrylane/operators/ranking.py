@@ -63,9 +63,11 @@ def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: di
     ``rules`` holds query_id, list columns named in ``fields`` and ``exclude_ids``.
     Rules are cut into (query, field, value) rows that meet products by equal values.
     """
-    cell = F.explode(F.flatten(F.array(*[
-        F.transform(F.array_distinct(F.transform(F.coalesce(F.col(r), F.array().cast("array<string>")), F.lower)),
-                    lambda v, p=p: F.struct(F.lit(p).alias("field"), v.alias("value"))) for r, p in fields.items()])))
+    def cells(rule: str, field: str) -> Column:
+        values = F.array_distinct(F.transform(F.coalesce(F.col(rule), F.array().cast("array<string>")), lambda v: F.lower(v)))
+        return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+    cell = F.explode(F.flatten(F.array(*[cells(r, f) for r, f in fields.items()])))
     q = rules.select("query_id", cell.alias("x")).select("query_id", "x.field", "x.value")
     need = q.groupBy("query_id").agg(F.countDistinct("field").alias("__need"))
     pcell = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.lower(F.col(p)).alias("value")) for p in fields.values()]))

@@ -173,9 +173,10 @@ FIELD_WEIGHTS = {"name": 1.0, "brand": 0.4, "category": 0.4, "subcategory": 0.4,
 
 def weighted_terms(catalog: DataFrame, ident: str, weights: dict[str, float]) -> DataFrame:
     """Inverted table: weight of each term in each product."""
-    cell = F.explode(F.flatten(F.array(*[
-        F.transform(tx.terms(F.coalesce(F.col(f), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w")))
-        for f, w in weights.items()])))
+    def weighed(f: str, w: float) -> Column:
+        return F.transform(tx.terms(F.coalesce(F.col(f), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    cell = F.explode(F.flatten(F.array(*[weighed(f, w) for f, w in weights.items()])))
     return (catalog.select(ident, cell.alias("x")).groupBy(ident, F.col("x.term").alias("term"))
             .agg(F.sum("x.w").alias("weight")))
 
