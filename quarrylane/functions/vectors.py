@@ -17,8 +17,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
     """Vector scaled to length one."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    # The length is an argument of its own, so it is computed once and not per element.
+    n = F.array_repeat(F.greatest(norm(a), F.lit(eps)), F.size(a))
+    return F.zip_with(a, n, lambda x, y: x.cast("double") / y)
 
 
 def blend(a: Column, b: Column, alpha: float) -> Column:

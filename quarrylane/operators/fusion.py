@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import vectors as vx
 from quarrylane.operators.retrieval import channel_search, pool_size, substring_scores
+from quarrylane.session import checkpointed
 
 EPS = 1e-9
 IMAGE_SIDE = ("image_to_image", "text_to_image", "fused_to_image")
@@ -127,6 +128,8 @@ def candidates(products: DataFrame, ident: str, image_queries: DataFrame, text_q
     ``products`` holds ``image`` and ``text`` vectors next to its text fields, already
     filtered; the queries are tables (query_id, vector) and (query_id, query_text).
     """
+    # The batch is small and read by several channels; the products are read by the vector and keyword scans.
+    image_queries, text_queries = checkpointed(image_queries), checkpointed(text_queries)
     fused_q = fused_query_vectors(image_queries, text_queries, alpha)
     vec = channel_search(products, ident, {
         "image_to_image": ("image", image_queries), "image_to_text": ("text", image_queries),

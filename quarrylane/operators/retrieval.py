@@ -61,37 +61,52 @@ def top_per_query(df: DataFrame, k: int, keys: Sequence[str], ident: str) -> Dat
 
 def cosine_top_k(catalog: DataFrame, ident: str, vector: str, queries: DataFrame, k: int,
                  max_queries: int = MAX_BROADCAST_QUERIES, threshold: float | None = None) -> DataFrame:
-    """Exact cosine top-k for a batch of queries (``query_id``, ``vector``).
+    """Exact cosine top-k for a batch of queries (``query_id``, ``vector``)."""
+    d = channel_search(catalog, ident, {"only": (vector, queries)}, k, max_queries).drop("channel")
+    return d if threshold is None else d.where(F.col("score") >= threshold)
 
-    A checked, small batch travels to every task, which scores its own part of the
-    catalog in matrix form and emits only k rows per query. A larger batch is cut into
-    blocks and meets the catalog block by block; both ways give the same rows.
+
+def channel_search(catalog: DataFrame, ident: str, channels: dict[str, tuple[str, DataFrame]], k: int,
+                   max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """Exact cosine top-k of several (vector column, query batch) channels.
+
+    Checked, small batches travel to every task, which reads its part of the catalog
+    once for all channels, scores it in matrix form and emits only k rows per query. A
+    larger batch is cut into blocks that meet the catalog block by block; both ways
+    give the same rows. A channel without queries adds nothing.
     """
-    cat = catalog.select(F.col(ident), F.col(vector).cast("array<double>").alias("__v")).where("__v IS NOT NULL")
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    id_type, query_type = catalog.schema[ident].dataType, queries.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField(ident, id_type),
-                           T.StructField("score", T.DoubleType())])
-    if fits(q, max_queries):
-        rows = bounded_rows(q, max_queries, "query batch")
-        if not rows:
-            return cat.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        names = [r["query_id"] for r in rows]
-        shared = cat.sparkSession.sparkContext.broadcast(_unit_rows(np.array([r["vector"] for r in rows], dtype="float64")))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(shared.value, k)
-            for b in batches:
-                if len(b):
-                    best.add(b[ident].to_numpy(dtype=object), np.stack(b["__v"].to_numpy()).astype("float64"))
-            yield best.frame(names, ident)
-
-        found = cat.mapInPandas(score, schema)
-    else:
-        found = _block_top_k(cat, ident, q, k, schema, max_queries)
-    if threshold is not None:
-        found = found.where(F.col("score") >= threshold)
-    return top_per_query(found, k, ["query_id"], ident)
+    names = sorted({v for v, _ in channels.values()})
+    cat = catalog.select(F.col(ident), *[F.col(v).cast("array<double>").alias(v) for v in names])
+    query_type = next(iter(channels.values()))[1].schema["query_id"].dataType
+    schema = T.StructType([T.StructField("channel", T.StringType()), T.StructField("query_id", query_type),
+                           T.StructField(ident, catalog.schema[ident].dataType), T.StructField("score", T.DoubleType())])
+    small, large = [], []
+    for name, (vector, queries) in channels.items():
+        q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        rows = q.limit(max_queries + 1).collect()
+        if len(rows) > max_queries:
+            large.append((name, vector, q))
+        elif rows:
+            small.append((name, vector, [r["query_id"] for r in rows],
+                          _unit_rows(np.array([r["vector"] for r in rows], dtype="float64"))))
+    shared = cat.sparkSession.sparkContext.broadcast(small)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [_Best(q, k) for _, _, _, q in shared.value]
+        for b in batches:
+            for job, (_, vector, _, _) in zip(best, shared.value):
+                have = b[b[vector].notna()]
+                if len(have):
+                    job.add(have[ident].to_numpy(dtype=object), np.stack(have[vector].to_numpy()).astype("float64"))
+        for job, (name, _, ids, _) in zip(best, shared.value):
+            yield job.frame(ids, ident).assign(channel=name)[["channel", "query_id", ident, "score"]]
+
+    found = cat.mapInPandas(score, schema)
+    for name, vector, q in large:
+        part = _block_top_k(cat.select(F.col(ident), F.col(vector).alias("__v")).where("__v IS NOT NULL"), ident, q, k,
+                            T.StructType(schema.fields[1:]), max_queries)
+        found = found.unionByName(part.withColumn("channel", F.lit(name)))
+    return top_per_query(found, k, ["channel", "query_id"], ident)
 
 
 def _block_top_k(cat: DataFrame, ident: str, q: DataFrame, k: int, schema: T.StructType, block: int) -> DataFrame:
@@ -113,15 +128,6 @@ def _block_top_k(cat: DataFrame, ident: str, q: DataFrame, k: int, schema: T.Str
     return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(score, schema)
 
 
-def channel_search(catalog: DataFrame, ident: str, channels: dict[str, tuple[str, DataFrame]], k: int) -> DataFrame:
-    """Candidates of several vector channels; a channel without queries adds nothing."""
-    out = None
-    for name, (vector, queries) in channels.items():
-        part = cosine_top_k(catalog, ident, vector, queries, k).withColumn("channel", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Unit mean vector per key, one aggregate row per (key, dimension)."""
     d = df.select(F.col(key).alias("query_id"), F.posexplode(vector).alias("i", "x"))
