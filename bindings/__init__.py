@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue", "search")
+MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue", "search", "files")
 
 
 def load_all() -> None:
