@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue", "search", "files")
+MODULES = ("scores", "payments", "funding", "subscribers", "demand", "catalogue", "search", "files", "learning")
 
 
 def load_all() -> None:
