@@ -60,22 +60,28 @@ def nearest_rank(df: DataFrame, value: str, fraction: float) -> DataFrame:
 def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: dict[str, str]) -> DataFrame:
     """(query, product) pairs where a product satisfies every field of a rule.
 
-    ``rules`` holds query_id, list columns named in ``fields`` and ``exclude_ids``.
-    Rules are cut into (query, field, value) rows that meet products by equal values.
+    ``rules`` holds query_id, list columns named in ``fields`` and ``exclude_ids``. A
+    product is looked up by the one field of a rule that admits the fewest products;
+    the other fields are checked on the matched rows.
     """
-    def cells(rule: str, field: str) -> Column:
-        values = F.array_distinct(F.transform(F.coalesce(F.col(rule), F.array().cast("array<string>")), lambda v: F.lower(v)))
-        return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
-
-    cell = F.explode(F.flatten(F.array(*[cells(r, f) for r, f in fields.items()])))
-    q = rules.select("query_id", cell.alias("x")).select("query_id", "x.field", "x.value")
-    need = q.groupBy("query_id").agg(F.countDistinct("field").alias("__need"))
-    pcell = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.lower(F.col(p)).alias("value")) for p in fields.values()]))
-    p = products.select(ident, pcell.alias("x")).select(ident, "x.field", "x.value")
-    m = p.join(q, ["field", "value"]).groupBy("query_id", ident).agg(F.countDistinct("field").alias("__n"))
-    ok = m.join(need, "query_id").where(F.col("__n") == F.col("__need")).select("query_id", ident)
-    out = rules.select("query_id", F.explode("exclude_ids").alias("__x"))
-    return ok.join(out, (ok["query_id"] == out["query_id"]) & (ok[ident].cast("string") == out["__x"]), "left_anti")
+    none = F.array().cast("array<string>")
+    lists = {p: F.array_distinct(F.transform(F.coalesce(F.col(r), none), lambda v: F.lower(v))) for r, p in fields.items()}
+    r = rules.select("query_id", "exclude_ids", *[c.alias(f"__r_{p}") for p, c in lists.items()])
+
+    def rule_cell(p: str) -> Column:
+        return F.transform(f"__r_{p}", lambda v: F.struct(F.lit(p).alias("field"), v.alias("value")))
+
+    cells = r.select("query_id", F.explode(F.concat(*[rule_cell(p) for p in lists])).alias("x")).select("query_id", "x.*")
+    low = products.select(ident, *[F.lower(F.col(p)).alias(p) for p in lists])
+    cell = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.col(p).alias("value")) for p in lists])).alias("x")
+    size = low.select(cell).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    reach = cells.join(size, ["field", "value"], "left").groupBy("query_id", "field").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    narrow = reach.groupBy("query_id").agg(F.min_by("field", F.struct("n", "field")).alias("field"))
+    probe = cells.join(narrow, ["query_id", "field"]).join(r, "query_id")
+    m = low.select("*", cell).select(ident, *lists, "x.*").join(probe, ["field", "value"])
+    for p in lists:
+        m = m.where((F.size(f"__r_{p}") == 0) | F.coalesce(F.array_contains(f"__r_{p}", F.col(p)), F.lit(False)))
+    return m.where(~F.array_contains(F.coalesce("exclude_ids", none), F.col(ident).cast("string"))).select("query_id", ident)
 
 
 def runnable(rules: DataFrame, pairs: DataFrame, min_relevant: int = 2) -> DataFrame:

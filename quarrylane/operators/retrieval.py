@@ -177,43 +177,44 @@ def substring_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: s
 FIELD_WEIGHTS = {"name": 1.0, "brand": 0.4, "category": 0.4, "subcategory": 0.4, "description": 0.2}
 
 
-def weighted_terms(catalog: DataFrame, ident: str, weights: dict[str, float]) -> DataFrame:
-    """Inverted table: weight of each term in each product."""
-    def weighed(f: str, w: float) -> Column:
-        return F.transform(tx.terms(F.coalesce(F.col(f), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+def _holding(d: DataFrame, queries: DataFrame, query_text: str) -> DataFrame:
+    """Rows of ``d`` (with ``__terms``) beside every query whose terms they all hold.
 
-    cell = F.explode(F.flatten(F.array(*[weighed(f, w) for f, w in weights.items()])))
-    return (catalog.select(ident, cell.alias("x")).groupBy(ident, F.col("x.term").alias("term"))
-            .agg(F.sum("x.w").alias("weight")))
+    A row is looked up only by the rarest term of each query, so common words never
+    multiply into pairs; the other terms are checked on the matched rows.
+    """
+    q = queries.select("query_id", F.array_distinct(tx.terms(F.col(query_text))).alias("__need")).where(F.size("__need") > 0)
+    wanted = q.select("query_id", F.explode("__need").alias("term"))
+    known = wanted.select("term").distinct()
+    known = F.broadcast(known) if fits(known, 100_000) else known
+    freq = (d.select(F.explode("__terms").alias("term")).join(known, "term", "left_semi")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    rarest = wanted.join(freq, "term", "left").groupBy("query_id").agg(
+        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    probe = q.join(rarest, "query_id")
+    hits = d.withColumn("term", F.explode("__terms")).join(F.broadcast(probe) if fits(q, 10_000) else probe, "term")
+    return hits.where(F.size(F.array_except("__need", "__terms")) == 0).drop("term")
 
 
 def all_terms_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: str, k: int,
                      weights: dict[str, float] | None = None) -> DataFrame:
     """Products that hold every term of a query, ranked by summed field weights."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col(text)))).alias("term"))
-    need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("__need"))
-    j = weighted_terms(catalog, ident, weights or FIELD_WEIGHTS).join(q, "term")
-    s = j.groupBy("query_id", ident).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("__n"))
-    s = s.join(need, "query_id").where(F.col("__n") == F.col("__need")).drop("__n", "__need")
-    return top_per_query(s, k, ["query_id"], ident)
+    weights = weights or FIELD_WEIGHTS
+    d = catalog.select(F.col(ident), *[tx.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"__{f}") for f in weights])
+    d = d.withColumn("__terms", F.array_distinct(F.concat(*[F.col(f"__{f}") for f in weights])))
 
+    def weight_of(t: Column) -> Column:
+        return sum((F.size(F.filter(f"__{f}", lambda x: x == t)) * w for f, w in weights.items()), F.lit(0.0))
 
-def holding_every_term(docs: DataFrame, ident: str, text: str, queries: DataFrame, query_text: str) -> DataFrame:
-    """(query, document) pairs where the document holds every term of the query.
+    score = F.aggregate("__need", F.lit(0.0), lambda s, t: s + weight_of(t))
+    found = _holding(d, queries, text).select("query_id", ident, score.alias("score"))
+    return top_per_query(found, k, ["query_id"], ident)
 
-    A document is looked up only by the rarest term of each query, so common words
-    never multiply into pairs; the other terms are checked on the matched rows.
-    """
+
+def holding_every_term(docs: DataFrame, ident: str, text: str, queries: DataFrame, query_text: str) -> DataFrame:
+    """(query, document) pairs where the document holds every term of the query."""
     d = docs.select(F.col(ident), F.array_distinct(tx.terms(F.col(text))).alias("__terms"))
-    q = queries.select("query_id", F.array_distinct(tx.terms(F.col(query_text))).alias("__need")).where(F.size("__need") > 0)
-    wanted = q.select("query_id", F.explode("__need").alias("term"))
-    freq = d.select(F.explode("__terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(
-        "term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.join(freq, "term", "left").groupBy("query_id").agg(
-        F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    probe = q.join(rarest, "query_id")
-    hits = d.withColumn("term", F.explode("__terms")).join(F.broadcast(probe) if fits(q, 10_000) else probe, "term")
-    return hits.where(F.size(F.array_except("__need", "__terms")) == 0).select("query_id", ident)
+    return _holding(d, queries, query_text).select("query_id", ident)
 
 
 def alignment(pairs: DataFrame, ident: str, a: str, b: str) -> DataFrame:

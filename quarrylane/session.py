@@ -28,7 +28,8 @@ def local_session(app: str = "quarrylane", cpus: int | str = "*",
 
 def is_checkpointed(df: DataFrame) -> bool:
     """Whether a table is read straight from a checkpoint."""
-    return df._jdf.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
+    plan = getattr(df, "_jdf", None)
+    return plan is not None and plan.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
