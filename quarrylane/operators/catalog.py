@@ -281,8 +281,9 @@ def seeded_sample(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFram
 
 def ngram_counts(names: DataFrame, name: str, unicode: bool = True) -> DataFrame:
     """How many display names start with each 1..4-gram."""
-    tokens = tx.name_tokens(tx.clean_text(F.col(name), unicode=unicode))
-    return names.select(F.explode(tx.leading_ngrams(tokens)).alias("gram")).groupBy("gram").agg(
+    clean = names.select(tx.clean_text(F.col(name), unicode=unicode).alias("__clean"))
+    tokens = clean.select(tx.name_tokens(F.col("__clean")).alias("__tokens"))
+    return tokens.select(F.explode(tx.leading_ngrams(F.col("__tokens"))).alias("gram")).groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -297,9 +298,10 @@ def with_brand(df: DataFrame, name: str, attributes: Sequence[str], min_count: i
 
     Distinct names are looked up once, so a popular name is one row in the join.
     """
-    tokens = tx.name_tokens(tx.clean_text(F.col(name), unicode=unicode))
     counts = ngram_counts(df, name, unicode)
-    names = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn("tokens", tokens)
+    names = (df.select(name).where(F.col(name).isNotNull()).distinct()
+             .withColumn("__clean", tx.clean_text(F.col(name), unicode=unicode))
+             .withColumn("tokens", tx.name_tokens(F.col("__clean"))).drop("__clean"))
     grams = names.select(name, F.posexplode(tx.leading_ngrams(F.col("tokens"))).alias("i", "gram"))
     support = grams.join(counts, "gram").groupBy(name).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("i") + 1).alias("size"), "n"))).alias("support"))  # four entries
