@@ -20,7 +20,7 @@ SUBS = f"""
 h AS (SELECT o_custkey, count(*) AS n_orders, min(o_orderdate)::DATE AS f, max(o_orderdate)::DATE AS l FROM orders GROUP BY 1),
 top AS (SELECT max(o_orderdate)::DATE AS m FROM orders),
 b AS (SELECT c.*, coalesce(n_orders, 0) AS n_orders, coalesce(least(72, (l - f) // 30), 0)::BIGINT AS tenure,
-             coalesce(m - l, 1000)::BIGINT AS recency, n_orders IS NULL AS never, abs(c_acctbal) / 100 + 20 AS monthly
+             coalesce(m - l, 1000)::BIGINT AS recency, n_orders IS NULL AS never, floor(abs(c_acctbal)) / 100 + 20 AS monthly
       FROM customer c LEFT JOIN h ON o_custkey = c_custkey CROSS JOIN top),
 subs AS (
   SELECT c_custkey AS customerID,
@@ -32,7 +32,7 @@ subs AS (
     CASE WHEN n_orders < 8 THEN 'Month-to-month' WHEN n_orders < 12 THEN 'One year' ELSE 'Two year' END AS Contract,
     CASE WHEN c_nationkey < 6 THEN 'Electronic check' WHEN c_nationkey < 12 THEN 'Mailed check'
          WHEN c_nationkey < 18 THEN 'Bank transfer (automatic)' ELSE 'Credit card (automatic)' END AS PaymentMethod,
-    tenure, round(monthly, 2) AS MonthlyCharges, CASE WHEN tenure > 1 THEN (tenure * floor(monthly) + n_orders)::DOUBLE END AS TotalCharges,
+    tenure, monthly AS MonthlyCharges, CASE WHEN tenure > 1 THEN (tenure * floor(monthly) + n_orders)::DOUBLE END AS TotalCharges,
     CASE WHEN recency > 400 OR (c_acctbal < 2000 AND recency > 60) THEN 'Yes' ELSE 'No' END AS Churn,
     least(0.999, recency / 600.0::DOUBLE)::DOUBLE AS p, n_orders, c_mktsegment
   FROM b),
@@ -55,7 +55,7 @@ def raw(t: Tables):
     zero = F.lit(0)
     b = b.withColumns({
         "n_orders": F.coalesce("n", zero), "tenure": F.coalesce(F.least(F.lit(72), F.floor(F.datediff("l", "f") / 30)), zero),
-        "recency": F.coalesce(F.datediff(top, "l"), F.lit(1000)), "monthly": F.abs("c_acctbal") / 100 + 20})
+        "recency": F.coalesce(F.datediff(top, "l"), F.lit(1000)), "monthly": F.floor(F.abs("c_acctbal")) / 100 + 20})
     bal, nk, seg = F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_mktsegment")
 
     def yn(c):
@@ -72,7 +72,7 @@ def raw(t: Tables):
         F.when(F.col("n_orders") < 8, "Month-to-month").when(F.col("n_orders") < 12, "One year").otherwise("Two year").alias("Contract"),
         F.when(nk < 6, "Electronic check").when(nk < 12, "Mailed check").when(nk < 18, "Bank transfer (automatic)")
         .otherwise("Credit card (automatic)").alias("PaymentMethod"),
-        "tenure", F.round("monthly", 2).alias("MonthlyCharges"),
+        "tenure", F.col("monthly").alias("MonthlyCharges"),
         F.when(F.col("tenure") > 1, total).otherwise(" ").alias("TotalCharges"), yn(churned).alias("Churn"),
         F.least(F.lit(0.999), F.col("recency") / 600.0).alias("p"), "n_orders", "c_mktsegment")
 

@@ -24,6 +24,8 @@ BUCKET = "__bucket"
 def split_points(df: DataFrame, order: Column, buckets: int) -> list[float]:
     """At most ``buckets - 1`` distinct interior split points of a numeric expression."""
     probs = [i / buckets for i in range(1, buckets)]
+    if not probs:
+        return []
     found = df.select(order.cast("double").alias("v")).approxQuantile("v", probs, 1.0 / (4 * buckets))
     return sorted(set(found))
 
