@@ -12,7 +12,7 @@ from quarrylane.functions import vocab
 from quarrylane.operators import audit
 from quarrylane.operators import catalog as ct
 
-MODEL = "clip-base"
+MODEL = "encoder-base"
 
 # Text rows as a file would hold them: blank names, bad and negative prices, years written
 # as floats, and ids that come twice.

@@ -82,7 +82,7 @@ def subs(t: Tables):
     return d.withColumns({"y": (F.col("Churn") == "Yes").cast("long"), "value": F.col("MonthlyCharges") * 12})
 
 
-@query("subs_typed", f"WITH {SUBS} SELECT customerID, tenure, MonthlyCharges, TotalCharges, Churn FROM s")
+@query("subs_typed", f"WITH {SUBS} SELECT customerID, tenure, round(MonthlyCharges, 6) AS MonthlyCharges, TotalCharges, Churn FROM s")
 def typed(t: Tables):
     """Declared types and order; unparsable totals become NULL."""
     return sb.typed(raw(t), ["customerID", "tenure", "MonthlyCharges", "TotalCharges", "Churn"])
