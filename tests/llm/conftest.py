@@ -1,0 +1,15 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from quarrylane.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = local_session("tests", 8, 4)
+    yield s
+    s.stop()
