@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylane.llm import exact_dedup, simhash
+import corpus_pipeline
+from quarrylane.llm import bpe, exact_dedup, language, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +30,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@registered
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+@registered
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    samples = language.training_sample(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+    found = language.identify(table(spark, sf_dir, "documents", "doc_id", "text"), samples)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "known")
+
+
+@registered
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source."""
+    return mixing.mark_mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @registered
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
@@ -38,3 +62,34 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT doc_id, norm, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM t WINDOW w AS (PARTITION BY norm))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
+
+CHECKS["op6_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
+w AS (SELECT source, z, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+-- With the k smallest caps per weight filled, the others share the rest by weight; the first k whose level stays below the next cap holds.
+c AS (SELECT *, 3.0 * z / w AS ratio, sum(z) OVER () - coalesce(sum(3 * z) OVER before, 0) AS remains,
+             sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weights
+      FROM w WINDOW before AS (ORDER BY 3.0 * z / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT remains, weights FROM c WHERE remains::DOUBLE / weights <= ratio ORDER BY ratio, source LIMIT 1),
+t AS (SELECT source, z, least(3.0 * z, w * l.remains::DOUBLE / l.weights)::DOUBLE AS target FROM w, l),
+p AS (SELECT *, CASE WHEN z = 0 THEN 0 ELSE least(3, floor(target / z))::BIGINT END AS times FROM t),
+h AS (SELECT source, hash, sum(size) AS size FROM d GROUP BY source, hash),
+r AS (SELECT h.source, h.hash, h.size, sum(h.size) OVER (PARTITION BY h.source ORDER BY h.hash) AS upto, p.target - p.times * p.z AS rest
+      FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source),
+m AS (SELECT source, hash, upto <= rest OR (upto - size <= rest AND upto - rest < rest - (upto - size)) AS more FROM r)
+SELECT d.doc_id, d.size, p.z AS source_size, round(p.target, 6) AS target,
+       (d.size * (p.times + CASE WHEN p.times < 3 AND m.more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.hash = m.hash
+"""
+
+
+@registered
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
