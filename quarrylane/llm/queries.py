@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylane.llm import bpe, exact_dedup, language, mixing, simhash
+from quarrylane.llm import bpe, exact_dedup, language, mixing, quality, simhash, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -45,12 +45,32 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "known")
 
 
+@registered
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC and WARC archives and back."""
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @registered
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source."""
     return mixing.mark_mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@registered
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    counted = token_counts.with_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@registered
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and divergence from the language references for all documents."""
+    found = quality.references(table(spark, sf_dir, "documents", "text", "lang"))
+    return quality.with_quality(table(spark, sf_dir, "documents", "doc_id", "text"), found).drop("text")
+
+
 @registered
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
