@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylane.llm import bpe, exact_dedup, language, mixing, quality, simhash, token_counts, warc
+from quarrylane.llm import bpe, exact_dedup, language, mixing, quality, simhash, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
+@registered
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that documents of smaller ids have too."""
+    return substrings.find_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @registered
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from those that are not held out."""
@@ -64,6 +70,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@registered
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return scored.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "offending")
+
+
 @registered
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and divergence from the language references for all documents."""
