@@ -2,6 +2,7 @@
 
 Everything starts from one row per distinct score (``score_counts``), so tied scores
 are handled exactly and the data that is ordered never exceeds the distinct scores.
+A row without a score ranks below all others and is counted like them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.plans.bounded import each
-from quarrylane.plans.prefix import running_totals
+from quarrylane.plans.prefix import join_null_safe, running_totals
 from quarrylane.session import checkpointed
 
 
@@ -91,11 +92,11 @@ def review_budgets(df: DataFrame, score: str, label: str, row_id: str,
     )
     # One row per requested fraction: broadcasting the cuts is bounded by the caller.
     cut_scores = F.broadcast(cuts.select("score").distinct())
-    tied = (df.select(F.col(score).cast("double").alias("score"), F.col(row_id).alias("rid"),
-                      F.col(label).cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
-            .join(cut_scores, "score"))
+    tied = join_null_safe(df.select(F.col(score).cast("double").alias("score"), F.col(row_id).alias("rid"),
+                                    F.col(label).cast("long").alias("pos"), F.lit(1).cast("long").alias("one")),
+                          cut_scores, ["score"])
     run = running_totals(tied, "rid", ["pos", "one"], ["score"], buckets=buckets)
-    got = run.join(F.broadcast(cuts), "score").where(F.col("cum_one") == F.col("room"))
+    got = join_null_safe(run, F.broadcast(cuts), ["score"]).where(F.col("cum_one") == F.col("room"))
     caught = F.col("above") + F.col("cum_pos")
     return got.select(
         "budget_frac", "alerts", caught.alias("caught"),

@@ -48,7 +48,7 @@ def order_number(df: DataFrame, order: str) -> Column:
 
 def bucketed(df: DataFrame, order: str, buckets: int | None = None,
              descending: bool = False) -> DataFrame:
-    """Add a bucket number that grows in the requested order."""
+    """Add a bucket number that grows in the requested order; NULL comes first ascending and last descending, as in a sort."""
     number = order_number(df, order)
     points = split_points(df, number, _bucket_count(df, buckets))
     if not points:
@@ -56,7 +56,15 @@ def bucketed(df: DataFrame, order: str, buckets: int | None = None,
     cut = Bucketizer(splits=[-float("inf"), *points, float("inf")],
                      inputCol="__order", outputCol=BUCKET, handleInvalid="keep")
     out = cut.transform(df.withColumn("__order", number)).drop("__order")
-    return out.withColumn(BUCKET, -F.col(BUCKET)) if descending else out
+    place = F.coalesce(BUCKET, F.lit(-1.0))
+    return out.withColumn(BUCKET, -place if descending else place)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys appear once."""
+    other = right.select(*[F.col(k).alias(f"__k_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str],
@@ -65,7 +73,8 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     """Inclusive running sums ``cum_<name>`` of ``sums`` along ``order`` within ``keys``.
 
     The input must hold one row per (keys, order), so aggregate equal order values
-    first; that also keeps a popular value from filling one bucket.
+    first; that also keeps a popular value from filling one bucket. NULL is an order
+    value (first ascending, last descending) and a key like any other.
     """
     keys = list(keys)
     # The input is read three times (split points, bucket totals, running sums).
@@ -79,7 +88,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     offsets = totals.select(*keys, BUCKET, *[
         F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums])
     part = d.withColumns({f"cum_{s}": F.sum(s).over(local) for s in sums})
-    joined = part.join(offsets if keys else F.broadcast(offsets), [*keys, BUCKET])
+    joined = join_null_safe(part, offsets if keys else F.broadcast(offsets), [*keys, BUCKET])
     return joined.withColumns(
         {f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__o_{s}") for s in sums}
     ).drop(BUCKET, *[f"__o_{s}" for s in sums])
@@ -97,7 +106,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                           .agg(F.count(F.lit(1)).alias("n")))
     ranked = running_totals(counts, value, ["n"], keys, buckets=buckets)
     if keys:
-        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("n").alias("__total")), keys)
+        ranked = join_null_safe(ranked, counts.groupBy(*keys).agg(F.sum("n").alias("__total")), keys)
     else:
         total = counts.agg(F.sum("n").alias("t")).scalar()
         ranked = ranked.withColumn("__total", total)

@@ -76,3 +76,20 @@ def test_review_budget_splits_a_hot_score(scored):
 def test_bounded_rows_refuse_growth(spark):
     with pytest.raises(TooManyRows):
         bounded_rows(spark.range(11), 10)
+
+
+def test_running_totals_with_nulls(spark):
+    rows = [("a", 1.0, 2), ("a", None, 3), ("a", 5.0, 1), (None, 2.0, 4), (None, None, 5), ("b", None, 7)] + [("a", float(i), 1) for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    from quarrylane.plans.prefix import running_totals
+    for down in (False, True):
+        want = {}
+        for k in ("a", "b", None):
+            own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0), reverse=down)
+            total = 0
+            for _, v, n in own:
+                total += n
+                want[k, v] = total
+        for buckets in (1, 4, 64):
+            got = running_totals(df, "v", ["n"], ["k"], descending=down, buckets=buckets).collect()
+            assert {(r.k, r.v): r.cum_n for r in got} == want and len(got) == len(rows)
