@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from bindings.registry import Tables, query
+from bindings.registry import Tables, hash_sql, query
 from quarrylane.functions.calendar import us_holidays, with_calendar
 from quarrylane.operators import audit, features, forecasts, inventory, panel, splits
 from quarrylane.session import checkpointed
@@ -51,7 +51,7 @@ def attributes(df):
 
 
 def base(t: Tables):
-    return panel.dense_panel(sales(t), {"demand": 0.0, "snap": 0})
+    return panel.dense_panel(t.kept("sales", lambda: sales(t)), {"demand": 0.0, "snap": 0})
 
 
 def full(t: Tables):
@@ -66,7 +66,7 @@ def d(x: dt.date) -> str:
   round(avg(sell_price), 4) AS price, sum(snap)::BIGINT AS snap_days FROM panel GROUP BY ALL""", digits=4)
 def panel_build(t: Tables):
     """Stacked targets joined with validated static and temporal tables, summed per year."""
-    s = sales(t)
+    s = t.kept("sales", lambda: sales(t))
     cut = F.lit(TEST_START)
     static = attributes(s.select("series_id").distinct())
     target = panel.dense_panel(s.select("series_id", "date", "demand"), {"demand": 0.0})
@@ -77,15 +77,28 @@ def panel_build(t: Tables):
         F.sum(F.coalesce("snap", F.lit(0))).alias("snap_days"))
 
 
-@query("panel_selected_items")
+CLASSED = f"""WITH {PANEL}, k0 AS (SELECT series_id, sku_id, store_id, cat_id, count(*) AS n_periods, count(*) / (count(*) FILTER (demand > 0))::DOUBLE AS adi,
+  (stddev_samp(demand) FILTER (demand > 0) / avg(demand) FILTER (demand > 0)) ** 2 AS cv2 FROM panel GROUP BY ALL),
+k AS (SELECT *, CASE WHEN coalesce(adi, 1e300) < 1.32 THEN CASE WHEN coalesce(cv2, 0) < 0.49 THEN 'Smooth' ELSE 'Erratic' END
+   ELSE CASE WHEN coalesce(cv2, 0) < 0.49 THEN 'Intermittent' ELSE 'Lumpy' END END AS demand_class FROM k0)"""
+
+
+@query("panel_selected_items", CLASSED + f""", c AS (SELECT sku_id, cat_id, demand_class, count(*) AS n FROM k WHERE n_periods >= 730 GROUP BY ALL),
+i AS (SELECT sku_id, cat_id, sum(n)::BIGINT AS n_stores, arg_min(demand_class, (-n, demand_class)) AS demand_class FROM c GROUP BY 1, 2),
+e AS (SELECT *, count(*) OVER (PARTITION BY cat_id, demand_class) AS size, count(*) OVER () AS total,
+        row_number() OVER (PARTITION BY cat_id, demand_class ORDER BY {hash_sql('sku_id', 42)}, sku_id) AS rn
+      FROM i WHERE n_stores = (SELECT count(DISTINCT store_id) FROM panel))
+SELECT sku_id, cat_id, n_stores, demand_class FROM e WHERE rn <= greatest(round_even(size / total::DOUBLE * 12, 0), 1) ORDER BY sku_id LIMIT 12""")
 def selected_items(t: Tables):
-    """Items sampled per category and demand class (hash dependent)."""
+    """Items sampled per category and demand class."""
     return panel.select_series(full(t), 12, 730)
 
 
-@query("panel_equal_class_sample")
+@query("panel_equal_class_sample", CLASSED + f""", o AS (SELECT series_id, demand_class,
+  row_number() OVER (PARTITION BY demand_class ORDER BY {hash_sql('series_id', 42)}, series_id) AS rn FROM k)
+SELECT series_id, demand_class FROM o WHERE rn <= 7 ORDER BY series_id LIMIT 30""")
 def equal_class_sample(t: Tables):
-    """The same number of series from every demand class (hash dependent)."""
+    """The same number of series from every demand class."""
     s = panel.demand_stats(base(t))
     s = s.withColumn("demand_class", panel.demand_class(F.col("adi"), F.col("cv2")))
     return panel.equal_sample(s, "demand_class", "series_id", 30, 4).select("series_id", "demand_class")

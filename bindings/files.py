@@ -26,11 +26,32 @@ def rounds_csv(t: Tables):
     raw = funding.raw(t).toDF("Sr No", "Date dd/mm/yyyy", "Startup Name", "Industry Vertical", "SubVertical", "City  Location",
                               "Investors Name", "InvestmentnType", "Amount in USD", "Remarks")
     path = sinks.shared_folder(t.spark, "rounds")
-    raw.write.option("escape", '"').csv(path, header=True)
-    d = t.spark.read.option("escape", '"').csv(path, header=True).toDF(*rd.RAW_COLUMNS)
+    d = readers.funding_rounds(t.spark, sinks.write_csv(raw, path))
     return rd.clean(d).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_usd").alias("amount"))
 
 
+@query("file_rounds_cells", f"""WITH {funding.RAW} SELECT sr_no::BIGINT AS sr_no, date_raw, city_raw, amount_raw,
+  CASE WHEN sr_no::BIGINT % 3 = 0 THEN 'say "hi", ok' || chr(10) || 'line ' || sr_no WHEN sr_no::BIGINT % 3 = 1 THEN '"' END AS remarks FROM rr""")
+def rounds_cells(t: Tables):
+    """Cells with quotes, commas and line ends written and read back whole."""
+    n = F.col("sr_no").cast("long") % 3
+    remarks = F.when(n == 0, F.concat(F.lit('say "hi", ok\nline '), F.col("sr_no").cast("string"))).when(n == 1, '"')
+    raw = funding.raw(t).toDF(*rd.RAW_COLUMNS).withColumn("remarks", remarks)
+    d = readers.funding_rounds(t.spark, sinks.write_csv(raw, sinks.shared_folder(t.spark, "cells")))
+    return d.select(F.col("sr_no").cast("long").alias("sr_no"), "date_raw", "city_raw", "amount_raw", "remarks")
+
+
+@query("file_query_set", """SELECT 'find ' || p_brand AS query_text, p_brand AS query_id, 'text' AS type, p_brand AS brands, count(*) AS excluded FROM part GROUP BY p_brand""")
+def query_set(t: Tables):
+    """A benchmark query set, one rule per brand, written as JSON and read with its checks."""
+    lists = F.create_map(F.lit("brands"), F.array("p_brand"), F.lit("exclude_external_ids"), F.col("ids"))
+    per = t.part.groupBy("p_brand").agg(F.collect_set(F.col("p_partkey").cast("string")).alias("ids"))
+    q = F.struct(F.col("p_brand").alias("id"), F.lit("text").alias("type"), F.concat(F.lit("find "), F.col("p_brand")).alias("query"), lists.alias("relevance"))
+    path = sinks.write_json(per.agg(F.collect_list(q).alias("queries")).coalesce(1), sinks.shared_folder(t.spark, "queries"))  # one document by its format
+    d = readers.query_set(t.spark, path)
+    return d.select("query_text", "query_id", "type", F.array_join("brands", ",").alias("brands"), F.size("exclude_ids").alias("excluded"))
+
+
 @query("file_rounds_export", f"WITH {funding.ROUNDS} SELECT 'rounds' AS tbl, count(*) AS n FROM rounds UNION ALL SELECT 'pairs', count(*) FROM pairs")
 def rounds_export(t: Tables):
     """Cleaned rounds and investor pairs written and read back."""

@@ -8,16 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylane.sources import sinks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def hash_sql(key: str, seed: int) -> str:
+    """``plans.bounded.hash_order`` in SQL."""
+    return f"md5(coalesce({key}::VARCHAR, '') || '/{seed}')"
+
+
+def hash_number_sql(key: str, seed: int) -> str:
+    """``plans.bounded.hash_number`` in SQL."""
+    return f"('0x' || substr({hash_sql(key, seed)}, 1, 15))::BIGINT"
+
+
 class Tables:
     """Test tables of one scale folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that one query reads several times: built once and written in the shared folder."""
+        if name not in self._kept:
+            path = sinks.write_parquet(build(), sinks.shared_folder(self.spark, name))
+            self._kept[name] = self.spark.read.parquet(path)
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -60,7 +60,12 @@ def strict_day_first_date(c: Column) -> Column:
 
 
 def repaired_date(c: Column) -> Column:
-    return day_first_date(repair_date_text(c))
+    """Day first where that is a date, else year first, else month first."""
+    def read(text: Column, pattern: str) -> Column:
+        return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+
+    text = repair_date_text(c)
+    return F.coalesce(day_first_date(text), read(F.trim(c), "yyyy-M-d"), read(text, "M/d/yyyy"))
 
 
 def amount(c: Column) -> Column:
@@ -80,7 +85,8 @@ def lakh_grouped(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Capital after every non-letter, lower case elsewhere."""
-    return F.initcap(c)
+    parts = F.split(F.lower(c), r"(?<=[^\p{L}])")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2_147_483_647))), "")
 
 
 def city(c: Column) -> Column:
@@ -105,13 +111,9 @@ def stage(c: Column) -> Column:
 
 def alias(key: Column, name: Column, aliases: dict[str, tuple[str, str]]) -> tuple[Column, Column]:
     """Merged key and name of an entity; exact key match, never a prefix."""
+    to_key = lookup({k: v[0] for k, v in aliases.items()}, key)
     to_name = lookup({k: v[1] for k, v in aliases.items()}, key)
-    merged = key
-    for target in dict.fromkeys(v[0] for v in aliases.values()):
-        spellings = "|".join(k for k, v in aliases.items() if v[0] == target and k != target)
-        if spellings:
-            merged = F.regexp_replace(merged, f"^({spellings})$", target)
-    return merged, F.coalesce(to_name, name)
+    return F.coalesce(to_key, key), F.coalesce(to_name, name)
 
 
 def is_placeholder_name(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.operators.rounds import one_row_to_long
+from quarrylane.plans.hotkeys import join_counted
 from quarrylane.plans.prefix import running_totals
 
 
@@ -90,14 +91,15 @@ def deduplicate(df: DataFrame, features: Sequence[str], label: str, order: str)
     """Keep the first of equal rows; keep every row of a group whose labels conflict.
 
     Groups are reduced by a map-side aggregate, and the kept rows are found by their
-    unique row order or their conflicting group, so no group is ever gathered.
+    group and row order, or their conflicting group, so no group is ever gathered. Rows
+    that share both a group and its first order value all stay.
     """
     groups = grouped_labels(df, features, label, order)
     d = df.withColumn("group_id", row_key(features))
-    firsts = groups.where(~F.col("conflict")).select(F.col("first_row").alias(order))
-    conflicts = groups.where("conflict").select("group_id")
-    keep_first = d.join(firsts, order, "left_semi")
-    keep_all = d.join(conflicts, "group_id", "left_semi")
+    firsts = groups.where(~F.col("conflict")).select("group_id", F.col("first_row").alias(order))
+    conflicts = groups.where("conflict").select("group_id", "n")
+    keep_first = d.join(firsts, ["group_id", order], "left_semi").select(*d.columns)
+    keep_all = join_counted(d, conflicts, "group_id", "n").select(*d.columns)
     return keep_first.withColumn("conflict", F.lit(False)).unionByName(
         keep_all.withColumn("conflict", F.lit(True)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import vocab
-from quarrylane.operators.scoring import risk_band
+from quarrylane.operators.scoring import checked_score, risk_band
 from quarrylane.plans.bounded import each_record
 from quarrylane.plans.prefix import exact_quantiles, quantile_value
 
@@ -36,7 +36,7 @@ class Economics:
 
 def grid_step(p: Column, steps: int) -> Column:
     """Index of the highest grid threshold that the score reaches."""
-    width = 1.0 / steps
+    width, p = 1.0 / steps, checked_score(p)
     b = F.floor(p * steps)
     b = F.when((b + 1) * width <= p, b + 1).when(b * width > p, b - 1).otherwise(b)
     return F.least(b, F.lit(steps)).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.operators.features import BASELINES, weekly_strength
 from quarrylane.operators.panel import DEMAND, SERIES
+from quarrylane.plans.bounded import small_side
 from quarrylane.plans.prefix import exact_quantiles, running_totals
 from quarrylane.session import checkpointed
 
@@ -145,11 +146,12 @@ def residual_quantiles(df: DataFrame, point: str, keys: Sequence[str] = ("horizo
 
 
 def with_intervals(df: DataFrame, point: str, resid: DataFrame, keys: Sequence[str] = ("horizon",)) -> DataFrame:
-    """Point forecast plus residual quantiles, never negative. One row per horizon joins."""
+    """Point forecast plus residual quantiles, never negative; NULL where a horizon has no residuals."""
     names = [c for c in resid.columns if c.startswith("resid_q")]
-    d = df.join(F.broadcast(resid), list(keys), "left")
-    return d.withColumns({c.replace("resid_", ""): F.greatest(F.lit(0.0), F.col(point) + F.col(c)) for c in names}
-                         ).drop(*names)
+    d = df.join(small_side(resid), list(keys), "left")
+    bound = {c.replace("resid_", ""): F.col(point) + F.col(c) for c in names}
+    # greatest() skips NULL, so the guard comes first.
+    return d.withColumns({n: F.when(b.isNotNull(), F.greatest(F.lit(0.0), b)) for n, b in bound.items()}).drop(*names)
 
 
 def interval_report(df: DataFrame, quantiles: dict[float, str], keys: Sequence[str] = ()) -> DataFrame:

@@ -82,7 +82,9 @@ def error_spread(errors: DataFrame) -> DataFrame:
 
 
 def safety_normal(std: Column, z: Column | float) -> Column:
-    return F.greatest(F.lit(0.0), std * z)
+    """Stock against normal errors; NULL without a spread."""
+    need = std * z
+    return F.when(need.isNotNull(), F.greatest(F.lit(0.0), need))
 
 
 def build_policy(pred: DataFrame, point: str, errors: DataFrame, terms: PolicyTerms,
@@ -100,7 +102,7 @@ def build_policy(pred: DataFrame, point: str, errors: DataFrame, terms: PolicyTe
     p = p.withColumns({
         "lead_time_days": F.lit(terms.lead_time_days), "review_period_days": F.lit(terms.review_period_days),
         "protection_days": F.lit(days), "safety_stock_normal": safety_normal(F.col("error_std"), F.col("z"))})
-    p = p.withColumn("safety_stock_empirical", F.coalesce(F.greatest(F.lit(0.0), F.col("__e")), F.col("safety_stock_normal")))
+    p = p.withColumn("safety_stock_empirical", F.when(F.col("__e").isNotNull(), F.greatest(F.lit(0.0), F.col("__e"))).otherwise(F.col("safety_stock_normal")))
     for kind in ("normal", "empirical"):
         need = F.coalesce("expected_lt_demand", F.lit(0.0)) + F.col(f"safety_stock_{kind}")
         p = p.withColumn(f"reorder_point_{kind}", F.ceil(F.round(need, 9)).cast("double"))

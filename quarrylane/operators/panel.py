@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import vocab
 from quarrylane.operators.audit import assert_unique
-from quarrylane.plans.bounded import small_side
+from quarrylane.plans.bounded import hash_order, small_side
 from quarrylane.plans.prefix import exact_quantiles, running_totals
 from quarrylane.session import checkpointed
 
@@ -151,17 +151,17 @@ def proportional_sample(df: DataFrame, strata: Sequence[str], ident: str, n: int
     size = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__size"))
     total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
     alloc = F.greatest(F.bround(F.col("__size") / total * n, 0), F.lit(1))
-    h = F.xxhash64(ident, F.lit(seed))
+    h = hash_order(F.col(ident), seed)
     w = Window.partitionBy(*strata).orderBy(h, ident)
     picked = (df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-              .join(F.broadcast(size), list(strata)).where(F.col("__rn") <= alloc))
+              .join(small_side(size), list(strata)).where(F.col("__rn") <= alloc))
     return picked.drop("__rn", "__size").orderBy(ident).limit(n)
 
 
 def equal_sample(df: DataFrame, stratum: str, ident: str, n: int, classes: int, seed: int = 42) -> DataFrame:
     """Seeded sample with the same number of rows from every class."""
     per = max(1, n // max(classes, 1))
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(ident, F.lit(seed)), ident)
+    w = Window.partitionBy(stratum).orderBy(hash_order(F.col(ident), seed), ident)
     return (df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per).drop("__rn")
             .orderBy(ident).limit(n))
 

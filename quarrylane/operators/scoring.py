@@ -15,8 +15,15 @@ from quarrylane.operators.rounds import one_row_to_long
 KINDS = ("true_positive", "false_negative", "false_positive", "true_negative")
 
 
+def checked_score(p: Column | str) -> Column:
+    """A probability; a missing one, or one outside [0, 1], stops the job by name."""
+    c = (F.col(p) if isinstance(p, str) else p).cast("double")
+    return F.when(c.between(0, 1), c).otherwise(F.raise_error(F.lit("a score is missing or outside [0, 1]")).cast("double"))
+
+
 def threshold_metrics(df: DataFrame, p: str, y: str, threshold: float) -> DataFrame:
     """Confusion counts and every threshold metric in one aggregate."""
+    df = df.withColumn(p, checked_score(p))
     hit, pos = F.col(p) >= threshold, F.col(y) == 1
     clipped = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(p)))
     a = df.agg(
@@ -36,6 +43,7 @@ def threshold_metrics(df: DataFrame, p: str, y: str, threshold: float) -> DataFr
 
 def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Mean score and positive rate per equal-width bin."""
+    df = df.withColumn(p, checked_score(p))
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("bin")
     return df.groupBy(b).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_score"),
                              F.avg(y).alias("positive_rate"))
@@ -49,7 +57,7 @@ def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFram
 
 
 def risk_band(p: Column) -> Column:
-    return left_closed_band(p, vocab.RISK_BANDS)
+    return left_closed_band(checked_score(p), vocab.RISK_BANDS)
 
 
 def band_summary(df: DataFrame, p: str, y: str, value: str) -> DataFrame:

@@ -9,13 +9,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.plans.prefix import exact_quantiles
+from quarrylane.plans.bounded import hash_number
+from quarrylane.plans.hotkeys import join_counted
+from quarrylane.plans.prefix import exact_quantiles, join_null_safe, running_totals
+from quarrylane.session import checkpointed
 
 
 def hash_part(key: str | Column, parts: int, seed: int = 42) -> Column:
     """Repeatable part number of a key."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(parts))
+    return F.pmod(hash_number(k, seed), F.lit(parts))
 
 
 def random_split(df: DataFrame, key: str, test_tenths: int = 3, seed: int = 42) -> DataFrame:
@@ -83,17 +86,20 @@ def training_origins(first_date: dt.date, last_origin: dt.date, max_horizon: int
 
 
 def group_folds(df: DataFrame, group: Sequence[str] | str, label: str, folds: int, seed: int = 42) -> DataFrame:
-    """Fold per row: equal groups share a fold, and each label stratum is spread evenly.
+    """Fold per row: equal groups share a fold, and each label stratum is dealt out evenly.
 
-    The stratum of a group is whether it holds a positive row, so hashing the group
-    within its stratum keeps the label ratio close in every fold.
+    The stratum of a group is whether it holds a positive row. Groups are shuffled by hash within their stratum and dealt
+    to the folds in turn, so in every fold the number of groups of a stratum differs by one at most.
     """
     keys = [group] if isinstance(group, str) else list(group)
-    gid = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    gid = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]), 256)
     d = df.withColumn("group_id", gid)
-    strata = d.groupBy("group_id").agg(F.max(F.col(label).cast("int")).alias("__stratum"))
-    fold = F.pmod(F.xxhash64("group_id", "__stratum", F.lit(seed)), F.lit(folds)).cast("int")
-    return d.join(strata.select("group_id", fold.alias("fold")), "group_id")
+    groups = d.groupBy("group_id").agg(F.coalesce(F.max(F.col(label).cast("int")), F.lit(0)).alias("__stratum"), F.count(F.lit(1)).alias("__rows"))
+    groups = checkpointed(groups.withColumn("__h", hash_number(F.col("group_id"), seed)))
+    order = running_totals(groups.groupBy("__stratum", "__h").agg(F.count(F.lit(1)).alias("one")), "__h", ["one"], ["__stratum"])
+    fold = F.pmod(F.col("cum_one") - 1, F.lit(folds)).cast("int").alias("fold")
+    dealt = join_null_safe(groups, order.select("__stratum", "__h", fold), ["__stratum", "__h"]).select("group_id", "fold", "__rows")
+    return join_counted(d, checkpointed(dealt), "group_id", "__rows")
 
 
 def cover_report(df: DataFrame, row_id: str, part: str) -> DataFrame:

@@ -30,6 +30,16 @@ def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+def hash_order(key: Column, seed: int) -> Column:
+    """Text whose order shuffles rows repeatably: the MD5 of key and seed, the same in every engine."""
+    return F.md5(F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
+
+
+def hash_number(key: Column, seed: int) -> Column:
+    """The first 60 bits of ``hash_order`` as a number."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 15), 16, 10).cast("long")
+
+
 def lookup(mapping: Mapping[str, str], key: Column) -> Column:
     """Value of a fixed mapping, NULL where the key is absent."""
     parts: list[Column] = []

@@ -29,8 +29,8 @@ QUERY_SET = T.StructType([T.StructField("queries", T.ArrayType(QUERY))])
 
 
 def text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text, named by its header."""
-    return spark.read.csv(path, header=True, inferSchema=False)
+    """CSV with every column as text, named by its header; quoted cells may hold quotes (doubled), commas and line ends."""
+    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
 
 
 def typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -13,13 +13,17 @@ from quarrylane.operators.catalog import COLUMNS
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the session names; a temporary one only in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder in the shared place the session names; a temporary one only in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("errorifexists").csv(path, header=True)
+    """CSV with quotes doubled inside quoted cells, so that any cell comes back as it was."""
+    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

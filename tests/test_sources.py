@@ -60,3 +60,9 @@ def test_cached_parquet_builds_once(spark, tmp_path):
     for _ in range(2):
         assert sinks.cached_parquet(spark, str(tmp_path / "x"), build).count() == 3
     assert len(calls) == 1
+
+
+def test_csv_keeps_every_cell(spark):
+    cells = [('say "hi", ok', "two\nlines"), ("plain", None), ("back\\slash", " kept "), ('"', ",")]
+    path = sinks.write_csv(spark.createDataFrame(cells, "a string, b string"), sinks.shared_folder(spark, "cells"))
+    assert sorted(map(str, map(tuple, readers.text_csv(spark, path).collect()))) == sorted(map(str, cells))
