@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from bindings.registry import Tables, query
+from bindings.registry import Tables, hash_number_sql, hash_sql, query
 from quarrylane.functions import text as tx
 from quarrylane.functions import vocab
-from quarrylane.operators import audit
+from quarrylane.operators import audit, splits
 from quarrylane.operators import catalog as ct
 
 MODEL = "encoder-base"
@@ -317,15 +317,17 @@ def brands(t: Tables):
     return ct.with_brand(t.part, "p_name", words, unicode=False).select("p_partkey", "brand")
 
 
-@query("catalog_round_robin")
+@query("catalog_round_robin", f"""WITH o AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY {hash_sql('p_partkey', 17)}, p_partkey) AS depth,
+  count(*) OVER (PARTITION BY p_brand) AS size FROM part)
+SELECT p_partkey, p_brand FROM o ORDER BY depth, size DESC, p_brand LIMIT 60""")
 def round_robin(t: Tables):
-    """Balanced sample over brands (hash dependent)."""
+    """Balanced sample over brands."""
     return ct.round_robin(t.part, "p_brand", "p_partkey", 60).select("p_partkey", "p_brand")
 
 
-@query("catalog_seeded_sample")
+@query("catalog_seeded_sample", f"SELECT p_partkey FROM part ORDER BY {hash_sql('p_partkey', 42)}, p_partkey LIMIT 100")
 def seeded_sample(t: Tables):
-    """Bounded repeatable sample (hash dependent)."""
+    """Bounded repeatable sample."""
     return ct.seeded_sample(t.part, "p_partkey", 100).select("p_partkey")
 
 
@@ -339,19 +341,16 @@ def clean_sql(c: str) -> str:
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 
-WHOLE = 100_000_000
-
-
 @query("text_clean_pages", f"SELECT page_id, {clean_sql('html')} AS text FROM pages")
 def clean_pages(t: Tables):
     """Canonical text of every page, whole."""
-    return t.pages.select("page_id", tx.clean_text(F.col("html"), WHOLE).alias("text"))
+    return t.pages.select("page_id", tx.clean_text(F.col("html")).alias("text"))
 
 
 @query("text_clean_documents", f"SELECT doc_id, {clean_sql('text')} AS text FROM documents")
 def clean_documents(t: Tables):
     """Canonical text of every document, whole."""
-    return t.documents.select("doc_id", tx.clean_text(F.col("text"), WHOLE).alias("text"))
+    return t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query("text_facets", "SELECT doc_id, regexp_replace(trim(source), '\\s+', ' ', 'g') AS facet FROM documents")
@@ -363,7 +362,7 @@ def text_facets(t: Tables):
 FOLD = "replace(lower({c}), 'ß', 'ss')"
 
 
-@query("text_terms", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({FOLD.format(c='text')}, '[^0-9a-z]+'), lambda x: length(x) >= 2) AS t FROM documents)
+@query("text_terms", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex({FOLD.format(c=clean_sql('text'))}, '[^0-9a-z]+'), lambda x: length(x) >= 2) AS t FROM documents)
 SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t, ' ') AS terms FROM w""")
 def text_terms(t: Tables):
     """Keyword terms of every document."""
@@ -394,6 +393,15 @@ def labelled(t: Tables):
     return t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "toxic"), "doc_id")
 
 
+@query("text_group_folds", f"""WITH x AS (SELECT d.doc_id, l.toxic, sha256(d.text) AS gid FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT gid, max(toxic) AS stratum, {hash_number_sql('gid', 42)} AS h FROM x GROUP BY gid),
+f AS (SELECT gid, (row_number() OVER (PARTITION BY stratum ORDER BY h) - 1) % 5 AS fold FROM g)
+SELECT doc_id, fold, toxic::BIGINT AS toxic FROM x JOIN f USING (gid)""")
+def text_group_folds(t: Tables):
+    """Folds that keep equal texts together and deal toxic and harmless groups out evenly."""
+    return splits.group_folds(labelled(t), "text", "toxic", 5).select("doc_id", "fold", "toxic")
+
+
 @query("text_dedup_report", f"""WITH {LABELLED} SELECT coalesce(sum(n - 1) FILTER (NOT c), 0)::BIGINT AS n_removed, coalesce(sum(n) FILTER (c), 0)::BIGINT AS n_conflicting_rows,
   count(*) FILTER (c) AS n_conflicting_groups FROM g""")
 def text_dedup_report(t: Tables):

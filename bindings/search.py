@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindings.catalogue import clean_sql
 from bindings.registry import Tables, query
 from quarrylane.functions import vectors as vx
 from quarrylane.operators import fusion, ranking, retrieval
@@ -110,7 +111,7 @@ def weighted_terms(t: Tables):
 TERMS = "list_distinct(list_filter(string_split_regex(replace(lower({c}), 'ß', 'ss'), '[^0-9a-z]+'), lambda x: length(x) >= 2))"
 
 
-@query("search_every_term", f"""WITH d AS (SELECT doc_id, {TERMS.format(c='text')} AS t FROM documents), q AS (SELECT item_id AS query_id, {TERMS.format(c='text')} AS n FROM benchmark)
+@query("search_every_term", f"""WITH d AS (SELECT doc_id, {TERMS.format(c=clean_sql('text'))} AS t FROM documents), q AS (SELECT item_id AS query_id, {TERMS.format(c=clean_sql('text'))} AS n FROM benchmark)
 SELECT query_id, doc_id FROM d, q WHERE list_has_all(t, n) AND len(n) > 0""")
 def every_term(t: Tables):
     """Documents that hold every term of a benchmark text, found by its rarest term."""
@@ -123,7 +124,25 @@ SELECT query_id, product_id, round(score, 6) AS score, row_number() OVER (PARTIT
 def more_like_this(t: Tables):
     """Neighbours of each label's first product, itself left out."""
     p = products(t)
-    return retrieval.more_like_this(p, "product_id", "image", "text", selves(p), 10)
+    return retrieval.more_like_this(p, "product_id", "image", selves(p), 10)
+
+
+@query("search_similar_products", f"""WITH {PROD}, mx AS (SELECT * REPLACE (CASE WHEN product_id % 5 = 0 THEN NULL ELSE image END AS image) FROM pr),
+qq AS (SELECT min(product_id) AS query_id FROM mx GROUP BY label, product_id % 5 = 0),
+ii AS (SELECT q.query_id, b.product_id, round(list_cosine_similarity(a.image, b.image), 9) AS score FROM qq q JOIN mx a ON a.product_id = q.query_id, mx b
+  WHERE a.image IS NOT NULL AND b.image IS NOT NULL AND a.product_id <> b.product_id),
+ti0 AS (SELECT q.query_id, 'text_to_text' AS channel, 0.7 AS w, b.product_id, round(list_cosine_similarity(a.text, b.text), 9) AS score FROM qq q JOIN mx a ON a.product_id = q.query_id, mx b WHERE a.image IS NULL
+  UNION ALL SELECT q.query_id, 'text_to_image', 0.3, b.product_id, round(list_cosine_similarity(a.text, b.image), 9) FROM qq q JOIN mx a ON a.product_id = q.query_id, mx b WHERE a.image IS NULL AND b.image IS NOT NULL),
+ti1 AS (SELECT * FROM ti0 QUALIFY row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, product_id) <= 50),
+ti2 AS (SELECT *, avg(score) OVER c AS m, stddev_pop(score) OVER c AS sd FROM ti1 WHERE product_id <> query_id WINDOW c AS (PARTITION BY query_id, channel)),
+tt AS (SELECT query_id, product_id, sum(w * CASE WHEN sd < 1e-9 THEN 0.5 ELSE 1 / (1 + exp(-(score - m) / sd)) END) AS score FROM ti2 GROUP BY 1, 2),
+al AS (SELECT *, score AS o FROM ii UNION ALL SELECT *, round(score, 9) FROM tt)
+SELECT query_id, product_id, round(score::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, product_id) AS rank FROM al QUALIFY rank <= 10""")
+def similar_products(t: Tables):
+    """Neighbours of two products of each label, one of which is known by its text alone."""
+    p = products(t).withColumn("image", F.when(F.col("product_id") % 5 != 0, F.col("image")))
+    chosen = p.groupBy("label", (F.col("product_id") % 5 == 0).alias("plain")).agg(F.min("product_id").alias("product_id"))
+    return fusion.similar_products(p, "product_id", "image", "text", chosen, 10)
 
 
 # Settings as rows; NULL means the default.
@@ -282,7 +301,7 @@ def nearest_rank(t: Tables):
 
 
 def config_sql(c: dict) -> str:
-    r = {**fusion.DEFAULTS, "pool": 1_000_000, **c}
+    r = {**fusion.DEFAULTS, "pool": "NULL::INTEGER", **c}
     x = r["cross_modal_weight"]
     if r["strategy"] == "embedding_fusion":
         w = {"fused_to_image": 1 - x, "fused_to_text": x}
@@ -301,7 +320,7 @@ def sweep_sql(configs: list[dict]) -> str:
     rows = "\n".join(config_sql(c) for c in configs)
     part = "label, query_id, channel"
     return f"""WITH {cand_sql(100)}, cf AS ({rows.removesuffix('UNION ALL')}),
-cx AS (SELECT label, strategy, nm, w, query_id, c.channel, product_id, score, row_number() OVER (PARTITION BY label, query_id, c.channel ORDER BY score DESC, product_id) AS rank FROM cand c JOIN cf ON cf.channel = c.channel AND c.rank <= pool),
+cx AS (SELECT label, strategy, nm, w, query_id, c.channel, product_id, score, row_number() OVER (PARTITION BY label, query_id, c.channel ORDER BY score DESC, product_id) AS rank FROM cand c JOIN cf ON cf.channel = c.channel AND (pool IS NULL OR c.rank <= pool)),
 nn AS (SELECT *, CASE nm WHEN 'none' THEN {norm_sql('none', part)} WHEN 'minmax' THEN {norm_sql('minmax', part)} ELSE {norm_sql('zscore', part)} END AS norm FROM cx),
 fs AS (SELECT label, query_id, product_id, sum(CASE WHEN strategy = 'rrf' THEN w / (60 + rank) ELSE w * norm END) AS s FROM nn GROUP BY ALL),
 rk AS (SELECT label, query_id, product_id, row_number() OVER (PARTITION BY label, query_id ORDER BY round(s, 9) DESC, product_id) AS rank FROM fs)""" + metrics_sql(

@@ -22,16 +22,16 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
-def strip_markup(c: Column, max_length: int = 2000) -> Column:
-    """Control characters and tags to spaces, punctuation runs and spaces squeezed."""
+def strip_markup(c: Column, max_length: int | None = None) -> Column:
+    """Control characters and tags to spaces, punctuation runs and spaces squeezed; whole unless a length is named."""
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     c = F.regexp_replace(c, r"<[^>]{1,200}>", " ")
     c = F.regexp_replace(c, r"([!?.,;:])\1{1,}", "$1")
     c = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
-    return F.coalesce(F.trim(F.substring(c, 1, max_length)), F.lit(""))
+    return F.coalesce(c if max_length is None else F.trim(F.substring(c, 1, max_length)), F.lit(""))
 
 
-def clean_text(c: Column, max_length: int = 2000, unicode: bool = True) -> Column:
+def clean_text(c: Column, max_length: int | None = None, unicode: bool = True) -> Column:
     """Canonical free text; empty text for NULL."""
     return strip_markup(nfkc(c) if unicode else c, max_length)
 
@@ -94,8 +94,8 @@ def casefold(c: Column) -> Column:
 
 
 def terms(c: Column, min_length: int = 2) -> Column:
-    """Lower-case ASCII letter and digit runs."""
-    return F.filter(F.split(casefold(c), "[^0-9a-z]+"), lambda t: F.length(t) >= min_length)
+    """Lower-case ASCII letter and digit runs of the cleaned text: no markup, full-width letters as plain ones."""
+    return F.filter(F.split(casefold(clean_text(c)), "[^0-9a-z]+"), lambda t: F.length(t) >= min_length)
 
 
 def name_tokens(c: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarrylane.functions import text as tx
 from quarrylane.functions import vocab
 from quarrylane.functions.cleaning import blank_to_null
-from quarrylane.plans.bounded import bounded_rows
+from quarrylane.plans.bounded import hash_order, small_side
+from quarrylane.plans.hotkeys import join_counted
 from quarrylane.session import checkpointed
 
 # Canonical catalog columns and the fields an embedding depends on.
@@ -268,15 +269,15 @@ def round_robin(df: DataFrame, group: str, ident: str, limit: int, seed: int = 1
     """Balanced sample: one row per group and round, larger groups first."""
     g = F.coalesce(group, F.lit("unknown"))
     size = df.groupBy(g.alias("__g")).agg(F.count(F.lit(1)).alias("__size"))
-    w = Window.partitionBy("__g").orderBy(F.xxhash64(ident, F.lit(seed)), ident)
+    w = Window.partitionBy("__g").orderBy(hash_order(F.col(ident), seed), ident)
     d = df.withColumn("__g", g).withColumn("__depth", F.row_number().over(w)).where(F.col("__depth") <= limit)
-    return (d.join(F.broadcast(size), "__g").orderBy("__depth", F.desc("__size"), "__g").limit(limit)
+    return (d.join(small_side(size), "__g").orderBy("__depth", F.desc("__size"), "__g").limit(limit)
             .drop("__g", "__depth", "__size"))
 
 
 def seeded_sample(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows in a repeatable random order."""
-    return df.orderBy(F.xxhash64(ident, F.lit(seed)), ident).limit(n)
+    return df.orderBy(hash_order(F.col(ident), seed), ident).limit(n)
 
 
 def ngram_counts(names: DataFrame, name: str, unicode: bool = True) -> DataFrame:
@@ -287,32 +288,38 @@ def ngram_counts(names: DataFrame, name: str, unicode: bool = True) -> DataFrame
         F.count(F.lit(1)).alias("n"))
 
 
-def attribute_words(df: DataFrame, columns: Sequence[str], limit: int = 5000) -> list[str]:
-    """Lower-case words of the attribute columns: a vocabulary, checked to be small."""
+def attribute_words(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Lower-case words of the attribute columns (``word``), each once."""
     words = F.explode(F.flatten(F.array(*[tx.name_tokens(F.lower(F.col(c).cast("string"))) for c in columns])))
-    return [r[0] for r in bounded_rows(df.select(words.alias("w")).distinct(), limit, "attribute vocabulary")]
+    return df.select(words.alias("word")).distinct()
 
 
-def with_brand(df: DataFrame, name: str, attributes: Sequence[str], min_count: int = 3, unicode: bool = True) -> DataFrame:
-    """Brand of each display name, mined from how often its leading words recur.
+def with_brand(df: DataFrame, name: str, attributes: DataFrame, min_count: int = 3, unicode: bool = True) -> DataFrame:
+    """Brand of each display name, mined from how often its leading words recur; attribute words (``word``) never count.
 
-    Distinct names are looked up once, so a popular name is one row in the join.
+    Distinct names are looked up once, so a popular name is one row in the joins, and goes back to its rows by
+    ``join_counted``.
     """
-    counts = ngram_counts(df, name, unicode)
-    names = (df.select(name).where(F.col(name).isNotNull()).distinct()
+    names = (df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__clean", tx.clean_text(F.col(name), unicode=unicode))
              .withColumn("tokens", tx.name_tokens(F.col("__clean"))).drop("__clean"))
-    grams = names.select(name, F.posexplode(tx.leading_ngrams(F.col("tokens"))).alias("i", "gram"))
-    support = grams.join(counts, "gram").groupBy(name).agg(
+    names = checkpointed(names)
+    grams = names.select(name, "__n", F.posexplode(tx.leading_ngrams(F.col("tokens"))).alias("i", "gram"))
+    counts = grams.groupBy("gram").agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("__w"))
+    support = join_counted(grams.drop("__n"), checkpointed(counts), "gram", "__w").groupBy(name).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("i") + 1).alias("size"), "n"))).alias("support"))  # four entries
-    d = names.join(support, name, "left").withColumn("brand", brand_rule(F.col("tokens"), F.col("support"), attributes, min_count))
-    return df.join(d.select(name, "brand"), name, "left")
+    words = names.select(name, F.explode(F.transform("tokens", F.lower)).alias("word"))
+    flagged = words.join(small_side(attributes.select("word")), "word", "left_semi").groupBy(name).agg(F.collect_set("word").alias("known"))
+    d = names.join(support, name, "left").join(flagged, name, "left")
+    known = F.coalesce("known", F.array().cast("array<string>"))
+    d = d.withColumn("brand", brand_rule(F.col("tokens"), F.col("support"), known, min_count))
+    found = checkpointed(d.select(name, "brand", "__n"))
+    bare = df.where(F.col(name).isNull()).withColumn("brand", F.lit(None).cast("string"))
+    return join_counted(df, found, name, "__n").unionByName(bare)
 
 
-def brand_rule(tokens: Column, support: Column, attributes: Sequence[str], min_count: int) -> Column:
+def brand_rule(tokens: Column, support: Column, known: Column, min_count: int) -> Column:
     """Shortest frequent leading words, extended while the longer form stays frequent."""
-    attrs = [F.lit(a) for a in attributes] or [F.lit("\x00")]
-    known = F.array(*attrs)
     leading = F.array(*[F.lit(w) for w in vocab.NON_BRAND_LEADING])
     joiners = F.array(*[F.lit(w) for w in vocab.CONNECTORS])
 

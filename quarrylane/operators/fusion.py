@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import vectors as vx
-from quarrylane.operators.retrieval import channel_search, pool_size, substring_scores
+from quarrylane.operators.retrieval import channel_search, more_like_this, pool_size, substring_scores
 from quarrylane.session import checkpointed
 
 EPS = 1e-9
@@ -101,6 +101,22 @@ def fused_query_vectors(image: DataFrame, text: DataFrame, alpha: float) -> Data
         "query_id", vx.blend(F.col("vector"), F.col("__t"), alpha).alias("vector"))
 
 
+def similar_products(catalog: DataFrame, ident: str, image: str, text: str, chosen: DataFrame, k: int) -> DataFrame:
+    """Neighbours of stored products, never themselves: by image where there is one.
+
+    A product known by its text alone is looked up among texts and images by its text vector, and both lists are fused.
+    """
+    has = F.col(image).isNotNull()
+    mine = catalog.join(chosen.select(ident), ident, "left_semi")
+    by_image = more_like_this(catalog, ident, image, mine.where(has), k).select("query_id", ident, "score", "rank")
+    q = mine.where(~has & F.col(text).isNotNull()).select(F.col(ident).alias("query_id"), F.col(text).alias("vector"))
+    found = channel_search(catalog, ident, {"text_to_text": (text, q), "text_to_image": (image, q)}, pool_size(k))
+    found = with_defaults(found.where(F.col(ident) != F.col("query_id")).drop("rank"))
+    fused = fuse(found, channel_weights(F.lit(False), F.lit(True)), ["query_id"], ident, F.lit(DEFAULTS["strategy"]), F.lit(DEFAULTS["normalization"]), F.lit(DEFAULTS["rrf_k"]))
+    by_text = final_rank(fused, ["query_id"], ident).where(F.col("rank") <= k)
+    return by_image.unionByName(by_text.select("query_id", ident, F.col("final_score").alias("score"), "rank"))
+
+
 def page_of(fused: DataFrame, products: DataFrame, ident: str, top_k: int, offset: int = 0, sort: str = "relevance") -> DataFrame:
     """One page per query with product metadata; only the page meets the catalog.
 
@@ -158,12 +174,12 @@ def search(products: DataFrame, ident: str, image_queries: DataFrame, text_queri
 def sweep(cands: DataFrame, configs: Sequence[dict], ident: str, has_image: bool = True, has_text: bool = True) -> DataFrame:
     """Ranked lists of many configurations in one job: each candidate row meets every configuration once.
 
-    A configuration may name a ``pool`` depth; candidates are retrieved once at the deepest.
+    A configuration may name a ``pool`` depth; candidates are retrieved once at the deepest, and without a depth all count.
     """
-    rows = [{**DEFAULTS, "pool": 1_000_000, **c} for c in configs]
-    cfg = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows]))
+    rows = [{**DEFAULTS, "pool": None, **c} for c in configs]
+    cfg = F.explode(F.array(*[F.struct(*[(F.lit(v).cast("int") if k == "pool" else F.lit(v)).alias(k) for k, v in r.items()]) for r in rows]))
     base = ranked_channels(cands, ["query_id", "channel"], ident).withColumnRenamed("rank", "__depth")
-    d = base.withColumn("cfg", cfg).select("*", "cfg.*").where(F.col("__depth") <= F.col("pool")).drop("cfg", "__depth", "pool")
+    d = base.withColumn("cfg", cfg).select("*", "cfg.*").where(F.col("pool").isNull() | (F.col("__depth") <= F.col("pool"))).drop("cfg", "__depth", "pool")
     f = fuse(d, channel_weights(F.lit(has_image), F.lit(has_text)), ["label", "query_id"], ident,
              strategy=F.col("strategy"), normalization=F.col("normalization"), rrf_k=F.col("rrf_k"))
     return final_rank(f, ["label", "query_id"], ident).select("label", "query_id", ident, "final_score", "rank")

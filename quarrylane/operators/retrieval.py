@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from quarrylane.functions import text as tx
 from quarrylane.functions import vectors as vx
-from quarrylane.plans.bounded import bounded_rows, fits
+from quarrylane.plans.bounded import fits, small_side
+from quarrylane.session import checkpointed
 
 MAX_BROADCAST_QUERIES = 4096
+SCORE_CELLS = 4_000_000  # scores held at once by a task
 SCORE_DIGITS = 9  # equal vectors must tie, whatever order the sums were taken in
 
 
@@ -37,14 +39,19 @@ class _Best:
             (np.array([]), np.array([], dtype=object)) for _ in range(len(queries))]
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids):
-            return
-        scores = np.round(_unit_rows(vectors) @ self.q.T, SCORE_DIGITS)
-        for j in range(len(self.q)):
-            s, i = self.kept[j]
-            s, i = np.concatenate([s, scores[:, j]]), np.concatenate([i, ids])
-            order = np.lexsort((i, -s))[: self.k]
-            self.kept[j] = (s[order], i[order])
+        """Take rows in slices of bounded score matrices; only rows that can still enter a query's list are sorted."""
+        step = max(1, SCORE_CELLS // max(1, len(self.q)))
+        for at in range(0, len(ids), step):
+            part, scores = ids[at:at + step], np.round(_unit_rows(vectors[at:at + step]) @ self.q.T, SCORE_DIGITS)
+            floor = np.array([s[self.k - 1] if len(s) >= self.k else -np.inf for s, _ in self.kept])
+            if len(part) > self.k:
+                floor = np.maximum(floor, np.partition(scores, len(part) - self.k, axis=0)[len(part) - self.k])
+            hit = scores >= floor
+            for j in np.flatnonzero(hit.any(axis=0)):
+                s, i = self.kept[j]
+                s, i = np.concatenate([s, scores[hit[:, j], j]]), np.concatenate([i, part[hit[:, j]]])
+                order = np.lexsort((i, -s))[: self.k]
+                self.kept[j] = (s[order], i[order])
 
     def frame(self, query_ids: Sequence, ident: str) -> pd.DataFrame:
         return pd.DataFrame({
@@ -136,64 +143,67 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return arr.select("query_id", vx.unit(F.transform("a", lambda x: x["m"])).alias("vector"))
 
 
-def more_like_this(catalog: DataFrame, ident: str, image: str, text: str, chosen: DataFrame, k: int) -> DataFrame:
-    """Neighbours of stored products, by image vector or else by text vector; never themselves."""
+def more_like_this(catalog: DataFrame, ident: str, image: str, chosen: DataFrame, k: int) -> DataFrame:
+    """Neighbours of stored products by image vector, never themselves; see ``fusion.similar_products`` for those without one."""
     q = catalog.join(F.broadcast(chosen.select(ident)) if fits(chosen, MAX_BROADCAST_QUERIES) else chosen.select(ident), ident)
-    q = q.select(F.col(ident).alias("query_id"), F.coalesce(image, text).alias("vector"))
+    q = q.select(F.col(ident).alias("query_id"), F.col(image).alias("vector")).where("vector IS NOT NULL")
     hits = cosine_top_k(catalog, ident, image, q, k + 1).where(F.col(ident) != F.col("query_id"))
     return top_per_query(hits.drop("rank"), k, ["query_id"], ident)
 
 
-def query_terms(queries: DataFrame, text: str, limit: int = 2000) -> list[tuple]:
-    """(query id, terms) of a checked, small query batch."""
+def query_terms(queries: DataFrame, text: str) -> DataFrame:
+    """``query_id`` and its distinct ``terms``; queries without a term are left out."""
     q = queries.select("query_id", F.array_distinct(tx.terms(F.col(text))).alias("terms"))
-    return [(r[0], list(r[1])) for r in bounded_rows(q, limit, "query batch") if r[1]]
+    return q.where(F.size("terms") > 0)
 
 
 def substring_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: str, fields: Sequence[str],
-                     candidate_fields: Sequence[str], name: str, k: int) -> DataFrame:
+                     candidate_fields: Sequence[str], name: str, k: int, block: int = 2000) -> DataFrame:
     """Share of query terms found as substrings; a hit in the name counts twice.
 
-    The queries are part of the expression, so the catalog is read once and only
+    A substring has no key to join on, so the stated queries meet all rows in blocks of about ``block`` queries, and only
     matching (query, product) rows with their score leave a task.
     """
     hay = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
     near = F.lower(F.concat_ws("\n", *[F.col(f) for f in candidate_fields]))
     head = F.lower(F.coalesce(F.col(name), F.lit("")))
     d = catalog.select(F.col(ident), hay.alias("__hay"), near.alias("__near"), head.alias("__head"))
-    cells = []
-    for qid, terms in query_terms(queries, text):
-        def hits(c: str, ts=terms) -> Column:
-            return sum((F.contains(F.col(c), F.lit(t)).cast("int") for t in ts), F.lit(0))
-
-        found = hits("__near") > 0
-        cells.append(F.when(found, F.struct(F.lit(qid).alias("query_id"),
-                                            ((hits("__hay") + hits("__head")) / (2.0 * len(terms))).alias("score"))))
-    hit = F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull()))
-    return top_per_query(d.select(ident, hit.alias("h")).select("h.query_id", ident, "h.score"), k, ["query_id"], ident)
+    q = checkpointed(query_terms(queries, text))
+    blocks = max(1, math.ceil(q.count() / block))
+
+    def hits(c: str) -> Column:
+        return F.aggregate("terms", F.lit(0), lambda n, t: n + F.contains(F.col(c), t).cast("int"))
+
+    found = None
+    for b in range(blocks):
+        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = d.join(F.broadcast(some), F.exists("terms", lambda t: F.contains(F.col("__near"), t)))
+        part = part.select("query_id", ident, ((hits("__hay") + hits("__head")) / (2.0 * F.size("terms"))).alias("score"))
+        found = part if found is None else found.unionByName(part)
+    return top_per_query(found, k, ["query_id"], ident)
 
 
 # Weight per field of the ranked keyword channel.
 FIELD_WEIGHTS = {"name": 1.0, "brand": 0.4, "category": 0.4, "subcategory": 0.4, "description": 0.2}
 
 
-def _holding(d: DataFrame, queries: DataFrame, query_text: str) -> DataFrame:
-    """Rows of ``d`` (with ``__terms``) beside every query whose terms they all hold.
+def _holding(d: DataFrame, ident: str, queries: DataFrame, query_text: str) -> DataFrame:
+    """(query, row) pairs where the row (``ident``, ``__terms``) holds every term of the query, with ``__need``.
 
-    A row is looked up only by the rarest term of each query, so common words never
-    multiply into pairs; the other terms are checked on the matched rows.
+    Rows are first reduced to the terms that some query names. A row is then looked up only by the rarest term of each
+    query, so common words never multiply into pairs; the other terms are checked on the matched rows.
     """
-    q = queries.select("query_id", F.array_distinct(tx.terms(F.col(query_text))).alias("__need")).where(F.size("__need") > 0)
+    q = query_terms(queries, query_text).withColumnRenamed("terms", "__need")
     wanted = q.select("query_id", F.explode("__need").alias("term"))
-    known = wanted.select("term").distinct()
-    known = F.broadcast(known) if fits(known, 100_000) else known
-    freq = (d.select(F.explode("__terms").alias("term")).join(known, "term", "left_semi")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    held = d.select(ident, F.explode("__terms").alias("term")).join(small_side(wanted.select("term").distinct()), "term", "left_semi")
+    held = checkpointed(held)
+    freq = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.join(freq, "term", "left").groupBy("query_id").agg(
         F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    probe = q.join(rarest, "query_id")
-    hits = d.withColumn("term", F.explode("__terms")).join(F.broadcast(probe) if fits(q, 10_000) else probe, "term")
-    return hits.where(F.size(F.array_except("__need", "__terms")) == 0).drop("term")
+    probe = small_side(q.join(rarest, "query_id"))
+    have = held.groupBy(ident).agg(F.collect_set("term").alias("__have"))  # at most the terms of the batch
+    hits = held.join(probe, "term").join(have, ident)
+    return hits.where(F.size(F.array_except("__need", "__have")) == 0).select("query_id", ident, "__need")
 
 
 def all_terms_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: str, k: int,
@@ -201,20 +211,20 @@ def all_terms_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: s
     """Products that hold every term of a query, ranked by summed field weights."""
     weights = weights or FIELD_WEIGHTS
     d = catalog.select(F.col(ident), *[tx.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"__{f}") for f in weights])
-    d = d.withColumn("__terms", F.array_distinct(F.concat(*[F.col(f"__{f}") for f in weights])))
+    terms = d.select(ident, F.array_distinct(F.concat(*[F.col(f"__{f}") for f in weights])).alias("__terms"))
 
     def weight_of(t: Column) -> Column:
         return sum((F.size(F.filter(f"__{f}", lambda x: x == t)) * w for f, w in weights.items()), F.lit(0.0))
 
     score = F.aggregate("__need", F.lit(0.0), lambda s, t: s + weight_of(t))
-    found = _holding(d, queries, text).select("query_id", ident, score.alias("score"))
+    found = _holding(terms, ident, queries, text).join(d, ident).select("query_id", ident, score.alias("score"))
     return top_per_query(found, k, ["query_id"], ident)
 
 
 def holding_every_term(docs: DataFrame, ident: str, text: str, queries: DataFrame, query_text: str) -> DataFrame:
     """(query, document) pairs where the document holds every term of the query."""
     d = docs.select(F.col(ident), F.array_distinct(tx.terms(F.col(text))).alias("__terms"))
-    return _holding(d, queries, query_text).select("query_id", ident)
+    return _holding(d, ident, queries, query_text).select("query_id", ident)
 
 
 def alignment(pairs: DataFrame, ident: str, a: str, b: str) -> DataFrame:

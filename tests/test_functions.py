@@ -94,10 +94,9 @@ def test_caption(spark):
     assert got == "Nike Black Tee. a tshirts for men. for sports wear"
 
 
-@pytest.mark.parametrize("raw, want", [("Shoes", "Shoes"), ("Ties", "Ty"), ("Accessories", "Accessory"), ("Watches", "Watch"), ("Dress", "Dress"), ("Tshirts", "Tshirt")])
+@pytest.mark.parametrize("raw, want", [("Shoes", "Shoes"), ("Ties", "Tie"), ("Accessories", "Accessory"), ("Watches", "Watch"), ("Dress", "Dress"), ("Tshirts", "Tshirt")])
 def test_singular(spark, raw, want):
-    expected = {"Ties": "Tie"}.get(raw, want)
-    assert one(spark, raw, tx.singular) in (want, expected)
+    assert one(spark, raw, tx.singular) == want
 
 
 def test_vectors(spark):
@@ -117,3 +116,12 @@ def test_calendar_features(spark):
     assert [r.days_to_holiday for r in rows] == [3, 0, 2]
     assert [r.is_month_start for r in rows] == [1, 0, 0] and rows[2].is_month_end == 1
     assert [r.dow for r in rows] == [pd.Timestamp(r.d).dayofweek for r in rows]
+
+
+def test_titles_dates_and_terms(spark):
+    d = spark.createDataFrame([("new-delhi", "2015-05-12", "<div>Red</div>"), ("o'brien  CITY", "12/25/2016", "\uff32\uff45\uff44 bag"), ("ties", "25/12/2016", None)],
+                              "t string, d string, x string")
+    rows = d.select(cl.title(F.col("t")).alias("t"), cl.repaired_date(F.col("d")).cast("string").alias("d"), tx.terms(F.col("x")).alias("x")).collect()
+    assert [r.t for r in rows] == ["New-Delhi", "O'Brien  City", "Ties"]
+    assert [r.d for r in rows] == ["2015-05-12", "2016-12-25", "2016-12-25"]
+    assert [list(r.x) for r in rows] == [["red"], ["red", "bag"], []]

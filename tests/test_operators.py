@@ -211,7 +211,8 @@ def test_brand_mining(spark):
     names = (["Gini and Jony Boys Tee"] * 4 + ["Turtle Check Shirt", "Turtle Plain Shirt", "Turtle Men Shirt", "Turtle Red Tie"]
              + ["Yves Saint Laurent Men Perfume", "Men Blue Jeans", "plain socks"])
     d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
-    got = {r.name: r.brand for r in catalog.with_brand(d, "name", ["men", "boys", "blue", "red"]).collect()}
+    words = spark.createDataFrame([(w,) for w in ("men", "boys", "blue", "red")], "word string")
+    got = {r.name: r.brand for r in catalog.with_brand(d, "name", words).collect()}
     assert got["Gini and Jony Boys Tee"] == "Gini and Jony" and got["Turtle Check Shirt"] == "Turtle"
     assert got["Yves Saint Laurent Men Perfume"] == "Yves Saint Laurent" and got["Men Blue Jeans"] is None and got["plain socks"] is None
 
@@ -226,3 +227,61 @@ def test_linear_attribution_is_exact(spark):
     j = c.join(raw, "id").toPandas()
     assert np.allclose(j.s - j.s.mean(), j.m - j.m.mean(), atol=1e-6)
     assert json.loads(models.top_factors(models.grouped_contributions(models.linear_contributions(m, w, "id"), "id", ["a", "c"], {}, {}), "id").first().factors)
+
+
+def test_group_folds_keep_the_label_ratio(spark):
+    d = spark.createDataFrame([(i, f"g{i}", int(i < 6)) for i in range(60)] + [(100 + i, "g3", 0) for i in range(20)], "id long, g string, y int")
+    rows = splits.group_folds(d, "g", "y", 5).collect()
+    folds = {r.g: r.fold for r in rows}
+    assert len(rows) == 80 and all(folds[r.g] == r.fold for r in rows)
+    for positive in (True, False):
+        sizes = [sum(f == k for g, f in folds.items() if (int(g[1:]) < 6) == positive) for k in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+def test_bad_scores_are_refused(spark):
+    from quarrylane.operators import decisions, scoring
+
+    for bad in (None, -0.2, 1.5, float("nan")):
+        d = spark.createDataFrame([(0.5, 1, 10.0), (bad, 0, 10.0)], "p double, y int, v double")
+        for job in (scoring.threshold_metrics(d, "p", "y", 0.3), scoring.reliability(d, "p", "y"), scoring.band_summary(d, "p", "y", "v"),
+                    decisions.sweep_counts(d, "p", "y", "v")):
+            with pytest.raises(Exception, match="score is missing"):
+                job.collect()
+
+
+def test_missing_residuals_and_spreads_stay_missing(spark):
+    from quarrylane.operators import forecasts, inventory
+
+    d = spark.createDataFrame([(1, 5.0), (2, 5.0)], "horizon int, f double")
+    resid = spark.createDataFrame([(1, -6.0, 2.0)], "horizon int, resid_q10 double, resid_q90 double")
+    got = {r.horizon: (r.q10, r.q90) for r in forecasts.with_intervals(d, "f", resid).collect()}
+    assert got == {1: (0.0, 7.0), 2: (None, None)}
+    s = spark.createDataFrame([(None,), (-1.0,), (2.0,)], "s double").select(inventory.safety_normal(F.col("s"), F.lit(2.0)).alias("x"))
+    assert [r.x for r in s.collect()] == [None, 0.0, 4.0]
+
+
+def test_many_queries_find_their_rows(spark):
+    from quarrylane.operators import retrieval
+
+    c = spark.createDataFrame([(i, f"item{i:04d} plain") for i in range(300)], "id long, name string")
+    q = spark.createDataFrame([(i, f"item{i % 300:04d}") for i in range(3000)], "query_id long, q string")
+    got = retrieval.substring_scores(c, "id", q, "q", ["name"], ["name"], "name", 3, block=700)
+    assert got.count() == 3000 and got.where("id != query_id % 300").count() == 0
+    assert retrieval.all_terms_scores(c, "id", q, "q", 3, {"name": 1.0}).where("id = query_id % 300").count() == 3000
+
+
+def test_best_rows_with_ties_and_slices(spark, monkeypatch):
+    import numpy as np
+
+    from quarrylane.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 12)
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.normal(size=(10, 4)), 3, axis=0)
+    best = retrieval._Best(retrieval._unit_rows(rng.normal(size=(3, 4))), 5)
+    order = rng.permutation(30)
+    best.add(order.astype(object), v[order])
+    scores = np.round(retrieval._unit_rows(v) @ best.q.T, retrieval.SCORE_DIGITS)
+    for j, (s, ids) in enumerate(best.kept):
+        assert ids.tolist() == sorted(range(30), key=lambda i: (-scores[i, j], i))[:5]
