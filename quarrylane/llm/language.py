@@ -13,6 +13,7 @@ Arrow batch advance together, one symbol a step, in numpy.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from quarrylane.plans.bounded import bounded_rows
 ADDED = ("lang_pred", "score", "known")
 UNDECIDED = "und"
 #: Bound of the training sample: documents per language, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 96, 512
+TRAIN_DOCS, TRAIN_CHARS = 64, 400
 #: Labels are a small vocabulary; more of them than this are refused.
 MAX_LANGUAGES = 500
 BLOCK = 256
@@ -43,53 +44,49 @@ def symbols(text: str) -> bytes:
 _SYMBOL = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def suffix_automaton(data: bytes) -> list[dict[int, int]]:
-    """Transitions of the smallest automaton that accepts every substring; state 0 is its start."""
-    step: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(data: list[int], width: int) -> array:
+    """Transitions of the smallest automaton that accepts every substring of symbols 1 to ``width - 1``.
+
+    Entry ``state + symbol`` is where the symbol leads, states being multiples of ``width``; 0 means nowhere, as no
+    transition leads back to state 0, where every match starts.
+    """
+    step = array("i", bytes(4 * width * (2 * len(data) + 1)))
+    link, length, last, used = {0: -1}, {0: 0}, 0, width
     for c in data:
-        new = len(step)
-        step.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = new
+        new, used = used, used + width
+        length[new], link[new], p = length[last] + 1, 0, last
+        while p >= 0 and not step[p + c]:
+            step[p + c] = new
             p = link[p]
         if p >= 0:
-            q = step[p][c]
+            q = step[p + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin = len(step)
-                step.append(dict(step[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = twin
+                twin, used = used, used + width
+                step[twin:twin + width] = step[q:q + width]
+                length[twin], link[twin] = length[p] + 1, link[q]
+                while p >= 0 and step[p + c] == q:
+                    step[p + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return step
+    return step[:used]
 
 
 class Parser:
     """One language's automaton as a dense table over the bytes that its text uses."""
 
     def __init__(self, texts: tuple[str, ...]):
-        # A line feed is no symbol, so no phrase runs over two training texts.
+        # A line feed is no symbol of a document (it becomes a space), so no phrase runs over two training texts.
         data = b"\n".join(symbols(t) for t in texts) or b" "
         used = sorted(set(data) - {10})
+        self.width = len(used) + 2
         self.column = np.zeros(256, dtype=np.int32)
         self.column[used] = np.arange(1, len(used) + 1)
-        states = suffix_automaton(data)
-        self.width = len(used) + 1
-        self.table = np.zeros(len(states) * self.width, dtype=np.int32)
-        for s, steps in enumerate(states):
-            for c, to in steps.items():
-                if c != 10:
-                    # Held as an offset into the table; 0 means no transition, as none leads back to the start.
-                    self.table[s * self.width + self.column[c]] = to * self.width
+        inner = self.column.copy()
+        inner[10] = len(used) + 1
+        self.table = np.frombuffer(suffix_automaton(inner[np.frombuffer(data, np.uint8)].tolist(), self.width), np.int32)
         self.bits = math.log2(max(2, len(data)))
 
     def breaks(self, blocks: np.ndarray) -> np.ndarray:
@@ -108,18 +105,31 @@ class Parser:
         return count
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def parsers(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[tuple[str, Parser], ...]:
     """The languages' parsers in order of their labels, once per process."""
     return tuple((lang, Parser(texts)) for lang, texts in samples)
 
 
-def _passes(data: list[bytes]) -> Iterator[list[int]]:
-    """Positions of texts, in runs of about _PASS symbols."""
+def _phrases(data: list[bytes], models: tuple[tuple[str, Parser], ...]) -> np.ndarray:
+    """Phrases of each text (rows) in each language (columns). A long text is taken in passes of whole blocks."""
+    out = np.zeros((len(data), len(models)))
+    size = np.array([-(-len(d) // BLOCK) for d in data])
+    flat = np.frombuffer(b"".join(d.ljust(n * BLOCK, b"\0") for d, n in zip(data, size)), np.uint8).reshape(-1, BLOCK)
+    owner = np.repeat(np.arange(len(data)), size)
+    for at in range(0, len(flat), _PASS // BLOCK):
+        some, who = flat[at:at + _PASS // BLOCK], owner[at:at + _PASS // BLOCK]
+        for k, (_, parser) in enumerate(models):
+            np.add.at(out[:, k], who, parser.breaks(some) + 1)
+    return out
+
+
+def _passes(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch in runs of about _PASS characters."""
     held, size = [], 0
-    for i, d in enumerate(data):
-        held.append(i)
-        size += max(len(d), BLOCK)
+    for t in texts:
+        held.append(t.as_py())
+        size += max(len(held[-1] or ""), BLOCK)
         if size >= _PASS:
             yield held
             held, size = [], 0
@@ -127,20 +137,6 @@ def _passes(data: list[bytes]) -> Iterator[list[int]]:
         yield held
 
 
-def _phrases(data: list[bytes], models: tuple[tuple[str, Parser], ...]) -> np.ndarray:
-    """Phrases of each text (rows) in each language (columns). A long text is taken in passes of whole blocks."""
-    out = np.zeros((len(data), len(models)))
-    for run in _passes(data):
-        size = np.array([-(-len(data[i]) // BLOCK) for i in run])
-        flat = np.frombuffer(b"".join(data[i].ljust(n * BLOCK, b"\0") for i, n in zip(run, size)), np.uint8).reshape(-1, BLOCK)
-        owner = np.repeat(run, size)
-        for at in range(0, len(flat), _PASS // BLOCK):
-            some, who = flat[at:at + _PASS // BLOCK], owner[at:at + _PASS // BLOCK]
-            for k, (_, parser) in enumerate(models):
-                np.add.at(out[:, k], who, parser.breaks(some) + 1)
-    return out
-
-
 def classify(texts: list[str | None], samples: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[list[str], list[float], list[float]]:
     """Language, score and known share of each text.
 
@@ -203,8 +199,9 @@ def identify(df: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], te
 
     @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
     def guess(texts: pa.Array) -> pa.Array:
-        lang, score, known = classify(texts.to_pylist(), samples)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], list(ADDED))
+        found = [classify(run, samples) for run in _passes(texts)]
+        columns = [pa.array([v for f in found for v in f[k]], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        return pa.StructArray.from_arrays(columns, list(ADDED))
 
     rows = df.select(packed(df), guess.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("found"))
     return unpacked(rows.select("row", "found.*"), df.columns, ADDED)
