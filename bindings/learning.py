@@ -21,7 +21,7 @@ CATEGORICAL = ["Contract", "InternetService", "PaymentMethod", "tenure_band"]
 def people(t: Tables):
     """Subscribers with features and leak-free folds, written once for all fits."""
     d = sb.with_features(subscribers.subs(t)).drop("p").withColumn("y", F.col("y").cast("double"))
-    return checkpointed(splits.group_folds(d, subscribers.FEATS, "y", 3))
+    return checkpointed(splits.group_folds(d, subscribers.FEATS, "y", 5))
 
 
 @query("model_search")
@@ -58,7 +58,7 @@ def linear(t: Tables):
     return models.fit(d, "logistic_regression", NUMERIC, CATEGORICAL, regParam=0.01), d
 
 
-CONCEPTS = {"tenure__i": "tenure", "tenure_band": "tenure", "MonthlyCharges__i": "price", "charges_per_addon__i": "price"}
+CONCEPTS = {"tenure": "tenure", "tenure_band": "tenure", "MonthlyCharges": "price", "charges_per_addon": "price"}
 
 
 def contributions(t: Tables):
@@ -76,7 +76,35 @@ def global_importance(t: Tables):
 @query("model_top_factors")
 def top_factors(t: Tables):
     """Strongest reasons per customer as JSON."""
-    return models.top_factors(contributions(t), "customerID")
+    return models.top_factors(contributions(t), "customerID", people(t), [*NUMERIC, *CATEGORICAL])
+
+
+# A stated scorer: log-odds per unit, so that attribution can be checked without a fitted model.
+STATED = {"tenure": -0.03, "MonthlyCharges": 0.02}
+STATED_SQL = f"""WITH {subscribers.SUBS}, m AS (SELECT avg(tenure) AS a, avg(MonthlyCharges) AS b FROM s),
+c AS (SELECT customerID, 'tenure' AS feature, 'tenure' AS concept, -0.03 * (tenure - m.a) AS v, tenure::VARCHAR AS x FROM s, m
+  UNION ALL SELECT customerID, 'MonthlyCharges', 'price', 0.02 * (MonthlyCharges - m.b), NULL FROM s, m)"""
+
+
+def stated(t: Tables):
+    d = subscribers.subs(t)
+    c = models.stated_contributions(d, "customerID", STATED)
+    return models.grouped_contributions(c, "customerID", ["tenure", "MonthlyCharges"], CONCEPTS, {})
+
+
+@query("model_stated_importance", STATED_SQL + " SELECT concept, round(sum(abs(v)) / count(DISTINCT customerID), 6) AS importance FROM c GROUP BY 1")
+def stated_importance(t: Tables):
+    """Mean absolute contribution per concept of a stated linear scorer."""
+    return models.global_importance(stated(t), "customerID", "concept")
+
+
+@query("model_stated_factors", STATED_SQL + """ SELECT customerID, CASE WHEN v > 0 THEN 'raises' ELSE 'lowers' END AS direction, 'tenure = ' || x || CASE WHEN v > 0 THEN ' raises' ELSE ' lowers' END || ' the risk' AS reason
+FROM c WHERE feature = 'tenure' AND abs(v) >= 0.02""")
+def stated_factors(t: Tables):
+    """What a stated scorer says of each customer's tenure, in a phrase from the row's own value."""
+    f = models.top_factors(stated(t), "customerID", subscribers.subs(t).withColumn("tenure", F.col("tenure").cast("long")), ["tenure", "MonthlyCharges"])
+    reasons = F.explode(F.from_json("factors", "array<struct<concept:string,reason:string>>"))
+    return f.select("customerID", "direction", reasons.alias("x")).where("x.concept = 'tenure'").select("customerID", "direction", "x.reason")
 
 
 @query("model_bundle_round_trip")

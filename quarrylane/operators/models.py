@@ -45,10 +45,14 @@ def preprocessor(numeric: Sequence[str], categorical: Sequence[str], scale: bool
 
 
 def feature_names(df: DataFrame) -> list[str]:
-    """Names of the assembled vector's positions, from its metadata."""
-    attrs = df.schema[FEATURES].metadata["ml_attr"]["attrs"]
-    every = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
-    return [a.get("name", str(a["idx"])) for a in every]
+    """Names of the assembled vector's positions, from its metadata; scaling forgets names, so they come from its input."""
+    def names(column: str) -> list[str]:
+        attrs = df.schema[column].metadata["ml_attr"]["attrs"]
+        every = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
+        return [a.get("name", str(a["idx"])) for a in every]
+
+    scaled = {f"__scaled_{i}": n for i, n in enumerate(names("__num"))} if "__scaled" in df.columns else {}
+    return [scaled.get(n, n) for n in names(FEATURES)]
 
 
 def balanced_weights(df: DataFrame, y: str) -> DataFrame:
@@ -175,6 +179,14 @@ def linear_contributions(model: PipelineModel, df: DataFrame, ident: str) -> Dat
     return d.join(F.broadcast(means), "i").select(ident, name.alias("encoded"), (weight * (F.col("x") - F.col("m"))).alias("contribution"))
 
 
+def stated_contributions(df: DataFrame, ident: str, weights: Mapping[str, float]) -> DataFrame:
+    """Exact attribution of a linear scorer with given weights, one row per feature; a missing value adds nothing."""
+    means = {c: df.agg(F.avg(F.col(c).cast("double")).alias("m")).scalar() for c in weights}
+    parts = [F.struct(F.lit(c).alias("encoded"), (F.lit(float(w)) * F.coalesce(F.col(c).cast("double") - means[c], F.lit(0.0))).alias("contribution"))
+             for c, w in weights.items()]
+    return df.select(ident, F.explode(F.array(*parts)).alias("c")).select(ident, "c.encoded", "c.contribution")
+
+
 def base_feature(encoded: Column, features: Sequence[str]) -> Column:
     """Source column of an encoded one: the longest column name it starts with."""
     out = encoded
@@ -205,13 +217,16 @@ def global_importance(c: DataFrame, ident: str, key: str) -> DataFrame:
     return c.groupBy(key).agg(F.sum(F.abs("contribution")).alias("__s")).select(key, (F.col("__s") / n).alias("importance"))
 
 
-def top_factors(c: DataFrame, ident: str, n: int = 4, floor: float = 0.02) -> DataFrame:
-    """Strongest concepts in each direction per row, packed as JSON."""
-    g = c.groupBy(ident, "concept").agg(F.sum("contribution").alias("contribution")).where(F.abs("contribution") >= floor)
+def top_factors(c: DataFrame, ident: str, rows: DataFrame, features: Sequence[str], n: int = 4, floor: float = 0.02) -> DataFrame:
+    """Strongest concepts in each direction per row, packed as JSON; each names its strongest feature and the row's own value."""
+    g = c.groupBy(ident, "concept").agg(F.sum("contribution").alias("contribution"), F.max_by("feature", F.struct(F.abs("contribution"), "feature")).alias("feature"))
+    pairs = F.flatten(F.array(*[F.array(F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("missing"))) for f in features]))
+    values = rows.select(ident, F.map_from_arrays(F.filter(pairs, lambda _, i: i % 2 == 0), F.filter(pairs, lambda _, i: i % 2 == 1)).alias("__values"))
+    g = g.where(F.abs("contribution") >= floor).join(values, ident)
     g = g.withColumn("direction", F.when(F.col("contribution") > 0, "raises").otherwise("lowers"))
     w = Window.partitionBy(ident, "direction").orderBy(F.desc(F.abs("contribution")), "concept")  # one row per concept
     k = g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    phrase = F.concat_ws(" ", "concept", "direction", F.lit("the risk"))
+    phrase = F.concat(F.col("feature"), F.lit(" = "), F.try_element_at("__values", F.col("feature")), F.lit(" "), F.col("direction"), F.lit(" the risk"))
     item = F.struct(F.col("rank"), F.col("concept"), phrase.alias("reason"), F.round("contribution", 6).alias("contribution"))
     return k.groupBy(ident, "direction").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("factors"))
 

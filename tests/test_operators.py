@@ -222,11 +222,12 @@ def test_linear_attribution_is_exact(spark):
     d = spark.createDataFrame([(i, r.random(), r.choice("xyz"), float(r.random() < 0.4)) for i in range(200)], "id int, a double, c string, y double")
     w = models.balanced_weights(d, "y")
     m = models.fit(w, "logistic_regression", ["a"], ["c"], regParam=0.01)
+    assert {r.encoded.split("__")[0] for r in models.linear_contributions(m, w, "id").collect()} == {"a", "c"}
     c = models.linear_contributions(m, w, "id").groupBy("id").agg(F.sum("contribution").alias("s"))
     raw = m.transform(w).select("id", F.element_at(F.expr("transform(split(substring(cast(rawPrediction as string), 2, 200), ','), x -> cast(replace(x, ']', '') as double))"), 2).alias("m"))
     j = c.join(raw, "id").toPandas()
     assert np.allclose(j.s - j.s.mean(), j.m - j.m.mean(), atol=1e-6)
-    assert json.loads(models.top_factors(models.grouped_contributions(models.linear_contributions(m, w, "id"), "id", ["a", "c"], {}, {}), "id").first().factors)
+    assert json.loads(models.top_factors(models.grouped_contributions(models.linear_contributions(m, w, "id"), "id", ["a", "c"], {}, {}), "id", w, ["a", "c"]).first().factors)
 
 
 def test_group_folds_keep_the_label_ratio(spark):
