@@ -6,7 +6,10 @@ chunks after it without changing them, and a passage is cut alike wherever it st
 
 Chunks are compared by digest. A chunk that occurs in documents of several ids belongs to the smallest id; elsewhere it is
 a repeat. Consecutive repeats form a run, and a run of enough words is a repeated passage. Because the two chunks at a
-passage's edges also hold other text, a passage of 50 words shows as a run of fewer; MIN_WORDS allows for both.
+passage's edges also hold other text, a passage of 51 words shows as a run of about 41; MIN_WORDS leaves room for long
+edges. In 2,000 trials with passages of 51 words from the test texts, 96.8 % reached 20 words: 99.6 % of those with over half
+distinct words, but 7 of the 63 others, since a repeated word has few places where a chunk can end. Of passages of 30 words
+57.8 % reached it.
 
 A single chunk's 64-bit digest can collide by chance in a very large corpus; a whole run of several cannot.
 """
@@ -27,7 +30,7 @@ ADDED = ("n_bytes", "repeat_bytes", "spans", "repeat_of")
 #: Bytes of the hash's window, of which one place in AVERAGE ends a chunk, unless one lies in the MIN_GAP bytes before.
 WINDOW, AVERAGE, MIN_GAP = 16, 24, 8
 #: Words of a run of repeated chunks from which it counts as a repeated passage.
-MIN_WORDS = 25
+MIN_WORDS = 20
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LIMIT = np.uint32((1 << 32) // AVERAGE)
 _IS_SPACE = np.zeros(256, dtype=bool)
