@@ -54,7 +54,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ARC and WARC archives and back."""
-    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("record_id")
+
+
+CHECKS["op5_warc"] = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS s,
+                  min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes,
+       -- base32 of 160 bits: four groups of ten hex digits, eight letters of five bits each
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(s, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
 
 
 @registered
@@ -82,7 +94,46 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and divergence from the language references for all documents."""
     found = quality.references(table(spark, sf_dir, "documents", "text", "lang"))
-    return quality.with_quality(table(spark, sf_dir, "documents", "doc_id", "text"), found).drop("text")
+    judged = quality.with_quality(table(spark, sf_dir, "documents", "doc_id", "text"), found)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+# Character classes by the SQL pattern of what is left out; the one before the last is all other ASCII characters.
+_CLASS_PATTERNS = ("[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"""[^.,;:!?''"()-]""", r"[^#*$%&|<>]",
+                   r"""[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()#*$%&|<>-]|[^\x00-\x7F]""", r"[\x00-\x7F]")
+CHECKS["op9_quality"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT doc_id, i, (words[i], words[i + 1], words[i + 2]) AS g FROM w, unnest(range(1, len(words) - 1)) r(i)),
+rep AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM rep GROUP BY 1),
+base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+cls AS (SELECT doc_id, lang, unnest(range({quality.N_CLASSES})) AS k, unnest([{", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))" for p in _CLASS_PATTERNS)}]) AS n FROM d),
+lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(t), '(?:[a-z]|[^\x00-\x7F])+')) AS x FROM d),
+lc AS (SELECT doc_id, lang, x, count(*) AS n FROM lw GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM lc GROUP BY 1),
+rw AS (SELECT lang, x, sum(n) AS n FROM lc WHERE length(x) <= {quality.COMMON_LETTERS} GROUP BY lang, x
+       QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, x) <= {quality.COMMON_WORDS}),
+dt AS (SELECT doc_id, sum(n) AS n FROM lc GROUP BY 1),
+-- both histograms of every document beside every reference; the bin '' holds all words that are not common
+cells AS (SELECT d.doc_id, r.lang, 'c' AS kind, d.n::DOUBLE AS a, r.n::DOUBLE AS b FROM cls d
+    JOIN (SELECT lang, k, sum(n) AS n FROM cls GROUP BY ALL) r USING (k) SEMI JOIN total ON total.lang = r.lang
+  UNION ALL SELECT d.doc_id, rw.lang, 'w', coalesce(lc.n, 0), rw.n FROM d CROSS JOIN rw LEFT JOIN lc ON lc.doc_id = d.doc_id AND lc.x = rw.x
+  UNION ALL SELECT d.doc_id, total.lang, 'w',
+      coalesce((SELECT n FROM dt WHERE dt.doc_id = d.doc_id), 0) - coalesce((SELECT sum(lc.n) FROM lc JOIN rw ON rw.x = lc.x WHERE rw.lang = total.lang AND lc.doc_id = d.doc_id), 0),
+      total.n - (SELECT sum(rw.n) FROM rw WHERE rw.lang = total.lang) FROM d CROSS JOIN total),
+shares AS (SELECT doc_id, lang, kind, a / nullif(sum(a) OVER p, 0) AS a, b / sum(b) OVER p AS b FROM cells WINDOW p AS (PARTITION BY doc_id, lang, kind)),
+dist AS (SELECT doc_id, lang, kind, coalesce(sqrt(greatest(0, sum(CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END
+      + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) FILTER (a IS NOT NULL) / 2)), 1) AS v FROM shares GROUP BY ALL),
+near AS (SELECT doc_id, min(v) AS v FROM (SELECT doc_id, lang, avg(v) AS v FROM dist GROUP BY ALL) GROUP BY 1),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM base)
+SELECT f.*, NOT base_failed AND (n_words < {quality.GUARD_WORDS} OR coalesce(near.v, 0) <= {quality.MAX_DISTANCE} + {quality.SLACK} / sqrt(n_words)) AS kept
+FROM f LEFT JOIN near USING (doc_id)
+"""
 
 
 @registered
