@@ -229,7 +229,7 @@ def single_deal_share(t: Tables):
 FROM rounds WHERE city IS NOT NULL GROUP BY city ORDER BY n_rounds DESC, city LIMIT 8""", digits=2)
 def city_concentration(t: Tables):
     """Largest cities with capital and the metro share."""
-    return rd.concentration(rounds(t))
+    return rd.concentration(t.kept("rounds", lambda: rounds(t)))
 
 
 @query("rounds_head_share", f"""WITH {ROUNDS}, a AS (SELECT amount_usd_adj AS v, row_number() OVER (ORDER BY amount_usd_adj DESC) AS rn FROM money),
@@ -239,7 +239,7 @@ SELECT h::BIGINT AS head, round((SELECT sum(v) FROM a WHERE rn <= h) / t, 6) AS
 FROM s, unnest([10, 50, 100]) AS u(h) WHERE n >= h""")
 def head_share(t: Tables):
     """Share of the largest rounds, mean and exact median."""
-    d = rd.head_share(rd.money_safe(rounds(t)), "amount_usd_adj")
+    d = rd.head_share(rd.money_safe(t.kept("rounds", lambda: rounds(t))), "amount_usd_adj")
     return d.withColumns({"mean": F.round("mean", 2), "median": F.round("median", 2)})
 
 
@@ -301,7 +301,7 @@ def coverage(t: Tables):
   (SELECT year, quantile_cont(amount_usd_adj, 0.5) AS m FROM money GROUP BY 1) q ON q.year = r.year GROUP BY r.year""")
 def yearly_median(t: Tables):
     """Exact median and disclosure per year."""
-    return rd.yearly_median(rounds(t))
+    return rd.yearly_median(t.kept("rounds", lambda: rounds(t)))
 
 
 @query("rounds_money_text", f"""WITH {ROUNDS} SELECT sr_no, CASE WHEN amount_usd IS NULL THEN '-'

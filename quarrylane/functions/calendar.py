@@ -47,12 +47,25 @@ def date_dimension(spark: SparkSession, first: dt.date, last: dt.date) -> DataFr
 
 
 def holiday_distance(day: Column, holidays: list[dt.date], limit: int = 30) -> Column:
-    """Signed days to the nearest holiday, positive before it; ties look ahead."""
-    list_ = F.array(*[F.lit(h) for h in holidays])
-    ahead = F.array_min(F.transform(F.filter(list_, lambda h: h >= day), lambda h: F.datediff(h, day)))
-    behind = F.array_min(F.transform(F.filter(list_, lambda h: h < day), lambda h: F.datediff(day, h)))
-    signed = F.when(ahead <= behind, ahead).otherwise(-behind)
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), signed))
+    """Signed days to the nearest holiday, positive before it; ties look ahead.
+
+    Distances of all days within ``limit`` of the list are worked out once and looked up by position.
+    """
+    days = sorted(holidays)
+    if not days:
+        return F.lit(None).cast("int")
+    first, last = days[0] - dt.timedelta(days=limit), days[-1] + dt.timedelta(days=limit)
+    known, near, k = [], [first + dt.timedelta(days=i) for i in range((last - first).days + 1)], 0
+    for d in near:
+        while k < len(days) and days[k] < d:
+            k += 1
+        ahead = (days[k] - d).days if k < len(days) else None
+        behind = (d - days[k - 1]).days if k else None
+        signed = ahead if ahead is not None and (behind is None or ahead <= behind) else -behind
+        known.append(max(-limit, min(limit, signed)))
+    table = F.split(F.lit(",".join(map(str, known))), ",").cast("array<int>")
+    return (F.when(day < F.lit(first), F.lit(limit)).when(day > F.lit(last), F.lit(-limit))
+            .otherwise(F.get(table, F.datediff(day, F.lit(first)))))
 
 
 def cyclical(value: Column, period: float) -> tuple[Column, Column]:

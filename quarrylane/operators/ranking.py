@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylane.plans.prefix import running_totals
+from quarrylane.session import checkpointed
+
 RULE_FIELDS = ("categories", "subcategories", "colours", "genders", "usages", "brands")
 
 
@@ -53,8 +56,11 @@ def macro_summary(scores: DataFrame, cutoffs: Sequence[int], keys: Sequence[str]
 
 
 def nearest_rank(df: DataFrame, value: str, fraction: float) -> DataFrame:
-    """Nearest-rank percentile of a per-query number."""
-    return df.agg(F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY `{value}`)").alias("p"))
+    """Nearest-rank percentile of a per-query number: the least value that the fraction of all rows does not exceed."""
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n").alias("t")).scalar()
+    upto = running_totals(counts, value, ["__n"])
+    return upto.where(F.col("cum___n") >= F.ceil(F.lit(float(fraction)) * total)).agg(F.min(value).alias("p"))
 
 
 def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: dict[str, str]) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.functions.cleaning import is_close
+from quarrylane.plans.hotkeys import join_counted
 from quarrylane.plans.prefix import running_totals
+from quarrylane.session import checkpointed
 
 FEATURES = ("hour", "amount", "amountLog", "oldbalanceOrg", "newbalanceOrg", "oldbalanceDest",
             "newbalanceDest", "errBalOrig", "errBalDest", "drainedOrig", "amtRatioOrig",
@@ -105,18 +107,18 @@ def confusion_of_rule(df: DataFrame, rule: Column, label: str) -> DataFrame:
 
 
 def factor_codes(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """Integer code of each value in order of first appearance (NULL gets -1)."""
+    """Integer code of each value in order of first appearance (NULL gets -1), and its ``rows``."""
     seen = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.min(row_id).alias("__first"), F.lit(1).cast("long").alias("one"))
+        F.min(row_id).alias("__first"), F.count(F.lit(1)).alias("rows"), F.lit(1).cast("long").alias("one"))
     ranked = running_totals(seen, "__first", ["one"])
-    return ranked.select(column, (F.col("cum_one") - 1).alias(f"code_{column}"))
+    return ranked.select(column, (F.col("cum_one") - 1).alias(f"code_{column}"), "rows")
 
 
 def factor_correlation(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
     """Pearson correlation of first-appearance codes, one row per column pair."""
     d = df.select(row_id, *columns)
     for c in columns:
-        d = d.join(factor_codes(df, c, row_id), c, "left")
+        d = join_counted(d, checkpointed(factor_codes(df, c, row_id)), c, "rows", "left")
     code = {c: F.coalesce(F.col(f"code_{c}"), F.lit(-1)).cast("double") for c in columns}
     pairs = list(combinations(columns, 2))
     row = d.agg(*[F.corr(code[a], code[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
