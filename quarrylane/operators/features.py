@@ -19,11 +19,33 @@ CROSTON_DAYS = 365
 NEVER = 99
 
 
-def at_origins(panel: DataFrame, origins: Sequence[dt.date]) -> DataFrame:
-    """Repeat each row for the origins that may see it; the future is dropped here."""
-    last = max(origins)
-    return (panel.where(F.col(DATE) <= F.lit(last)).withColumn("origin", each(origins))
-            .where(F.col(DATE) <= F.col("origin")))
+def at_origins(panel: DataFrame, origins: Sequence[dt.date], days: int | None = None) -> DataFrame:
+    """Repeat each row for the origins that may see it, those at most ``days`` days later; the future is dropped here."""
+    every = F.array(*[F.lit(o) for o in sorted(origins)])
+    date = F.col(DATE)
+    seen = F.filter(every, lambda o: (o >= date) if days is None else (o >= date) & (F.datediff(o, date) < days))
+    d = panel.where(date <= F.lit(max(origins)))
+    if days is not None:
+        d = d.where(date > F.lit(min(origins) - dt.timedelta(days=days)))
+    return d.withColumn("origin", F.explode(seen))
+
+
+def history_totals(panel: DataFrame, origins: Sequence[dt.date]) -> DataFrame:
+    """Level, spread, share of selling days and age of each series at each origin.
+
+    Rows are summed between one origin and the next, and only these few sums are repeated for the later origins.
+    """
+    every = F.array(*[F.lit(o) for o in sorted(origins)])
+    y = F.col(DEMAND).cast("double")
+    first = F.array_min(F.filter(every, lambda o: o >= F.col(DATE)))
+    part = panel.where(F.col(DATE) <= F.lit(max(origins))).groupBy(SERIES, first.alias("__from")).agg(
+        F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"), F.count_if(y > 0).alias("pos"), F.min(DATE).alias("first"))
+    each_origin = part.withColumn("origin", F.explode(F.filter(every, lambda o: o >= F.col("__from"))))
+    t = each_origin.groupBy(SERIES, "origin").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "pos")], F.min("first").alias("first"))
+    n, mean = F.col("n"), F.try_divide(F.col("s"), F.col("n"))
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * mean)) / (n - 1)))
+    return t.select(SERIES, "origin", mean.alias("hist_mean"), spread.alias("hist_std"), F.try_divide(F.col("pos"), n).alias("hist_nonzero_rate"),
+                    F.datediff("origin", "first").alias("series_age_days"))
 
 
 def croston_level(sales: Column, window_start: Column, alpha: float = CROSTON_ALPHA) -> tuple[Column, Column]:
@@ -48,8 +70,9 @@ def croston_level(sales: Column, window_start: Column, alpha: float = CROSTON_AL
 
 def origin_features(panel: DataFrame, origins: Sequence[dt.date], first_date: dt.date,
                     lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """One row per series and origin, from one grouped aggregate over its history."""
-    d = at_origins(panel.select(SERIES, DATE, DEMAND, "sell_price"), origins)
+    """One row per series and origin: the days that its lags, windows and intervals reach back to, and totals of the rest."""
+    reach = max(CROSTON_DAYS, 28, *lags, *windows)
+    d = at_origins(panel.select(SERIES, DATE, DEMAND, "sell_price"), origins, reach)
     age = F.datediff("origin", DATE)  # 0 on the origin day
     y, price = F.col(DEMAND).cast("double"), F.col("sell_price").cast("double")
     aggs = [F.max(F.when(age == k - 1, y)).alias(f"lag_{k}") for k in lags]
@@ -62,14 +85,12 @@ def origin_features(panel: DataFrame, origins: Sequence[dt.date], first_date: dt
     aggs += [
         F.min(F.when((age < 28) & (y > 0), age)).alias("__since"),
         F.avg(F.when((age < 28) & (y > 0), y)).alias("mean_nonzero_size_28"),
-        F.avg(y).alias("hist_mean"), F.stddev_samp(y).alias("hist_std"),
-        (F.count_if(y > 0) / F.count(y)).alias("hist_nonzero_rate"),
-        F.datediff("origin", F.min(DATE)).alias("series_age_days"),
         F.avg(F.when(age < 28, price)).alias("price_mean_28_at_origin"),
         F.max(F.when(age == 0, price)).alias("price_at_origin"),
         F.array_sort(F.collect_list(F.when((age < CROSTON_DAYS) & (y > 0), sale))).alias("__sales"),
     ]
-    f = d.groupBy(SERIES, "origin").agg(*aggs)
+    f = history_totals(panel, origins).join(d.groupBy(SERIES, "origin").agg(*aggs), [SERIES, "origin"], "left")
+    f = f.withColumn("__sales", F.coalesce("__sales", F.array().cast(f.schema["__sales"].dataType)))
     begin = F.greatest(F.date_sub("origin", CROSTON_DAYS - 1), F.lit(first_date))
     z, p = croston_level(F.col("__sales"), begin)
     f = f.withColumns({
@@ -150,8 +171,8 @@ def with_baselines(df: DataFrame) -> DataFrame:
 def seasonal_scale(panel: DataFrame, origins: Sequence[dt.date], season: int = 7) -> DataFrame:
     """In-sample seasonal-naive error per series and origin; NULL where it is zero."""
     w = Window.partitionBy(SERIES).orderBy(DATE)
-    diff = panel.select(SERIES, DATE, F.abs(F.col(DEMAND) - F.lag(DEMAND, season).over(w)).alias("d"))
-    scale = at_origins(diff, origins).groupBy(SERIES, "origin").agg(F.avg("d").alias("mase_scale"))
+    diff = panel.select(SERIES, DATE, F.abs(F.col(DEMAND) - F.lag(DEMAND, season).over(w)).alias(DEMAND))
+    scale = history_totals(diff, origins).select(SERIES, "origin", F.col("hist_mean").alias("mase_scale"))
     return scale.withColumn("mase_scale", F.when(F.col("mase_scale") != 0, F.col("mase_scale")))
 
 
