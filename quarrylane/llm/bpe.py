@@ -53,13 +53,21 @@ def _token_bytes(path: str) -> list[bytes | None]:
     return out
 
 
+def _encoded(text: str | None, enc: tiktoken.Encoding) -> bytes:
+    return enc.encode_to_numpy(text or "").astype("<u4", copy=False).tobytes()
+
+
+def _decoded(ids: bytes, tokens: list[bytes | None]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encoder(path: str, pattern: str):
     """Column function: text to ids; null as an empty text."""
 
     @F.arrow_udf("binary")
     def encode_texts(texts: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
-        return pa.array((enc.encode_to_numpy(t.as_py() or "").astype("<u4").tobytes() for t in texts), pa.binary(), size=len(texts))
+        return pa.array((_encoded(t.as_py(), enc) for t in texts), pa.binary(), size=len(texts))
 
     return encode_texts.asNondeterministic()  # evaluated once, however often its result is used
 
@@ -70,13 +78,22 @@ def decoder(path: str):
     @F.arrow_udf("binary")
     def decode_ids(values: pa.Array) -> pa.Array:
         tokens = _token_bytes(path)
+        return pa.array((None if v.as_py() is None else _decoded(v.as_py(), tokens) for v in values), pa.binary(), size=len(values))
 
-        def raw(v: bytes | None) -> bytes | None:
-            return None if v is None else b"".join(map(tokens.__getitem__, np.frombuffer(v, "<u4").tolist()))
+    return decode_ids.asNondeterministic()
 
-        return pa.array((raw(v.as_py()) for v in values), pa.binary(), size=len(values))
 
-    return decode_ids.asNondeterministic()
+def round_trip(path: str, pattern: str):
+    """Column function: text to its ids and what they decode to, in one Python process."""
+
+    @F.arrow_udf("struct<token_ids:binary,decoded:binary>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        enc, tokens = encoding(path, pattern), _token_bytes(path)
+        ids = pa.array((_encoded(t.as_py(), enc) for t in texts), pa.binary(), size=len(texts))
+        back = pa.array((_decoded(i.as_py(), tokens) for i in ids), pa.binary(), size=len(texts))
+        return pa.StructArray.from_arrays([ids, back], ["token_ids", "decoded"])
+
+    return there_and_back.asNondeterministic()
 
 
 def meeting_points(text: str, start: int, spans: list[tuple[int, int]], pattern: str) -> list[list[int]]:
@@ -122,20 +139,24 @@ def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap:
     return ids.groupBy("no").agg(joined.alias("token_ids"))
 
 
+def _parted(df: DataFrame, text_col: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with texts up to one chunk (``row``, ``text``), and the others (with a number ``no``)."""
+    if not 2 * _MARGIN < overlap <= chunk:
+        raise ValueError("the overlap must be longer than its margin and at most a chunk")
+    rows = df.select(packed(df), F.col(f"`{text_col}`").cast("string").alias("text"))
+    many = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    return rows.where(~many), saved(rows.where(many).withColumn("no", F.monotonically_increasing_id()))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Every input row with ``token_ids``, as the library encodes its whole text without special tokens.
 
     Null and empty texts give no ids. An empty table gives an empty result. An input column of the added name is replaced.
     """
-    if not 2 * _MARGIN < overlap <= chunk:
-        raise ValueError("the overlap must be longer than its margin and at most a chunk")
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = df.select(packed(df), text.alias("text"))
-    many = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = rows.where(~many).select("row", encoder(path, pattern)("text").alias("token_ids"))
-    long = saved(rows.where(many).withColumn("no", F.monotonically_increasing_id()))
+    short, long = _parted(df, text_col, chunk, overlap)
+    near = short.select("row", encoder(path, pattern)("text").alias("token_ids"))
     far = long.select("no", "row").join(_encode_long(long.select("no", "text"), path, pattern, chunk, overlap), "no").select("row", "token_ids")
-    return unpacked(short.union(far), df.columns, ADDED)
+    return unpacked(near.union(far), df.columns, ADDED)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -144,10 +165,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     return unpacked(rows, df.columns, ("decoded",))
 
 
-def encoded_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                    chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Per row the id, ``n_tokens``, and SHA-256 of the ids and of the bytes that they decode to."""
-    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    ids = encode(slim, path, pattern, "body").select("id", "token_ids")
-    out = decode(ids, path)
-    return out.select(F.col("id").alias(id_col), (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-                      F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    short, long = _parted(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")), "body", chunk, overlap)
+    near = short.select(F.col("row.id").alias("id"), round_trip(path, pattern)("text").alias("r")).select("id", "r.*")
+    ids = _encode_long(long.select("no", "text"), path, pattern, chunk, overlap)
+    far = decode(long.select("no", F.col("row.id").alias("id")).join(ids, "no").select("id", "token_ids"), path)
+    return near.union(far).select(F.col("id").alias(id_col), (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                                  F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

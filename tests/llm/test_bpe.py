@@ -35,8 +35,9 @@ def test_encode(spark, chunk, overlap):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
-def test_digests(spark):
-    got = bpe.encoded_digests(spark.createDataFrame(texts(), ROWS).drop("token_ids"), PATH, PATTERN)
+@pytest.mark.parametrize("chunk,overlap", [(64, 24), (65_536, 1_024)])
+def test_digests(spark, chunk, overlap):
+    got = bpe.encoded_digests(spark.createDataFrame(texts(), ROWS).drop("token_ids"), PATH, PATTERN, chunk=chunk, overlap=overlap)
     enc, want = bpe.encoding(PATH, PATTERN), []
     for i, t, _, _ in texts():
         ids = enc.encode_ordinary(t or "")
