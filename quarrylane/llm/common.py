@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.plans.hotkeys import heavy_cut, join_counted, partition_count
 from quarrylane.session import checkpointed
+from quarrylane.sources.sinks import shared_folder
+
+__all__ = ["SPACES", "heavy_cut", "join_counted", "packed", "partition_count", "saved", "shared_folder", "unpacked", "written"]
 
 #: White space that separates words, as a Java and Python character class.
 SPACES = r"\x20\x09-\x0D"
-#: Heavy keys are those with at least a (HEAVY_SHARE x partitions)-th of all rows, so there are at most that many.
-HEAVY_SHARE = 8
-
-
-def partition_count(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor reaches.
-
-    Only a local session may go without that setting, as tests do.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -54,27 +36,6 @@ def unpacked(df: DataFrame, columns: Sequence[str], added: Sequence[str], row: s
     return df.select(*kept, *added)
 
 
-def heavy_cut(total: int, partitions: int) -> int:
-    """Rows from which a key is heavy; at most HEAVY_SHARE x partitions keys can reach it."""
-    return max(2, -(-total // (HEAVY_SHARE * partitions)))
-
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
-    """Join many rows per key to one row per key without gathering a heavy key's rows in one task.
-
-    ``right`` has one row per key, and ``weight`` says how many rows of ``left`` have it. Heavy keys are at most
-    HEAVY_SHARE x partitions by their definition, so their side is broadcast; all others are shuffled.
-    """
-    spark = left.sparkSession
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    cut = heavy_cut(int(total), partition_count(spark))
-    heavy = right.where(F.col(weight) >= cut).drop(weight)
-    light = right.where(F.col(weight) < cut).drop(weight)
-    first = left.join(F.broadcast(heavy), key)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
-    return first.unionByName(rest)
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the session's shared folder."""
     return checkpointed(df)
