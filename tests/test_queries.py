@@ -9,7 +9,9 @@ from check import TABLES, rows_of
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ("score_review_budgets", "tx_signal_ranking", "tx_temporal_split", "rounds_clean", "rounds_investor_pairs", "subs_sensitivity",
          "subs_decisions", "panel_segments", "features_at_origins", "forecast_scores", "stock_scenarios", "catalog_upsert",
-         "catalog_next_state", "text_deduplicated", "search_end_to_end", "ranking_relevant_pairs", "search_every_term", "file_catalog_csv")
+         "catalog_next_state", "text_deduplicated", "search_end_to_end", "ranking_relevant_pairs", "search_every_term", "file_catalog_csv",
+         "score_budgets_missing", "text_group_folds", "search_similar_products", "panel_selected_items", "file_rounds_cells", "file_query_set",
+         "model_stated_factors", "tx_factor_correlation", "ranking_nearest_rank", "forecast_mase_scale")
 
 
 @pytest.fixture(scope="module")
