@@ -172,7 +172,9 @@ def _links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Verified links ``a`` < ``b`` that connect all distinct fingerprints within the radius of each other."""
-    spread = variants(fps.select("fp")).repartition(partition_count(fps.sparkSession), "key").sortWithinPartitions("key")
+    parts = partition_count(fps.sparkSession)
+    # Fingerprints are small, so few partitions hold them; they are dealt out before each becomes 196 rows.
+    spread = variants(fps.select("fp").repartition(parts, "fp")).repartition(parts, "key").sortWithinPartitions("key")
     return spread.mapInArrow(_links_of, "a long, b long").distinct()
 
 
@@ -240,5 +242,7 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = own.where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t")).select("t.text_hash", "t.id_hash")
     rows = df.select(packed(df), F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
-    one = rows.groupBy("id_hash", "text_hash").agg(F.first("row").alias("row"))
+    # Of rows that repeat id and text, the same one stays in every run.
+    order = F.xxhash64(*[F.col("row").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = rows.groupBy("id_hash", "text_hash").agg(F.min_by("row", order).alias("row"))
     return unpacked(one.join(chosen, ["id_hash", "text_hash"], "left_semi"), df.columns, ())
