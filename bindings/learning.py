@@ -133,6 +133,8 @@ def payment_classifiers(t: Tables):
     return out
 
 
+# Smaller than models.DEMAND_SETTINGS, so that the queries end in seconds on one machine.
+LIGHT = {"tweedie": {"maxIter": 15}, "boosted_trees": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.1}, "random_forest": {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 20}}
 DEM = ["lag_1", "lag_7", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "nonzero_rate_28", "hist_mean", "croston_at_origin", "horizon", "dow"]
 
 
@@ -153,7 +155,7 @@ def demand_models(t: Tables):
     d = test.withColumn("moving_average_28", F.col("rolling_mean_28"))
     out = forecasts.scores(d, ["moving_average_28"])
     for f in ("tweedie", "boosted_trees", "random_forest"):
-        m = models.fit_demand(train, f, DEM, ["store_id"])
+        m = models.fit_demand(train, f, DEM, ["store_id"], **LIGHT[f])
         s = models.predict_demand(m, test, DEM, f, 0.0 if f == "tweedie" else -999.0).select("y_true", f)
         out = out.unionByName(forecasts.scores(s, [f]))
     return out
@@ -163,14 +165,14 @@ def demand_models(t: Tables):
 def demand_importance(t: Tables):
     """Feature importance of the forest."""
     train, _ = supervised(t)
-    return models.importance(models.fit_demand(train, "random_forest", DEM, ["store_id"]), [*DEM, "store_id"])
+    return models.importance(models.fit_demand(train, "random_forest", DEM, ["store_id"], **LIGHT["random_forest"]), [*DEM, "store_id"])
 
 
 @query("model_forecast_job")
 def forecast_job(t: Tables):
     """Forecast of every series beyond the last day, exogenous values carried forward."""
     train, _ = supervised(t)
-    m = models.fit_demand(train, "boosted_trees", DEM, ["store_id"])
+    m = models.fit_demand(train, "boosted_trees", DEM, ["store_id"], **LIGHT["boosted_trees"])
     last = dt.date(2001, 10, 1)
     p = demand.base(t).where(F.col("date") <= F.lit(last))
     future = panel.with_future(p, last, 14)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -72,13 +74,31 @@ def candidates(seed: int = 42) -> dict[str, Callable]:
         "boosted_trees": lambda **k: GBTClassifier(**common, seed=seed, **k)}
 
 
-# Settings each family is searched over.
-SPACES = {"logistic_regression": [{"regParam": r} for r in (0.0, 0.01, 0.1)],
-          "random_forest": [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": 5} for n, d in ((20, 5), (40, 8))],
-          "boosted_trees": [{"maxIter": 10, "maxDepth": 3, "stepSize": 0.1}]}
+# The settings each family is searched over. "C" is the inverse of the summed penalty.
+SPACES = {"logistic_regression": {"C": (0.01, 0.1, 0.5, 1.0, 2.0, 5.0)},
+          "random_forest": {"numTrees": (300, 500), "maxDepth": (6, 10, 16), "minInstancesPerNode": (1, 5, 15, 30), "featureSubsetStrategy": ("sqrt", "0.3", "0.6")},
+          "boosted_trees": {"maxIter": (300, 600), "maxDepth": (3, 4, 6, 8), "stepSize": (0.02, 0.05, 0.1), "subsamplingRate": (0.7, 0.85, 1.0),
+                            "featureSubsetStrategy": ("0.6", "0.8", "all"), "minInstancesPerNode": (1, 5, 10)}}
+SEARCHED = 30
+
+
+def sampled_settings(space: Mapping[str, Sequence], n: int = SEARCHED, seed: int = 42) -> list[dict]:
+    """At most ``n`` different settings of a space, drawn repeatably without replacement."""
+    size = math.prod(len(v) for v in space.values())
+    picked = random.Random(seed).sample(range(size), min(n, size))
+    out = []
+    for i in picked:
+        row = {}
+        for name, values in space.items():
+            i, k = divmod(i, len(values))
+            row[name] = values[k]
+        out.append(row)
+    return out
 
 
 def fit(df: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], **settings) -> PipelineModel:
+    if "C" in settings:
+        settings["regParam"] = 1.0 / (settings.pop("C") * max(1, df.count()))
     stages = preprocessor(numeric, categorical, scale=family == "logistic_regression")
     return Pipeline(stages=[*stages, candidates()[family](**settings)]).fit(df)
 
@@ -106,22 +126,26 @@ def cross_validate(df: DataFrame, y: str, family: str, settings: Mapping, numeri
 
 
 def fold_metrics(scored: DataFrame, y: str, fold: str = "fold") -> DataFrame:
-    """PR AUC, ROC AUC, Brier and positive rate of every fold used in turn as the test."""
+    """PR AUC, ROC AUC, Brier, and precision, recall and F1 at one half, of every fold used in turn as the test."""
     q = ranking_quality(scored, SCORE, y, [fold]).select(fold, "roc_auc", "pr_auc")
-    b = scored.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("positive_rate"),
-                                 F.avg(F.pow(F.col(SCORE) - F.col(y), 2)).alias("brier"))
+    hit, pos = F.col(SCORE) >= 0.5, F.col(y) == 1
+    b = scored.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("positive_rate"), F.avg(F.pow(F.col(SCORE) - F.col(y), 2)).alias("brier"),
+                                 F.count_if(hit & pos).alias("__tp"), F.count_if(hit).alias("__hit"), F.count_if(pos).alias("__pos"))
+    zero = F.lit(0.0)
+    b = b.withColumns({"precision": F.coalesce(F.try_divide("__tp", F.col("__hit")), zero), "recall": F.coalesce(F.try_divide("__tp", F.col("__pos")), zero),
+                       "f1": F.coalesce(F.try_divide(2 * F.col("__tp"), F.col("__hit") + F.col("__pos")), zero)}).drop("__tp", "__hit", "__pos")
     return b.join(q, fold)
 
 
 def search(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str],
            spaces: Mapping[str, Sequence[Mapping]] | None = None) -> DataFrame:
-    """Cross-validated quality of every candidate setting, best first."""
+    """Cross-validated quality of every candidate setting, best first; by default of settings drawn from SPACES."""
     out = None
-    for family, settings in (spaces or {"prior": [{}], **SPACES}).items():
+    for family, settings in (spaces or {"prior": [{}], **{f: sampled_settings(s) for f, s in SPACES.items()}}).items():
         for s in settings:
             m = fold_metrics(cross_validate(df, y, family, s, numeric, categorical), y)
             row = m.agg(F.avg("pr_auc").alias("pr_auc"), F.stddev_pop("pr_auc").alias("pr_auc_std"),
-                        F.avg("roc_auc").alias("roc_auc"), F.avg("brier").alias("brier")).select(
+                        *[F.avg(c).alias(c) for c in ("roc_auc", "brier", "precision", "recall", "f1")]).select(
                 F.lit(family).alias("model"), F.lit(json.dumps(dict(s))).alias("settings"), "*")
             out = row if out is None else out.unionByName(row)
     return out.orderBy(F.desc_nulls_last("pr_auc"), "model")
@@ -231,16 +255,22 @@ def top_factors(c: DataFrame, ident: str, rows: DataFrame, features: Sequence[st
     return k.groupBy(ident, "direction").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("factors"))
 
 
-def demand_models(family: str, seed: int = 42):
-    """Global demand models: Tweedie GLM, boosted trees and random forest."""
+# Settings of the global demand models.
+DEMAND_SETTINGS = {"tweedie": {"variancePower": 1.1, "maxIter": 25, "regParam": 0.1},
+                   "boosted_trees": {"maxIter": 600, "stepSize": 0.05, "maxDepth": 6},
+                   "random_forest": {"numTrees": 120, "maxDepth": 12, "minInstancesPerNode": 50}}
+
+
+def demand_models(family: str, seed: int = 42, **settings):
+    """Global demand models: Tweedie GLM, boosted trees and random forest; settings replace those of DEMAND_SETTINGS."""
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
     return {
-        "tweedie": lambda: GeneralizedLinearRegression(**common, family="tweedie", variancePower=1.1, linkPower=0.0, maxIter=15, regParam=0.1),
-        "boosted_trees": lambda: GBTRegressor(**common, maxIter=10, maxDepth=5, seed=seed),
-        "random_forest": lambda: RandomForestRegressor(**common, numTrees=20, maxDepth=8, minInstancesPerNode=20, seed=seed)}[family]()
+        "tweedie": lambda **k: GeneralizedLinearRegression(**common, family="tweedie", linkPower=0.0, **k),
+        "boosted_trees": lambda **k: GBTRegressor(**common, seed=seed, **k),
+        "random_forest": lambda **k: RandomForestRegressor(**common, seed=seed, **k)}[family](**{**DEMAND_SETTINGS[family], **settings})
 
 
-def fit_demand(train: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
+def fit_demand(train: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], **settings) -> PipelineModel:
     """Fit one model over all series, origins and horizons; levels are indexed once, at fit time."""
     d = train.withColumn(LABEL, F.col("y_true").cast("double"))
     filled = d.fillna(-999.0 if family != "tweedie" else 0.0, list(numeric))
@@ -251,7 +281,7 @@ def fit_demand(train: DataFrame, family: str, numeric: Sequence[str], categorica
     if family == "tweedie":
         stages[-1].setOutputCol("__raw")
         stages.append(StandardScaler(inputCol="__raw", outputCol=FEATURES, withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, demand_models(family)]).fit(filled)
+    return Pipeline(stages=[*stages, demand_models(family, **settings)]).fit(filled)
 
 
 def predict_demand(model: PipelineModel, df: DataFrame, numeric: Sequence[str], to: str, fill: float = -999.0) -> DataFrame:

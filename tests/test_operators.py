@@ -286,3 +286,10 @@ def test_best_rows_with_ties_and_slices(spark, monkeypatch):
     scores = np.round(retrieval._unit_rows(v) @ best.q.T, retrieval.SCORE_DIGITS)
     for j, (s, ids) in enumerate(best.kept):
         assert ids.tolist() == sorted(range(30), key=lambda i: (-scores[i, j], i))[:5]
+
+
+def test_sampled_settings():
+    got = models.sampled_settings(models.SPACES["boosted_trees"])
+    assert len(got) == 30 == len({json.dumps(g) for g in got}) and got == models.sampled_settings(models.SPACES["boosted_trees"])
+    assert all(g[k] in v for g in got for k, v in models.SPACES["boosted_trees"].items())
+    assert len(models.sampled_settings(models.SPACES["logistic_regression"])) == 6
