@@ -344,13 +344,13 @@ def clean_sql(c: str) -> str:
 @query("text_clean_pages", f"SELECT page_id, {clean_sql('html')} AS text FROM pages")
 def clean_pages(t: Tables):
     """Canonical text of every page, whole."""
-    return t.pages.select("page_id", tx.clean_text(F.col("html")).alias("text"))
+    return t.spread("pages").select("page_id", tx.clean_text(F.col("html")).alias("text"))
 
 
 @query("text_clean_documents", f"SELECT doc_id, {clean_sql('text')} AS text FROM documents")
 def clean_documents(t: Tables):
     """Canonical text of every document, whole."""
-    return t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query("text_facets", "SELECT doc_id, regexp_replace(trim(source), '\\s+', ' ', 'g') AS facet FROM documents")
@@ -366,7 +366,7 @@ FOLD = "replace(lower({c}), 'ß', 'ss')"
 SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct, array_to_string(t, ' ') AS terms FROM w""")
 def text_terms(t: Tables):
     """Keyword terms of every document."""
-    d = t.documents.select("doc_id", tx.terms(F.col("text")).alias("t"))
+    d = t.spread("documents").select("doc_id", tx.terms(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"), F.array_join("t", " ").alias("terms"))
 
 

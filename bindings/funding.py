@@ -68,7 +68,7 @@ pairs AS (
 
 def raw(t: Tables):
     c, n = t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), t.nation
-    o = (t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    o = (t.spread("orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
          .join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")))
     dd, mm, yy = (F.date_format("o_orderdate", p) for p in ("dd", "MM", "yyyy"))
     pr, st, seg, nk = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("c_mktsegment"), F.col("n_nationkey")

@@ -32,6 +32,13 @@ class Tables:
         self.folder = folder
         self._kept: dict[str, DataFrame] = {}
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy work on each row. One that fills fewer partitions than there are cores (a test table is one
+        row group) is dealt out over all of them; larger ones are read as they are."""
+        d = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that one query reads several times: built once and written in the shared folder."""
         if name not in self._kept:

@@ -115,7 +115,7 @@ TERMS = "list_distinct(list_filter(string_split_regex(replace(lower({c}), 'ß',
 SELECT query_id, doc_id FROM d, q WHERE list_has_all(t, n) AND len(n) > 0""")
 def every_term(t: Tables):
     """Documents that hold every term of a benchmark text, found by its rarest term."""
-    return retrieval.holding_every_term(t.documents, "doc_id", "text", t.benchmark.withColumnRenamed("item_id", "query_id"), "text")
+    return retrieval.holding_every_term(t.spread("documents").select("doc_id", "text"), "doc_id", "text", t.benchmark.withColumnRenamed("item_id", "query_id"), "text")
 
 
 @query("search_more_like_this", f"""WITH {PROD}, s AS (SELECT a.product_id AS query_id, b.product_id, round(list_cosine_similarity(a.image, b.image), 9) AS score
