@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.llm import minhash
 from quarrylane.llm.common import join_counted, packed, partition_count, saved, unpacked, written
 
 RADIUS = 3
@@ -207,15 +208,29 @@ def components(edges: DataFrame) -> DataFrame:
     return tail.union(tail.select(F.col("root").alias("node"), "root").distinct())
 
 
-def fingerprint_components(marked: DataFrame) -> DataFrame:
-    """One row per distinct fingerprint: ``fp``, ``root`` (smallest fingerprint reachable), ``component_id`` (smallest id), ``n`` (rows)."""
-    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    found = components(links(nodes))
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes (``fp``, ``id``, ``n``) with ``root`` and ``component_id``, the smallest id of their component."""
     rooted = saved(nodes.join(found, nodes.fp == found.node, "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root")))
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("w")))
     return saved(join_counted(rooted, least, "root", "w").select("fp", "root", "component_id", "n"))
 
 
+def fingerprint_components(marked: DataFrame) -> DataFrame:
+    """One row per distinct fingerprint: ``fp``, ``root`` (smallest fingerprint reachable), ``component_id`` (smallest id), ``n`` (rows)."""
+    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    return _rooted(nodes, components(links(nodes)))
+
+
+def similar_components(df: DataFrame, id_col: str, text_col: str, marked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """As ``fingerprint_components``, for the shingle sets of ``minhash.with_bands``."""
+    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    buckets = minhash.shared_buckets(marked)
+    sets = minhash.shingle_sets(df, id_col, text_col, marked, buckets, words)
+    stars = saved(minhash.verified(minhash.first_pairs(buckets), sets, similarity))
+    more = minhash.verified(minhash.next_pairs(buckets, stars), sets, similarity)
+    return _rooted(nodes, components(saved(stars.union(more).distinct())))
+
+
 def _hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -231,13 +246,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = minhash.WORDS,
+              similarity: float = minhash.SIMILARITY) -> DataFrame:
     """The input's columns and rows, one document of each component: that with the smallest id, then text hash.
 
-    Rows that repeat both id and text are one document, of which one row stays.
+    Documents link where the Jaccard similarity of their word shingles is at least ``similarity``; those without words are
+    one component. Rows that repeat both id and text are one document, of which one row stays.
     """
-    marked = written(with_fingerprints(df, id_col, text_col), "fingerprints")
-    own = join_counted(marked, fingerprint_components(marked), "fp", "n")
+    marked = written(minhash.with_bands(df, id_col, text_col, words), "fingerprints")
+    own = join_counted(marked.drop("bands"), similar_components(df, id_col, text_col, marked, words, similarity), "fp", "n")
     # The winner of a component is one of the few documents that carry its smallest id.
     first = own.where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t")).select("t.text_hash", "t.id_hash")

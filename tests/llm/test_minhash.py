@@ -1,0 +1,46 @@
+"""Near copies by shingle similarity against all pairs in plain sets."""
+
+import random
+
+from quarrylane.llm import minhash, simhash
+
+
+def plain_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10 ** 9)}"
+    return out
+
+
+def test_lightly_edited_copies_go(spark):
+    rng = random.Random(11)
+    rows, want = [], 0
+    for g in range(120):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(150, 400))]
+        copy = edited(rng, base, rng.choice([1, len(base) // 90, len(base) // 50, len(base) // 25]))
+        a, b = plain_set(" ".join(base)), plain_set(" ".join(copy))
+        want += 1 if len(a & b) >= 0.8 * len(a | b) else 2
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, "  ".join(copy).upper())]
+    rows += [(900, None), (901, " \n"), (902, "one two"), (903, "One  two"), (904, "one two three")]
+    want += 3
+    # One large group, each document an edit of the one before, so that its ends are far apart.
+    chain = [f"c{rng.randrange(5000)}" for _ in range(300)]
+    for i in range(80):
+        rows.append((1000 + i, " ".join(chain)))
+        chain = edited(rng, chain, 2)
+    want += 1
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert len(ids) == want and {i for i in ids if i >= 900} == {900, 902, 904, 1000}
+
+
+def test_sets_and_bands():
+    assert len(minhash.shingle_set(" a b c ")) == 1 and not len(minhash.shingle_set(None)) and not len(minhash.band_keys(minhash.shingle_set("")))
+    text = " ".join(f"w{i}" for i in range(9000))
+    assert len(minhash.shingle_set(text)) == 8996 and len(set(minhash.band_keys(minhash.shingle_set(text)).tolist())) == minhash.BANDS
+    assert minhash.set_digest(minhash.shingle_set("a b c d e f a b c d e f a")) == minhash.set_digest(minhash.shingle_set("A b c d e f a b c d e f a b"))
