@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrylane.llm import bpe, exact_dedup, language, mixing, quality, simhash, substrings, token_counts, toxicity, warc
+from quarrylane.llm import bpe, exact_dedup, language, lexical, merkle, mixing, ngram_join, quality, simhash, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -170,6 +170,85 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN m ON d.source IS NO
 """
 
 
+@registered
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, among all documents."""
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+# Only A-Z become lower case.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+CHECKS["op11_lexical"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+z AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf FROM d, unnest(terms) t(term) GROUP BY doc_id, terms, term),
+df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, z GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+      FROM q JOIN df USING (term) JOIN tf USING (term), z GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@registered
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles have a similarity of 0.9 or more."""
+    return ngram_join.similar_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+CHECKS["op12_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))
+        WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE []::VARCHAR[] END) AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS doc_id, b AS other FROM pair UNION SELECT reach.doc_id, pair.b FROM reach JOIN pair ON reach.other = pair.a)
+SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, coalesce(min(other), s.doc_id)::BIGINT AS component_id
+FROM s LEFT JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, grams
+"""
+
+
+@registered
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, with n_chars tampered with where 7 divides the CRC-32 of the id."""
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, tampered=touched, given={"n_chars": F.col("n_chars") + 1})
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + "))"
+
+
+# CRC-32 bit by bit: SQL has none. Levels go up one row per node; every leaf then looks its siblings up.
+CHECKS["op13_merkle"] = rf"""
+WITH RECURSIVE crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::BIGINT, 1))::BIGINT)),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS c FROM documents),
+d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS touched FROM documents),
+l AS (SELECT d.doc_id, lang, leaf, CASE WHEN xor(c, 4294967295) % 7 = 0 THEN touched ELSE leaf END AS given,
+             row_number() OVER (PARTITION BY lang ORDER BY d.doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d JOIN crc USING (doc_id)),
+up AS (SELECT lang, 0 AS lvl, pos, n, leaf AS node FROM l
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+sub AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos, n, subroot AS node FROM sub
+  UNION ALL SELECT lvl + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2),
+-- a sibling on the way up, and on which side it stands
+way AS (SELECT l.doc_id, up.lvl, up.n, up.pos AS own, o.node AS sibling FROM l JOIN up ON up.lang IS NOT DISTINCT FROM l.lang AND up.pos = l.pos >> up.lvl AND up.n > 1
+        LEFT JOIN up o ON o.lang IS NOT DISTINCT FROM up.lang AND o.lvl = up.lvl AND o.pos = xor(up.pos, 1)
+  UNION ALL SELECT l.doc_id, 1000 + top.lvl, top.n, top.pos, o.node FROM l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang
+        JOIN top ON top.pos = sub.pos >> top.lvl AND top.n > 1 LEFT JOIN top o ON o.lvl = top.lvl AND o.pos = xor(top.pos, 1)),
+path AS (SELECT doc_id, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY lvl)) AS proof_sha256, list(own % 2 ORDER BY lvl) AS sides, list(coalesce(sibling, '') ORDER BY lvl) AS sib FROM way GROUP BY doc_id),
+f AS (SELECT l.*, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+        list_reduce(list_prepend(given, coalesce(list_transform(range(1, len(sib) + 1), lambda i: sides[i]::VARCHAR || sib[i]), []::VARCHAR[])),
+          lambda h, s: sha256(CASE WHEN s[1] = '1' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root FROM l LEFT JOIN path USING (doc_id))
+SELECT f.doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM f JOIN sub ON sub.lang IS NOT DISTINCT FROM f.lang, (SELECT node AS root FROM top WHERE n = 1)
+"""
+
+
 @registered
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""

@@ -26,11 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm import minhash
+from quarrylane.llm import ngram_join
 from quarrylane.llm.common import join_counted, packed, partition_count, saved, unpacked, written
+from quarrylane.llm.graph import components
 
 RADIUS = 3
 WORDS = 3
+#: Near copies: words of a shingle and hundredths of Jaccard similarity.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 SEED = 42
 ADDED = ("fingerprint", "component_id")
 _BLOCK = 16
@@ -179,35 +182,6 @@ def links(fps: DataFrame) -> DataFrame:
     return spread.mapInArrow(_links_of, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root``, the smallest node it is connected to, for every node that has an edge.
-
-    Alternates large and small stars until the edges stop changing. A hub's edges are joined by ``join_counted``.
-    """
-
-    def least(pairs: DataFrame) -> DataFrame:
-        best = saved(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w")))
-        return join_counted(pairs, best, "u", "w").withColumn("m", F.least("m", "u"))
-
-    def mark(pairs: DataFrame):
-        return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    now = saved(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    was = mark(now)
-    while True:
-        both = now.union(now.select("v", "u"))
-        large = saved(least(both).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = least(large)
-        small = low.select("u", F.col("m").alias("v")).union(low.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = saved(small.distinct())
-        seen = mark(now)
-        if seen == was:
-            break
-        was = seen
-    tail = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return tail.union(tail.select(F.col("root").alias("node"), "root").distinct())
-
-
 def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """The nodes (``fp``, ``id``, ``n``) with ``root`` and ``component_id``, the smallest id of their component."""
     rooted = saved(nodes.join(found, nodes.fp == found.node, "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root")))
@@ -221,16 +195,6 @@ def fingerprint_components(marked: DataFrame) -> DataFrame:
     return _rooted(nodes, components(links(nodes)))
 
 
-def similar_components(df: DataFrame, id_col: str, text_col: str, marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """As ``fingerprint_components``, for the shingle sets of ``minhash.with_bands``."""
-    nodes = saved(marked.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    buckets = minhash.shared_buckets(marked)
-    sets = minhash.shingle_sets(df, id_col, text_col, marked, buckets, words)
-    stars = saved(minhash.verified(minhash.first_pairs(buckets), sets, similarity))
-    more = minhash.verified(minhash.next_pairs(buckets, stars), sets, similarity)
-    return _rooted(nodes, components(saved(stars.union(more).distinct())))
-
-
 def _hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -246,20 +210,24 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = minhash.WORDS,
-              similarity: float = minhash.SIMILARITY) -> DataFrame:
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
     """The input's columns and rows, one document of each component: that with the smallest id, then text hash.
 
-    Documents link where the Jaccard similarity of their word shingles is at least ``similarity``; those without words are
-    one component. Rows that repeat both id and text are one document, of which one row stays.
+    Documents link where the Jaccard similarity of their sets of word shingles is at least ``percent`` in a hundred; a radius
+    of 3 bits finds few such pairs, so the links come from the exact set join. Null and empty texts and those without words
+    are one component. Rows that repeat both id and text are one document, of which one row stays. An empty table gives an
+    empty result; other columns travel along whatever their names.
     """
-    marked = written(minhash.with_bands(df, id_col, text_col, words), "fingerprints")
-    own = join_counted(marked.drop("bands"), similar_components(df, id_col, text_col, marked, words, similarity), "fp", "n")
+    marked = written(ngram_join.with_sets(df, id_col, text_col, words, percent), "marked")
+    each = marked.select("id", "id_hash", "text_hash", "digest")
+    full = join_counted(each.where("digest IS NOT NULL"), ngram_join.set_components(df, id_col, text_col, marked, words, percent), "digest", "docs")
     # The winner of a component is one of the few documents that carry its smallest id.
-    first = own.where(F.col("id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t")).select("t.text_hash", "t.id_hash")
+    first = full.where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t"))
+    empty = each.where("digest IS NULL").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "id_hash")).alias("t")).where("t IS NOT NULL")
+    chosen = chosen.select("t.text_hash", "t.id_hash").union(empty.select("t.text_hash", "t.id_hash"))
     rows = df.select(packed(df), F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
     # Of rows that repeat id and text, the same one stays in every run.
     order = F.xxhash64(*[F.col("row").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
-    one = rows.groupBy("id_hash", "text_hash").agg(F.min_by("row", order).alias("row"))
-    return unpacked(one.join(chosen, ["id_hash", "text_hash"], "left_semi"), df.columns, ())
+    one = rows.join(saved(chosen), ["id_hash", "text_hash"], "left_semi").groupBy("id_hash", "text_hash").agg(F.min_by("row", order).alias("row"))
+    return unpacked(one, df.columns, ())

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from test_ngram_join import plain_components as all_pairs
 
 from quarrylane.llm import exact_dedup, simhash
 
@@ -88,8 +89,16 @@ def test_near(spark):
         least.setdefault(c, []).append(i)
     want = [(i, f"{p:016x}", min((x for x in least[c] if x is not None), default=None)) for (i, _, _), p, c in zip(rows, prints, comp)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_drop_near(spark):
+    """Five words, similarity 0.8, over all pairs; the smallest id of each group stays, and one text without words."""
+    rows = [r for r in texts() if r[0] is not None]
     kept = simhash.drop_near(spark.createDataFrame(rows, ROWS))
-    assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == len(least)
+    assert kept.columns == ["doc_id", "text", "kept"]
+    comp = all_pairs([r[:2] for r in rows], 5, 80)
+    want = {c for _, n, c in comp if n} | {min(i for i, n, _ in comp if not n)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
 def test_links_of_every_kind(spark):

@@ -6,8 +6,8 @@ import tempfile
 
 import numpy as np
 import public_tokenizers
-from test_dedup import plain_components, plain_fingerprint
 from test_language import plain_breaks
+from test_ngram_join import plain_components
 
 import corpus_pipeline
 from quarrylane.llm import bpe, language, mixing
@@ -41,12 +41,9 @@ def plain(rows, samples):
     for r in sorted(kept, key=lambda r: r[0]):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
     kept = list(first.values())
-    comp = plain_components([plain_fingerprint(r[1]) for r in kept])
-    least = {}
-    for c, r in zip(comp, kept):
-        if c not in least or r[0] < least[c][0]:
-            least[c] = r
-    kept = list(least.values())
+    # Near copies: five words, similarity 0.8, over all pairs.
+    least = {i for i, _, c in plain_components([r[:2] for r in kept], 5, 80) if i == c}
+    kept = [r for r in kept if r[0] in least]
     size = {r[3]: 0 for r in kept}
     for r in kept:
         size[r[3]] += len(WORD.findall(r[1]))
