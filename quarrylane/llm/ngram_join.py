@@ -13,6 +13,9 @@ Two relations between sets save work, and neither loses a link:
   the triangle inequality of the Jaccard distance, and what that leaves open is computed from the differences alone:
   ``|x & z| = |x & M| - |x & (M - z)| + |x & (z - M)|``.
 
+Before two sets are compared, their parity sketches are: bit b says whether an odd number of shingles hash to b, so two sketches
+differ in no more bits than the sets differ in shingles. Sets that share a passage but not most of their text end here.
+
 Only connected components are asked for, so pairs that are connected already are never compared, and equal sets are one set.
 """
 
@@ -34,6 +37,11 @@ WORDS, PERCENT = 3, 90
 SEED = 42
 #: Members of one block of a list, or of one leader; longer ones are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 16
+#: Lists of up to so many rows are paired together; longer ones block by block.
+SHORT = 64
+_CHUNK = 1 << 17
 _SLACK = 1e-9
 
 
@@ -52,6 +60,12 @@ def prefix_length(n, percent: int):
     return n - (F.floor(whole / 100) if isinstance(n, Column) else whole // 100) + 1
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 x SKETCH cells, as bits."""
+    cells = np.bincount((hashes >> np.uint64(8)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _need(a, b, percent: int):
     """Smallest intersection of similar sets of sizes ``a`` and ``b``: 100 i >= percent (a + b - i)."""
     return (percent * (a + b) + 99 + percent) // (100 + percent)
@@ -64,17 +78,17 @@ def counted_share(percent: int) -> float:
 
 def with_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``id``, ``id_hash`` and ``text_hash`` (which name it without its text), ``n`` (set size), ``digest``
-    (16 bytes, null for an empty set), ``counted`` (shingles of small hash) and ``rest`` (the next ones, where those are fewer than the prefix)."""
+    (16 bytes, null for an empty set), ``counted`` (shingles of small hash), ``rest`` (the next ones, where those are fewer than the prefix) and ``bits`` (the sketch)."""
     slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     slim = slim.select("id", F.xxhash64("id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), "text")
     below = np.uint64(min((1 << 64) - 1, int(counted_share(percent) * (1 << 64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "id_hash", "text_hash", "n", "digest", "counted", "rest"]
+        names = ["id", "id_hash", "text_hash", "n", "digest", "counted", "rest", "bits"]
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                sizes, digests, counted, rest = [], [], [], []
+                sizes, digests, counted, rest, bits = [], [], [], [], []
                 for t in batch.column(3):
                     hashes = shingle_set(t.as_py(), words)
                     n, cut = len(hashes), int(np.searchsorted(hashes, below))
@@ -82,19 +96,20 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, per
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if n else None)
                     counted.append(hashes[:cut].view(np.int64))
                     rest.append(hashes[cut:max(cut, prefix_length(n, percent))].view(np.int64) if n else hashes.view(np.int64))
+                    bits.append(sketch(hashes))
                 many = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                                  pa.array(counted, many), pa.array(rest, many)], names=names)
+                                                  pa.array(counted, many), pa.array(rest, many), pa.array(bits, many)], names=names)
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, id_hash long, text_hash long, n long, digest binary, counted array<long>, rest array<long>")
+    return slim.mapInArrow(run, f"id {kind}, id_hash long, text_hash long, n long, digest binary, counted array<long>, rest array<long>, bits array<long>")
 
 
 def distinct_sets(marked: DataFrame) -> DataFrame:
-    """One row per distinct set that is not empty: ``cid``, ``digest``, ``id`` (smallest), ``owner`` (a row that has it), ``docs``, ``n``, ``counted``, ``rest``."""
+    """One row per distinct set that is not empty: ``cid``, ``digest``, ``id`` (smallest), ``owner`` (a row that has it), ``docs``, ``n``, ``counted``, ``rest``, ``bits``."""
     each = marked.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("id"), F.min(F.struct("text_hash", "id_hash")).alias("owner"), F.count(F.lit(1)).alias("docs"),
-        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"))
+        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"), F.first("bits").alias("bits"))
     return written(each.withColumn("cid", F.monotonically_increasing_id()), "sets")
 
 
@@ -160,25 +175,45 @@ def _similar(percent: int) -> Column:
     return F.col("i") * (100 + percent) >= percent * (F.col("n") + F.col("m"))
 
 
-def stars(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def stars(lists: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links ``x``, ``y`` to a leader, with the difference of x from y (``adds``, ``drops``), ``n`` and the distance."""
     close = lists.where("cid != lead.cid").where(_close("n", "pos", "lead.n", "lead.pos", percent))
     votes = close.groupBy("cid", F.col("lead.cid").alias("y")).agg(F.count(F.lit(1)).alias("v"))
     best = saved(votes.groupBy(F.col("cid").alias("x")).agg(F.min_by("y", F.struct(-F.col("v"), "y")).alias("y")))
-    d = with_pair(best, sets).withColumn("i", F.size(F.array_intersect("mine", "theirs")))
+    own = marks.select("cid", F.col("n").alias("a"), F.col("bits").alias("ours"))
+    d = with_pair(best, own.select("cid", F.col("a").alias("n"), F.col("ours").alias("hashes")))
+    apart = F.aggregate(F.zip_with("mine", "theirs", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    need = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    near = saved(d.where(apart <= F.expr(f"n + m - 2 * ({need})")).select("x", "y"))
+    d = with_pair(near, sets).withColumn("i", F.size(F.array_intersect("mine", "theirs")))
     d = d.where(_similar(percent)).select(
         "x", "y", "n", F.array_except("mine", "theirs").alias("adds"), F.array_except("theirs", "mine").alias("drops"),
         (1 - F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("dist"))
     return written(d, "stars")
 
 
-def block_pairs(n: np.ndarray, pos: np.ndarray, pivot: np.ndarray, root: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct pivots (2 x k, the smaller first) of sets in one list that can be similar and are not connected.
+def _near(i: np.ndarray, j: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pivots (2 x k, the smaller first) of those row pairs that are not connected and whose sketches leave them similar."""
+    n, _, pivot, root, side = rows
+    keep = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
+    i, j, found = i[keep], j[keep], []
+    for at in range(0, len(i), _CHUNK):
+        p, q = i[at:at + _CHUNK], j[at:at + _CHUNK]
+        most = n[p] + n[q] - 2 * _need(n[p], n[q], percent)
+        hit = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+        if hit.any():
+            found.append(np.unique(np.sort(np.stack([pivot[p[hit]], pivot[q[hit]]]), axis=0), axis=1))
+    return np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+
+
+def block_pairs(rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pivots of sets in one long list (rows ``n``, ``pos``, ``pivot``, ``root``, ``side``) that can be similar and are not connected.
 
     ``side`` tells two blocks apart (0 and 1: only pairs between them; all 2: pairs within one block).
     """
-    order = np.lexsort((pos, n))
-    n, pos, pivot, root, side = n[order], pos[order], pivot[order], root[order], side[order]
+    order = np.lexsort((rows[1], rows[0]))
+    rows, bits = rows[:, order], bits[order]
+    n, pos = rows[0], rows[1]
     start = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
     end, found = np.r_[start[1:], len(n)], []
     for a in range(len(start)):
@@ -189,18 +224,39 @@ def block_pairs(n: np.ndarray, pos: np.ndarray, pivot: np.ndarray, root: np.ndar
                 break
             need = _need(size, other, percent)
             # Positions ascend within a block; what lies beyond is skipped.
-            i = start[a] + np.searchsorted(pos[start[a]:end[a]], size - need, "right")
-            j = start[b] + np.searchsorted(pos[start[b]:end[b]], other - need, "right")
-            if i == start[a] or j == start[b]:
-                continue
-            left = np.unique(np.stack([pivot[start[a]:i], root[start[a]:i], side[start[a]:i]]), axis=1)
-            right = np.unique(np.stack([pivot[start[b]:j], root[start[b]:j], side[start[b]:j]]), axis=1)
-            for at in range(0, left.shape[1], 256):
-                p, r, s = left[:, at:at + 256]
-                hit = (r[:, None] != right[1]) & ((s[:, None] != right[2]) | (s[:, None] == 2))
-                u, v = np.nonzero(hit)
-                if len(u):
-                    found.append(np.unique(np.sort(np.stack([p[u], right[0][v]]), axis=0), axis=1))
+            i = np.arange(start[a], start[a] + np.searchsorted(pos[start[a]:end[a]], size - need, "right"))
+            j = np.arange(start[b], start[b] + np.searchsorted(pos[start[b]:end[b]], other - need, "right"))
+            for at in range(0, len(i) if len(j) else 0, 256):
+                u, v = (x.ravel() for x in np.meshgrid(i[at:at + 256], j, indexing="ij"))
+                once = u < v if a == b else slice(None)
+                found.append(_near(u[once], v[once], rows, bits, percent))
+    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
+
+
+def short_pairs(start: np.ndarray, end: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """As ``block_pairs`` for many short lists at once, each from ``start`` to ``end``."""
+    after = np.concatenate([np.arange(b - a - 1, -1, -1) for a, b in zip(start, end)])
+    first = np.concatenate([np.arange(a, b) for a, b in zip(start, end)])
+    i = np.repeat(first, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    n, rest = rows[0], rows[0] - rows[1]
+    keep = np.minimum(rest[i], rest[j]) >= _need(n[i], n[j], percent)
+    keep &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    return _near(i[keep], j[keep], rows, bits, percent)
+
+
+def list_pairs(key: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct pivot pairs of whole lists, sorted by key."""
+    start = _runs(key)
+    end = np.r_[start[1:], key.shape[1]]
+    size = end - start
+    found = [block_pairs(rows[:, a:b], bits[a:b], percent) for a, b in zip(start[size > SHORT], end[size > SHORT])]
+    few = (size > 1) & (size <= SHORT)
+    start, end = start[few], end[few]
+    # As many short lists at a time as make about a chunk of pairs.
+    part = np.cumsum((end - start) ** 2) // (8 * _CHUNK)
+    for k in np.unique(part):
+        found.append(short_pairs(start[part == k], end[part == k], rows, bits, percent))
     return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
 
 
@@ -208,43 +264,43 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
 
 
-def open_pairs(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pivots ``x`` < ``y`` whose sets, or sets that are kept as differences from them, share a list and are not connected."""
-    d = written(lists.select("token", "cid", "n", "pos", "size").join(members.select("cid", "pivot", "root"), "cid"), "members")
-    mixed = d.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("w")).where("a != b")
-    d = join_counted(d, saved(mixed.select("token", "w")), "token", "w")
+def open_pairs(lists: DataFrame, members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Distinct pivots ``x`` < ``y`` whose sets, or sets that are kept as differences from them, share a list, can be similar and are not connected."""
+    known = members.join(marks.select("cid", "bits"), "cid").select("cid", "pivot", "root", "bits")
+    mixed = lists.select("token", "cid").join(members.select("cid", "root"), "cid").groupBy("token").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("w")).where("a != b").select("token", "w")
+    d = join_counted(lists.select("token", "cid", "n", "pos", "size"), saved(mixed), "token", "w").join(known, "cid")
     # A long list is dealt out as pairs of blocks, each a group of at most about two blocks.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    d = d.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    d = d.withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     d = d.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "pos", "pivot", "root",
-                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    d = d.select(*[F.col(c).cast("long") for c in ("token", "i", "j", "n", "pos", "pivot", "root", "side")])
+                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "bits")
+    d = d.select(*[F.col(c).cast("long") for c in ("token", "i", "j", "n", "pos", "pivot", "root", "side")], "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            cut = _runs(rows[:3])
-            found = [block_pairs(*rows[3:, a:b], percent) for a, b in zip(cut, np.r_[cut[1:], rows.shape[1]]) if b > a + 1]
-            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            rows, bits = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+            both = list_pairs(rows[:3], rows[3:], bits, percent)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.stack([c.to_numpy() for c in batch.columns])
+            rows = np.stack([c.to_numpy() for c in batch.columns[:8]])
+            bits = batch.column(8).flatten().to_numpy().reshape(-1, SKETCH)
             last = int(_runs(rows[:3])[-1])
             if last:
-                yield out(np.concatenate([*held, rows[:, :last]], axis=1))
-                held = [rows[:, last:]]
-            elif held and (held[-1][:3, -1] != rows[:3, 0]).any():
-                yield out(np.concatenate(held, axis=1))
-                held = [rows]
+                yield out([*held, (rows[:, :last], bits[:last])])
+                held = [(rows[:, last:], bits[last:])]
+            elif held and (held[-1][0][:3, -1] != rows[:3, 0]).any():
+                yield out(held)
+                held = [(rows, bits)]
             else:
-                held.append(rows)
+                held.append((rows, bits))
         if held:
-            yield out(np.concatenate(held, axis=1))
+            yield out(held)
 
     parts = partition_count(d.sparkSession)
     return d.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "x long, y long").distinct()
@@ -319,7 +375,7 @@ def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words:
     """Links ``a`` < ``b`` between distinct sets that connect every two similar ones."""
     lists = index_lists(prefixes(sets, percent))
     full = full_sets(df, id_col, text_col, sets, lists, words)
-    star = stars(lists, full, percent)
+    star = stars(lists, sets, full, percent)
     edges = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # A set that leads others, or follows none, stands for itself; any other is a difference from its leader.
     leads = star.select(F.col("y").alias("lead")).distinct()
@@ -329,7 +385,7 @@ def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words:
     node = node.select("cid", F.when(alone, F.col("cid")).otherwise(F.col("y")).alias("pivot"), F.when(alone, 0.0).otherwise(F.col("dist")).alias("dist"))
     root = components(edges)
     members = written(node.join(root, node.cid == root.node, "left").select("cid", "pivot", "dist", F.coalesce("root", "cid").alias("root")), "pivots")
-    pairs = written(open_pairs(lists, members, percent), "pairs")
+    pairs = written(open_pairs(lists, members, sets, percent), "pairs")
     held = with_pair(pairs, full).select("x", "y", "n", "m", F.size(F.array_intersect("mine", "theirs")).alias("i"))
     held = written(held.withColumn("similar", _similar(percent)), "held")
     reach = members.groupBy("pivot").agg(F.max("dist").alias("r"))

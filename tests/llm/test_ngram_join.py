@@ -54,9 +54,10 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, f"own{k}", k) for k, (i, t) in enumerate(rows)], ROWS).repartition(3)
 
 
-@pytest.mark.parametrize("block, partitions", [(1024, 4), (3, 24)])
-def test_join(spark, monkeypatch, block, partitions):
+@pytest.mark.parametrize("block, short, partitions", [(1024, 64, 4), (3, 2, 24)])
+def test_join(spark, monkeypatch, block, short, partitions):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(3000)]
     license_ = " ".join(rng.choice(words) for _ in range(40))
@@ -103,8 +104,19 @@ def test_block_pairs_by_hand():
                 if (i != j and root[i] != root[j] and (side[i] == 2 or side[i] != side[j]) and 100 * min(a, b) >= percent * max(a, b)
                         and min(a - pos[i], b - pos[j]) >= need):
                     want.add((min(pivot[i], pivot[j]), max(pivot[i], pivot[j])))
-        got = ngram_join.block_pairs(*(x.astype(np.int64) for x in (n, pos, pivot, root, side)), percent)
-        assert {tuple(p) for p in got.T.tolist()} == want
+        rows, bits = np.stack([n, pos, pivot, root, side]).astype(np.int64), np.zeros((k, ngram_join.SKETCH), dtype=np.int64)
+        for got in (ngram_join.block_pairs(rows, bits, percent), ngram_join.list_pairs(np.zeros((3, k), dtype=np.int64), rows, bits, percent)):
+            assert {tuple(p) for p in got.T.tolist()} == want
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+        b = np.unique(np.concatenate([a[:int(rng.integers(100, 300))], rng.integers(0, 1 << 63, 40).astype(np.uint64)]))
+        apart = int(np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum())
+        real = len(np.setxor1d(a, b))
+        assert 0.6 * real <= apart <= real
 
 
 def test_derived_link_by_hand():
