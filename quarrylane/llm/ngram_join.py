@@ -8,7 +8,7 @@ Two relations between sets save work, and neither loses a link:
 
 * *Index lists by position.* A list is cut into blocks of equal size in order of position. Two blocks meet only up to the
   positions after which too few shingles remain, so the rest of a block is skipped unread.
-* *Answers from similar sets.* Each set is first held against one leader it shares most of its prefix with. A verified member
+* *Answers from similar sets.* Each set is first held against one leader, the best connected by sketches of its lists. A verified member
   is kept as its difference from the leader. Leaders are then compared once; a member's answers follow from its leader's by
   the triangle inequality of the Jaccard distance, and what that leaves open is computed from the differences alone:
   ``|x & z| = |x & M| - |x & (M - z)| + |x & (z - M)|``.
@@ -129,18 +129,11 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return d.select("cid", "n", F.explode(F.concat(first, more)).alias("t")).select("t.token", "cid", "n", F.col("t.pos").cast("long").alias("pos"))
 
 
-def _close(a: str, i: str, b: str, j: str, percent: int) -> Column:
-    """Whether sets of sizes ``a`` and ``b`` whose first common shingle is at ``i`` and ``j`` can be similar."""
-    need = f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b}) AND least({a} - {i}, {b} - {j}) >= {need}")
-
-
 def index_lists(found: DataFrame) -> DataFrame:
-    """The prefixes' lists of two sets or more: ``token``, ``cid``, ``n``, ``pos``, ``lead`` (the list's smallest set) and ``size``."""
+    """The prefixes' lists of two sets or more: ``token``, ``cid``, ``n``, ``pos`` and ``size``."""
     found = written(found, "prefixes")
-    lead = found.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("w")).where("w > 1")
-    lead = saved(lead.withColumn("size", F.col("w")))
-    return written(join_counted(found, lead, "token", "w"), "lists")
+    size = saved(found.groupBy("token").agg(F.count(F.lit(1)).alias("w")).where("w > 1").withColumn("size", F.col("w")))
+    return written(join_counted(found, size, "token", "w"), "lists")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, lists: DataFrame, words: int) -> DataFrame:
@@ -176,16 +169,14 @@ def _similar(percent: int) -> Column:
 
 
 def stars(lists: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links ``x``, ``y`` to a leader, with the difference of x from y (``adds``, ``drops``), ``n`` and the distance."""
-    close = lists.where("cid != lead.cid").where(_close("n", "pos", "lead.n", "lead.pos", percent))
-    votes = close.groupBy("cid", F.col("lead.cid").alias("y")).agg(F.count(F.lit(1)).alias("v"))
-    best = saved(votes.groupBy(F.col("cid").alias("x")).agg(F.min_by("y", F.struct(-F.col("v"), "y")).alias("y")))
-    own = marks.select("cid", F.col("n").alias("a"), F.col("bits").alias("ours"))
-    d = with_pair(best, own.select("cid", F.col("a").alias("n"), F.col("ours").alias("hashes")))
-    apart = F.aggregate(F.zip_with("mine", "theirs", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
-    need = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
-    near = saved(d.where(apart <= F.expr(f"n + m - 2 * ({need})")).select("x", "y"))
-    d = with_pair(near, sets).withColumn("i", F.size(F.array_intersect("mine", "theirs")))
+    """Verified links ``x``, ``y`` to a leader, with the difference of x from y (``adds``, ``drops``), ``n`` and the distance.
+
+    In every list a set turns to the neighbour with the most neighbours; the leader is the one most of its lists name.
+    """
+    own = marks.select("cid", F.col("cid").alias("pivot"), F.col("cid").alias("root"), "bits")
+    votes = paired(lists, own, percent, True).groupBy("x", "y").agg(F.count(F.lit(1)).alias("v"))
+    best = saved(votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), "y")).alias("y")))
+    d = with_pair(best, sets).withColumn("i", F.size(F.array_intersect("mine", "theirs")))
     d = d.where(_similar(percent)).select(
         "x", "y", "n", F.array_except("mine", "theirs").alias("adds"), F.array_except("theirs", "mine").alias("drops"),
         (1 - F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("dist"))
@@ -193,21 +184,37 @@ def stars(lists: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) ->
 
 
 def _near(i: np.ndarray, j: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Pivots (2 x k, the smaller first) of those row pairs that are not connected and whose sketches leave them similar."""
-    n, _, pivot, root, side = rows
+    """Those row pairs (2 x k) that are not connected and whose sketches leave them similar."""
+    n, _, _, root, side = rows
     keep = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 2))
     i, j, found = i[keep], j[keep], []
     for at in range(0, len(i), _CHUNK):
         p, q = i[at:at + _CHUNK], j[at:at + _CHUNK]
         most = n[p] + n[q] - 2 * _need(n[p], n[q], percent)
         hit = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
-        if hit.any():
-            found.append(np.unique(np.sort(np.stack([pivot[p[hit]], pivot[q[hit]]]), axis=0), axis=1))
+        found.append(np.stack([p[hit], q[hit]]))
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
 
 
+def _pivots(pairs: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """The distinct pivots of row pairs, the smaller first."""
+    return np.unique(np.sort(pivot[pairs], axis=0), axis=1)
+
+
+def _leaders(pairs: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """For every row with neighbours that is not the best connected of them, itself and that one; the smaller set wins a tie."""
+    degree = np.bincount(pairs.ravel(), minlength=len(pivot))
+    row, other = np.concatenate([pairs, pairs[::-1]], axis=1)
+    order = np.lexsort((pivot[other], -degree[other], row))
+    row, other = row[order], other[order]
+    first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.empty(0, dtype=bool)
+    row, other = row[first], other[first]
+    up = (degree[other] > degree[row]) | ((degree[other] == degree[row]) & (pivot[other] < pivot[row]))
+    return np.stack([pivot[row[up]], pivot[other[up]]])
+
+
 def block_pairs(rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Pivots of sets in one long list (rows ``n``, ``pos``, ``pivot``, ``root``, ``side``) that can be similar and are not connected.
+    """Row pairs of one long list (rows ``n``, ``pos``, ``pivot``, ``root``, ``side``) whose sets can be similar and are not connected.
 
     ``side`` tells two blocks apart (0 and 1: only pairs between them; all 2: pairs within one block).
     """
@@ -230,7 +237,7 @@ def block_pairs(rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
                 u, v = (x.ravel() for x in np.meshgrid(i[at:at + 256], j, indexing="ij"))
                 once = u < v if a == b else slice(None)
                 found.append(_near(u[once], v[once], rows, bits, percent))
-    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
+    return order[np.concatenate(found, axis=1)] if found else np.empty((2, 0), dtype=np.int64)
 
 
 def short_pairs(start: np.ndarray, end: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
@@ -245,19 +252,21 @@ def short_pairs(start: np.ndarray, end: np.ndarray, rows: np.ndarray, bits: np.n
     return _near(i[keep], j[keep], rows, bits, percent)
 
 
-def list_pairs(key: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct pivot pairs of whole lists, sorted by key."""
+def list_pairs(key: np.ndarray, rows: np.ndarray, bits: np.ndarray, percent: int, lead: bool = False) -> np.ndarray:
+    """Distinct pivot pairs of whole lists, sorted by key; with ``lead`` one row's own pair at most (see ``_leaders``)."""
     start = _runs(key)
     end = np.r_[start[1:], key.shape[1]]
     size = end - start
-    found = [block_pairs(rows[:, a:b], bits[a:b], percent) for a, b in zip(start[size > SHORT], end[size > SHORT])]
+    found = [a + block_pairs(rows[:, a:b], bits[a:b], percent) for a, b in zip(start[size > SHORT], end[size > SHORT])]
     few = (size > 1) & (size <= SHORT)
     start, end = start[few], end[few]
     # As many short lists at a time as make about a chunk of pairs.
     part = np.cumsum((end - start) ** 2) // (8 * _CHUNK)
     for k in np.unique(part):
         found.append(short_pairs(start[part == k], end[part == k], rows, bits, percent))
-    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
+    if not found:
+        return np.empty((2, 0), dtype=np.int64)
+    return (_leaders if lead else _pivots)(np.concatenate(found, axis=1), rows[2])
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -269,7 +278,12 @@ def open_pairs(lists: DataFrame, members: DataFrame, marks: DataFrame, percent:
     known = members.join(marks.select("cid", "bits"), "cid").select("cid", "pivot", "root", "bits")
     mixed = lists.select("token", "cid").join(members.select("cid", "root"), "cid").groupBy("token").agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("w")).where("a != b").select("token", "w")
-    d = join_counted(lists.select("token", "cid", "n", "pos", "size"), saved(mixed), "token", "w").join(known, "cid")
+    return paired(join_counted(lists, saved(mixed), "token", "w"), known, percent, False).distinct()
+
+
+def paired(lists: DataFrame, known: DataFrame, percent: int, lead: bool) -> DataFrame:
+    """``list_pairs`` of all lists, whose sets have ``pivot``, ``root`` and ``bits`` in ``known``; repeats included."""
+    d = lists.join(known, "cid")
     # A long list is dealt out as pairs of blocks, each a group of at most about two blocks.
     d = d.withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -279,11 +293,15 @@ def open_pairs(lists: DataFrame, members: DataFrame, marks: DataFrame, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = np.empty((2, 0), dtype=np.int64)
 
-        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        def more(parts: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray) -> np.ndarray:
             rows, bits = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
-            both = list_pairs(rows[:3], rows[3:], bits, percent)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
+            both = np.concatenate([seen, list_pairs(rows[:3], rows[3:], bits, percent, lead)], axis=1)
+            return both if lead else np.unique(both, axis=1)  # repeats are votes
+
+        def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["x", "y"])
 
         for batch in batches:
             if not len(batch):
@@ -292,18 +310,20 @@ def open_pairs(lists: DataFrame, members: DataFrame, marks: DataFrame, percent:
             bits = batch.column(8).flatten().to_numpy().reshape(-1, SKETCH)
             last = int(_runs(rows[:3])[-1])
             if last:
-                yield out([*held, (rows[:, :last], bits[:last])])
+                seen = more([*held, (rows[:, :last], bits[:last])], seen)
                 held = [(rows[:, last:], bits[last:])]
             elif held and (held[-1][0][:3, -1] != rows[:3, 0]).any():
-                yield out(held)
+                seen = more(held, seen)
                 held = [(rows, bits)]
             else:
                 held.append((rows, bits))
-        if held:
-            yield out(held)
+            if seen.shape[1] > 8 * _CHUNK:
+                yield batch_of(seen)
+                seen = seen[:, :0]
+        yield batch_of(more(held, seen) if held else seen)
 
     parts = partition_count(d.sparkSession)
-    return d.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "x long, y long").distinct()
+    return d.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "x long, y long")
 
 
 def _inside(values: np.ndarray, owner: np.ndarray, many: int, held: np.ndarray) -> np.ndarray:

@@ -105,10 +105,18 @@ def test_block_pairs_by_hand():
                         and min(a - pos[i], b - pos[j]) >= need):
                     want.add((min(pivot[i], pivot[j]), max(pivot[i], pivot[j])))
         rows, bits = np.stack([n, pos, pivot, root, side]).astype(np.int64), np.zeros((k, ngram_join.SKETCH), dtype=np.int64)
-        for got in (ngram_join.block_pairs(rows, bits, percent), ngram_join.list_pairs(np.zeros((3, k), dtype=np.int64), rows, bits, percent)):
+        long = ngram_join._pivots(ngram_join.block_pairs(rows, bits, percent), rows[2])
+        for got in (long, ngram_join.list_pairs(np.zeros((3, k), dtype=np.int64), rows, bits, percent)):
             assert {tuple(p) for p in got.T.tolist()} == want
 
 
+def test_leaders_by_hand():
+    """Rows 0 to 3 know row 4, which knows row 5: 4 leads them all; a pair is led by its smaller set."""
+    pairs = np.array([[0, 1, 2, 3, 4, 6], [4, 4, 4, 4, 5, 7]])
+    got = ngram_join._leaders(pairs, np.arange(10, 18))
+    assert {tuple(p) for p in got.T.tolist()} == {(10, 14), (11, 14), (12, 14), (13, 14), (15, 14), (17, 16)}
+
+
 def test_sketches_never_overstate():
     rng = np.random.default_rng(5)
     for _ in range(50):
