@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bindings import demand, payments, subscribers
 from bindings.registry import Tables, query
-from quarrylane.operators import features, forecasts, models, panel, scoring, splits
+from quarrylane.operators import features, forecasts, models, panel, scoring, splits, staging
 from quarrylane.operators import subscribers as sb
 from quarrylane.operators import transactions as tx
 from quarrylane.session import checkpointed
@@ -133,6 +133,18 @@ def payment_classifiers(t: Tables):
     return out
 
 
+@query("model_base_prior")
+def base_prior(t: Tables):
+    """A fitted boosted classifier scored round by round from its base rate and from one half."""
+    d = splits.temporal_split(payments.transactions(t), "step")
+    d = checkpointed(tx.design_matrix(d, list(payments.TYPES.values()), keep=["event_id", "part"]).withColumn("y", F.col("isFraud").cast("double")))
+    train, test = models.balanced_weights(d.where("part = 'train'"), "y").withColumn("weight", F.lit(1.0)), d.where("part = 'test'")
+    numeric = [c for c in d.columns if c not in ("event_id", "part", "isFraud", "y")]
+    fitted = models.fit(train, "boosted_trees", numeric, [], maxIter=10, maxDepth=3)
+    starts = {"prior": train.agg(F.avg("y").alias("r")).scalar(), "half": 0.5}
+    return staging.diagnosis(staging.staged_scores(staging.tree_margins(fitted, test), starts, (1, 2, 5, 10), ["y"]), "y")
+
+
 # Smaller than models.DEMAND_SETTINGS, so that the queries end in seconds on one machine.
 LIGHT = {"tweedie": {"maxIter": 15}, "boosted_trees": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.1}, "random_forest": {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 20}}
 DEM = ["lag_1", "lag_7", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "nonzero_rate_28", "hist_mean", "croston_at_origin", "horizon", "dow"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import Tables, hash_number_sql, query
 from quarrylane.functions.cleaning import is_close
-from quarrylane.operators import rankstats, splits
+from quarrylane.operators import rankstats, splits, staging
 from quarrylane.operators import transactions as tx
 from quarrylane.plans.bounded import lookup
 
@@ -251,3 +251,45 @@ def test_review_budgets(t: Tables):
     test = splits.temporal_split(transactions(t), "step").where("part = 'test'")
     return rankstats.review_budgets(test, "amount", "isFraud", "event_id",
                                     [0.0001, 0.0005, 0.001, 0.005, 0.01])
+
+
+# A stated ensemble of fifty stumps (column, threshold, margin above it, margin otherwise), so that every stage has a SQL twin.
+STAGES = (1, 5, 10, 25, 50)
+STUMPS = [(("amount", 40.0 + k, -0.05, 0.1), ("oldbalanceOrg", 20.0 * (k % 7), -0.3, -0.1), ("newbalanceDest", 300.0 + 10 * k, 0.2, -0.4),
+           ("newbalanceOrg", 1.0 + k % 3, 0.35, -0.25))[k % 4] for k in range(50)]
+
+
+def _sum_sql(rounds: int) -> str:
+    terms = " + ".join(f"CASE WHEN {c} > {cut!r}::DOUBLE THEN {a!r}::DOUBLE ELSE {b!r}::DOUBLE END" for c, cut, a, b in STUMPS[:rounds])
+    return f"0.0::DOUBLE + {terms}"
+
+
+@query("tx_base_prior_diagnosis", f"""WITH {TX}, b AS (SELECT 'prior' AS start, ln(avg(isFraud) / (1 - avg(isFraud))) AS base FROM tx UNION ALL SELECT 'half', ln(0.5::DOUBLE / (1 - 0.5::DOUBLE))),
+c AS ({" UNION ALL ".join(f"SELECT {r} AS rounds, isFraud AS y, {_sum_sql(r)} AS s FROM tx" for r in STAGES)}),
+s AS (SELECT start, rounds, y, base + s AS margin, round(1 / (1 + exp(-(base + s))), 12) AS p FROM c, b),
+g AS (SELECT start, rounds, p, count(*) AS n, sum(y) AS pos FROM s GROUP BY ALL),
+k AS (SELECT *, sum(n - pos) OVER (PARTITION BY start, rounds ORDER BY p) - (n - pos) AS below FROM g),
+a AS (SELECT start, rounds, sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / (sum(pos) * sum(n - pos)) AS roc_auc FROM k GROUP BY ALL)
+SELECT start, rounds::BIGINT AS rounds, count(*) AS n, sum(y)::BIGINT AS positives, round(min(p), 6) AS min_p, round(sum(margin), 4) AS margin_total,
+  count(*) FILTER (y = 1 AND p < 1e-4) AS buried, round(count(*) FILTER (y = 1 AND p < 1e-4) / sum(y)::DOUBLE, 6) AS buried_share, round(any_value(roc_auc), 6) AS roc_auc
+FROM s JOIN a USING (start, rounds) GROUP BY start, rounds""")
+def base_prior_diagnosis(t: Tables):
+    """A stated ensemble scored round by round from the base rate and from one half: AUC, smallest score, buried positives."""
+    d = staging.stump_margins(transactions(t), STUMPS)
+    starts = {"prior": d.agg(F.avg("isFraud").alias("r")).scalar(), "half": 0.5}
+    out = staging.diagnosis(staging.staged_scores(d, starts, STAGES, ["isFraud"]), "isFraud").drop("pr_auc")
+    return out.withColumn("margin_total", F.round("margin_total", 4))
+
+
+@query("tx_saturation", f"""WITH {TX}, b AS (SELECT 'prior' AS start, ln(avg(isFraud) / (1 - avg(isFraud))) AS base FROM tx UNION ALL SELECT 'half', ln(0.5::DOUBLE / (1 - 0.5::DOUBLE))),
+c AS ({" UNION ALL ".join(f"SELECT {r} AS rounds, isFraud AS y, {_sum_sql(r)} AS s FROM tx" for r in STAGES)}),
+s AS (SELECT start, rounds, y, round(1 / (1 + exp(-(base + s))), 12) AS p FROM c, b),
+g AS (SELECT start, rounds, p, count(*) AS n, sum(y) AS pos FROM s GROUP BY ALL),
+k AS (SELECT *, sum(n - pos) OVER (PARTITION BY start, rounds ORDER BY p) - (n - pos) AS below FROM g),
+a AS (SELECT start, rounds, sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / (sum(pos) * sum(n - pos)) AS auc FROM k GROUP BY ALL)
+SELECT start, round(min(auc), 6) AS lowest, round(arg_max(auc, rounds), 6) AS last, min(auc) < arg_max(auc, rounds) - 0.02 AS non_monotonic FROM a GROUP BY start""")
+def saturation(t: Tables):
+    """Whether the AUC dips below its last value at an earlier number of rounds, per start."""
+    d = staging.stump_margins(transactions(t), STUMPS)
+    starts = {"prior": d.agg(F.avg("isFraud").alias("r")).scalar(), "half": 0.5}
+    return staging.saturated(staging.diagnosis(staging.staged_scores(d, starts, STAGES, ["isFraud"]), "isFraud"))

@@ -157,29 +157,49 @@ def query_terms(queries: DataFrame, text: str) -> DataFrame:
     return q.where(F.size("terms") > 0)
 
 
+def _grams(text: Column) -> Column:
+    """Distinct runs of two and of three characters."""
+    def runs(width: int) -> Column:
+        last = F.length(text) - (width - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(2), runs(3)))
+
+
+def holding_substrings(d: DataFrame, ident: str, text: str, terms: DataFrame) -> DataFrame:
+    """Distinct (row, term) pairs of terms (``term``, two characters or more) that a row's text holds as substrings.
+
+    Rows are reduced to the asked runs of three characters (two, for terms of two); a term then looks rows up by the rarest of
+    its runs alone, and what it finds is verified on the text.
+    """
+    want = F.when(F.length("term") > 2, F.filter(_grams(F.col("term")), lambda g: F.length(g) == 3)).otherwise(F.array("term"))
+    asked = checkpointed(terms.select("term").distinct().select("term", F.explode(want).alias("gram")))
+    held = d.select(ident, F.explode(_grams(F.col(text))).alias("gram")).join(small_side(asked.select("gram").distinct()), "gram", "left_semi")
+    held = checkpointed(held)
+    freq = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(freq, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = held.join(small_side(rarest), "gram").select(ident, "term").join(d.select(ident, text), ident)
+    return found.where(F.contains(F.col(text), F.col("term"))).select(ident, "term").distinct()
+
+
 def substring_scores(catalog: DataFrame, ident: str, queries: DataFrame, text: str, fields: Sequence[str],
-                     candidate_fields: Sequence[str], name: str, k: int, block: int = 2000) -> DataFrame:
+                     candidate_fields: Sequence[str], name: str, k: int) -> DataFrame:
     """Share of query terms found as substrings; a hit in the name counts twice.
 
-    A substring has no key to join on, so the stated queries meet all rows in blocks of about ``block`` queries, and only
-    matching (query, product) rows with their score leave a task.
+    Products are found through the runs of characters of the terms; only (query, product) rows with a match are scored.
     """
     hay = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
     near = F.lower(F.concat_ws("\n", *[F.col(f) for f in candidate_fields]))
     head = F.lower(F.coalesce(F.col(name), F.lit("")))
     d = catalog.select(F.col(ident), hay.alias("__hay"), near.alias("__near"), head.alias("__head"))
     q = checkpointed(query_terms(queries, text))
-    blocks = max(1, math.ceil(q.count() / block))
+    wanted = q.select("query_id", F.explode("terms").alias("term"))
+    pairs = holding_substrings(d, ident, "__near", wanted).join(small_side(wanted), "term").select("query_id", ident).distinct()
 
     def hits(c: str) -> Column:
         return F.aggregate("terms", F.lit(0), lambda n, t: n + F.contains(F.col(c), t).cast("int"))
 
-    found = None
-    for b in range(blocks):
-        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = d.join(F.broadcast(some), F.exists("terms", lambda t: F.contains(F.col("__near"), t)))
-        part = part.select("query_id", ident, ((hits("__hay") + hits("__head")) / (2.0 * F.size("terms"))).alias("score"))
-        found = part if found is None else found.unionByName(part)
+    found = pairs.join(small_side(q), "query_id").join(d, ident)
+    found = found.select("query_id", ident, ((hits("__hay") + hits("__head")) / (2.0 * F.size("terms"))).alias("score"))
     return top_per_query(found, k, ["query_id"], ident)
 
 

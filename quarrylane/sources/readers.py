@@ -12,6 +12,7 @@ from quarrylane.operators.audit import require_columns, unique_key
 from quarrylane.operators.catalog import COLUMNS
 from quarrylane.operators.ranking import RULE_FIELDS
 from quarrylane.operators.rounds import RAW_COLUMNS
+from quarrylane.sources import split_csv
 
 TRANSACTIONS = T.StructType([
     T.StructField("step", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("amount", T.DoubleType()),
@@ -29,8 +30,9 @@ QUERY_SET = T.StructType([T.StructField("queries", T.ArrayType(QUERY))])
 
 
 def text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text, named by its header; quoted cells may hold quotes (doubled), commas and line ends."""
-    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
+    """CSV with every column as text, named by its header; quoted cells may hold quotes (doubled), commas and line ends, and
+    files are read in ranges all the same (see ``split_csv``)."""
+    return split_csv.read(spark, path)
 
 
 def typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -293,3 +293,28 @@ def test_sampled_settings():
     assert len(got) == 30 == len({json.dumps(g) for g in got}) and got == models.sampled_settings(models.SPACES["boosted_trees"])
     assert all(g[k] in v for g in got for k, v in models.SPACES["boosted_trees"].items())
     assert len(models.sampled_settings(models.SPACES["logistic_regression"])) == 6
+
+
+def test_staged_margins_end_at_the_model(spark):
+    """The margins of all trees, started at one half, are the fitted classifier's own probability."""
+    from quarrylane.operators import models, staging
+
+    rows = [(float(i % 13), float(i % 7), float((i * i) % 5 < 2)) for i in range(200)]
+    d = models.balanced_weights(spark.createDataFrame(rows, "a double, b double, y double"), "y")
+    fitted = models.fit(d, "boosted_trees", ["a", "b"], [], maxIter=4, maxDepth=2)
+    own = models.score(fitted, d).select("p").collect()
+    staged = staging.staged_scores(staging.tree_margins(fitted, d), {"half": 0.5}, (1, 4, 9), ["y"])
+    assert {r.rounds for r in staged.collect()} == {1, 4}
+    last = staged.where("rounds = 4").collect()
+    assert sorted(round(r.p, 9) for r in last) == sorted(round(r.p, 9) for r in own)
+
+
+def test_substrings_by_rarest_run(spark):
+    from quarrylane.operators import retrieval
+
+    texts = [(1, "red shoes\nnike"), (2, "reddish"), (3, "shoe"), (4, ""), (5, None), (6, "sh\noes"), (7, "\u00e9t\u00e9 red")]
+    terms = ["red", "shoes", "sh", "nowhere", "t\u00e9"]
+    d = spark.createDataFrame(texts, "id long, near string")
+    got = retrieval.holding_substrings(d, "id", "near", spark.createDataFrame([(x,) for x in terms], "term string"))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(i, x) for i, t in texts for x in terms if t and x in t}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylane.operators import catalog
-from quarrylane.sources import readers, sinks
+from quarrylane.sources import readers, sinks, split_csv
 
 
 def write(tmp_path, name, text):
@@ -66,3 +66,30 @@ def test_csv_keeps_every_cell(spark):
     cells = [('say "hi", ok', "two\nlines"), ("plain", None), ("back\\slash", " kept "), ('"', ",")]
     path = sinks.write_csv(spark.createDataFrame(cells, "a string, b string"), sinks.shared_folder(spark, "cells"))
     assert sorted(map(str, map(tuple, readers.text_csv(spark, path).collect()))) == sorted(map(str, cells))
+
+
+@pytest.mark.parametrize("limit", ["64", "200", "1000000"])
+def test_ranges_that_start_inside_a_cell(spark, tmp_path, limit):
+    """Line ends, quotes and commas at every range border: the cells are those of the plain reader, from many ranges."""
+    cells = [(str(i), ["plain", 'say ""x"", ok', "two\nlines", "a\n\n\nb", "", "long " * 60 + "\nend", ","][i % 7]) for i in range(140)]
+    text = "\ufeffid,note\n" + "".join(f'{i},"{c}"\n' if c else f"{i},\n" for i, c in cells)
+    (tmp_path / "a.csv").write_text(text, encoding="utf-8")
+    (tmp_path / "b.csv").write_text('id,note\r\n900,"x\r\ny"\r\n901,z\r\n\r\n', encoding="utf-8", newline="")
+    want = [(i, c.replace('""', '"') or None) for i, c in cells] + [("900", "x\r\ny"), ("901", "z")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = split_csv.physical_lines(spark, str(tmp_path))
+        assert limit == "1000000" or lines.rdd.getNumPartitions() > 4
+        got = split_csv.read(spark, str(tmp_path))
+        assert got.columns == ["id", "note"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quotes_that_do_not_pair_up_are_refused(spark, tmp_path):
+    with pytest.raises(split_csv.OddQuotes):
+        split_csv.read(spark, write(tmp_path, "o.csv", 'a,b\n1,"open\n')).collect()
