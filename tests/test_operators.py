@@ -267,7 +267,7 @@ def test_many_queries_find_their_rows(spark):
 
     c = spark.createDataFrame([(i, f"item{i:04d} plain") for i in range(300)], "id long, name string")
     q = spark.createDataFrame([(i, f"item{i % 300:04d}") for i in range(3000)], "query_id long, q string")
-    got = retrieval.substring_scores(c, "id", q, "q", ["name"], ["name"], "name", 3, block=700)
+    got = retrieval.substring_scores(c, "id", q, "q", ["name"], ["name"], "name", 3)
     assert got.count() == 3000 and got.where("id != query_id % 300").count() == 0
     assert retrieval.all_terms_scores(c, "id", q, "q", 3, {"name": 1.0}).where("id = query_id % 300").count() == 3000
 
