@@ -61,6 +61,11 @@ def selves(p):
     return p.groupBy(F.col("label").alias("query_id")).agg(F.min("product_id").alias("product_id"))
 
 
+def asked():
+    """The query set of searches by product."""
+    return F.col("product_id") % 100 == 0
+
+
 def cands(t: Tables, pool: int = POOL):
     p = products(t)
     return fusion.candidates(p, "product_id", *batch(p), pool)
@@ -119,16 +124,25 @@ def every_term(t: Tables):
 
 
 @query("search_more_like_this", f"""WITH {PROD}, s AS (SELECT a.product_id AS query_id, b.product_id, round(list_cosine_similarity(a.image, b.image), 9) AS score
-  FROM pr a JOIN qs ON qs.self = a.product_id, pr b WHERE a.product_id <> b.product_id)
+  FROM pr a, pr b WHERE a.product_id % 100 = 0 AND a.product_id <> b.product_id)
 SELECT query_id, product_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, product_id) AS rank FROM s QUALIFY rank <= 10""")
 def more_like_this(t: Tables):
-    """Neighbours of each label's first product, itself left out."""
+    """Neighbours of each product whose id 100 divides, itself left out."""
     p = products(t)
-    return retrieval.more_like_this(p, "product_id", "image", selves(p), 10)
+    return retrieval.more_like_this(p, "product_id", "image", p.where(asked()), 10)
+
+
+@query("search_pruned", f"""WITH {PROD}, s AS (SELECT a.product_id AS query_id, b.product_id, round(list_cosine_similarity(a.image, b.text), 9) AS score FROM pr a, pr b WHERE a.product_id % 100 = 0)
+SELECT query_id, product_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, product_id) AS rank FROM s QUALIFY rank <= 10""")
+def pruned(t: Tables):
+    """Image against text through cells of the catalog, most of which a query can skip."""
+    p = t.kept("products", lambda: products(t))
+    q = p.where(asked()).select(F.col("product_id").alias("query_id"), F.col("image").alias("vector"))
+    return retrieval.pruned_top_k(p, "product_id", "text", q, 10)
 
 
-@query("search_similar_products", f"""WITH {PROD}, mx AS (SELECT * REPLACE (CASE WHEN product_id % 5 = 0 THEN NULL ELSE image END AS image) FROM pr),
-qq AS (SELECT min(product_id) AS query_id FROM mx GROUP BY label, product_id % 5 = 0),
+@query("search_similar_products", f"""WITH {PROD}, mx AS (SELECT * REPLACE (CASE WHEN product_id % 3 = 0 THEN NULL ELSE image END AS image) FROM pr),
+qq AS (SELECT product_id AS query_id FROM mx WHERE product_id % 100 = 0),
 ii AS (SELECT q.query_id, b.product_id, round(list_cosine_similarity(a.image, b.image), 9) AS score FROM qq q JOIN mx a ON a.product_id = q.query_id, mx b
   WHERE a.image IS NOT NULL AND b.image IS NOT NULL AND a.product_id <> b.product_id),
 ti0 AS (SELECT q.query_id, 'text_to_text' AS channel, 0.7 AS w, b.product_id, round(list_cosine_similarity(a.text, b.text), 9) AS score FROM qq q JOIN mx a ON a.product_id = q.query_id, mx b WHERE a.image IS NULL
@@ -139,10 +153,9 @@ tt AS (SELECT query_id, product_id, sum(w * CASE WHEN sd < 1e-9 THEN 0.5 ELSE 1
 al AS (SELECT *, score AS o FROM ii UNION ALL SELECT *, round(score, 9) FROM tt)
 SELECT query_id, product_id, round(score::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, product_id) AS rank FROM al QUALIFY rank <= 10""")
 def similar_products(t: Tables):
-    """Neighbours of two products of each label, one of which is known by its text alone."""
-    p = products(t).withColumn("image", F.when(F.col("product_id") % 5 != 0, F.col("image")))
-    chosen = p.groupBy("label", (F.col("product_id") % 5 == 0).alias("plain")).agg(F.min("product_id").alias("product_id"))
-    return fusion.similar_products(p, "product_id", "image", "text", chosen, 10)
+    """Neighbours of each product whose id 100 divides; a third of them are known by their text alone."""
+    p = products(t).withColumn("image", F.when(F.col("product_id") % 3 != 0, F.col("image")))
+    return fusion.similar_products(p, "product_id", "image", "text", p.where(asked()), 10)
 
 
 # Settings as rows; NULL means the default.
@@ -398,13 +411,11 @@ def alignment(t: Tables):
     return retrieval.alignment(products(t), "product_id", "image", "text")
 
 
-@query("search_own_match_rate", f"""WITH {PROD}, s AS (SELECT a.query_id AS i, b.query_id AS j, round(list_cosine_similarity(a.qi, b.qt), 9) AS c FROM qv a, qv b),
+@query("search_own_match_rate", f"""WITH {PROD}, s AS (SELECT a.product_id AS i, b.product_id AS j, round(list_cosine_similarity(a.image, b.text), 9) AS c FROM pr a, pr b WHERE a.product_id % 100 = 0),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, j) = 1) SELECT count(*) AS pairs, round(avg((i = j)::INT), 6) AS top1 FROM b""")
 def own_match_rate(t: Tables):
-    """Share of label means whose best match on the other side is their own."""
-    qi, qt, _ = batch(products(t))
-    pairs = qi.withColumnRenamed("vector", "image").join(qt.withColumnRenamed("vector", "text"), "query_id").withColumnRenamed("query_id", "label")
-    return retrieval.own_match_rate(pairs, "label", "image", "text")
+    """Share of products (ids that 100 divides) whose best match among all texts is their own."""
+    return retrieval.own_match_rate(products(t), "product_id", "image", "text", asked())
 
 
 @query("vectors_unit_and_blend", f"WITH {PROD}, x AS (SELECT product_id, list_transform(range(1, 65), lambda i: 0.3 * image[i] + 0.7 * text[i]) AS b FROM pr) "

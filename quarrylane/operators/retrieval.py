@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +17,9 @@ from quarrylane.session import checkpointed
 
 MAX_BROADCAST_QUERIES = 4096
 SCORE_CELLS = 4_000_000  # scores held at once by a task
+PIVOTS = 256  # cells of the catalog in a large search
+BLOCK_VALUES = 4_000_000  # vector values of one block of products
+BOUND_SLACK = 1e-7  # covers the rounding of scores and angles
 SCORE_DIGITS = 9  # equal vectors must tie, whatever order the sums were taken in
 
 
@@ -31,33 +33,38 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """Running top-k per query inside one task."""
+    """Running top-k per query inside one task: flat arrays of query number, score and id, sorted once per slice."""
 
     def __init__(self, queries: np.ndarray, k: int):
         self.q, self.k = queries, k
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.array([]), np.array([], dtype=object)) for _ in range(len(queries))]
+        self.j, self.s, self.i = np.array([], dtype="int64"), np.array([]), np.array([], dtype=object)
+        self.floor = np.full(len(queries), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take rows in slices of bounded score matrices; only rows that can still enter a query's list are sorted."""
         step = max(1, SCORE_CELLS // max(1, len(self.q)))
         for at in range(0, len(ids), step):
             part, scores = ids[at:at + step], np.round(_unit_rows(vectors[at:at + step]) @ self.q.T, SCORE_DIGITS)
-            floor = np.array([s[self.k - 1] if len(s) >= self.k else -np.inf for s, _ in self.kept])
+            floor = self.floor
             if len(part) > self.k:
                 floor = np.maximum(floor, np.partition(scores, len(part) - self.k, axis=0)[len(part) - self.k])
-            hit = scores >= floor
-            for j in np.flatnonzero(hit.any(axis=0)):
-                s, i = self.kept[j]
-                s, i = np.concatenate([s, scores[hit[:, j], j]]), np.concatenate([i, part[hit[:, j]]])
-                order = np.lexsort((i, -s))[: self.k]
-                self.kept[j] = (s[order], i[order])
+            row, col = np.nonzero(scores >= floor)
+            j, s, i = np.concatenate([self.j, col]), np.concatenate([self.s, scores[row, col]]), np.concatenate([self.i, part[row]])
+            order = np.lexsort((i, -s, j))
+            j, s, i = j[order], s[order], i[order]
+            rank = np.arange(len(j)) - np.searchsorted(j, j)
+            last, keep = rank == self.k - 1, rank < self.k
+            self.floor[j[last]] = s[last]
+            self.j, self.s, self.i = j[keep], s[keep], i[keep]
+
+    @property
+    def kept(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Scores and ids of each query, best first."""
+        at = np.searchsorted(self.j, np.arange(len(self.q) + 1))
+        return [(self.s[a:b], self.i[a:b]) for a, b in zip(at, at[1:])]
 
     def frame(self, query_ids: Sequence, ident: str) -> pd.DataFrame:
-        return pd.DataFrame({
-            "query_id": [q for q, (s, _) in zip(query_ids, self.kept) for _ in s],
-            ident: [x for _, i in self.kept for x in i],
-            "score": [float(x) for s, _ in self.kept for x in s]})
+        return pd.DataFrame({"query_id": [query_ids[j] for j in self.j], ident: list(self.i), "score": self.s.astype("float64")})
 
 
 def top_per_query(df: DataFrame, k: int, keys: Sequence[str], ident: str) -> DataFrame:
@@ -79,8 +86,8 @@ def channel_search(catalog: DataFrame, ident: str, channels: dict[str, tuple[str
 
     Checked, small batches travel to every task, which reads its part of the catalog
     once for all channels, scores it in matrix form and emits only k rows per query. A
-    larger batch is cut into blocks that meet the catalog block by block; both ways
-    give the same rows. A channel without queries adds nothing.
+    larger batch goes through ``pruned_top_k``; both ways give the same rows. A channel
+    without queries adds nothing.
     """
     names = sorted({v for v, _ in channels.values()})
     cat = catalog.select(F.col(ident), *[F.col(v).cast("array<double>").alias(v) for v in names])
@@ -110,29 +117,107 @@ def channel_search(catalog: DataFrame, ident: str, channels: dict[str, tuple[str
 
     found = cat.mapInPandas(score, schema)
     for name, vector, q in large:
-        part = _block_top_k(cat.select(F.col(ident), F.col(vector).alias("__v")).where("__v IS NOT NULL"), ident, q, k,
-                            T.StructType(schema.fields[1:]), max_queries)
+        part = pruned_top_k(cat, ident, vector, q, k, block=max_queries).drop("rank")
         found = found.unionByName(part.withColumn("channel", F.lit(name)))
     return top_per_query(found, k, ["channel", "query_id"], ident)
 
 
-def _block_top_k(cat: DataFrame, ident: str, q: DataFrame, k: int, schema: T.StructType, block: int) -> DataFrame:
-    """Meet every block of queries with every block of the catalog; blocks are bounded by hash."""
-    n_q = max(1, math.ceil(q.count() / max(1, block // 2)))
-    n_c = max(1, math.ceil(cat.count() / 65536))
-    left = cat.withColumn("cb", F.pmod(F.xxhash64(ident), F.lit(n_c))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+def _near_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add to rows with vector ``__v`` the number of the nearest pivot and the angle to it; a zero vector gets cell -1."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                v = np.stack(b["__v"].to_numpy()).astype("float64")
+                s = _unit_rows(v) @ shared.value.T
+                cell, zero = s.argmax(axis=1), ~v.any(axis=1)
+                angle = np.arccos(np.clip(s[np.arange(len(s)), cell], -1.0, 1.0))
+                yield b.assign(cell=np.where(zero, -1, cell).astype("int32"), angle=np.where(zero, 0.0, angle))
+
+    return df.mapInPandas(near, schema)
+
+
+def _cells_to_ask(q: DataFrame, pivots: np.ndarray, sizes: dict[int, tuple[int, float]], k: int, first: bool) -> DataFrame:
+    """Repeat each query once per catalog cell it has to meet.
+
+    No row of a cell scores above cos(angle to the pivot - the cell's largest angle). At first a query meets its best
+    cells until they hold k rows; later those of the rest whose bound reaches its k-th score (``floor``).
+    """
+    shared = q.sparkSession.sparkContext.broadcast((pivots, sizes))
+    schema = T.StructType([q.schema["query_id"], q.schema["__v"], T.StructField("cell", T.IntegerType())])
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pv, size = shared.value
+        cells = np.array(sorted(size), dtype="int32")
+        n, reach = (np.array([size[c][i] for c in cells.tolist()], dtype="float64") for i in (0, 1))
+        for b in batches:
+            if not len(b):
+                continue
+            v = np.stack(b["__v"].to_numpy()).astype("float64")
+            angle = np.arccos(np.clip(_unit_rows(v) @ pv[np.maximum(cells, 0)].T, -1.0, 1.0))
+            bound = np.where(cells == -1, 0.0, np.cos(np.maximum(0.0, angle - reach)))
+            bound[~v.any(axis=1)] = 0.0
+            order = np.argsort(-bound, axis=1, kind="stable")
+            before = np.cumsum(n[order], axis=1) - n[order]
+            opening = np.zeros(bound.shape, dtype=bool)
+            np.put_along_axis(opening, order, before < k, axis=1)
+            wanted = opening if first else ~opening & (bound >= b["floor"].to_numpy()[:, None] - BOUND_SLACK)
+            row, col = np.nonzero(wanted)
+            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "__v": b["__v"].to_numpy()[row], "cell": cells[col]})
+
+    return q.mapInPandas(ask, schema)
+
+
+def _meet(cells: DataFrame, asked: DataFrame, ident: str, k: int, schema: T.StructType, block: int, rows: int) -> DataFrame:
+    """Score the asked cells only: blocks of at most about ``rows`` products with blocks of at most about ``block`` queries."""
+    per = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("__q")).join(
+        F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("__c"))), "cell")  # a row per pivot
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = cells.join(F.broadcast(per), "cell").select(
+        "cell", F.pmod(F.xxhash64(ident), F.col("__c")).alias("cb"), numbers("__q").alias("qb"), ident, "__v")
+    right = asked.join(F.broadcast(per), "cell").select(
+        "cell", numbers("__c").alias("cb"), F.pmod(F.xxhash64("query_id"), F.col("__q")).alias("qb"), "query_id", "__v")
 
     def score(c: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(qs):
             return pd.DataFrame({"query_id": [], ident: [], "score": []})
-        best = _Best(_unit_rows(np.stack(qs["vector"].to_numpy()).astype("float64")), k)
+        best = _Best(_unit_rows(np.stack(qs["__v"].to_numpy()).astype("float64")), k)
         best.add(c[ident].to_numpy(dtype=object), np.stack(c["__v"].to_numpy()).astype("float64"))
         return best.frame(list(qs["query_id"]), ident)
 
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(score, schema)
+    keys = ["cell", "cb", "qb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+
+
+def pruned_top_k(catalog: DataFrame, ident: str, vector: str, queries: DataFrame, k: int, pivots: int = PIVOTS,
+                 block: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """Exact cosine top-k for query batches (``query_id``, ``vector``) of any size: cells that cannot enter a list are skipped.
+
+    Every product belongs to the nearest of ``pivots`` products drawn by hash; only a cell's size and largest angle reach
+    the driver. A query first meets its best cells, then those whose bound reaches its k-th score. Which pivots are drawn
+    changes the work, never the rows. Products or queries without a vector take no part; a zero vector scores zero.
+    """
+    cat = catalog.select(F.col(ident), F.col(vector).cast("array<double>").alias("__v")).where("__v IS NOT NULL")
+    q = checkpointed(queries.select("query_id", F.col("vector").cast("array<double>").alias("__v")).where("__v IS NOT NULL"))
+    schema = T.StructType([q.schema["query_id"], cat.schema[ident], T.StructField("score", T.DoubleType())])
+    drawn = cat.where(F.exists("__v", lambda x: x != 0)).orderBy(F.xxhash64(ident), ident).limit(pivots).collect()
+    if not drawn:
+        drawn = cat.limit(1).collect()
+    if not drawn:
+        return cat.sparkSession.createDataFrame([], schema)
+    points = _unit_rows(np.array([r["__v"] for r in drawn], dtype="float64"))
+    cells = checkpointed(_near_pivot(cat, points))
+    sizes = {r["cell"]: (r["n"], r["reach"]) for r in cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("angle").alias("reach")).collect()}
+    rows = max(1, BLOCK_VALUES // points.shape[1])
+    opening = checkpointed(_cells_to_ask(q, points, sizes, k, True))
+    found = checkpointed(top_per_query(_meet(cells, opening, ident, k, schema, block, rows), k, ["query_id"], ident))
+    floors = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor"))
+    rest = checkpointed(_cells_to_ask(q.join(floors, "query_id"), points, sizes, k, False))
+    both = found.drop("rank").unionByName(_meet(cells, rest, ident, k, schema, block, rows))
+    return top_per_query(both, k, ["query_id"], ident)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -268,8 +353,8 @@ def alignment(pairs: DataFrame, ident: str, a: str, b: str) -> DataFrame:
         ((whole.select("bb").scalar() - F.col("nb")) / off).alias("within_b"))
 
 
-def own_match_rate(pairs: DataFrame, ident: str, a: str, b: str) -> DataFrame:
-    """Share of rows whose best match on the other side is their own pair."""
-    q = pairs.select(F.col(ident).alias("query_id"), F.col(a).alias("vector"))
+def own_match_rate(pairs: DataFrame, ident: str, a: str, b: str, chosen: Column | None = None) -> DataFrame:
+    """Share of the chosen rows (default: all) whose best match among all rows of the other side is their own pair."""
+    q = pairs.where(F.lit(True) if chosen is None else chosen).select(F.col(ident).alias("query_id"), F.col(a).alias("vector"))
     best = cosine_top_k(pairs, ident, b, q, 1)
     return best.agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("query_id") == F.col(ident)).cast("int")).alias("top1"))

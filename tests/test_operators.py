@@ -318,3 +318,45 @@ def test_substrings_by_rarest_run(spark):
     got = retrieval.holding_substrings(d, "id", "near", spark.createDataFrame([(x,) for x in terms], "term string"))
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {(i, x) for i, t in texts for x in terms if t and x in t}
+
+
+@pytest.mark.parametrize("pivots,block", [(1, 3), (7, 5), (40, 1000)])
+def test_pruned_search_equals_all_scores(spark, pivots, block, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_VALUES", 6 * 50)  # several blocks of 50 rows in a cell
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(6, 6)) * 3
+    x = middles[rng.integers(0, 6, 400)] + rng.normal(size=(400, 6)) * 0.3
+    x[10:30] = x[9]  # ties
+    x[40:43] = 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    q = d.where("id % 13 = 0 OR id IN (41, 900)").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.pruned_top_k(d, "id", "v", q, 8, pivots, block).collect()}
+    u = retrieval._unit_rows(x)
+    want = {}
+    for i in [*range(0, 400, 13), 41]:
+        s = np.round(u @ u[i], 9)
+        for n, j in enumerate(np.lexsort((np.arange(400), -s))[:8]):
+            want[i, n + 1] = (int(j), float(s[j]))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_pruned_search_skips_far_cells(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.eye(8), 50, axis=0) * 5 + rng.normal(size=(400, 8)) * 0.05
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, __v array<double>")
+    pivots = retrieval._unit_rows(np.eye(8))
+    cells = retrieval._near_pivot(d, pivots)
+    sizes = {r["cell"]: (r["n"], r["reach"]) for r in cells.groupBy("cell").agg(F.count("id").alias("n"), F.max("angle").alias("reach")).collect()}
+    q = d.select(F.col("id").alias("query_id"), "__v", F.lit(0.9).alias("floor"))
+    assert retrieval._cells_to_ask(q, pivots, sizes, 5, True).count() == 400
+    assert retrieval._cells_to_ask(q, pivots, sizes, 5, False).count() == 0
+
+
+def test_pruned_search_of_empty_tables(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    q = d.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    assert retrieval.pruned_top_k(d.limit(0), "id", "v", q, 3).count() == 0
+    assert retrieval.pruned_top_k(d, "id", "v", q.limit(0), 3).count() == 0
+    assert [tuple(r) for r in retrieval.pruned_top_k(d, "id", "v", q, 3).select("query_id", "id", "rank").collect()] == [(1, 1, 1)]
