@@ -11,6 +11,8 @@ from quarrylane.functions import text as tx
 from quarrylane.functions import vocab
 from quarrylane.operators import audit, splits
 from quarrylane.operators import catalog as ct
+from quarrylane.sources import sinks
+from quarrylane.sources.versions import TableSet
 
 MODEL = "encoder-base"
 
@@ -117,6 +119,33 @@ def delete_vectors(t: Tables):
     return ct.delete_by_id(e, e.where("label = 3"), "vec_id")
 
 
+@query("catalog_versions", """WITH v AS (SELECT vec_id, label, label >= 5 AS fresh FROM embeddings), p AS (SELECT p_partkey AS vec_id FROM part),
+gone AS (SELECT vec_id FROM embeddings WHERE label = 3),
+s AS (SELECT 1 AS version, 'vectors' AS name, vec_id, false AS fresh FROM v WHERE label < 7 UNION ALL SELECT 1, 'products', vec_id, false FROM p
+  UNION ALL SELECT 2, 'vectors', vec_id, fresh FROM v UNION ALL SELECT 2, 'products', vec_id, false FROM p
+  UNION ALL SELECT 3, 'vectors', vec_id, fresh FROM v WHERE vec_id NOT IN (FROM gone) UNION ALL SELECT 3, 'products', vec_id, false FROM p WHERE vec_id NOT IN (FROM gone)),
+n AS (SELECT unnest([1, 2, 3, 4]) AS version), t AS (SELECT unnest(['vectors', 'products']) AS name)
+SELECT n.version::BIGINT AS version, t.name, count(vec_id) AS n_rows, coalesce(sum(vec_id), 0)::BIGINT AS id_sum, count(*) FILTER (fresh) AS n_new
+FROM n CROSS JOIN t LEFT JOIN s ON s.version = n.version AND s.name = t.name GROUP BY ALL""")
+def versions(t: Tables):
+    """Vectors and products through an upsert, a paired delete and a delete of all, each version still readable."""
+    ts = TableSet(t.spark, sinks.shared_folder(t.spark, "versions"))
+    e = t.embeddings.select("vec_id", "label")
+    ts.commit({"vectors": e.where("label < 7").withColumn("fresh", F.lit(False)),
+               "products": t.part.select(F.col("p_partkey").alias("vec_id"), "p_name", F.lit(False).alias("fresh"))})
+    ts.commit({"vectors": ct.replace_by_id(ts.read("vectors"), e.where("label >= 5").withColumn("fresh", F.lit(True)), "vec_id")})
+    both = {n: ts.read(n) for n in ("vectors", "products")}
+    ts.commit(ct.delete_together(both, e.where("label = 3"), "vec_id"))
+    ts.commit(ct.delete_all({n: ts.read(n) for n in both}))
+    out = None
+    for v in range(1, ts.version() + 1):
+        for n in both:
+            row = ts.read(n, v).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("vec_id"), F.lit(0)).alias("id_sum"),
+                                    F.count_if("fresh").alias("n_new")).select(F.lit(v).alias("version"), F.lit(n).alias("name"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("catalog_filtered", f"""WITH {CSV} SELECT external_id, brand, price FROM prod WHERE category IN ('ECONOMY', 'PROMO') AND colour IN ('red', 'blue', 'hot')
   AND price BETWEEN 950 AND 1050 AND in_stock""")
 def filtered(t: Tables):

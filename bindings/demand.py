@@ -215,6 +215,14 @@ def panel_audit(t: Tables):
         "gaps": panel.calendar_gaps(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("subject"), "n")})
 
 
+@query("panel_duplicate_days", f"""WITH {PANEL}, x AS (SELECT series_id, date FROM panel UNION ALL SELECT series_id, date FROM panel WHERE demand > 60 UNION ALL SELECT series_id, date FROM panel WHERE demand > 90),
+n AS (SELECT count(*) AS n FROM x GROUP BY series_id, date) SELECT count(*) FILTER (n > 1) AS repeated_days, sum(n - 1)::BIGINT AS surplus_rows FROM n""")
+def duplicate_days(t: Tables):
+    """Repeated days of a series; days of large demand are planted twice or three times."""
+    p = base(t)
+    return panel.duplicate_days(p.unionByName(p.where("demand > 60")).unionByName(p.where("demand > 90")))
+
+
 def _totals(name: str, sql: str, col):
     @query(f"panel_totals_by_{name}", f"WITH {PANEL} SELECT {sql} AS {name}, round(sum(demand), 6) AS total, round(avg(demand), 6) AS mean FROM panel GROUP BY 1")
     def totals(t: Tables):

@@ -266,6 +266,20 @@ def naive_summary(t: Tables):
     return rd.naive_summary(raw(t))
 
 
+@query("rounds_naive_top_investors", f"""WITH {RAW}
+SELECT inv_a || inv_sep || inv_b AS investors_raw, count(*) AS n FROM rr GROUP BY 1 ORDER BY n DESC, investors_raw LIMIT 5""")
+def naive_top_investors(t: Tables):
+    """Most frequent raw investor cells, lists not split."""
+    return rd.top_counts(raw(t), "investors_raw")
+
+
+@query("rounds_naive_years", f"""WITH {RAW} SELECT year(try_strptime(date_raw, '%d/%m/%Y'))::BIGINT AS year, count(*) AS n FROM rr
+WHERE regexp_full_match(date_raw, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AND try_strptime(date_raw, '%d/%m/%Y') IS NOT NULL GROUP BY 1""")
+def naive_years(t: Tables):
+    """Rounds per year before any date is repaired."""
+    return rd.naive_years(raw(t))
+
+
 @query("rounds_naive_top_cities", f"WITH {RAW} SELECT city_raw, count(*) AS n FROM rr GROUP BY 1 ORDER BY n DESC, city_raw LIMIT 5")
 def naive_top_cities(t: Tables):
     """Most frequent raw cities."""

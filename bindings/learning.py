@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from bindings import demand, payments, subscribers
 from bindings.registry import Tables, query
-from quarrylane.operators import features, forecasts, models, panel, scoring, splits, staging
+from quarrylane.operators import features, forecasts, inventory, models, panel, scoring, splits, staging, walk
 from quarrylane.operators import subscribers as sb
 from quarrylane.operators import transactions as tx
+from quarrylane.plans.prefix import exact_quantiles
 from quarrylane.session import checkpointed
 from quarrylane.sources import sinks
 
@@ -118,6 +119,18 @@ def bundle_round_trip(t: Tables):
     return scoring.threshold_metrics(s, "p", "y", contract["threshold"])
 
 
+@query("model_scored_decisions")
+def scored_decisions(t: Tables):
+    """New customers scored under a saved contract, with band, value tier, action and priority."""
+    m, d = linear(t)
+    path = sinks.shared_folder(t.spark, "bundle")
+    cut = exact_quantiles(d, "MonthlyCharges", {"q": 0.7}).first()["q"] * subscribers.ECON.horizon_months
+    models.save_bundle(m, path, {"columns": [*NUMERIC, *CATEGORICAL], "threshold": 0.5, "monthly": "MonthlyCharges", "value_cut": cut})
+    m2, contract = models.load_bundle(path)
+    s = models.score_and_decide(m2, d.drop("label", "weight", "y"), contract, subscribers.ECON)
+    return s.select("customerID", "p", "positive_at_threshold", "risk_segment", "value_tier", "expected_value", "contact_recommended", "priority")
+
+
 @query("model_payment_classifiers")
 def payment_classifiers(t: Tables):
     """Balanced classifiers on the temporal split, scored on the later part."""
@@ -193,6 +206,43 @@ def forecast_job(t: Tables):
     return models.predict_demand(m, rows, DEM, "forecast").select("series_id", "target_date", "horizon", "forecast")
 
 
+WALK = {"tweedie": models.DEMAND_SETTINGS["tweedie"], "random_forest": LIGHT["random_forest"]}
+PROTECTION, ERROR_STEP = 14, 7
+
+
+def known_origins(last: dt.date) -> list[dt.date]:
+    """Training origins of a fold whose last known day is given."""
+    return splits.training_origins(demand.FIRST, last, 28, 28, count=8, step=28)
+
+
+@query("model_walk_forward")
+def walk_forward(t: Tables):
+    """Two models refitted in each of four folds, scored on the fold's window and on origins stepped through it."""
+    origins = walk.origins_needed(demand.FOLDS, known_origins, PROTECTION, ERROR_STEP)
+    cols = ["series_id", "origin", "target_date", "y_true", "store_id", *DEM]
+    d = demand.attributes(features.supervised(demand.base(t), origins, demand.H, demand.FIRST)).select(*cols)
+    d = checkpointed(d.withColumns({c: F.col(c).cast("double") for c in DEM}))
+    f = walk.walk_forward(d, demand.FOLDS, known_origins, WALK, DEM, ["store_id"], PROTECTION, ERROR_STEP)
+    return walk.fold_scores(f)
+
+
+@query("model_forecast_bundle")
+def forecast_bundle(t: Tables):
+    """A forecast bundle saved, loaded and applied: the held-out window with intervals and reorder points."""
+    train, test = supervised(t)
+    m = models.fit_demand(train, "tweedie", DEM, ["store_id"], **LIGHT["tweedie"])
+    known = models.predict_demand(m, train, DEM, "forecast", 0.0)
+    residuals = forecasts.residual_quantiles(known, "forecast")
+    policy = inventory.baseline_policy(demand.base(t), demand.TERMS, demand.TEST_ORIGIN)
+    path = sinks.shared_folder(t.spark, "forecaster")
+    models.save_forecast_bundle(m, path, {"numeric": DEM, "categorical": ["store_id"], "origin": str(demand.TEST_ORIGIN)}, policy, residuals)
+    m2, contract, tables = models.load_forecast_bundle(path)
+    p = models.predict_demand(m2, test, contract["numeric"], "forecast", 0.0)
+    p = forecasts.with_intervals(p, "forecast", tables["residuals"])
+    return p.join(tables["policy"], "series_id", "left").select(
+        "series_id", "target_date", "horizon", "forecast", "q10", "q90", "reorder_point_normal")
+
+
 @query("model_holt_winters")
 def holt_winters(t: Tables):
     """Weekly smoothing of a class-balanced sample of series, scored beside a baseline on the same sample."""

@@ -125,6 +125,16 @@ def delete_by_id(current: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
     return current.join(doomed.select(key), key, "left_anti")
 
 
+def delete_together(tables: Mapping[str, DataFrame], doomed: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The same ids deleted from several tables, for one commit of ``sources.versions``; give vectors before rows."""
+    return {name: delete_by_id(d, doomed, key) for name, d in tables.items()}
+
+
+def delete_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every table without its rows, the columns kept."""
+    return {name: d.where(F.lit(False)) for name, d in tables.items()}
+
+
 def content_hash(model: str) -> Column:
     return tx.fingerprint(model, [F.col(c) for c in EMBEDDED])
 

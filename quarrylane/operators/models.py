@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import platform
 import random
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyspark
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -20,8 +23,10 @@ from pyspark.sql import types as T
 
 from quarrylane.operators import scoring
 from quarrylane.operators.audit import require_columns
+from quarrylane.operators.decisions import Economics, decide
 from quarrylane.operators.panel import DATE, DEMAND, SERIES
 from quarrylane.operators.rankstats import ranking_quality
+from quarrylane.operators.scoring import checked_score
 
 LABEL, WEIGHT, FEATURES, SCORE = "label", "weight", "features", "p"
 
@@ -318,6 +323,39 @@ def score_with_contract(model: PipelineModel, df: DataFrame, contract: dict) ->
     return score(model, require_columns(df, contract["columns"]))
 
 
+def score_and_decide(model: PipelineModel, df: DataFrame, contract: dict, econ: Economics) -> DataFrame:
+    """Score new rows under a contract of columns, threshold, monthly value column and value cut, and say what to do with each.
+
+    A probability that is missing or outside 0 to 1 stops the job; the value cut comes from training, not from the batch.
+    """
+    d = score_with_contract(model, df, contract).withColumn(SCORE, checked_score(SCORE))
+    d = decide(d, SCORE, contract["monthly"], econ, value_cut=contract["value_cut"])
+    return d.withColumn("positive_at_threshold", F.col(SCORE) >= contract["threshold"])
+
+
+FORECAST_BUNDLE = 1  # format of a forecast bundle
+FORECAST_TABLES = ("policy", "residuals")
+
+
+def save_forecast_bundle(model: PipelineModel, path: str, contract: dict, policy: DataFrame, residuals: DataFrame) -> None:
+    """A point model with its stock policy and the residual quantiles that make its intervals."""
+    versions = {"python": platform.python_version(), "pyspark": pyspark.__version__}
+    save_bundle(model, path, {**contract, "format": FORECAST_BUNDLE, "versions": versions}, {"policy": policy, "residuals": residuals})
+
+
+def load_forecast_bundle(path: str) -> tuple[PipelineModel, dict, dict[str, DataFrame]]:
+    """The bundle's model, contract and tables; another format is refused, other library versions are warned of."""
+    model, contract = load_bundle(path)
+    if contract.get("format") != FORECAST_BUNDLE:
+        raise ValueError(f"{path} holds no forecast bundle of format {FORECAST_BUNDLE}")
+    now = {"python": platform.python_version(), "pyspark": pyspark.__version__}
+    for name, was in contract["versions"].items():
+        if now.get(name) != was:
+            warnings.warn(f"{name} was {was} at training and is {now.get(name)} now; forecasts may differ", stacklevel=2)
+    spark = SparkSession.getActiveSession()
+    return model, contract, {t: spark.read.parquet(f"{path}/{t}") for t in FORECAST_TABLES}
+
+
 def holt_winters(history: DataFrame, horizon: int, season: int = 7) -> DataFrame:
     """Additive weekly smoothing of each (sampled) series, one row per day ahead.
 

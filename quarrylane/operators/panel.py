@@ -180,6 +180,12 @@ def _sale_bounds(panel: DataFrame) -> DataFrame:
                                      F.min(DATE).alias("first_day"), F.max(DATE).alias("last_day"))
 
 
+def duplicate_days(df: DataFrame) -> DataFrame:
+    """Days of a series that have several rows, and how many rows are surplus; equal keys are counted, never collected."""
+    n = df.groupBy(SERIES, DATE).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count_if(F.col("n") > 1).alias("repeated_days"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"))
+
+
 def zero_taxonomy(panel: DataFrame) -> DataFrame:
     """Zeros before launch, after the last sale and in between."""
     d = panel.select(SERIES, DATE, DEMAND).join(_sale_bounds(panel), SERIES)

@@ -194,6 +194,13 @@ def naive_summary(raw: DataFrame) -> DataFrame:
         F.col("b.startup").alias("largest_startup"), F.col("b.date_raw").alias("largest_date"))
 
 
+def naive_years(raw: DataFrame) -> DataFrame:
+    """Rounds per year as the uncorrected arm reads them: only well-formed day-first dates count."""
+    formed = F.col("date_raw").rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$")
+    day = F.try_to_timestamp(F.when(formed, F.col("date_raw")), F.lit("d/M/yyyy"))
+    return raw.select(F.year(day).alias("year")).where("year IS NOT NULL").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_counts(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """Most frequent values of a column."""
     return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylane.operators import audit, catalog, decisions, features, fusion, inventory, models, panel, ranking, retrieval, rounds, splits
+from quarrylane.operators import audit, catalog, decisions, features, fusion, inventory, models, panel, ranking, retrieval, rounds, splits, walk
 from quarrylane.operators import transactions as tx
 
 START = dt.date(2020, 1, 1)
@@ -360,3 +360,52 @@ def test_pruned_search_of_empty_tables(spark):
     assert retrieval.pruned_top_k(d.limit(0), "id", "v", q, 3).count() == 0
     assert retrieval.pruned_top_k(d, "id", "v", q.limit(0), 3).count() == 0
     assert [tuple(r) for r in retrieval.pruned_top_k(d, "id", "v", q, 3).select("query_id", "id", "rank").collect()] == [(1, 1, 1)]
+
+
+def test_refit_per_fold_knows_nothing_later(spark):
+    import datetime as dt
+
+    rng = random.Random(5)
+    origins = [START + dt.timedelta(days=7 * i) for i in range(12)]
+    folds = [splits.Fold(f"f{n}", o, o + dt.timedelta(days=1), o + dt.timedelta(days=7)) for n, o in enumerate(origins[8:10])]
+    training = lambda last: [o for o in origins if o + dt.timedelta(days=7) <= last]
+    rows = [(f"S{s}", o, float(h), o + dt.timedelta(days=h), float(rng.randint(1, 9) + s), float(s), "A" if s % 2 else "B")
+            for s in range(6) for o in [*origins, *walk.error_origins(folds[0], 4, 2)[1:]] for h in range(1, 8)]
+    schema = "series_id string, origin date, horizon double, target_date date, y_true double, level double, store string"
+    late = folds[0].origin
+
+    def forecasts_of(change):
+        d = spark.createDataFrame([(*r[:4], r[4] + (change if r[3] > late else 0.0), *r[5:]) for r in rows], schema)
+        got = walk.walk_forward(d, folds, training, {"tweedie": {"variancePower": 1.1, "maxIter": 5, "regParam": 0.1}}, ["level", "horizon"], ["store"], 4, 2)
+        return got.collect()
+
+    a, b = forecasts_of(0.0), forecasts_of(500.0)
+    pick = lambda rs, f: {(r.part, r.series_id, r.origin, r.horizon): r.forecast for r in rs if r.fold == f}
+    first, second = pick(a, "f0"), pick(a, "f1")
+    assert first == pick(b, "f0") and second != pick(b, "f1")
+    assert {k[0] for k in first} == {"test", "error"} and len([k for k in first if k[0] == "test"]) == 42
+    assert {k[3] for k in first if k[0] == "error"} == {1, 2, 3, 4}
+    assert walk.error_origins(folds[0], 4, 2) == [late, late + dt.timedelta(days=2)]
+    with pytest.raises(ValueError, match="no training rows"):
+        walk.walk_forward(spark.createDataFrame(rows, schema), folds, lambda last: [], {"tweedie": {}}, ["level"], [])
+
+
+def test_repeated_days(spark):
+    d = spark.createDataFrame([("A", START), ("A", START), ("A", START), ("B", START), (None, START), (None, START)], "series_id string, date date")
+    assert tuple(panel.duplicate_days(d).first()) == (2, 3)
+    assert tuple(panel.duplicate_days(d.limit(0)).first()) == (0, 0)
+
+
+def test_naive_years(spark):
+    d = spark.createDataFrame([("05/07/2018",), ("31/02/2018",), ("05/072018",), ("1/1/2017",), (None,), ("5/7/015",)], "date_raw string")
+    assert {tuple(r) for r in rounds.naive_years(d).collect()} == {(2018, 1), (2017, 1)}
+
+
+def test_a_probability_outside_its_range_stops_the_job(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 1.2), (2, 0.4)], "id long, p double")
+    monkeypatch.setattr(models, "score", lambda model, df: df)
+    contract = {"columns": ["id"], "threshold": 0.3, "monthly": "id", "value_cut": 20.0}
+    good = models.score_and_decide(None, d.where("p < 1"), contract, decisions.Economics()).first()
+    assert good.positive_at_threshold and good.value_tier == "High value" and good.risk_segment is not None
+    with pytest.raises(Exception, match="outside"):
+        models.score_and_decide(None, d, contract, decisions.Economics()).collect()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylane.operators import catalog
-from quarrylane.sources import readers, sinks, split_csv
+from quarrylane.sources import readers, sinks, split_csv, versions
 
 
 def write(tmp_path, name, text):
@@ -93,3 +93,33 @@ def test_ranges_that_start_inside_a_cell(spark, tmp_path, limit):
 def test_quotes_that_do_not_pair_up_are_refused(spark, tmp_path):
     with pytest.raises(split_csv.OddQuotes):
         split_csv.read(spark, write(tmp_path, "o.csv", 'a,b\n1,"open\n')).collect()
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    ts = versions.TableSet(spark, str(tmp_path / "set"))
+    assert ts.version() == 0 and ts.tables() == {}
+    rows = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, k long")
+    assert ts.commit({"vectors": rows, "products": rows}) == 1
+    pinned = ts.read("products", 1)
+    changes = catalog.delete_together({"vectors": ts.read("vectors"), "products": ts.read("products")}, rows.where("k = 1"), "id")
+    broken = {**changes, "products": changes["products"].withColumn("k", F.raise_error(F.lit("disk is gone")).cast("long"))}
+    with pytest.raises(Exception, match="disk is gone"):
+        ts.commit(broken)
+    assert ts.version() == 1 and ts.read("vectors").count() == ts.read("products").count() == 10
+    assert ts.commit(changes) == 2
+    assert ts.read("vectors").count() == ts.read("products").count() == 5 and pinned.count() == ts.read("vectors", 1).count() == 10
+    with pytest.raises(versions.Conflict):
+        ts.commit({"vectors": rows}, base=1)
+    assert ts.version() == 2
+    ts.commit(catalog.delete_all({n: ts.read(n) for n in ("vectors", "products")}))
+    assert ts.read("products").columns == ["id", "k"] and ts.read("products").count() == 0 and ts.read("products", 2).count() == 5
+    with pytest.raises(KeyError):
+        ts.read("vectors", 9)
+
+
+def test_a_version_committed_twice_is_refused(spark, tmp_path):
+    ts = versions.TableSet(spark, str(tmp_path / "set"))
+    ts.commit({"a": spark.range(3)})
+    spark.createDataFrame([(1, 0, "other", {"a": "elsewhere"})], versions.COMMIT).write.mode("append").json(f"{ts.root}/commits")
+    with pytest.raises(versions.Conflict, match="twice"):
+        ts.read("a")
