@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindings import catalogue, demand, funding, payments, subscribers
 from bindings.registry import Tables, query
 from quarrylane.operators import catalog as ct
 from quarrylane.operators import decisions, rankstats, splits
 from quarrylane.operators import rounds as rd
-from quarrylane.sources import readers, sinks
+from quarrylane.sources import readers, shards, sinks
 
 
 @query("file_transactions_csv", f"WITH {payments.TX} SELECT type, count(*) AS n, round(sum(amount), 2) AS amount, sum(isFraud)::BIGINT AS frauds FROM tx GROUP BY 1", digits=2)
@@ -108,6 +111,45 @@ def parquet_columns(t: Tables):
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
+# Shards of orders by two years of their date, the last one open; later ones have one more column, the earliest one less.
+_SHARDS = """o AS (SELECT *, greatest(least((coalesce(year(o_orderdate), 0) - 1995) // 2, 3), 0)::BIGINT AS shard FROM orders)"""
+
+
+def order_shards(t: Tables):
+    """Orders as shard folders with differing columns, and the kept list of their files."""
+    def build():
+        root = sinks.shared_folder(t.spark, "shards")
+        years = F.coalesce(F.year("o_orderdate"), F.lit(0)) - 1995
+        o = t.orders.withColumn("shard", F.greatest(F.least(F.floor(years / 2), F.lit(3)), F.lit(0)).cast("long"))
+        folders = []
+        for k in range(4):
+            d = o.where(F.col("shard") == k).drop("shard")
+            d = d.drop("o_orderpriority") if k == 0 else d.withColumn("batch", F.lit(k).cast("long")) if k > 1 else d
+            folders.append(sinks.write_parquet(d, f"{root}/shard={k}"))
+        return shards.shard_list(t.spark, folders, "o_orderdate", ("o_orderpriority", "batch"))
+
+    return t.kept("shard_list", build)
+
+
+@query("file_shard_list", f"""WITH {_SHARDS} SELECT shard, count(*) AS n, min(o_orderdate)::DATE AS low, max(o_orderdate)::DATE AS high,
+  CASE WHEN shard = 0 THEN 0 ELSE count(o_orderpriority) END::BIGINT AS with_priority, CASE WHEN shard > 1 THEN count(*) ELSE 0 END::BIGINT AS with_batch FROM o GROUP BY shard""")
+def shard_figures(t: Tables):
+    """Rows, bounds and filled columns of each shard, from the kept list."""
+    s = order_shards(t).withColumn("shard", F.regexp_extract("shard", "shard=([0-9]+)", 1).cast("long"))
+    return s.groupBy("shard").agg(
+        F.sum("rows").alias("n"), F.to_date(F.min("low")).alias("low"), F.to_date(F.max("high")).alias("high"),
+        F.sum("has_o_orderpriority").alias("with_priority"), F.sum("has_batch").alias("with_batch"))
+
+
+@query("file_shard_scan", f"""WITH {_SHARDS} SELECT o_orderstatus, CASE WHEN shard > 1 THEN shard END AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total
+  FROM o WHERE o_orderdate BETWEEN DATE '1996-03-01' AND DATE '1999-06-30' GROUP BY ALL""", digits=2)
+def shard_scan(t: Tables):
+    """Orders of some months, from the shards whose bounds can hold them."""
+    kind = T.StructType([t.orders.schema[c] for c in ("o_orderdate", "o_orderstatus", "o_totalprice")]).add("batch", "long")
+    d = shards.scan(order_shards(t), kind, "o_orderdate", dt.date(1996, 3, 1), dt.date(1999, 6, 30))
+    return d.groupBy("o_orderstatus", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
 @query("file_versioned_upsert", f"""WITH {catalogue.CSV} SELECT CASE WHEN p_size < 20 THEN 'kept' WHEN p_size <= 30 THEN 'updated' ELSE 'created' END AS change, count(*) AS n FROM prod GROUP BY 1""")
 def versioned_upsert(t: Tables):
     """Upsert written as the next version of the table."""

@@ -68,10 +68,33 @@ def croston_level(sales: Column, window_start: Column, alpha: float = CROSTON_AL
     return end["z"], end["p"]
 
 
+def croston_at_origins(panel: DataFrame, origins: Sequence[dt.date], first_date: dt.date) -> DataFrame:
+    """Croston level per series and origin over the sales of the last ``CROSTON_DAYS`` days.
+
+    A series' sales are gathered once (at most one a day) and cut to every origin's days in place, so no row moves per origin.
+    """
+    y = F.col(DEMAND).cast("double")
+    inside = (F.col(DATE) <= F.lit(max(origins))) & (F.col(DATE) > F.lit(min(origins) - dt.timedelta(days=CROSTON_DAYS)))
+    sales = panel.where((y > 0) & inside).groupBy(SERIES).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(DATE).alias("date"), y.alias("size")))).alias("__all"))
+
+    def seen(o: Column) -> Column:
+        held = F.filter("__all", lambda s: (s["date"] <= o) & (F.datediff(o, s["date"]) < CROSTON_DAYS))
+        return F.struct(o.alias("origin"), held.alias("__sales"))
+
+    d = sales.select(SERIES, F.inline(F.transform(F.array(*[F.lit(o) for o in sorted(origins)]), seen))).where(F.size("__sales") > 0)
+    z, p = croston_level(F.col("__sales"), F.greatest(F.date_sub("origin", CROSTON_DAYS - 1), F.lit(first_date)))
+    return d.select(SERIES, "origin", F.try_divide(z, p).alias("croston_at_origin"))
+
+
 def origin_features(panel: DataFrame, origins: Sequence[dt.date], first_date: dt.date,
                     lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """One row per series and origin: the days that its lags, windows and intervals reach back to, and totals of the rest."""
-    reach = max(CROSTON_DAYS, 28, *lags, *windows)
+    """One row per series and origin.
+
+    Each pass reaches back as far as it looks: lags, windows and prices over the last 28 days (a row has one copy per origin
+    within them), Croston over one list of sales per series, level and age from sums between origins.
+    """
+    reach = max(28, *lags, *windows)
     d = at_origins(panel.select(SERIES, DATE, DEMAND, "sell_price"), origins, reach)
     age = F.datediff("origin", DATE)  # 0 on the origin day
     y, price = F.col(DEMAND).cast("double"), F.col("sell_price").cast("double")
@@ -81,23 +104,22 @@ def origin_features(panel: DataFrame, origins: Sequence[dt.date], first_date: dt
         aggs += [F.avg(inside).alias(f"rolling_mean_{w}"), F.stddev_samp(inside).alias(f"rolling_std_{w}"),
                  F.max(inside).alias(f"rolling_max_{w}"),
                  (F.count_if((age < w) & (y > 0)) / F.lit(float(w))).alias(f"nonzero_rate_{w}")]
-    sale = F.struct(F.col(DATE).alias("date"), y.alias("size"))
     aggs += [
         F.min(F.when((age < 28) & (y > 0), age)).alias("__since"),
         F.avg(F.when((age < 28) & (y > 0), y)).alias("mean_nonzero_size_28"),
         F.avg(F.when(age < 28, price)).alias("price_mean_28_at_origin"),
         F.max(F.when(age == 0, price)).alias("price_at_origin"),
-        F.array_sort(F.collect_list(F.when((age < CROSTON_DAYS) & (y > 0), sale))).alias("__sales"),
     ]
+    # A series without a row in the last days has a rate of zero, as one whose days were all without sales.
+    rates = [f"nonzero_rate_{w}" for w in windows]
     f = history_totals(panel, origins).join(d.groupBy(SERIES, "origin").agg(*aggs), [SERIES, "origin"], "left")
-    f = f.withColumn("__sales", F.coalesce("__sales", F.array().cast(f.schema["__sales"].dataType)))
-    begin = F.greatest(F.date_sub("origin", CROSTON_DAYS - 1), F.lit(first_date))
-    z, p = croston_level(F.col("__sales"), begin)
+    f = f.join(croston_at_origins(panel, origins, first_date), [SERIES, "origin"], "left")
     f = f.withColumns({
+        **{c: F.coalesce(c, F.lit(0.0)) for c in rates},
         "days_since_last_sale": F.coalesce("__since", F.lit(NEVER)),
         "trend_7_28": F.try_divide("rolling_mean_7", F.col("rolling_mean_28")),
-        "croston_at_origin": F.when(F.size("__sales") > 0, F.coalesce(F.try_divide(z, p), F.lit(0.0))).otherwise(0.0)})
-    return f.withColumn("sba_at_origin", F.col("croston_at_origin") * (1 - CROSTON_ALPHA / 2)).drop("__since", "__sales")
+        "croston_at_origin": F.coalesce("croston_at_origin", F.lit(0.0))})
+    return f.withColumn("sba_at_origin", F.col("croston_at_origin") * (1 - CROSTON_ALPHA / 2)).drop("__since")
 
 
 def rolling_for_all_days(panel: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylane.plans.hotkeys import heavy_cut, partition_count
 from quarrylane.plans.prefix import running_totals
 from quarrylane.session import checkpointed
 
@@ -63,12 +64,37 @@ def nearest_rank(df: DataFrame, value: str, fraction: float) -> DataFrame:
     return upto.where(F.col("cum___n") >= F.ceil(F.lit(float(fraction)) * total)).agg(F.min(value).alias("p"))
 
 
-def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: dict[str, str]) -> DataFrame:
+KEY = ["field", "value", "field2", "value2"]
+
+
+def _cells(low: DataFrame, ident: str, fields: Sequence[str], hot: DataFrame) -> DataFrame:
+    """One row per product and field; in a hot cell also one per second field, so that rules may name two values at once."""
+    whole = F.struct(F.lit("").alias("field2"), F.lit("").alias("value2"))
+    two = [F.when((F.col("field") != p) & F.col(p).isNotNull(), F.struct(F.lit(p).alias("field2"), F.col(p).alias("value2"))) for p in fields]
+    d = low.select(ident, *fields, F.inline(F.array(*[F.struct(F.lit(p).alias("field"), F.col(p).alias("value")) for p in fields])))
+    d = d.where("value IS NOT NULL").join(F.broadcast(hot), ["field", "value"], "left")
+    return d.withColumn("x", F.explode(F.when(F.col("hot"), F.array_compact(F.array(whole, *two))).otherwise(F.array(whole)))).select(
+        ident, *fields, "field", "value", "x.*")
+
+
+def spread_pairs(cells: DataFrame, probe: DataFrame, ident: str, cut: int) -> DataFrame:
+    """Products and rules of equal key; a key with over ``cut`` products is dealt out, and its rules are repeated per part."""
+    size = cells.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    # Keys over the cut are few by its definition: at most the number of rows over it.
+    parts = checkpointed(size.where(F.col("n") > cut).select(*KEY, F.ceil(F.col("n") / cut).cast("int").alias("parts")))
+    many = F.coalesce("parts", F.lit(1))
+    left = cells.join(F.broadcast(parts), KEY, "left").withColumn("part", F.pmod(F.xxhash64(ident), many)).drop("parts")
+    right = probe.join(F.broadcast(parts), KEY, "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+    return left.join(right.withColumn("part", F.col("part").cast("long")), [*KEY, "part"])
+
+
+def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: dict[str, str], cut: int | None = None) -> DataFrame:
     """(query, product) pairs where a product satisfies every field of a rule.
 
-    ``rules`` holds query_id, list columns named in ``fields`` and ``exclude_ids``. A
-    product is looked up by the one field of a rule that admits the fewest products;
-    the other fields are checked on the matched rows.
+    ``rules`` holds query_id, list columns named in ``fields`` and ``exclude_ids``. A product is looked up by the one field
+    of a rule that admits the fewest products; the other fields are checked on the matched rows. Where that field's value is
+    hot (over ``cut`` products; by default a small share of a partition's), the rule's next field is looked up with it, and
+    what is still hot is dealt out over several tasks. NULL in a field of the product satisfies no list.
     """
     none = F.array().cast("array<string>")
     lists = {p: F.array_distinct(F.transform(F.coalesce(F.col(r), none), lambda v: F.lower(v))) for r, p in fields.items()}
@@ -80,11 +106,19 @@ def relevant_pairs(rules: DataFrame, products: DataFrame, ident: str, fields: di
     cells = r.select("query_id", F.explode(F.concat(*[rule_cell(p) for p in lists])).alias("x")).select("query_id", "x.*")
     low = products.select(ident, *[F.lower(F.col(p)).alias(p) for p in lists])
     cell = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.col(p).alias("value")) for p in lists])).alias("x")
-    size = low.select(cell).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    size = checkpointed(low.select(cell).where("x.value IS NOT NULL").groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n")))
+    total = size.agg(F.sum("n")).first()[0] or 0
+    cut = cut or heavy_cut(int(total), partition_count(products.sparkSession))
+    hot = size.where(F.col("n") > cut).select("field", "value", F.lit(True).alias("hot"))
     reach = cells.join(size, ["field", "value"], "left").groupBy("query_id", "field").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    narrow = reach.groupBy("query_id").agg(F.min_by("field", F.struct("n", "field")).alias("field"))
-    probe = cells.join(narrow, ["query_id", "field"]).join(r, "query_id")
-    m = low.select("*", cell).select(ident, *lists, "x.*").join(probe, ["field", "value"])
+    # A rule has one row per field: two of them are taken.
+    order = reach.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "field"))).alias("f"))
+    narrow = order.select("query_id", F.get("f", F.lit(0))["field"].alias("field"), F.get("f", F.lit(1))["field"].alias("next"))
+    probe = cells.join(narrow, ["query_id", "field"]).join(r, "query_id").join(F.broadcast(hot), ["field", "value"], "left")
+    values = F.coalesce(*[F.when(F.col("hot") & (F.col("next") == p), F.col(f"__r_{p}")) for p in lists], F.array(F.lit("")))
+    probe = probe.withColumn("value2", F.explode(values)).withColumn(
+        "field2", F.when(F.col("hot"), F.coalesce("next", F.lit(""))).otherwise("")).drop("hot", "next")
+    m = spread_pairs(_cells(low, ident, list(lists), hot), probe, ident, cut)
     for p in lists:
         m = m.where((F.size(f"__r_{p}") == 0) | F.coalesce(F.array_contains(f"__r_{p}", F.col(p)), F.lit(False)))
     return m.where(~F.array_contains(F.coalesce("exclude_ids", none), F.col(ident).cast("string"))).select("query_id", ident)

@@ -8,7 +8,6 @@ points gives the same exact result.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,6 +18,9 @@ from pyspark.sql import types as T
 from quarrylane.session import checkpointed
 
 BUCKET = "__bucket"
+#: Rows of a text column sampled per bucket, and how much of a text a split point holds.
+SAMPLE_PER_BUCKET = 16
+POINT_CHARS = 256
 
 
 def split_points(df: DataFrame, order: Column, buckets: int) -> list[float]:
@@ -36,26 +38,46 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def order_number(df: DataFrame, order: str) -> Column:
-    """A number that never falls along ``order``; text uses the bytes after its common start."""
-    if not isinstance(df.schema[order].dataType, T.StringType):
-        return F.col(order).cast("double")
-    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    common = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
-    head = F.left(F.rpad(F.hex(F.substring(order, common + 1, 6)), 12, "0"), F.lit(12))
-    return F.conv(head, 16, 10).cast("double")
+def text_points(df: DataFrame, order: str, buckets: int, keys: Sequence[str] = ()) -> list[str]:
+    """At most ``buckets - 1`` split points of a text column, bytewise ascending: even steps through a sample of its rows.
+
+    The sample is the rows of least hash over order and keys, so it is the same in every run; a point is the head of a text.
+    """
+    if buckets < 2:
+        return []
+    place = F.xxhash64(F.lit("sample"), order, *keys)
+    rows = (df.where(F.col(order).isNotNull()).select(F.left(F.col(order), F.lit(POINT_CHARS)).alias("v"), place.alias("h"))
+            .orderBy("h", "v").limit(buckets * SAMPLE_PER_BUCKET).collect())
+    seen = sorted((r["v"] for r in rows), key=str.encode)
+    return sorted({seen[len(seen) * i // buckets] for i in range(1, buckets)} if seen else (), key=str.encode)
+
+
+def points_up_to(value: Column, points: Sequence[str]) -> Column:
+    """How many of the ascending points are at most ``value``, by halving steps; NULL for NULL."""
+    held = F.array(*[F.lit(p) for p in points])
+    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
+
+    def further(n: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(held, n + step - 1) <= value, F.lit(False)), n + step).otherwise(n)
+
+    return F.when(value.isNotNull(), F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further))
 
 
 def bucketed(df: DataFrame, order: str, buckets: int | None = None,
-             descending: bool = False) -> DataFrame:
+             descending: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Add a bucket number that grows in the requested order; NULL comes first ascending and last descending, as in a sort."""
-    number = order_number(df, order)
-    points = split_points(df, number, _bucket_count(df, buckets))
-    if not points:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    cut = Bucketizer(splits=[-float("inf"), *points, float("inf")],
-                     inputCol="__order", outputCol=BUCKET, handleInvalid="keep")
-    out = cut.transform(df.withColumn("__order", number)).drop("__order")
+    many = _bucket_count(df, buckets)
+    if isinstance(df.schema[order].dataType, T.StringType):
+        texts = text_points(df, order, many, keys)
+        out = df.withColumn(BUCKET, points_up_to(F.col(order), texts).cast("double") if texts else F.lit(0.0))
+    else:
+        number = F.col(order).cast("double")
+        points = split_points(df, number, many)
+        if not points:
+            return df.withColumn(BUCKET, F.lit(0.0))
+        cut = Bucketizer(splits=[-float("inf"), *points, float("inf")],
+                         inputCol="__order", outputCol=BUCKET, handleInvalid="keep")
+        out = cut.transform(df.withColumn("__order", number)).drop("__order")
     place = F.coalesce(BUCKET, F.lit(-1.0))
     return out.withColumn(BUCKET, -place if descending else place)
 
@@ -78,7 +100,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     """
     keys = list(keys)
     # The input is read three times (split points, bucket totals, running sums).
-    d = bucketed(checkpointed(df), order, buckets, descending)
+    d = bucketed(checkpointed(df), order, buckets, descending, keys)
     by = F.col(order).desc() if descending else F.col(order).asc()
     local = Window.partitionBy(*keys, BUCKET).orderBy(by).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

@@ -409,3 +409,60 @@ def test_a_probability_outside_its_range_stops_the_job(spark, monkeypatch):
     assert good.positive_at_threshold and good.value_tier == "High value" and good.risk_segment is not None
     with pytest.raises(Exception, match="outside"):
         models.score_and_decide(None, d, contract, decisions.Economics()).collect()
+
+
+def test_origin_passes_copy_few_rows(tiny):
+    origins = [START + dt.timedelta(days=60 + 7 * i) for i in range(8)]
+    per = features.at_origins(tiny, origins, 28).groupBy("series_id", "date").count().agg(F.max("count")).first()[0]
+    assert per <= 4
+
+
+def test_croston_of_all_origins_equals_one_at_a_time(tiny):
+    origins = [START + dt.timedelta(days=d) for d in (0, 45, 80, 119)]
+    every = {(r.series_id, r.origin): r.croston_at_origin for r in features.croston_at_origins(tiny, origins, START).collect()}
+    one = {}
+    for o in origins:
+        one |= {(r.series_id, r.origin): r.croston_at_origin for r in features.croston_at_origins(tiny, [o], START).collect()}
+    assert every == one and len(every) == 8
+
+
+def test_features_of_a_series_that_has_ended(spark):
+    rows = [("S", START + dt.timedelta(days=i), 1.0 + i, 2.0) for i in range(10)]
+    d = spark.createDataFrame(rows, "series_id string, date date, demand double, sell_price double")
+    f = features.origin_features(d, [START + dt.timedelta(days=60), START + dt.timedelta(days=500)], START).orderBy("origin").collect()
+    assert [r.nonzero_rate_28 for r in f] == [0.0, 0.0] and [r.days_since_last_sale for r in f] == [features.NEVER] * 2
+    assert f[0].croston_at_origin > 0 and f[1].croston_at_origin == 0.0 and [r.hist_mean for r in f] == [5.5, 5.5]
+
+
+@pytest.fixture(scope="module")
+def catalogue(spark):
+    # "casual" and "red" are each held by a third of all products or more.
+    r = random.Random(3)
+    rows = [(i, "casual" if i % 3 else r.choice(["sport", "formal", None]), "Red" if i % 2 else r.choice(["blue", "green"]),
+             f"b{r.randrange(40)}") for i in range(900)]
+    rules = [("q1", ["Casual"], [], [], []), ("q2", ["casual"], ["red"], [], ["7"]), ("q3", ["casual", "sport"], ["red", "blue"], [], None),
+             ("q4", ["casual"], ["red"], ["b1", "b2", "B3"], []), ("q5", ["nothing"], [], [], []), ("q6", None, ["red"], None, []), ("q7", ["casual", "Casual"], ["green"], [], [])]
+    return rows, rules
+
+
+@pytest.mark.parametrize("cut", [None, 5, 50, 10_000])
+def test_relevant_pairs_of_hot_values(spark, catalogue, cut):
+    rows, rules = catalogue
+    products = spark.createDataFrame(rows, "id long, usage string, colour string, brand string")
+    d = spark.createDataFrame(rules, "query_id string, usages array<string>, colours array<string>, brands array<string>, exclude_ids array<string>")
+    got = ranking.relevant_pairs(d, products, "id", {"usages": "usage", "colours": "colour", "brands": "brand"}, cut)
+    want = [(q, row[0]) for q, *lists, out in rules for row in rows
+            if any(lists) and str(row[0]) not in (out or [])
+            and all(not wanted or (v is not None and v.lower() in {w.lower() for w in wanted}) for wanted, v in zip(lists, row[1:]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_hot_values_are_dealt_out(spark, catalogue):
+    rows, _ = catalogue
+    low = spark.createDataFrame(rows, "id long, usage string, colour string, brand string")
+    hot = spark.createDataFrame([("usage", "casual", True)], "field string, value string, hot boolean")
+    cells = ranking._cells(low, "id", ["usage", "colour", "brand"], hot)
+    probe = spark.createDataFrame([("q", "usage", "casual", "", "")], "query_id string, field string, value string, field2 string, value2 string")
+    m = ranking.spread_pairs(cells, probe, "id", 50)
+    sizes = [r["count"] for r in m.groupBy("part").count().collect()]
+    assert sum(sizes) == 600 and len(sizes) == 12 and max(sizes) < 100

@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylane.operators import rankstats
 from quarrylane.plans.bounded import TooManyRows, bounded_rows
-from quarrylane.plans.prefix import exact_quantiles, running_totals
+from quarrylane.plans.prefix import BUCKET, bucketed, exact_quantiles, points_up_to, running_totals
 
 
 def scores(n=3000, seed=1):
@@ -31,6 +32,39 @@ def test_running_totals_match_a_sort(spark):
         assert got[v] == total
 
 
+def test_text_that_differs_late_is_spread(spark):
+    # A differing first character, then a common start of 20, then the ids.
+    ids = ["ab"[i % 2] + "x" * 20 + f"{i:05d}" for i in range(4000)]
+    d = spark.createDataFrame([(x, 1) for x in ids] + [(None, 1)], "k string, one long")
+    sizes = [r["count"] for r in bucketed(d, "k", 16).groupBy(BUCKET).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 1000
+    got = {r.k: r.cum_one for r in running_totals(d, "k", ["one"], buckets=16).collect()}
+    assert got.pop(None) == 1 and [got[x] for x in sorted(ids)] == list(range(2, 4002))
+
+
+def test_text_order_is_bytewise(spark):
+    words = ["", "a", "é", "z", "\uffff", "\U0001f600", "Z", "a" * 400, "a" * 399 + "b"]
+    d = spark.createDataFrame([(g, w, 1) for g in "pq" for w in words], "g string, k string, one long")
+    for down in (False, True):
+        got = {(r.g, r.k): r.cum_one for r in running_totals(d, "k", ["one"], ["g"], descending=down, buckets=5).collect()}
+        for g in "pq":
+            assert [got[g, w] for w in sorted(words, key=str.encode, reverse=down)] == list(range(1, len(words) + 1))
+
+
+def test_text_order_of_empty_tables(spark):
+    none = spark.createDataFrame([], "k string, one long")
+    assert running_totals(none, "k", ["one"]).count() == 0
+    unset = spark.createDataFrame([(None, 3)], "k string, one long")
+    assert [r.cum_one for r in running_totals(unset, "k", ["one"]).collect()] == [3]
+
+
+def test_points_up_to_counts(spark):
+    points = ["b", "d", "f", "h", "j"]
+    rows = [(c,) for c in "abcdefghijk"]
+    got = {r.k: r.n for r in spark.createDataFrame(rows, "k string").withColumn("n", points_up_to(F.col("k"), points)).collect()}
+    assert got == {c: sum(p <= c for p in points) for (c,) in rows}
+
+
 def test_running_totals_order_text(spark):
     ids = [f"item-{i:05d}" for i in range(500)]
     d = spark.createDataFrame([(x, 1) for x in ids], "k string, one long")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylane.operators import catalog
-from quarrylane.sources import readers, sinks, split_csv, versions
+from quarrylane.sources import readers, shards, sinks, split_csv, versions
 
 
 def write(tmp_path, name, text):
@@ -123,3 +123,34 @@ def test_a_version_committed_twice_is_refused(spark, tmp_path):
     spark.createDataFrame([(1, 0, "other", {"a": "elsewhere"})], versions.COMMIT).write.mode("append").json(f"{ts.root}/commits")
     with pytest.raises(versions.Conflict, match="twice"):
         ts.read("a")
+
+
+@pytest.fixture(scope="module")
+def four_shards(spark, tmp_path_factory):
+    root, folders = tmp_path_factory.mktemp("shards"), []
+    for k in range(4):
+        d = spark.range(k * 100, k * 100 + 50).select("id", F.lit(f"t{k}").alias("name")).coalesce(1)
+        d = d.withColumn("extra", F.col("id") % 7) if k == 2 else d.drop("name") if k == 0 else d
+        folders.append(sinks.write_parquet(d, str(root / f"part-{k}")))
+    folders.append(sinks.write_parquet(spark.createDataFrame([(None, "lost")], "id long, name string").coalesce(1), str(root / "part-4")))
+    return shards.keep_list(shards.shard_list(spark, folders, "id", ("name", "extra", "nowhere")), str(root / "list"))
+
+
+def test_shard_list_counts_each_shard(four_shards):
+    got = sorted(four_shards.where("low IS NOT NULL").select("low", "high", "rows", "has_name", "has_extra", "has_nowhere", "unset").collect())
+    assert [tuple(r) for r in got] == [(0, 49, 50, 0, 0, 0, 0), (100, 149, 50, 50, 0, 0, 0), (200, 249, 50, 50, 42 + 8, 0, 0), (300, 349, 50, 50, 0, 0, 0)]
+    assert [(r["rows"], r["unset"]) for r in four_shards.where("low IS NULL").collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("low, high, opened", [(120, 220, 2), (None, 49, 1), (300, None, 1), (50, 99, 0), (None, None, 5)])
+def test_shard_scan_opens_only_what_can_match(spark, four_shards, low, high, opened):
+    kind = "id long, name string, extra long"
+    d = shards.scan(four_shards, spark.createDataFrame([], kind).schema, "id", low, high)
+    assert len(d.inputFiles()) == opened
+    every = [k * 100 + i for k in range(4) for i in range(50)]
+    want = [i for i in every if (low is None or i >= low) and (high is None or i <= high)]
+    rows = d.collect()
+    assert sorted(r.id for r in rows if r.id is not None) == want
+    assert sum(r.id is None for r in rows) == (1 if low is None and high is None else 0)
+    for r in rows:
+        assert (r.extra is None) == (r.id is None or r.id // 100 != 2) and (r.name is None) == (r.id is not None and r.id < 100)
