@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bindings.registry import Tables, hash_sql, query
 from quarrylane.functions.calendar import us_holidays, with_calendar
 from quarrylane.operators import audit, features, forecasts, inventory, panel, splits
+from quarrylane.plans.bounded import small_side
 from quarrylane.session import checkpointed
 
 TEST_START, TEST_END = dt.date(2001, 5, 7), dt.date(2001, 6, 3)
@@ -398,7 +399,7 @@ def supervised(t: Tables):
     """Series x origin x horizon rows with point-in-time lookups."""
     p = base(t)
     static = attributes(p.select("series_id").distinct())
-    s = features.supervised(p, FOLD_ORIGINS, H, FIRST, F.broadcast(static))
+    s = features.supervised(p, FOLD_ORIGINS, H, FIRST, small_side(static))
     return s.select("series_id", "origin", "horizon", "target_date", "y_true", "sell_price", "snap", "snaive_lag", "price_ratio_vs_origin",
                     "discount_vs_28d", "product_age_days", "dow", "rolling_mean_28", "cat_id")
 
@@ -519,7 +520,7 @@ BYSEG = f"{LONG}{SEG_CTES}, g AS (SELECT model, demand_class, {SCORE} FROM lg JO
 @query("forecast_scores_by_segment", f"{BYSEG} SELECT model, demand_class, n, {ROUND} FROM g")
 def scores_by_segment(t: Tables):
     """Accuracy within each demand class."""
-    s = scored(t).join(F.broadcast(seg(t).select("series_id", "demand_class")), "series_id")
+    s = scored(t).join(small_side(seg(t).select("series_id", "demand_class")), "series_id")
     return forecasts.scores(s, MODELS, ["demand_class"], scale="mase_scale")
 
 
@@ -527,7 +528,7 @@ def scores_by_segment(t: Tables):
 SELECT demand_class, n, model AS best_model, round(wape, 6) AS best_wape, model AS best_baseline, round(wape, 6) AS baseline_wape, 0.0::DOUBLE AS improvement_pct FROM b""")
 def best_per_segment(t: Tables):
     """Winner per demand class and its margin over the best baseline."""
-    s = scored(t).join(F.broadcast(seg(t).select("series_id", "demand_class")), "series_id")
+    s = scored(t).join(small_side(seg(t).select("series_id", "demand_class")), "series_id")
     return forecasts.best_per_segment(forecasts.scores(s, MODELS, ["demand_class"]), "demand_class")
 
 

@@ -377,7 +377,7 @@ def rules(t: Tables):
     """One rule per brand: the types and colours of its large parts, its first large part excluded."""
     large = t.part.where("p_size > 40")
     return large.groupBy(F.col("p_brand").alias("query_id")).agg(
-        F.array_agg(F.upper("p_type")).alias("categories"), F.array_agg(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("colours"),
+        F.collect_set(F.upper("p_type")).alias("categories"), F.collect_set(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("colours"),
         F.array(F.first("p_brand")).alias("brands"), F.array(F.min("p_partkey").cast("string")).alias("exclude_ids"))
 
 

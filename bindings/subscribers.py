@@ -113,6 +113,23 @@ def unexpected_values(t: Tables):
                                             "InternetService": ["DSL", "Fiber optic", "No"]})
 
 
+_DECLARED = f"""WITH {SUBS}, f AS (SELECT * REPLACE (CASE WHEN tenure % 10 = 3 THEN 'Cash' ELSE PaymentMethod END AS PaymentMethod,
+  CASE WHEN tenure % 7 = 2 THEN -1 ELSE MonthlyCharges END AS MonthlyCharges, CASE WHEN tenure % 11 = 4 THEN 'Maybe' ELSE TechSupport END AS TechSupport) FROM s)"""
+
+
+@query("subs_declared_faults", _DECLARED + " UNION ALL ".join(
+    [""] + [f"SELECT 'domain' AS \"check\", '{c}' AS name, {c} AS value, count(*) AS n FROM f WHERE {c} NOT IN ({', '.join(repr(x) for x in v)}) GROUP BY {c}" for c, v in sb.DOMAINS.items()]
+    + [f"SELECT * FROM (SELECT 'range', '{c}', NULL, count(*) FILTER ({c} < {lo} OR {c} > {hi}) AS n FROM f) WHERE n > 0" for c, (lo, hi) in sb.RANGES.items()]).removeprefix(" UNION ALL"))
+def declared_faults(t: Tables):
+    """What the declared ranges and domains find where a price, a payment method and an add-on were spoilt."""
+    tenure = F.col("tenure").cast("long")
+    d = subs(t).withColumns({
+        "PaymentMethod": F.when(tenure % 10 == 3, "Cash").otherwise(F.col("PaymentMethod")),
+        "MonthlyCharges": F.when(tenure % 7 == 2, -1).otherwise(F.col("MonthlyCharges")),
+        "TechSupport": F.when(tenure % 11 == 4, "Maybe").otherwise(F.col("TechSupport"))})
+    return sb.declared_faults(d)
+
+
 @query("subs_consistency", f"WITH {SUBS} " + " UNION ALL ".join(
     f"SELECT '{a} vs InternetService' AS rule, count(*) FILTER (({a} = 'No internet service') <> (InternetService = 'No')) AS n FROM s"
     for a in ADDONS) + """ UNION ALL SELECT 'MultipleLines vs PhoneService',

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.functions import vocab
 from quarrylane.operators.scoring import checked_score, risk_band
-from quarrylane.plans.bounded import each_record
+from quarrylane.plans.bounded import each_record, small_side
 from quarrylane.plans.prefix import exact_quantiles, quantile_value
 
 
@@ -127,8 +127,11 @@ def sensitivity(df: DataFrame, p: str, y: str, value: str, econ: Economics,
 
 
 def decide(df: DataFrame, p: str, monthly: str, econ: Economics, high_value_q: float = 0.70,
-           value_cut: float | None = None) -> DataFrame:
-    """Decision table: band, value tier, expected value and treatment per customer."""
+           value_cut: float | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Decision table: band, value tier, expected value, working order and channel per customer.
+
+    ``actions`` (``risk_segment``, ``value_tier``, ``recommended_action``) says what to do in each cell; a cell it does not name has NULL.
+    """
     d = df.withColumn("customer_value", econ.value(F.col(monthly)))
     cut = quantile_value(d, "customer_value", high_value_q) if value_cut is None else value_cut
     expected = F.col(p) * econ.success_rate * F.col("customer_value") - econ.cost
@@ -138,12 +141,15 @@ def decide(df: DataFrame, p: str, monthly: str, econ: Economics, high_value_q: f
         "breakeven_probability": econ.breakeven(F.col("customer_value")), "expected_value": expected,
         "contact_recommended": expected > 0})
     action = F.map_from_entries(F.array(*[
-        F.struct(F.lit(f"{b}|{t}"), F.struct(F.lit(a).alias("recommended_action"), F.lit(n).alias("priority"),
-                                             F.lit(c).alias("channel")))
-        for (b, t), (a, n, c) in vocab.TREATMENTS.items()]))
+        F.struct(F.lit(f"{b}|{t}"), F.struct(F.lit(n).alias("priority"), F.lit(c).alias("channel")))
+        for (b, t), (n, c) in vocab.CONTACT_ORDER.items()]))
     d = d.withColumn("__a", F.element_at(action, F.concat_ws("|", "risk_segment", "value_tier")))
-    return d.select("*", "__a.*", (F.col("contact_recommended") & F.col("risk_segment").isin(
+    d = d.select("*", "__a.*", (F.col("contact_recommended") & F.col("risk_segment").isin(
         "Low Risk", "Medium Risk")).alias("ev_overrides_segment")).drop("__a")
+    if actions is None:
+        return d
+    cells = actions.groupBy("risk_segment", "value_tier").agg(F.min("recommended_action").alias("recommended_action"))
+    return d.join(small_side(cells), ["risk_segment", "value_tier"], "left")
 
 
 def campaign(decisions: DataFrame, p: str) -> DataFrame:

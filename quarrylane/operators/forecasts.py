@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylane.operators.features import BASELINES, weekly_strength
 from quarrylane.operators.panel import DEMAND, SERIES
 from quarrylane.plans.bounded import small_side
+from quarrylane.plans.hotkeys import join_counted
 from quarrylane.plans.prefix import exact_quantiles, running_totals
 from quarrylane.session import checkpointed
 
@@ -110,10 +111,10 @@ def worst_series(att: DataFrame, n: int = 15, min_actual: float = 10.0) -> DataF
 
 
 def average_rank(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Rows per (keys, value) with the average rank of tied values."""
+    """Rows per (keys, value) with the average rank of tied values and their number ``n``."""
     c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     r = running_totals(c, value, ["n"], keys)
-    return r.select(*keys, value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    return r.select(*keys, value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"), "n")
 
 
 def error_drivers(att: DataFrame, columns: Sequence[str], target: str = "wape", min_rows: int = 10) -> DataFrame:
@@ -122,9 +123,11 @@ def error_drivers(att: DataFrame, columns: Sequence[str], target: str = "wape",
     d = (att.where(F.col("total_actual") >= 10.0).select(F.col(target).alias("y"), x.alias("v"))
          .select("v.characteristic", "v.x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
     d = checkpointed(d)  # the ranks join back on these very numbers
-    rx = average_rank(d, "x", ["characteristic"]).withColumnRenamed("avg_rank", "rx")
-    ry = average_rank(d, "y", ["characteristic"]).withColumnRenamed("avg_rank", "ry")
-    j = d.join(rx, ["characteristic", "x"]).join(ry, ["characteristic", "y"])
+    j = d.select("characteristic", *[F.struct("characteristic", v).alias(f"k{v}") for v in "xy"])
+    for v in "xy":
+        # A value may be that of very many series.
+        ranks = average_rank(d, v, ["characteristic"]).select(F.struct("characteristic", v).alias(f"k{v}"), F.col("avg_rank").alias(f"r{v}"), "n")
+        j = join_counted(j, checkpointed(ranks), f"k{v}", "n")
     out = j.groupBy("characteristic").agg(F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n") >= min_rows)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,8 @@ def local_session(app: str = "quarrylane", cpus: int | str = "*",
     return spark
 
 
-def is_checkpointed(df: DataFrame) -> bool:
-    """Whether a table is read straight from a checkpoint."""
-    plan = getattr(df, "_jdf", None)
-    return plan is not None and plan.queryExecution().logical().getClass().getSimpleName() == "LogicalRDD"
+#: Tables that ``checkpointed`` returned and that are still in use.
+_CUT: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``; only where that is unset, as
     in tests, a temporary folder is used.
     """
-    if is_checkpointed(df):
+    if df in _CUT:
         return df
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -46,4 +45,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    _CUT.add(out)
+    return out

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylane.operators import audit, catalog, decisions, features, fusion, inventory, models, panel, ranking, retrieval, rounds, splits, walk
+from quarrylane.operators import (audit, catalog, decisions, features, forecasts, fusion, inventory, models, panel, ranking, retrieval, rounds, splits,
+                                  subscribers, walk)
 from quarrylane.operators import transactions as tx
 
 START = dt.date(2020, 1, 1)
@@ -466,3 +467,32 @@ def test_hot_values_are_dealt_out(spark, catalogue):
     m = ranking.spread_pairs(cells, probe, "id", 50)
     sizes = [r["count"] for r in m.groupBy("part").count().collect()]
     assert sum(sizes) == 600 and len(sizes) == 12 and max(sizes) < 100
+
+
+def test_actions_come_from_the_callers_table(spark):
+    d = spark.createDataFrame([(1, 0.9, 100.0), (2, 0.05, 1.0), (3, 0.9, 1.0)], "id long, p double, monthly double")
+    cells = [("Critical Risk", "High value", "call"), ("Low Risk", "Standard value", "wait"), ("Low Risk", "Standard value", "wait")]
+    actions = spark.createDataFrame(cells, "risk_segment string, value_tier string, recommended_action string")
+    got = {r.id: r.recommended_action for r in decisions.decide(d, "p", "monthly", decisions.Economics(), value_cut=500.0, actions=actions).collect()}
+    assert got == {1: "call", 2: "wait", 3: None}
+    assert "recommended_action" not in decisions.decide(d, "p", "monthly", decisions.Economics(), value_cut=500.0).columns
+
+
+def test_features_read_renamed_columns(spark):
+    row = {c: "Yes" for c in subscribers.ADDONS[:2]} | {c: "No" for c in subscribers.ADDONS[2:]}
+    row |= {"months": 10, "MonthlyCharges": 20.0, "TotalCharges": 230.0, "InternetService": "DSL", "Contract": "Month-to-month",
+            "PaymentMethod": "Mailed check", "Partner": "Yes", "Dependents": "No"}
+    d = spark.createDataFrame([row])
+    r = subscribers.with_features(d, {"tenure": "months"}).first().asDict()
+    assert [r[c] for c in subscribers.ENGINEERED] == ["7-12m", 0, 1, 2, 2 / 6.0, 1, 0, 23.0, 20.0 / 23.0, 30.0, 20.0 / 3, 1, 10.0]
+
+
+@pytest.mark.parametrize("hot", [0.0, 5.0])
+def test_error_drivers_with_a_common_value(spark, hot):
+    r = random.Random(5)
+    rows = [(hot if i % 3 else r.random() * 9, float(i % 7), r.choice([0.5, r.random()]), 20.0) for i in range(300)]
+    d = spark.createDataFrame(rows, "a double, b double, wape double, total_actual double")
+    got = {x.characteristic: (x.spearman, x.n) for x in forecasts.error_drivers(d, ["a", "b"]).collect()}
+    for k, name in enumerate("ab"):
+        rho = np.corrcoef(*[np.array([(np.sum(v < x) + np.sum(v <= x) + 1) / 2 for x in v]) for v in (np.array([w[k] for w in rows]), np.array([w[2] for w in rows]))])[0, 1]
+        assert got[name] == (pytest.approx(rho, abs=1e-9), 300)

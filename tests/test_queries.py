@@ -11,7 +11,7 @@ NAMES = ("score_review_budgets", "tx_signal_ranking", "tx_temporal_split", "roun
          "subs_decisions", "panel_segments", "features_at_origins", "forecast_scores", "stock_scenarios", "catalog_upsert",
          "catalog_next_state", "text_deduplicated", "search_end_to_end", "ranking_relevant_pairs", "search_every_term", "file_catalog_csv",
          "score_budgets_missing", "text_group_folds", "search_similar_products", "panel_selected_items", "file_rounds_cells", "file_query_set",
-         "model_stated_factors", "tx_factor_correlation", "ranking_nearest_rank", "forecast_mase_scale", "file_shard_list", "file_shard_scan")
+         "model_stated_factors", "tx_factor_correlation", "ranking_nearest_rank", "forecast_mase_scale", "file_shard_list", "file_shard_scan", "subs_declared_faults", "subs_features", "forecast_error_drivers")
 
 
 @pytest.fixture(scope="module")
