@@ -19,6 +19,7 @@ MAX_BROADCAST_QUERIES = 4096
 SCORE_CELLS = 4_000_000  # scores held at once by a task
 PIVOTS = 256  # cells of the catalog in a large search
 BLOCK_VALUES = 4_000_000  # vector values of one block of products
+ASK_ROWS = 1024  # queries whose bounds against all cells a task holds at once
 BOUND_SLACK = 1e-7  # covers the rounding of scores and angles
 SCORE_DIGITS = 9  # equal vectors must tie, whatever order the sums were taken in
 
@@ -139,35 +140,41 @@ def _near_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(near, schema)
 
 
+def _wanted_cells(v: np.ndarray, floor: np.ndarray | None, pivots: np.ndarray, sizes: dict[int, tuple[int, float]], k: int) -> list[np.ndarray]:
+    """The cells each query vector has to meet: the opening ones, or with ``floor`` those of the rest that can reach it."""
+    cells = np.array(sorted(sizes), dtype="int32")
+    n, reach = (np.array([sizes[c][i] for c in cells.tolist()], dtype="float64") for i in (0, 1))
+    angle = np.arccos(np.clip(_unit_rows(v) @ pivots[np.maximum(cells, 0)].T, -1.0, 1.0))
+    bound = np.where(cells == -1, 0.0, np.cos(np.maximum(0.0, angle - reach)))
+    bound[~v.any(axis=1)] = 0.0
+    order = np.argsort(-bound, axis=1, kind="stable")
+    before = np.cumsum(n[order], axis=1) - n[order]
+    wanted = np.zeros(bound.shape, dtype=bool)
+    np.put_along_axis(wanted, order, before < k, axis=1)
+    if floor is not None:
+        wanted = ~wanted & (bound >= floor[:, None] - BOUND_SLACK)
+    return [cells[w] for w in wanted]
+
+
 def _cells_to_ask(q: DataFrame, pivots: np.ndarray, sizes: dict[int, tuple[int, float]], k: int, first: bool) -> DataFrame:
     """Repeat each query once per catalog cell it has to meet.
 
     No row of a cell scores above cos(angle to the pivot - the cell's largest angle). At first a query meets its best
-    cells until they hold k rows; later those of the rest whose bound reaches its k-th score (``floor``).
+    cells until they hold k rows; later those of the rest whose bound reaches its k-th score (``floor``). A task returns
+    one row per query with its list of cells; the vector is repeated by Spark, row by row, never in Python.
     """
     shared = q.sparkSession.sparkContext.broadcast((pivots, sizes))
-    schema = T.StructType([q.schema["query_id"], q.schema["__v"], T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([q.schema["query_id"], q.schema["__v"], T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pv, size = shared.value
-        cells = np.array(sorted(size), dtype="int32")
-        n, reach = (np.array([size[c][i] for c in cells.tolist()], dtype="float64") for i in (0, 1))
         for b in batches:
-            if not len(b):
-                continue
-            v = np.stack(b["__v"].to_numpy()).astype("float64")
-            angle = np.arccos(np.clip(_unit_rows(v) @ pv[np.maximum(cells, 0)].T, -1.0, 1.0))
-            bound = np.where(cells == -1, 0.0, np.cos(np.maximum(0.0, angle - reach)))
-            bound[~v.any(axis=1)] = 0.0
-            order = np.argsort(-bound, axis=1, kind="stable")
-            before = np.cumsum(n[order], axis=1) - n[order]
-            opening = np.zeros(bound.shape, dtype=bool)
-            np.put_along_axis(opening, order, before < k, axis=1)
-            wanted = opening if first else ~opening & (bound >= b["floor"].to_numpy()[:, None] - BOUND_SLACK)
-            row, col = np.nonzero(wanted)
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "__v": b["__v"].to_numpy()[row], "cell": cells[col]})
-
-    return q.mapInPandas(ask, schema)
+            for at in range(0, len(b), ASK_ROWS):
+                part = b.iloc[at:at + ASK_ROWS]
+                floor = None if first else part["floor"].to_numpy()
+                cells = _wanted_cells(np.stack(part["__v"].to_numpy()).astype("float64"), floor, *shared.value, k)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "__v": part["__v"].to_numpy(), "cells": cells})
+
+    return q.mapInPandas(ask, schema).select("query_id", "__v", F.explode("cells").alias("cell"))
 
 
 def _meet(cells: DataFrame, asked: DataFrame, ident: str, k: int, schema: T.StructType, block: int, rows: int) -> DataFrame:

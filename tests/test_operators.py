@@ -355,6 +355,20 @@ def test_pruned_search_skips_far_cells(spark):
     assert retrieval._cells_to_ask(q, pivots, sizes, 5, False).count() == 0
 
 
+def test_python_repeats_no_query_vector(spark, monkeypatch):
+    """A query that meets every cell leaves Python as one row with a list, however many cells there are."""
+    angle = np.arange(200) / 200 * 2 * math.pi
+    pivots = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    sizes = {i: (3, 1.5) for i in range(200)}
+    got = retrieval._wanted_cells(np.array([[1.0, 0.0], [0.0, 0.0]]), np.array([-2.0, -2.0]), pivots, sizes, 5)
+    assert [len(c) for c in got] == [198, 198]
+    monkeypatch.setattr(retrieval, "ASK_ROWS", 7)
+    q = spark.createDataFrame([(i, [math.cos(i), math.sin(i)], -2.0) for i in range(50)], "query_id long, __v array<double>, floor double")
+    for first, each in ((True, 2), (False, 198)):
+        asked = retrieval._cells_to_ask(q, pivots, sizes, 5, first)
+        assert asked.count() == 50 * each and asked.distinct().count() == 50 * each
+
+
 def test_pruned_search_of_empty_tables(spark):
     d = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     q = d.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
