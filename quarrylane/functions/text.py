@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +12,15 @@ from pyspark.sql import types as T
 from quarrylane.functions import vocab
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Texts held as Python strings at once.
+NFKC_ROWS = 64
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    done = [pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in texts.slice(at, NFKC_ROWS).to_pylist()], pa.string())
+            for at in range(0, len(texts), NFKC_ROWS)]
+    return pa.concat_arrays(done) if done else texts
 
 
 def nfkc(c: Column) -> Column:

@@ -1,8 +1,10 @@
 """Column builders: the published text defects and their repaired values."""
 
 import datetime as dt
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pandas.tseries.holiday import USFederalHolidayCalendar
 from pyspark.sql import functions as F
@@ -125,3 +127,12 @@ def test_titles_dates_and_terms(spark):
     assert [r.t for r in rows] == ["New-Delhi", "O'Brien  City", "Ties"]
     assert [r.d for r in rows] == ["2015-05-12", "2016-12-25", "2016-12-25"]
     assert [list(r.x) for r in rows] == [["red"], ["red", "bag"], []]
+
+
+def test_few_texts_are_held_while_normalising():
+    texts = pa.array([f"\ufb01{i} " + "x\u0301" * 500 for i in range(10_000)])
+    tracemalloc.start()
+    got = tx._nfkc.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(got, pa.Array) and got[7].as_py()[:4] == "fi7 " and peak < 2_000_000
