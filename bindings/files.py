@@ -58,7 +58,7 @@ def query_set(t: Tables):
 @query("file_rounds_export", f"WITH {funding.ROUNDS} SELECT 'rounds' AS tbl, count(*) AS n FROM rounds UNION ALL SELECT 'pairs', count(*) FROM pairs")
 def rounds_export(t: Tables):
     """Cleaned rounds and investor pairs written and read back."""
-    r = funding.rounds(t)
+    r = t.kept("rounds", lambda: funding.rounds(t))
     out = None
     for name, d in (("rounds", r), ("pairs", rd.investor_pairs(r))):
         back = readers.text_csv(t.spark, sinks.write_csv(d, sinks.shared_folder(t.spark, name)))

@@ -108,6 +108,11 @@ def rounds(t: Tables):
     return rd.clean(raw(t))
 
 
+def kept_rounds(t: Tables, *columns: str):
+    """The named columns of the cleaned rounds, written once; the cleaners of the others do not run."""
+    return t.kept("rounds", lambda: rounds(t).select(*columns))
+
+
 @query("rounds_clean", f"""WITH {ROUNDS} SELECT sr_no, date, startup, startup_key, industry, NULL::VARCHAR AS subvertical, city,
   inv_a || inv_sep || inv_b AS investors, stage, amount_usd, NULL::VARCHAR AS remarks, year, month, amount_flag,
   round(amount_usd_adj, 6) AS amount_usd_adj FROM rounds JOIN (SELECT o_orderkey, inv_sep FROM rr) s ON s.o_orderkey = sr_no""")
@@ -229,7 +234,7 @@ def single_deal_share(t: Tables):
 FROM rounds WHERE city IS NOT NULL GROUP BY city ORDER BY n_rounds DESC, city LIMIT 8""", digits=2)
 def city_concentration(t: Tables):
     """Largest cities with capital and the metro share."""
-    return rd.concentration(t.kept("rounds", lambda: rounds(t)))
+    return rd.concentration(kept_rounds(t, "city", "amount_usd_adj", "amount_flag"))
 
 
 @query("rounds_head_share", f"""WITH {ROUNDS}, a AS (SELECT amount_usd_adj AS v, row_number() OVER (ORDER BY amount_usd_adj DESC) AS rn FROM money),
@@ -239,7 +244,7 @@ SELECT h::BIGINT AS head, round((SELECT sum(v) FROM a WHERE rn <= h) / t, 6) AS
 FROM s, unnest([10, 50, 100]) AS u(h) WHERE n >= h""")
 def head_share(t: Tables):
     """Share of the largest rounds, mean and exact median."""
-    d = rd.head_share(rd.money_safe(t.kept("rounds", lambda: rounds(t))), "amount_usd_adj")
+    d = rd.head_share(rd.money_safe(kept_rounds(t, "amount_usd_adj", "amount_flag")), "amount_usd_adj")
     return d.withColumns({"mean": F.round("mean", 2), "median": F.round("median", 2)})
 
 

@@ -14,8 +14,8 @@ from quarrylane.plans.bounded import lookup
 
 def unescape(c: Column) -> Column:
     """Remove escape sequences stored as literal characters, then squeeze spaces."""
-    c = F.regexp_replace(c, r"\\+(x[0-9a-fA-F]{2}|[nrt])", " ")
-    c = F.regexp_replace(c, r"\\+", "")
+    bare = F.regexp_replace(F.regexp_replace(c, r"\\+(x[0-9a-fA-F]{2}|[nrt])", " "), r"\\+", "")
+    c = F.when(F.contains(c, F.lit("\\")), bare).otherwise(c)  # most cells hold no backslash
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 

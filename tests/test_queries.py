@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from bindings import files, funding, registry
 from check import TABLES, rows_of
+from quarrylane.operators import rounds as rd
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ("score_review_budgets", "tx_signal_ranking", "tx_temporal_split", "rounds_clean", "rounds_investor_pairs", "subs_sensitivity",
@@ -35,3 +37,27 @@ def test_every_check_has_a_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, columns", [
+    ("rounds_head_share", ["amount_flag", "amount_usd_adj"]), ("rounds_yearly_median", ["amount_flag", "amount_usd", "amount_usd_adj", "year"]),
+    ("rounds_city_concentration", ["amount_flag", "amount_usd_adj", "city"])])
+def test_only_the_asked_columns_are_cleaned(spark, con, name, columns, monkeypatch):
+    kept, write = [], registry.sinks.write_parquet
+    monkeypatch.setattr(registry.sinks, "write_parquet", lambda d, path: kept.append(sorted(d.columns)) or write(d, path))
+    df = entry.queries()[name](spark, FOLDER)
+    rel = con.sql(entry.oracle_sql()[name])
+    assert kept == [columns] and rows_of(df.columns, df.collect()) == rows_of(list(rel.columns), rel.fetchall())
+
+
+def test_exported_rounds_are_cleaned_once(spark):
+    """Both exports come from the written rounds."""
+    t = registry.Tables(spark, FOLDER)
+    t._kept["rounds"] = rd.clean(funding.raw(t)).limit(7)
+    assert {r.tbl: r.n for r in files.rounds_export(t).collect()}["rounds"] == 7
+
+
+def test_large_partitions_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 40)
+    d = registry.Tables(spark, FOLDER).spread("orders")
+    assert d.rdd.getNumPartitions() == -(-d.count() // 40)
