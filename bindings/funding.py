@@ -218,7 +218,8 @@ def startup_leaders(t: Tables):
   ORDER BY deals DESC, investor_key LIMIT 10""")
 def investor_leaders(t: Tables):
     """Most active investors by distinct rounds."""
-    return rd.investor_leaderboard(rd.investor_pairs(rounds(t)))
+    pairs = lambda: rd.investor_pairs(rounds(t)).select("investor_key", "investor", "sr_no", "startup")
+    return rd.investor_leaderboard(t.kept("pairs", pairs))
 
 
 @query("rounds_single_deal_share", f"""WITH {ROUNDS}, p AS (SELECT investor_key, count(DISTINCT sr_no) AS d FROM pairs GROUP BY 1)

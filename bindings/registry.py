@@ -12,6 +12,8 @@ from quarrylane.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+#: Rows of one partition of a spread table, on average.
+SPREAD_ROWS = 300_000
 
 
 def hash_sql(key: str, seed: int) -> str:
@@ -34,10 +36,10 @@ class Tables:
 
     def spread(self, name: str) -> DataFrame:
         """A table for heavy work on each row. One that fills fewer partitions than there are cores (a test table is one
-        row group) is dealt out over all of them; larger ones are read as they are."""
+        row group), or whose partitions would hold over SPREAD_ROWS rows, is dealt out; others are read as they are."""
         d = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-d.count() // SPREAD_ROWS))  # counted from the files' footers
+        return d.repartition(parts) if d.rdd.getNumPartitions() < parts else d
 
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that one query reads several times: built once and written in the shared folder."""

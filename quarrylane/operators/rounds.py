@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from quarrylane.functions import cleaning as cl
 from quarrylane.functions import vocab
-from quarrylane.plans.prefix import exact_quantiles
+from quarrylane.plans.prefix import exact_quantiles, join_null_safe
+from quarrylane.session import checkpointed
 
 RAW_COLUMNS = ("sr_no", "date_raw", "startup", "industry_raw", "subvertical", "city_raw",
                "investors_raw", "stage_raw", "amount_raw", "remarks")
@@ -132,11 +133,21 @@ def leaderboard(df: DataFrame, key: str, name: str, value: str, order: str, n: i
 
 
 def investor_leaderboard(pairs: DataFrame, n: int = 10) -> DataFrame:
-    """Most active investors by distinct rounds."""
-    return (pairs.groupBy("investor_key").agg(
-        F.min_by("investor", F.struct("sr_no", "investor")).alias("name"),
-        F.countDistinct("sr_no").alias("deals"), F.countDistinct("startup").alias("startups"))
-        .orderBy(F.desc("deals"), "investor_key").limit(n))
+    """Most active investors by distinct rounds; ``pairs`` is read three times.
+
+    Rounds and startups are counted one after the other, and names by their first round, so that every step is a hash
+    aggregate of plain keys and numbers: no row is repeated per counted column and none is sorted by text.
+    """
+    key = "investor_key"
+    deals = pairs.select(key, "sr_no").distinct().groupBy(key).agg(F.count("sr_no").alias("deals"))
+    startups = pairs.select(key, "startup").distinct().groupBy(key).agg(F.count("startup").alias("startups"))
+    first = pairs.groupBy(key, "investor").agg(F.min("sr_no").alias("sr_no"))
+    top = checkpointed(deals.orderBy(F.desc("deals"), key).limit(n))
+    # A row per spelling of at most n investors; a missing number comes last.
+    names = join_null_safe(first, F.broadcast(top.select(key)), [key], "left_semi").groupBy(key).agg(
+        F.min_by("investor", F.struct(F.col("sr_no").isNull(), "sr_no", "investor")).alias("name"))
+    found = join_null_safe(join_null_safe(top, names, [key]), startups, [key])
+    return found.select(key, "name", "deals", "startups").orderBy(F.desc("deals"), key)
 
 
 def single_deal_share(pairs: DataFrame) -> DataFrame:

@@ -510,3 +510,12 @@ def test_error_drivers_with_a_common_value(spark, hot):
     for k, name in enumerate("ab"):
         rho = np.corrcoef(*[np.array([(np.sum(v < x) + np.sum(v <= x) + 1) / 2 for x in v]) for v in (np.array([w[k] for w in rows]), np.array([w[2] for w in rows]))])[0, 1]
         assert got[name] == (pytest.approx(rho, abs=1e-9), 300)
+
+
+def test_investor_leaders_need_no_sort_by_text(spark, capsys):
+    rows = [(1, "A", "a", "x"), (2, "A.", "a", "x"), (2, "A", "a", "y"), (None, "Ab", "a", None), (3, "B", "b", "x"), (4, "C", None, "z"), (5, "C", None, "z"), (5, "D", None, "z")]
+    d = spark.createDataFrame(rows, "sr_no long, investor string, investor_key string, startup string")
+    got = rounds.investor_leaderboard(d, 2)
+    assert [tuple(r) for r in got.collect()] == [(None, "C", 2, 1), ("a", "A", 2, 2)]
+    big = rounds.investor_leaderboard(d).explain()
+    assert big is None and "Expand" not in capsys.readouterr().out
