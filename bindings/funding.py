@@ -321,7 +321,7 @@ def coverage(t: Tables):
   (SELECT year, quantile_cont(amount_usd_adj, 0.5) AS m FROM money GROUP BY 1) q ON q.year = r.year GROUP BY r.year""")
 def yearly_median(t: Tables):
     """Exact median and disclosure per year."""
-    return rd.yearly_median(t.kept("rounds", lambda: rounds(t)))
+    return rd.yearly_median(kept_rounds(t, "year", "amount_usd", "amount_usd_adj", "amount_flag"))
 
 
 @query("rounds_money_text", f"""WITH {ROUNDS} SELECT sr_no, CASE WHEN amount_usd IS NULL THEN '-'
