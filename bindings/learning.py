@@ -20,9 +20,12 @@ CATEGORICAL = ["Contract", "InternetService", "PaymentMethod", "tenure_band"]
 
 
 def people(t: Tables):
-    """Subscribers with features and leak-free folds, written once for all fits."""
-    d = sb.with_features(subscribers.subs(t)).drop("p").withColumn("y", F.col("y").cast("double"))
-    return checkpointed(splits.group_folds(d, subscribers.FEATS, "y", 5))
+    """Subscribers with features and leak-free folds, written once for all fits and uses of a query."""
+    def build():
+        d = sb.with_features(subscribers.subs(t)).drop("p").withColumn("y", F.col("y").cast("double"))
+        return splits.group_folds(d, subscribers.FEATS, "y", 5)
+
+    return t.kept("people", build)
 
 
 @query("model_search")

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from bindings import files, funding, registry
+from bindings import files, funding, learning, registry
 from check import TABLES, rows_of
 from quarrylane.operators import rounds as rd
 
@@ -61,3 +61,8 @@ def test_large_partitions_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(registry, "SPREAD_ROWS", 40)
     d = registry.Tables(spark, FOLDER).spread("orders")
     assert d.rdd.getNumPartitions() == -(-d.count() // 40)
+
+
+def test_people_are_built_once(spark):
+    t = registry.Tables(spark, FOLDER)
+    assert learning.people(t) is learning.people(t)
