@@ -21,7 +21,7 @@ Only connected components are asked for, so pairs that are connected already are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,15 +76,15 @@ def counted_share(percent: int) -> float:
     return min(1.0, 1.6 * (100 - percent) / 100)
 
 
-def with_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def with_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
     """One row per input row: ``id``, ``id_hash`` and ``text_hash`` (which name it without its text), ``n`` (set size), ``digest``
-    (16 bytes, null for an empty set), ``counted`` (shingles of small hash), ``rest`` (the next ones, where those are fewer than the prefix) and ``bits`` (the sketch)."""
+    (16 bytes, null for an empty set), ``counted`` (shingles of small hash), ``rest`` (the next ones, where those are fewer than the prefix) and ``bits`` (the sketch); ``fp`` where a ``fingerprint`` of the text is asked."""
     slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     slim = slim.select("id", F.xxhash64("id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), "text")
     below = np.uint64(min((1 << 64) - 1, int(counted_share(percent) * (1 << 64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "id_hash", "text_hash", "n", "digest", "counted", "rest", "bits"]
+        names = ["id", "id_hash", "text_hash", "n", "digest", "counted", "rest", "bits"] + ["fp"] * bool(fingerprint)
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
@@ -98,18 +98,20 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, per
                     rest.append(hashes[cut:max(cut, prefix_length(n, percent))].view(np.int64) if n else hashes.view(np.int64))
                     bits.append(sketch(hashes))
                 many = pa.list_(pa.int64())
+                more = [pa.array((fingerprint(t.as_py()) for t in batch.column(3)), pa.int64(), size=len(batch))] if fingerprint else []
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                                  pa.array(counted, many), pa.array(rest, many), pa.array(bits, many)], names=names)
+                                                  pa.array(counted, many), pa.array(rest, many), pa.array(bits, many), *more], names=names)
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, id_hash long, text_hash long, n long, digest binary, counted array<long>, rest array<long>, bits array<long>")
+    return slim.mapInArrow(run, f"id {kind}, id_hash long, text_hash long, n long, digest binary, counted array<long>, rest array<long>, bits array<long>" + ", fp long" * bool(fingerprint))
 
 
 def distinct_sets(marked: DataFrame) -> DataFrame:
-    """One row per distinct set that is not empty: ``cid``, ``digest``, ``id`` (smallest), ``owner`` (a row that has it), ``docs``, ``n``, ``counted``, ``rest``, ``bits``."""
+    """One row per distinct set that is not empty: ``cid``, ``digest``, ``id`` (smallest), ``owner`` (a row that has it), ``docs``, ``n``, ``counted``, ``rest``, ``bits``; ``fp``, if any, is the smallest of its rows."""
+    fp = [F.min("fp").alias("fp")] if "fp" in marked.columns else []
     each = marked.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("id"), F.min(F.struct("text_hash", "id_hash")).alias("owner"), F.count(F.lit(1)).alias("docs"),
-        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"), F.first("bits").alias("bits"))
+        F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"), F.first("bits").alias("bits"), *fp)
     return written(each.withColumn("cid", F.monotonically_increasing_id()), "sets")
 
 
@@ -157,8 +159,9 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, lists:
 def with_pair(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs ``x``, ``y`` with both sizes and sets (``n``, ``mine``, ``m``, ``theirs``); one set may be in very many pairs."""
     def one(d: DataFrame, name: str, size: str, hashes: str) -> DataFrame:
-        uses = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("w"))
-        side = saved(uses.join(sets, F.col(name) == sets.cid).select(name, F.col("n").alias(size), F.col("hashes").alias(hashes), "w"))
+        # Only the counts are kept; the sets are read from their table again, not written once more.
+        uses = saved(pairs.groupBy(name).agg(F.count(F.lit(1)).alias("w")).join(sets.select("cid"), F.col(name) == F.col("cid")).select(name, "w"))
+        side = uses.join(sets, F.col(name) == sets.cid).select(name, F.col("n").alias(size), F.col("hashes").alias(hashes), "w")
         return join_counted(d, side, name, "w")
 
     return one(one(pairs, "x", "n", "mine"), "y", "m", "theirs")
@@ -175,7 +178,11 @@ def stars(lists: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) ->
     """
     own = marks.select("cid", F.col("cid").alias("pivot"), F.col("cid").alias("root"), "bits")
     votes = paired(lists, own, percent, True).groupBy("x", "y").agg(F.count(F.lit(1)).alias("v"))
-    best = saved(votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), "y")).alias("y")))
+    return followers(saved(votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), "y")).alias("y"))), sets, percent)
+
+
+def followers(best: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``x``, ``y`` (one per ``x``) that are similar, with the difference of x from y, ``n`` and the distance."""
     d = with_pair(best, sets).withColumn("i", F.size(F.array_intersect("mine", "theirs")))
     d = d.where(_similar(percent)).select(
         "x", "y", "n", F.array_except("mine", "theirs").alias("adds"), F.array_except("theirs", "mine").alias("drops"),
@@ -391,11 +398,20 @@ def derived_links(open_: DataFrame, star: DataFrame, members: DataFrame, sets: D
     return rows.groupBy("x", "y", "i", "j").applyInPandas(lambda g: derived_link(g, percent), "x long, y long")
 
 
-def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a`` < ``b`` between distinct sets that connect every two similar ones."""
+def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words: int, percent: int, near: DataFrame | None = None) -> DataFrame:
+    """Links ``a`` < ``b`` between distinct sets that connect every two similar ones.
+
+    ``near`` may name a neighbour ``y`` of a set ``x`` that another method has found. Where the two are similar it is the
+    leader, and ``x`` takes no part in the votes for one.
+    """
     lists = index_lists(prefixes(sets, percent))
     full = full_sets(df, id_col, text_col, sets, lists, words)
-    star = stars(lists, sets, full, percent)
+    if near is None:
+        star = stars(lists, sets, full, percent)
+    else:
+        led = followers(near, full, percent)
+        rest = lists.drop("size").join(led.select(F.col("x").alias("cid")), "cid", "left_anti")
+        star = led.union(stars(index_lists(rest), sets, full, percent))
     edges = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # A set that leads others, or follows none, stands for itself; any other is a difference from its leader.
     leads = star.select(F.col("y").alias("lead")).distinct()
@@ -416,10 +432,15 @@ def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words:
     return saved(edges.union(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
 
 
-def set_components(df: DataFrame, id_col: str, text_col: str, marked: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per distinct set that is not empty: ``digest``, ``root``, ``component_id`` (smallest id reachable) and ``docs`` (rows that have it)."""
+def set_components(df: DataFrame, id_col: str, text_col: str, marked: DataFrame, words: int, percent: int,
+                   neighbours: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per distinct set that is not empty: ``digest``, ``root``, ``component_id`` (smallest id reachable) and ``docs`` (rows that have it).
+
+    ``neighbours`` may give, for the distinct sets, what ``set_links`` takes as ``near``.
+    """
     sets = distinct_sets(marked)
-    found = components(set_links(df, id_col, text_col, sets, words, percent))
+    near = neighbours(sets) if neighbours else None
+    found = components(set_links(df, id_col, text_col, sets, words, percent, near))
     slim = sets.select("cid", "digest", "id", "docs")
     rooted = saved(slim.join(found, slim.cid == found.node, "left").select("digest", "id", "docs", F.coalesce("root", "cid").alias("root")))
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("w")))

@@ -210,17 +210,33 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def near_sets(sets: DataFrame) -> DataFrame:
+    """Of the distinct sets (``cid``, ``fp``) each ``x`` that has one within the radius: another, ``y``. At most one row per set.
+
+    Sets of one fingerprint name the first of them, and that names the first set of the smallest fingerprint it links with.
+    """
+    slim = sets.select("cid", "fp")
+    heads = saved(slim.groupBy("fp").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")))
+    same = join_counted(slim, heads, "fp", "n").where("cid != head").select(F.col("cid").alias("x"), F.col("head").alias("y"))
+    # The links' first is the smaller one, so no two fingerprints name each other.
+    least = links(heads).groupBy("b").agg(F.min("a").alias("a"))
+    x, y = (heads.select(F.col("fp").alias(f), F.col("head").alias(c)) for f, c in (("b", "x"), ("a", "y")))
+    return saved(same.union(least.join(x, "b").join(y, "a").select("x", "y")))
+
+
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
     """The input's columns and rows, one document of each component: that with the smallest id, then text hash.
 
-    Documents link where the Jaccard similarity of their sets of word shingles is at least ``percent`` in a hundred; a radius
-    of 3 bits finds few such pairs, so the links come from the exact set join. Null and empty texts and those without words
+    Documents link where the Jaccard similarity of their sets of word shingles is at least ``percent`` in a hundred. SimHash
+    comes first: a document follows one within the radius if the sets are that similar. A radius of 3 bits misses many such
+    pairs, so the exact set join then links what is not connected yet. Null and empty texts and those without words
     are one component. Rows that repeat both id and text are one document, of which one row stays. An empty table gives an
     empty result; other columns travel along whatever their names.
     """
-    marked = written(ngram_join.with_sets(df, id_col, text_col, words, percent), "marked")
+    marked = written(ngram_join.with_sets(df, id_col, text_col, words, percent, fingerprint), "marked")
     each = marked.select("id", "id_hash", "text_hash", "digest")
-    full = join_counted(each.where("digest IS NOT NULL"), ngram_join.set_components(df, id_col, text_col, marked, words, percent), "digest", "docs")
+    found = ngram_join.set_components(df, id_col, text_col, marked, words, percent, near_sets)
+    full = join_counted(each.where("digest IS NOT NULL"), found, "digest", "docs")
     # The winner of a component is one of the few documents that carry its smallest id.
     first = full.where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from test_ngram_join import plain_components as all_pairs
 
-from quarrylane.llm import exact_dedup, simhash
+from quarrylane.llm import exact_dedup, ngram_join, simhash
 
 ROWS = "doc_id long, text string, kept string"
 
@@ -101,6 +101,30 @@ def test_drop_near(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_drop_near_takes_simhash_first(spark, monkeypatch):
+    """Sets with a similar one within 3 bits follow it and have no vote; the join links the others."""
+    rows = [r for r in texts() if r[0] is not None]
+    seen = {}
+
+    def near_sets(sets, plain=simhash.near_sets):
+        seen["sets"], seen["near"] = {r.cid: r for r in sets.collect()}, plain(sets)
+        return seen["near"]
+
+    def stars(lists, marks, sets, percent, plain=ngram_join.stars):
+        seen["voters"] = {r.cid for r in lists.collect()}
+        return plain(lists, marks, sets, percent)
+
+    monkeypatch.setattr(simhash, "near_sets", near_sets)
+    monkeypatch.setattr(ngram_join, "stars", stars)
+    simhash.drop_near(spark.createDataFrame(rows, ROWS)).count()
+    near, text = [tuple(r) for r in seen["near"].collect()], {r[0]: r[1] for r in rows}
+    assert len(near) > 20 and len({x for x, _ in near}) == len(near)
+    prints = {c: plain_fingerprint(text[r.id]) for c, r in seen["sets"].items()}
+    assert all((prints[x] ^ prints[y]).bit_count() <= 3 for x, y in near)
+    led = {x for x, y in near if len({c for _, _, c in all_pairs([(c, text[seen["sets"][c].id]) for c in (x, y)], 5, 80)}) == 1}
+    assert len(led) > 20 and seen["voters"] and not led & seen["voters"]
+
+
 def test_links_of_every_kind(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
