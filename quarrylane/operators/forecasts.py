@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.operators.features import BASELINES, weekly_strength
 from quarrylane.operators.panel import DEMAND, SERIES
+from quarrylane.operators.rankstats import correlation
 from quarrylane.plans.bounded import small_side
 from quarrylane.plans.hotkeys import join_counted
 from quarrylane.plans.prefix import exact_quantiles, running_totals
@@ -118,7 +119,7 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 
 def error_drivers(att: DataFrame, columns: Sequence[str], target: str = "wape", min_rows: int = 10) -> DataFrame:
-    """Spearman correlation of each characteristic with the error."""
+    """Spearman correlation of each characteristic with the error; NaN for one that is the same in all series."""
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("characteristic"), F.col(c).cast("double").alias("x")) for c in columns]))
     d = (att.where(F.col("total_actual") >= 10.0).select(F.col(target).alias("y"), x.alias("v"))
          .select("v.characteristic", "v.x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
@@ -128,7 +129,7 @@ def error_drivers(att: DataFrame, columns: Sequence[str], target: str = "wape",
         # A value may be that of very many series.
         ranks = average_rank(d, v, ["characteristic"]).select(F.struct("characteristic", v).alias(f"k{v}"), F.col("avg_rank").alias(f"r{v}"), "n")
         j = join_counted(j, checkpointed(ranks), f"k{v}", "n")
-    out = j.groupBy("characteristic").agg(F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    out = j.groupBy("characteristic").agg(correlation("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n") >= min_rows)
 
 

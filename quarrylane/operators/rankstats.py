@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.plans.bounded import each
@@ -17,6 +17,12 @@ from quarrylane.plans.prefix import join_null_safe, running_totals
 from quarrylane.session import checkpointed
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; NaN where either side has no spread, which stops ``corr`` under ANSI rules."""
+    both = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(both == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), both))
+
+
 def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score."""
     y = F.col(label).cast("long")

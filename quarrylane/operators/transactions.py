@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.functions.cleaning import is_close
+from quarrylane.operators.rankstats import correlation
 from quarrylane.plans.hotkeys import join_counted
 from quarrylane.plans.prefix import running_totals
 from quarrylane.session import checkpointed
@@ -121,7 +122,7 @@ def factor_correlation(df: DataFrame, columns: Sequence[str], row_id: str) -> Da
         d = join_counted(d, checkpointed(factor_codes(df, c, row_id)), c, "rows", "left")
     code = {c: F.coalesce(F.col(f"code_{c}"), F.lit(-1)).cast("double") for c in columns}
     pairs = list(combinations(columns, 2))
-    row = d.agg(*[F.corr(code[a], code[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = d.agg(*[correlation(code[a], code[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     out = F.explode(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)]))

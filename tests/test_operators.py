@@ -519,3 +519,15 @@ def test_investor_leaders_need_no_sort_by_text(spark, capsys):
     assert [tuple(r) for r in got.collect()] == [(None, "C", 2, 1), ("a", "A", 2, 2)]
     big = rounds.investor_leaderboard(d).explain()
     assert big is None and "Expand" not in capsys.readouterr().out
+
+
+def test_correlation_without_spread(spark):
+    """A characteristic that all series share, or one error for all, is NaN as in SQL, not a division by zero."""
+    rows = [(f"s{i}", 100.0 + i, 0.1 * i, 0.5, float(i % 7)) for i in range(30)]
+    d = spark.createDataFrame(rows, "series_id string, total_actual double, wape double, flat double, own double")
+    got = {r.characteristic: r for r in forecasts.error_drivers(d, ["flat", "own"]).collect()}
+    assert math.isnan(got["flat"].spearman) and got["flat"].n == 30 and abs(got["own"].spearman) < 1
+    (alike,) = forecasts.error_drivers(d.withColumn("wape", F.lit(1.0)), ["own"]).collect()
+    assert math.isnan(alike.spearman)
+    (pair,) = tx.factor_correlation(d, ["flat", "own"], "series_id").collect()
+    assert math.isnan(pair.correlation)
