@@ -190,25 +190,31 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, do
     return tuple((lang, tuple(t for _, t in sorted(found.get(lang, []))[:docs])) for lang in sorted(r["lang"] for r in labels) if lang in found)
 
 
-def identify(df: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], text_col: str = "text") -> DataFrame:
-    """Every input row with ``lang_pred``, ``score`` and ``known``.
-
-    A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing was learned. Ties go
-    to the first label. An empty table gives an empty result. Input columns named like an added one are replaced by it.
-    """
+def _guessed(df: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], text_col: str) -> DataFrame:
+    """``row`` (all input columns) and ``found`` (the added ones)."""
 
     @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
     def guess(texts: pa.Array) -> pa.Array:
+        # A worker is used again by other stages' functions; what their batches held goes back first.
+        pa.default_memory_pool().release_unused()
         found = [classify(run, samples) for run in _passes(texts)]
         columns = [pa.array([v for f in found for v in f[k]], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
         return pa.StructArray.from_arrays(columns, list(ADDED))
 
-    rows = df.select(packed(df), guess.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("found"))
-    return unpacked(rows.select("row", "found.*"), df.columns, ADDED)
+    return df.select(packed(df), guess.asNondeterministic()(F.col(f"`{text_col}`").cast("string")).alias("found"))
+
+
+def identify(df: DataFrame, samples: tuple[tuple[str, tuple[str, ...]], ...], text_col: str = "text") -> DataFrame:
+    """Every input row with ``lang_pred``, ``score`` and ``known``.
+
+    A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing was learned. Ties go
+    to the first label. An empty table gives an empty result. Input columns named like an added one are replaced by it.
+    """
+    return unpacked(_guessed(df, samples, text_col).select("row", "found.*"), df.columns, ADDED)
 
 
 def known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_known: float = 0.5) -> DataFrame:
     """The input's rows and columns, without texts that are undecided or mostly in symbols that the language lacks."""
     samples = training_sample(df, id_col, text_col, lang_col)
-    body = df.select(packed(df, "doc"), F.col(f"`{text_col}`").alias("body"))
-    return identify(body, samples, "body").where((F.col("lang_pred") != UNDECIDED) & (F.col("known") >= least_known)).select("doc.*")
+    rows = _guessed(df, samples, text_col)  # each text is held once, in its row
+    return rows.where((F.col("found.lang_pred") != UNDECIDED) & (F.col("found.known") >= least_known)).select("row.*")

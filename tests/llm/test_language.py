@@ -67,3 +67,11 @@ def test_edges(spark):
     train = spark.createDataFrame([(i, t, lang) for i in range(8) for lang, (t,) in samples] + [(90, "кот сидел", None), (91, None, "aa")], "doc_id long, text string, lang string")
     kept = language.known_language(train)
     assert kept.columns == train.columns and kept.count() == 16
+
+
+def test_known_language_holds_each_text_once(spark):
+    """The text travels in its row and to the function, not as a column of its own besides."""
+    docs = spark.createDataFrame([(i, f"the cat sat on mat {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    kept = language.known_language(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    assert "body" not in kept._jdf.queryExecution().optimizedPlan().toString()
