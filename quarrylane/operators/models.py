@@ -63,10 +63,11 @@ def feature_names(df: DataFrame) -> list[str]:
 
 
 def balanced_weights(df: DataFrame, y: str) -> DataFrame:
-    """Weight each class by n / (2 * n_class)."""
+    """Weight each class by n / (2 * n_class). The two weights are counted once here, not again by every job of a fit."""
     pos = F.sum(F.col(y).cast("long"))
-    s = df.agg((F.count(F.lit(1)) / (2 * pos)).alias("w1"), (F.count(F.lit(1)) / (2 * (F.count(F.lit(1)) - pos))).alias("w0"))
-    w = F.when(F.col(y) == 1, s.select("w1").scalar()).otherwise(s.select("w0").scalar())
+    every = F.count(F.lit(1))
+    s = df.agg(F.try_divide(every, 2 * pos).alias("w1"), F.try_divide(every, 2 * (every - pos)).alias("w0")).first()
+    w = F.when(F.col(y) == 1, F.lit(s["w1"]).cast("double")).otherwise(F.lit(s["w0"]).cast("double"))
     return df.withColumns({LABEL: F.col(y).cast("double"), WEIGHT: w})
 
 
