@@ -141,9 +141,9 @@ def payment_classifiers(t: Tables):
     d = checkpointed(tx.design_matrix(d, list(payments.TYPES.values()), keep=["event_id", "part"]).withColumn("y", F.col("isFraud").cast("double")))
     train, test = models.balanced_weights(d.where("part = 'train'"), "y"), d.where("part = 'test'")
     numeric = [c for c in d.columns if c not in ("event_id", "part", "isFraud", "y")]
-    out = None
+    medians, out = models.fitted_imputer(train, numeric), None
     for family, s in (("logistic_regression", {}), ("random_forest", {"numTrees": 10, "maxDepth": 5}), ("boosted_trees", {"maxIter": 5, "maxDepth": 3})):
-        scored = models.score(models.fit(train, family, numeric, [], **s), test)
+        scored = models.score(models.fit(train, family, numeric, [], medians, **s), test)
         row = models.ranking_quality(scored, "p", "y").select(F.lit(family).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out

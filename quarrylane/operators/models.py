@@ -14,7 +14,7 @@ import pandas as pd
 import pyspark
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -102,10 +102,17 @@ def sampled_settings(space: Mapping[str, Sequence], n: int = SEARCHED, seed: int
     return out
 
 
-def fit(df: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], **settings) -> PipelineModel:
+def fitted_imputer(df: DataFrame, numeric: Sequence[str]) -> ImputerModel:
+    """The medians of the numbers, for several fits on the same rows."""
+    return preprocessor(numeric, [], False)[0].fit(df)
+
+
+def fit(df: DataFrame, family: str, numeric: Sequence[str], categorical: Sequence[str], imputer: ImputerModel | None = None, **settings) -> PipelineModel:
     if "C" in settings:
         settings["regParam"] = 1.0 / (settings.pop("C") * max(1, df.count()))
     stages = preprocessor(numeric, categorical, scale=family == "logistic_regression")
+    if imputer is not None:
+        stages[0] = imputer
     return Pipeline(stages=[*stages, candidates()[family](**settings)]).fit(df)
 
 

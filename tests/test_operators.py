@@ -531,3 +531,14 @@ def test_correlation_without_spread(spark):
     assert math.isnan(alike.spearman)
     (pair,) = tx.factor_correlation(d, ["flat", "own"], "series_id").collect()
     assert math.isnan(pair.correlation)
+
+
+def test_weights_and_medians_are_counted_once(spark):
+    """No job of a fit counts the classes again, and given medians give the same model."""
+    rows = [(float(i % 11) if i % 5 else None, float(i % 7), float(i % 3 == 0)) for i in range(90)]
+    d = models.balanced_weights(spark.createDataFrame(rows, "a double, b double, y double"), "y")
+    assert "subquery" not in d._jdf.queryExecution().toString().lower()
+    assert {(r.y, r.weight) for r in d.collect()} == {(1.0, 1.5), (0.0, 0.75)}
+    own = models.fit(d, "logistic_regression", ["a", "b"], [])
+    given = models.fit(d, "logistic_regression", ["a", "b"], [], models.fitted_imputer(d, ["a", "b"]))
+    assert own.stages[-1].coefficients.toArray().tolist() == given.stages[-1].coefficients.toArray().tolist()
