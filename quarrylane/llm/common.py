@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import weakref
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.plans.hotkeys import heavy_cut, join_counted, partition_count
 from quarrylane.session import checkpointed
 from quarrylane.sources.sinks import shared_folder
 
-__all__ = ["SPACES", "heavy_cut", "join_counted", "packed", "partition_count", "saved", "shared_folder", "unpacked", "written"]
+__all__ = ["SPACES", "freed", "heavy_cut", "join_counted", "packed", "partition_count", "saved", "shared_folder", "short_shuffles", "unpacked", "written"]
 
 #: White space that separates words, as a Java and Python character class.
 SPACES = r"\x20\x09-\x0D"
+#: Folders of the tables that ``written`` returned and that are still in use.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The table written as Parquet in the shared folder and read again; cuts the lineage in fewer bytes than a checkpoint."""
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the job that made them has ended, not when the driver happens to collect its garbage.
+
+    For steps that each end in a table of their own: a frame made in here that runs twice would shuffle twice.
+    """
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
 
 
 def packed(df: DataFrame, name: str = "row") -> Column:

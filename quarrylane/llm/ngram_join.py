@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.common import join_counted, partition_count, saved, written
+from quarrylane.llm.common import freed, join_counted, partition_count, saved, short_shuffles, written
 from quarrylane.llm.graph import components
 
 WORDS, PERCENT = 3, 90
@@ -135,7 +135,9 @@ def index_lists(found: DataFrame) -> DataFrame:
     """The prefixes' lists of two sets or more: ``token``, ``cid``, ``n``, ``pos`` and ``size``."""
     found = written(found, "prefixes")
     size = saved(found.groupBy("token").agg(F.count(F.lit(1)).alias("w")).where("w > 1").withColumn("size", F.col("w")))
-    return written(join_counted(found, size, "token", "w"), "lists")
+    lists = written(join_counted(found, size, "token", "w"), "lists")
+    freed(found)
+    return lists
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, lists: DataFrame, words: int) -> DataFrame:
@@ -398,20 +400,22 @@ def derived_links(open_: DataFrame, star: DataFrame, members: DataFrame, sets: D
     return rows.groupBy("x", "y", "i", "j").applyInPandas(lambda g: derived_link(g, percent), "x long, y long")
 
 
-def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words: int, percent: int, near: DataFrame | None = None) -> DataFrame:
-    """Links ``a`` < ``b`` between distinct sets that connect every two similar ones.
+def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, lists: DataFrame, words: int, percent: int, near: DataFrame | None = None) -> DataFrame:
+    """Links ``a`` < ``b`` between distinct sets that connect every two similar ones; ``lists`` are those of their prefixes, and are freed.
 
     ``near`` may name a neighbour ``y`` of a set ``x`` that another method has found. Where the two are similar it is the
     leader, and ``x`` takes no part in the votes for one.
     """
-    lists = index_lists(prefixes(sets, percent))
     full = full_sets(df, id_col, text_col, sets, lists, words)
     if near is None:
         star = stars(lists, sets, full, percent)
+        parts = [star]
     else:
         led = followers(near, full, percent)
-        rest = lists.drop("size").join(led.select(F.col("x").alias("cid")), "cid", "left_anti")
-        star = led.union(stars(index_lists(rest), sets, full, percent))
+        rest = index_lists(lists.drop("size").join(led.select(F.col("x").alias("cid")), "cid", "left_anti"))
+        parts = [led, stars(rest, sets, full, percent)]
+        star = led.union(parts[1])
+        freed(rest)
     edges = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # A set that leads others, or follows none, stands for itself; any other is a difference from its leader.
     leads = star.select(F.col("y").alias("lead")).distinct()
@@ -422,6 +426,7 @@ def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words:
     root = components(edges)
     members = written(node.join(root, node.cid == root.node, "left").select("cid", "pivot", "dist", F.coalesce("root", "cid").alias("root")), "pivots")
     pairs = written(open_pairs(lists, members, sets, percent), "pairs")
+    freed(lists)
     held = with_pair(pairs, full).select("x", "y", "n", "m", F.size(F.array_intersect("mine", "theirs")).alias("i"))
     held = written(held.withColumn("similar", _similar(percent)), "held")
     reach = members.groupBy("pivot").agg(F.max("dist").alias("r"))
@@ -429,21 +434,30 @@ def set_links(df: DataFrame, id_col: str, text_col: str, sets: DataFrame, words:
     gap = 1 - F.col("i") / (F.col("n") + F.col("m") - F.col("i"))
     far = far.where("rx + ry > 0").where(gap - F.col("rx") - F.col("ry") <= 1 - percent / 100 + _SLACK)
     more = held.where("similar").select("x", "y").union(derived_links(saved(far.select("x", "y")), star, members, full, percent))
-    return saved(edges.union(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    links = saved(edges.union(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    freed(full, members, pairs, held, *parts)
+    return links
 
 
 def set_components(df: DataFrame, id_col: str, text_col: str, marked: DataFrame, words: int, percent: int,
                    neighbours: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per distinct set that is not empty: ``digest``, ``root``, ``component_id`` (smallest id reachable) and ``docs`` (rows that have it).
 
-    ``neighbours`` may give, for the distinct sets, what ``set_links`` takes as ``near``.
+    ``neighbours`` may give, for the distinct sets, what ``set_links`` takes as ``near``. Tables are freed as soon as the last
+    step that reads them has ended, ``marked`` too.
     """
-    sets = distinct_sets(marked)
+    whole = distinct_sets(marked)
+    freed(marked)
+    lists = index_lists(prefixes(whole, percent))
+    # Shingles are most of a set's bytes, and only the prefixes read them.
+    sets = written(whole.drop("counted", "rest"), "slim")
+    freed(whole)
     near = neighbours(sets) if neighbours else None
-    found = components(set_links(df, id_col, text_col, sets, words, percent, near))
+    found = components(set_links(df, id_col, text_col, sets, lists, words, percent, near))
     slim = sets.select("cid", "digest", "id", "docs")
     rooted = saved(slim.join(found, slim.cid == found.node, "left").select("digest", "id", "docs", F.coalesce("root", "cid").alias("root")))
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("w")))
+    freed(sets)
     return saved(join_counted(rooted, least, "root", "w").select("digest", "root", "component_id", "docs"))
 
 
@@ -456,8 +470,11 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an id or a text are rows of their own. Texts of any length are read whole. An empty table gives an empty result; other
     columns are not read.
     """
-    marked = written(with_sets(df, id_col, text_col, words, percent), "marked")
-    each = marked.select("id", "n", "digest")
-    full = join_counted(each.where("n > 0"), set_components(df, id_col, text_col, marked, words, percent), "digest", "docs")
+    with short_shuffles(df.sparkSession):
+        marked = written(with_sets(df, id_col, text_col, words, percent), "marked")
+        each = written(marked.select("id", "n", "digest"), "each")
+        found = set_components(df, id_col, text_col, marked, words, percent)
+    # From here on nothing is written: frames that may run more than once keep their shuffles.
+    full = join_counted(each.where("n > 0"), found, "digest", "docs")
     out = full.select("id", "n", "component_id").union(each.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

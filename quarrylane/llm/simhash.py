@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm import ngram_join
-from quarrylane.llm.common import join_counted, packed, partition_count, saved, unpacked, written
+from quarrylane.llm.common import freed, join_counted, packed, partition_count, saved, short_shuffles, unpacked, written
 from quarrylane.llm.graph import components
 
 RADIUS = 3
@@ -233,17 +233,20 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     are one component. Rows that repeat both id and text are one document, of which one row stays. An empty table gives an
     empty result; other columns travel along whatever their names.
     """
-    marked = written(ngram_join.with_sets(df, id_col, text_col, words, percent, fingerprint), "marked")
-    each = marked.select("id", "id_hash", "text_hash", "digest")
-    found = ngram_join.set_components(df, id_col, text_col, marked, words, percent, near_sets)
-    full = join_counted(each.where("digest IS NOT NULL"), found, "digest", "docs")
-    # The winner of a component is one of the few documents that carry its smallest id.
-    first = full.where(F.col("id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t"))
-    empty = each.where("digest IS NULL").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "id_hash")).alias("t")).where("t IS NOT NULL")
-    chosen = chosen.select("t.text_hash", "t.id_hash").union(empty.select("t.text_hash", "t.id_hash"))
+    with short_shuffles(df.sparkSession):
+        marked = written(ngram_join.with_sets(df, id_col, text_col, words, percent, fingerprint), "marked")
+        each = written(marked.select("id", "id_hash", "text_hash", "digest"), "each")
+        found = ngram_join.set_components(df, id_col, text_col, marked, words, percent, near_sets)
+        full = join_counted(each.where("digest IS NOT NULL"), found, "digest", "docs")
+        # The winner of a component is one of the few documents that carry its smallest id.
+        first = full.where(F.col("id").eqNullSafe(F.col("component_id")))
+        chosen = first.groupBy("root").agg(F.min(F.struct("text_hash", "id_hash")).alias("t"))
+        empty = each.where("digest IS NULL").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "id_hash")).alias("t")).where("t IS NOT NULL")
+        chosen = saved(chosen.select("t.text_hash", "t.id_hash").union(empty.select("t.text_hash", "t.id_hash")))
+        freed(each)
+    # From here on nothing is written: frames that may run more than once keep their shuffles.
     rows = df.select(packed(df), F.xxhash64(F.col(f"`{id_col}`")).alias("id_hash"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
     # Of rows that repeat id and text, the same one stays in every run.
     order = F.xxhash64(*[F.col("row").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
-    one = rows.join(saved(chosen), ["id_hash", "text_hash"], "left_semi").groupBy("id_hash", "text_hash").agg(F.min_by("row", order).alias("row"))
+    one = rows.join(chosen, ["id_hash", "text_hash"], "left_semi").groupBy("id_hash", "text_hash").agg(F.min_by("row", order).alias("row"))
     return unpacked(one, df.columns, ())

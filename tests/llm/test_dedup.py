@@ -1,14 +1,16 @@
 """Exact and near dedup against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import pytest
 import xxhash
 from test_ngram_join import plain_components as all_pairs
 
-from quarrylane.llm import exact_dedup, ngram_join, simhash
+from quarrylane.llm import common, exact_dedup, ngram_join, simhash
 
 ROWS = "doc_id long, text string, kept string"
 
@@ -125,6 +127,34 @@ def test_drop_near_takes_simhash_first(spark, monkeypatch):
     assert len(led) > 20 and seen["voters"] and not led & seen["voters"]
 
 
+def test_drop_near_gives_its_disk_back(spark, monkeypatch, tmp_path):
+    """No table of its own and no shuffle file is left when it returns, whenever the driver collects its garbage; what it returns can run twice."""
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    rows, setting = [r for r in texts() if r[0] is not None], spark.conf.get(key := "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    made, most = [], [0]
+
+    def folder(_, name):
+        most[0] = max(most[0], len(os.listdir(tmp_path)))
+        made.append(name)
+        return f"file://{tmp_path}/{len(made)}-{name}"
+
+    monkeypatch.setattr(common, "shared_folder", folder)
+    df, before = spark.createDataFrame(rows, ROWS).repartition(3), shuffles()
+    kept = simhash.drop_near(df)
+    assert len(made) > 8 and not os.listdir(tmp_path) and most[0] < len(made) - 3
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)  # executors delete them in their own time
+    assert not left
+    assert spark.conf.get(key, None) == setting
+    first, again = (sorted(r.doc_id for r in kept.collect()) for _ in range(2))
+    assert first == again and len(first) > 40
+
+
 def test_links_of_every_kind(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
