@@ -8,6 +8,7 @@ import time
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_ngram_join import plain_components as all_pairs
 
 from quarrylane.llm import common, exact_dedup, ngram_join, simhash
@@ -76,6 +77,41 @@ def test_exact(spark, partitions):
     assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("partitions", [4, 24])
+def test_drop_exact_keeps_the_smallest_ids(spark, partitions):
+    """The salted copies of a text keep one row whatever columns each step reads."""
+    rows = [r for r in texts() if r[0] is not None]
+    first = {}
+    for i, text, _ in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+        first[norm] = min(first.get(norm, i), i)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        kept = exact_dedup.drop_exact(spark.createDataFrame(rows, ROWS).repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(r.doc_id for r in kept) == sorted(first.values())
+
+
+def test_normalised_white_space(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("ab \t\n\v\f\r\x1f\x85\xa0\u2003") for _ in range(rng.randrange(12)))) for i in range(400)]
+    rows += [(400, None), (401, "\r\n a\r\nb"), (402, " \n"), (403, "a\nb\nc "), (404, "\n")]
+    got = spark.createDataFrame(rows, "i long, text string").select("i", exact_dedup.normalised(F.col("text")).alias("norm")).collect()
+    assert {r.i: r.norm for r in got} == {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in rows}
+
+
+def test_exact_normalises_once(spark, tmp_path):
+    """The input is read by one step; what follows reads the normalised text, which no step normalises again."""
+    spark.createDataFrame(texts(), ROWS).write.parquet(path := f"{tmp_path}/docs.parquet")
+    out = exact_dedup.mark_exact(spark.read.parquet(path), columns=["doc_id"])
+    assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert out.inputFiles() and not [f for f in out.inputFiles() if "docs.parquet" in f]
+    assert "regexp_replace" not in out._jdf.queryExecution().toString().lower()
+    whole = exact_dedup.mark_exact(spark.read.parquet(path))
+    assert sorted(map(str, out.drop("kept").collect())) == sorted(map(str, whole.select(out.drop("kept").columns).collect()))
+
+
 def test_fingerprints_by_hand():
     for _, text, _ in texts():
         assert simhash.fingerprint(text) % (1 << 64) == plain_fingerprint(text)
