@@ -163,6 +163,21 @@ def test_drop_near_takes_simhash_first(spark, monkeypatch):
     assert len(led) > 20 and seen["voters"] and not led & seen["voters"]
 
 
+@pytest.mark.parametrize("named", ["nobody", "anybody"])
+def test_drop_near_is_whole_whatever_simhash_finds(spark, monkeypatch, named):
+    """SimHash names one neighbour of a set; if it names none, or one that is not similar, the exact join links all the same."""
+    rows = [r for r in texts() if r[0] is not None]
+
+    def near_sets(sets):
+        pairs = sets.select(F.col("cid").alias("x")).crossJoin(sets.agg(F.max("cid").alias("y"))).where("x != y")
+        return pairs.limit(0) if named == "nobody" else pairs
+
+    monkeypatch.setattr(simhash, "near_sets", near_sets)
+    kept = simhash.drop_near(spark.createDataFrame(rows, ROWS))
+    comp = all_pairs([r[:2] for r in rows], 5, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, n, c in comp if n} | {min(i for i, n, _ in comp if not n)})
+
+
 def test_drop_near_gives_its_disk_back(spark, monkeypatch, tmp_path):
     """No table of its own and no shuffle file is left when it returns, whenever the driver collects its garbage; what it returns can run twice."""
     dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
